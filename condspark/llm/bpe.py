@@ -24,7 +24,7 @@ from . import wordhash
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 STEP = 12_000_000
 WORD_END = "</w>"
-CACHE = 1_000_000
+CACHE = 1_500_000
 
 
 class Encoder:

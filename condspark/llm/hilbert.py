@@ -98,7 +98,7 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int = 16, keep: S
             n += b.num_rows
 
     ranked = scratch.table(ranges.mapInArrow(number, f"{ranges._jdf.schema().toDDL()}, _part int, _place long"), "ranked")
-    counts = sorted((r["_part"], r["count"]) for r in ranked.groupBy("_part").count().toLocalIterator())
+    counts = sorted((r["_part"], r["count"]) for r in ranked.groupBy("_part").count().collect())
     total = sum(n for _, n in counts)
     before, base = {}, 0
     for part, n in counts:

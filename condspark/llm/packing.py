@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
     left = pieces.where(F.col("length") < capacity)
     closed, base, number, groups = [full], 1 << 62, 0, None
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in left.groupBy("length").count().toLocalIterator():
+    for r in left.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
     bound, done, n = bound_of(histogram, capacity), 0, int(histogram.sum())
     schema = f"{left._jdf.schema().toDDL()}, sequence_id long, offset long, open boolean"

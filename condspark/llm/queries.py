@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, katz, packing, scratch, substring_dedup, token_output
+from . import hilbert, katz, langid, packing, quality, scratch, secret_scan, substring_dedup, token_output
 
 TOKENIZERS = public_tokenizers.path
 
@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op3_katz_backoff(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op3_katz_backoff(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
-    out = katz.katz_score(docs, train=learn, order=order)
+    out = katz.katz_score(docs, train=~held_out(5), order=order)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -43,10 +46,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def held_out(fold: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % fold == 1
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, "lang", ~held_out(3))
+    return langid.identify(docs, model).select("doc_id", held_out(3).alias("held_out"), "lang_pred", "score")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZERS(tokenizer), end_id=0, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_katz_backoff, op5_token_output, op6_hilbert_shards, op7_substring_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
 ORACLE: dict[str, str] = {}

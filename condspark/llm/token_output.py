@@ -70,7 +70,7 @@ def id_ranks(docs: DataFrame, text_col: str, tokenizer_file: str, keep_space: bo
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["id", "n"])
 
     rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return sorted(((r["id"], r["n"]) for r in rows.toLocalIterator()), key=lambda r: (-r[1], r[0]))
+    return sorted(((r["id"], r["n"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True) -> str:
@@ -102,7 +102,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
             return pa.RecordBatch.from_arrays(arrays, [*cells, "doc_ids"])
 
         for batch in batches:
-            for at, texts in bpe.steps(batch.column(1), 4_000_000):
+            for at, texts in bpe.steps(batch.column(1)):
                 got, cuts = e.encode(texts)
                 n = np.diff(cuts) + 1
                 out = np.full(int(n.sum()), end_rank, np.uint32)
@@ -135,11 +135,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids) of every document: ids are little-endian unsigned 32-bit integers."""
-    ranked = spark.read.parquet(f"{path}/ranks").select("rank", "id").toLocalIterator()
+    ranked = spark.read.parquet(f"{path}/ranks").select("rank", "id").collect()
     id_of = np.array([i for _, i in sorted((r["rank"], r["id"]) for r in ranked)], dtype="<u4")
     rows = spark.read.parquet(f"{path}/segments")
     # one sum for each part: as many as the writer had partitions
-    sums = dict((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).toLocalIterator())
+    sums = dict((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     start, total = {}, 0
     for part in sorted(sums):
         start[part], total = total, total + sums[part]
