@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, katz, langid, packing, quality, scratch, secret_scan, substring_dedup, token_output
+from . import decontaminate, hilbert, katz, langid, order_minhash, packing, quality, scratch, secret_scan, substring_dedup, token_output
 
 TOKENIZERS = public_tokenizers.path
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -27,6 +31,11 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFr
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "is_first")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     path = scratch.path(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZERS(tokenizer), end_id=2)

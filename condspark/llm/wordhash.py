@@ -60,11 +60,15 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
-def words(column: pa.Array, lower: bool = False):
+#: Every ASCII character but letters and digits parts words.
+PLAIN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
     """Words of every text: (hash uint64[], start int64[], end int64[], first int64[n + 1], bytes).
 
     start and end are byte places in ``bytes``; the words of text i are first[i]:first[i + 1].
-    With ``lower``, A-Z are hashed as a-z.
+    With ``lower``, A-Z are hashed as a-z.  ``gaps``: which bytes part words.
     """
     offsets, raw = string_buffers(column)
     n = len(offsets) - 1
@@ -74,10 +78,10 @@ def words(column: pa.Array, lower: bool = False):
     while at < hi:
         to = min(hi, at + PIECE)
         # a piece ends where a word ends: at a separator, or where a text starts
-        while to < hi and not _SPACE[raw[to]]:
+        while to < hi and not gaps[raw[to]]:
             k = int(np.searchsorted(offsets, to))
             edge = int(offsets[k]) if k < len(offsets) else hi
-            gap = np.flatnonzero(_SPACE[raw[to : min(edge, to + 65536)]])
+            gap = np.flatnonzero(gaps[raw[to : min(edge, to + 65536)]])
             if len(gap):
                 to += int(gap[0])
                 break
@@ -85,7 +89,7 @@ def words(column: pa.Array, lower: bool = False):
             if to == edge:
                 break
         b = raw[at:to]
-        solid = ~_SPACE[b]
+        solid = ~gaps[b]
         begin, finish = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         finish[:-1] &= ~solid[1:]
