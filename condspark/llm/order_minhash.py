@@ -6,7 +6,8 @@ order, so two texts agree with a probability that falls with their edit distance
 only with their sets.  ``ROWS`` sketches make a band, and texts that agree in a band are candidates.
 
 Texts of equal words are one node.  A bucket of candidates is linked to the one of its nodes
-that shares most buckets: with a base text and its copies that is the base.  Nodes of a bucket that
+that shares most buckets: with a base text and its copies that is the base.  Pairs that can't
+reach the threshold by the k-mers they share with any candidate are left out first.  Nodes of a bucket that
 end in other components than most of it are leaders in turn, and in the end are
 compared with all of the bucket, so no pair of candidates in different components stays
 uncompared, while a dense group costs a comparison for each node and leader only.
@@ -183,25 +184,64 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return shared / (n + m - shared)
 
 
-def _bucket_star(members: DataFrame, labels: DataFrame | None, rest: bool) -> DataFrame:
+def _common(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled k-mers of all texts: (distinct keys, inverse, local count, where each text's begin)."""
+    kmers, starts = _labelled(hashes, first)
+    keys, inverse, count = np.unique(kmers, return_inverse=True, return_counts=True)
+    return keys, inverse, np.minimum(count, 255).astype(np.uint8), starts
+
+
+def _sequences(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    parts = [exchange.expand(x) for x in rows.column("words").to_pylist()]
+    return np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def _shared_kmers(words: DataFrame) -> DataFrame:
+    """(node, kmers, shared): how many labelled k-mers each candidate has, and how many another has too.
+
+    An exact filter: a pair's common k-mers are shared ones of both, so its similarity is at most
+    m / (kmers_a + kmers_b - m), m being the lesser number of shared k-mers.
+    """
+    shards = scratch.partitions(words.sparkSession)
+
+    def put(block: int, rows: pa.Table, _: dict) -> list[dict]:
+        keys, _, count, _ = _common(*_sequences(rows))
+        return exchange.questions(block, 1, keys, count, shards)
+
+    def twice(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return (np.bincount(inverse, weights=data, minlength=len(keys))[inverse] > 1).astype(np.uint8)
+
+    def tell(block: int, rows: pa.Table, have: dict) -> pa.Table:
+        _, inverse, _, starts = _common(*_sequences(rows))
+        total = np.concatenate([[0], np.cumsum(have[1][inverse].astype(np.int64))]) if 1 in have else np.zeros(1, np.int64)
+        return pa.table({"node": rows.column("node"), "kmers": pa.array(np.diff(starts)), "shared": pa.array(total[starts[1:]] - total[starts[:-1]])})
+
+    answers = exchange.answer(exchange.ask(words, None, put), twice)
+    return scratch.table(exchange.each_block(words, answers, tell, "node long, kmers long, shared long"), "shared")
+
+
+def _bucket_star(members: DataFrame, labels: DataFrame | None, rest: bool, threshold: float) -> DataFrame:
     """Pairs (a, b) to compare: each bucket's leader with its nodes of other components.
 
-    members: (bucket, node, central).  Without labels every node is a component.  With ``rest`` every
-    node outside its bucket's largest component is a leader.
+    members: (bucket, node, central, kmers, shared).  Without labels every node is a component.  With
+    ``rest`` every node outside its bucket's largest component is a leader.
     """
+    lead = F.struct("node", "kmers", "shared")
+    least = "least(shared, s.shared)"
+    within = F.expr(f"{least} >= {threshold}D * (kmers + s.kmers - {least})")
+    pair = F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b")
     if labels is None:
-        lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("a"))
-        return members.join(lead, "bucket").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        leaders = members.groupBy("bucket").agg(F.max_by(lead, F.struct("central", "node")).alias("s"))
+        return members.join(leaders.withColumnRenamed("bucket", "of"), (F.col("bucket") == F.col("of")) & within & (F.col("node") != F.col("s.node"))).select(*pair).distinct()
     known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by("node", F.struct("central", "node")).alias("lead"))
+    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     # buckets of one component drop out before their rows meet
     open_ = known.join(main, "bucket")
-    outside = open_.where("comp <> main").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "central")
+    outside = open_.where("comp <> main").select(F.col("bucket").alias("of"), lead.alias("s"), F.col("comp").alias("comp_s"), F.col("central").alias("lead_central"))
     if not rest:
-        outside = outside.groupBy("bucket").agg(F.max_by(F.struct("a", "comp_a"), F.struct("central", "a")).alias("s")).select("bucket", "s.a", "s.comp_a")
-    pairs = outside.join(open_.select("bucket", F.col("node").alias("b"), "comp"), "bucket").where("comp_a <> comp")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        outside = outside.groupBy("of").agg(F.max_by(F.struct("s", "comp_s"), F.struct("lead_central", "s.node")).alias("t")).select("of", "t.s", "t.comp_s")
+    return open_.join(outside, (F.col("bucket") == F.col("of")) & (F.col("comp") != F.col("comp_s")) & within).select(*pair).distinct()
 
 
 def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -283,13 +323,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(places)
         h, _, _, first, _ = wordhash.words(texts.column("text").combine_chunks().take(pa.array(places[order])), lower=True)
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.table({"node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary())})
+        return pa.table({"block": pa.array(np.full(len(places), key[0].as_py())), "node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary())})
 
-    words = scratch.table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, words binary"), "words")
-    links = _verify(_bucket_star(members, None, False), words, threshold)
+    words = scratch.table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "block long, node long, words binary"), "words", "block")
+    shared = _shared_kmers(words).where(f"shared >= {threshold}D * kmers")
+    members = scratch.table(members.join(shared, "node"), "members")
+    links = _verify(_bucket_star(members, None, False, threshold), words, threshold)
     labels = components(links)
     for turn in range(STAR_ROUNDS + 1):
-        more = _verify(_bucket_star(members, labels, turn == STAR_ROUNDS), words, threshold)
+        more = _verify(_bucket_star(members, labels, turn == STAR_ROUNDS, threshold), words, threshold)
         if more.isEmpty():
             if turn < STAR_ROUNDS:
                 continue
@@ -297,6 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         labels = components(links)
     classed = rows.join(labels, "node", "left").select("id", "block", "place", "node", F.coalesce("comp", "node").alias("class_id"))
+    classed = scratch.table(classed, "classed")
     size = classed.groupBy("class_id").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "place")).alias("lead"))
-    out = classed.join(size, "class_id")
+    # written, so that both sides of the join are plain shuffles and a large class can be split
+    out = classed.join(scratch.table(size, "classes"), "class_id")
     return out.select(F.col("id").alias(id_col), "block", "place", "node", "class_id", "class_size", ((F.col("lead.block") == F.col("block")) & (F.col("lead.place") == F.col("place"))).alias("is_first"))
