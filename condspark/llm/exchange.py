@@ -32,30 +32,35 @@ BLOCK = 6_000_000
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None, bytes_a_block: int = BLOCK) -> DataFrame:
-    """(block long, id, text, ``more``) with every row of docs, bucketed by block; a null text stays null."""
+    """(block long, place long, id, text, ``more``) with every row of docs, bucketed by block.
+
+    place counts a block's rows from 0.  A null text stays null.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in (more or {}).items()))
     names = rows.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
+        block, held, rows_held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             text = batch.column(1)
             size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0)).astype(np.int64)
-            number = np.empty(len(size), dtype=np.int64)
+            number, place = np.empty(len(size), dtype=np.int64), np.empty(len(size), dtype=np.int64)
             begin = 0
             while begin < len(size):
                 fits = int(np.searchsorted(np.cumsum(size[begin:]), bytes_a_block - held, "right"))
                 if not fits and not held:
                     fits = 1
                 number[begin : begin + fits] = block
+                place[begin : begin + fits] = np.arange(rows_held, rows_held + fits)
+                rows_held += fits
                 held += int(size[begin : begin + fits].sum())
                 begin += fits
                 if begin < len(size):
-                    block, held = block + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array(number), *batch.columns], ["block", *names])
+                    block, held, rows_held = block + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(place), *batch.columns], ["block", "place", *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return scratch.table(rows.mapInArrow(deal, f"block long, {schema}"), "blocks", "block")
+    return scratch.table(rows.mapInArrow(deal, f"block long, place long, {schema}"), "blocks", "block")
 
 
 def pack(sorted_hashes: np.ndarray) -> bytes:
@@ -110,14 +115,19 @@ def ask(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Tabl
 
 def each_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
     if answers is None:
-        return blocks.groupBy("block").applyInArrow(lambda rows: fn(rows.column("block")[0].as_py(), rows, {}) if len(rows) else _none(schema), schema)
+        return blocks.groupBy("block").applyInArrow(lambda rows: fn(rows.column("block")[0].as_py(), in_order(rows), {}) if len(rows) else _none(schema), schema)
 
     def both(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        return fn(key[0].as_py(), rows, gather(replies))
+        return fn(key[0].as_py(), in_order(rows), gather(replies))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """Sorted by place: a block's rows come grouped, but in no sure order."""
+    return rows.sort_by("place").combine_chunks() if "place" in rows.column_names else rows
+
+
 def gather(replies: pa.Table) -> dict[int, np.ndarray]:
     parts: dict[int, list[tuple[int, bytes]]] = {}
     for kind, shard, data in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):

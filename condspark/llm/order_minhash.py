@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange, scratch, wordhash
 
 K, L, ROWS, BANDS = 5, 2, 3, 30
 THRESHOLD = 0.8
 STAR_ROUNDS = 2
+BITS = 512
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -197,10 +199,12 @@ def _sequences(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_kmers(words: DataFrame) -> DataFrame:
-    """(node, kmers, shared): how many labelled k-mers each candidate has, and how many another has too.
+    """(node, kmers, shared, bits): how many labelled k-mers each candidate has, how many another has
+    too, and the parity of those that fall to each of ``BITS`` bits.
 
-    An exact filter: a pair's common k-mers are shared ones of both, so its similarity is at most
-    m / (kmers_a + kmers_b - m), m being the lesser number of shared k-mers.
+    Two exact filters: a pair's common k-mers are shared ones of both, so its similarity is at most
+    m / (kmers_a + kmers_b - m), m being the lesser number of shared k-mers; and bits that differ
+    are at most as many as the k-mers that only one has.
     """
     shards = scratch.partitions(words.sparkSession)
 
@@ -212,15 +216,19 @@ def _shared_kmers(words: DataFrame) -> DataFrame:
         return (np.bincount(inverse, weights=data, minlength=len(keys))[inverse] > 1).astype(np.uint8)
 
     def tell(block: int, rows: pa.Table, have: dict) -> pa.Table:
-        _, inverse, _, starts = _common(*_sequences(rows))
+        keys, inverse, _, starts = _common(*_sequences(rows))
+        n = np.diff(starts)
+        cell = np.repeat(np.arange(len(n)), n) * BITS + (keys[inverse] % np.uint64(BITS)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(n) * BITS) & 1).astype(np.uint8)
+        bits = np.packbits(odd.reshape(len(n), BITS), axis=1).view(np.int64)
         total = np.concatenate([[0], np.cumsum(have[1][inverse].astype(np.int64))]) if 1 in have else np.zeros(1, np.int64)
-        return pa.table({"node": rows.column("node"), "kmers": pa.array(np.diff(starts)), "shared": pa.array(total[starts[1:]] - total[starts[:-1]])})
+        return pa.table({"node": rows.column("node"), "kmers": pa.array(n), "shared": pa.array(total[starts[1:]] - total[starts[:-1]]), "bits": pa.array(bits.tolist(), pa.list_(pa.int64()))})
 
     answers = exchange.answer(exchange.ask(words, None, put), twice)
-    return scratch.table(exchange.each_block(words, answers, tell, "node long, kmers long, shared long"), "shared")
+    return scratch.table(exchange.each_block(words, answers, tell, "node long, kmers long, shared long, bits array<long>"), "shared")
 
 
-def _bucket_star(members: DataFrame, labels: DataFrame | None, rest: bool, threshold: float) -> DataFrame:
+def _bucket_star(members: DataFrame, labels: DataFrame | None, bits: DataFrame, rest: bool, threshold: float) -> DataFrame:
     """Pairs (a, b) to compare: each bucket's leader with its nodes of other components.
 
     members: (bucket, node, central, kmers, shared).  Without labels every node is a component.  With
@@ -237,8 +245,10 @@ def _bucket_star(members: DataFrame, labels: DataFrame | None, rest: bool, thres
     sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     # buckets of one component drop out before their rows meet
-    open_ = known.join(main, "bucket")
-    outside = open_.where("comp <> main").select(F.col("bucket").alias("of"), lead.alias("s"), F.col("comp").alias("comp_s"), F.col("central").alias("lead_central"))
+    open_ = known.join(main, "bucket").join(bits.select("node", "bits"), "node")
+    differ = " + ".join(f"bit_count(bits[{i}] ^ s.bits[{i}])" for i in range(BITS // 64))
+    within &= F.expr(f"{differ} <= {(1 - threshold) / (1 + threshold)}D * (kmers + s.kmers) + 1e-6D")
+    outside = open_.where("comp <> main").select(F.col("bucket").alias("of"), F.struct("node", "kmers", "shared", "bits").alias("s"), F.col("comp").alias("comp_s"), F.col("central").alias("lead_central"))
     if not rest:
         outside = outside.groupBy("of").agg(F.max_by(F.struct("s", "comp_s"), F.struct("lead_central", "s.node")).alias("t")).select("of", "t.s", "t.comp_s")
     return open_.join(outside, (F.col("bucket") == F.col("of")) & (F.col("comp") != F.col("comp_s")) & within).select(*pair).distinct()
@@ -287,8 +297,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then made of the row's place).  is_first marks one row of each class: the least by id, then
     place (nulls last).  Texts are told apart by 64-bit hashes of their words.
     """
-    blocks = exchange.write_blocks(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+    out = _classes(exchange.write_blocks(docs, id_col, text_col), threshold)
+    return out.select(F.col("id").alias(id_col), *out.columns[1:])
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The first row of each class of near duplicates, with all columns of docs."""
+    more = [c for c in docs.columns if c not in (id_col, text_col)]
+    blocks = exchange.write_blocks(docs, id_col, text_col, {f"more{i}": F.col(f"`{c}`") for i, c in enumerate(more)})
+    first = _classes(blocks.select("block", "place", "id", "text"), threshold).where("is_first").select("block", "place")
+
+    def take(rows: pa.Table, places: pa.Table) -> pa.Table:
+        rows = exchange.in_order(rows).take(pa.array(np.sort(places.column("place").to_numpy())))
+        return rows.drop_columns(["block", "place"])
+
+    schema = T.StructType([f for f in blocks.schema.fields if f.name not in ("block", "place")])
+    kept = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(take, schema)
+    names = {id_col: "id", text_col: "text"} | {c: f"more{i}" for i, c in enumerate(more)}
+    return kept.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+
+
+def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
+    kind = blocks.schema["id"].dataType.simpleString()
 
     def sketch(block: int, rows: pa.Table, _: dict) -> pa.Table:
         h, _, _, first, _ = wordhash.words(rows.column("text"), lower=True)
@@ -305,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bands = sketches(h, first)
         on = bands[:, 0] != 0
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on * BANDS)]).astype(np.int32)), pa.array(bands[on].ravel().view(np.int64)))
-        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": pa.array(np.arange(len(n)).astype(np.int64)), "node": pa.array(node.view(np.int64)), "bands": keys})
+        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "bands": keys})
 
     rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
     nodes = rows.where("size(bands) > 0").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.min("bands").alias("bands"))
@@ -321,17 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
         places = want.column("place").to_numpy()
         order = np.argsort(places)
-        h, _, _, first, _ = wordhash.words(texts.column("text").combine_chunks().take(pa.array(places[order])), lower=True)
+        h, _, _, first, _ = wordhash.words(exchange.in_order(texts).column("text").combine_chunks().take(pa.array(places[order])), lower=True)
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
         return pa.table({"block": pa.array(np.full(len(places), key[0].as_py())), "node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary())})
 
     words = scratch.table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "block long, node long, words binary"), "words", "block")
     shared = _shared_kmers(words).where(f"shared >= {threshold}D * kmers")
-    members = scratch.table(members.join(shared, "node"), "members")
-    links = _verify(_bucket_star(members, None, False, threshold), words, threshold)
+    members = scratch.table(members.join(shared.drop("bits"), "node"), "members")
+    links = _verify(_bucket_star(members, None, shared, False, threshold), words, threshold)
     labels = components(links)
     for turn in range(STAR_ROUNDS + 1):
-        more = _verify(_bucket_star(members, labels, turn == STAR_ROUNDS, threshold), words, threshold)
+        more = _verify(_bucket_star(members, labels, shared, turn == STAR_ROUNDS, threshold), words, threshold)
         if more.isEmpty():
             if turn < STAR_ROUNDS:
                 continue
@@ -343,4 +373,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = classed.groupBy("class_id").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "place")).alias("lead"))
     # written, so that both sides of the join are plain shuffles and a large class can be split
     out = classed.join(scratch.table(size, "classes"), "class_id")
-    return out.select(F.col("id").alias(id_col), "block", "place", "node", "class_id", "class_size", ((F.col("lead.block") == F.col("block")) & (F.col("lead.place") == F.col("place"))).alias("is_first"))
+    return out.select("id", "block", "place", "node", "class_id", "class_size", ((F.col("lead.block") == F.col("block")) & (F.col("lead.place") == F.col("place"))).alias("is_first"))
