@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 4000
 BITS, ORDERS = 15, 3
@@ -192,3 +193,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *more)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
     return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+
+
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score added to every row, as in identify."""
+    at = docs.columns.index(text_col)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(predict, schema)
