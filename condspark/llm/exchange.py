@@ -115,7 +115,7 @@ def ask(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Tabl
 
 def each_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
     if answers is None:
-        return blocks.groupBy("block").applyInArrow(lambda rows: fn(rows.column("block")[0].as_py(), in_order(rows), {}) if len(rows) else _none(schema), schema)
+        return blocks.groupBy("block").applyInArrow(lambda rows: fn(rows.column("block")[0].as_py(), in_order(rows), {}), schema)
 
     def both(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
         return fn(key[0].as_py(), in_order(rows), gather(replies))
@@ -162,9 +162,3 @@ def answer(asked: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarr
 
     return scratch.table(asked.groupBy("shard", "kind").applyInArrow(shard, ANSWER_SQL), "answers")
 
-
-def _none(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
