@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The corpus is counted first for the n-grams of the test items alone.  In every run of
-``WINDOW`` successive n-grams of an item the rarest is a seed, so common phrases lead
+``WINDOW`` successive n-grams of an item the rarest that occurs is a seed, so common phrases lead
 nowhere, yet any shared run of N + WINDOW - 1 words holds a seed, however often an item leaked.
+n-grams that occur ``RARE`` times at most are all seeds, for copies edited every few words.
 Passages around seeds are aligned with the item word by word; copies that were edited or
 paraphrased in part keep most of their score.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 
-N, WINDOW = 3, 4
+N, WINDOW, RARE = 3, 4, 20
 BLOCK_WORDS = 500_000
 MIN_SCORE = 0.5
 _MAP_BITS = 22
@@ -82,8 +83,13 @@ class Items:
         for i, own in enumerate(self.grams):
             if not len(own):
                 continue
-            rank = [(counts.get(int(g), 0), int(g), j) for j, g in enumerate(own)]
-            for j in sorted({min(rank[a : a + WINDOW])[2] for a in range(max(1, len(own) - WINDOW + 1))}):
+            # n-grams that the corpus doesn't hold can't lead to a passage
+            rank = [(counts[int(g)], int(g), j) if int(g) in counts else None for j, g in enumerate(own)]
+            chosen = {r[2] for r in rank if r and r[0] <= RARE}
+            for a in range(max(1, len(own) - WINDOW + 1)):
+                if here := [r for r in rank[a : a + WINDOW] if r]:
+                    chosen.add(min(here)[2])
+            for j in sorted(chosen):
                 gram.append(own[j])
                 item.append(i)
                 place.append(j)

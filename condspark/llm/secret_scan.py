@@ -4,6 +4,7 @@ Three patterns give the base spans.  Beyond them, a string of mixed characters s
 sensitive word is a candidate.  Zstandard is primed with a dictionary of identifiers and the text
 around it; the bytes that the candidate adds to the compressed context measure how new it
 is.  Names, paths and repeated strings add little; random strings nearly all of their content.
+A string made of plain words and short numbers is an identifier, whatever it adds.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ IDENTIFIERS = [
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef",
     "get_value set_value file_name path_name first_name last_name created_at updated_at example placeholder changeme",
 ]
+_PARTS = re.compile(r"[_.\-/+=~]+|(?<=[a-z])(?=[A-Z])")
+_PLAIN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|[0-9]{0,4}")
 REACH, AROUND, NEW = 48, 400, 0.55
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
@@ -72,6 +75,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], primed: zstandard.Z
                 end += 1
             until = end
             found = text[m.start() : end]
+            if all(_PLAIN.fullmatch(p) for p in _PARTS.split(found)):
+                continue
             kinds = sum(bool(re.search(c, found)) for c in ("[0-9]", "[a-z]", "[A-Z]", "[+/_=~.-]"))
             if kinds < 2 or not re.search("[0-9]", found) or any(s < end and m.start() < e for s, _, e in base):
                 continue
