@@ -15,7 +15,7 @@ def source_files(spark: SparkSession, path: str, glob: str = "*.{c,cc,cpp,cxx,C,
     """(path, code) of a tree; bytes that aren't UTF-8 become the replacement character."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     local = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return files.select(local.alias("path"), F.decode("content", "UTF-8").alias("code"))
+    return files.select(local.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
