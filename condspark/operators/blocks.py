@@ -23,8 +23,8 @@ def lines(files: DataFrame) -> DataFrame:
     """(all columns but code, line_no, text, directive, condition) of every line."""
     keep = [c for c in files.columns if c != "code"]
     rows = files.select(*keep, F.posexplode(text.split_lines(F.col("code"))).alias("_n", "text"))
-    word = F.regexp_extract("text", DIRECTIVE, 1)
-    # the pattern's '.' ends at line breaks of other kinds, which split lines don't hold
+    # most lines hold no '#' and skip the pattern
+    word = F.when(F.col("text").contains("#"), F.regexp_extract("text", DIRECTIVE, 1)).otherwise("")
     rest = F.regexp_extract("text", DIRECTIVE, 2)
     return rows.select(*keep, (F.col("_n") + 1).alias("line_no"), "text", F.when(word != "", word).alias("directive"), F.when(word != "", F.rtrim(rest)).alias("condition"))
 
@@ -33,8 +33,11 @@ def line_states(files: DataFrame) -> DataFrame:
     """Lines of (path, target, macros, code) with depth, active and what their directive does.
 
     A condition that can't be evaluated is false, so its #ifndef is true.  Null code has no lines.
+    The windows sort directives alone; the other lines then take the last directive's state, in one
+    more window.
     """
-    rows = lines(files.withColumn("macro_key", conditions.macro_key(F.col("macros"))).drop("macros"))
+    every = lines(files.withColumn("macro_key", conditions.macro_key(F.col("macros"))).drop("macros"))
+    plain, rows = every.where("directive is null"), every.where("directive is not null")
     asks = F.col("directive").isin("if", "ifdef", "ifndef", "elif")
     rows = conditions.with_results(rows.withColumn("ask", F.when(asks, F.col("condition"))), "ask")
     by = W.partitionBy(*FILE).orderBy("line_no")
@@ -50,13 +53,18 @@ def line_states(files: DataFrame) -> DataFrame:
     cond = F.coalesce("cond_result", F.lit(False))
     branch = F.when(F.col("directive") == "ifndef", ~cond).when(F.col("directive").isin("if", "ifdef", "elif"), cond).when(F.col("directive") == "else", F.lit(True)).otherwise(F.lit(False))
     rows = rows.withColumn("branch", branch).withColumn("taken", F.coalesce(F.max("branch").over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)))
-    real = F.col("directive").isNotNull() & (F.col("level") > 0)
+    real = F.col("level") > 0
     rows = rows.withColumn("on", F.when(real, ends | (F.col("branch") & ~F.col("taken"))))
     rows = rows.withColumn("delta", F.when(real, (~F.col("on")).cast("int") - (~F.coalesce(F.lag("on").over(in_block), F.lit(True))).cast("int")).otherwise(0))
     rows = rows.withColumn("inactive", F.sum("delta").over(upto)).withColumn("active", F.col("inactive") == 0).withColumn("orphan", F.col("directive").isNotNull() & (F.col("level") == 0))
     opener = F.first(F.when(F.col("opens"), F.col("directive")), ignorenulls=True).over(in_block.rowsBetween(W.unboundedPreceding, 0))
     keep = [c for c in files.columns if c not in ("code", "macros")]
-    return rows.select(*keep, "line_no", "text", "directive", "condition", "depth", "level", "orphan", "active", F.when(ends & real, opener).alias("closes"), "cond_error")
+    more = ["directive", "condition", "depth", "level", "orphan", "active", "closes", "cond_error"]
+    told = rows.select(*keep, "line_no", "text", *more[:6], F.when(ends & real, opener).alias("closes"), "cond_error")
+    both = told.unionByName(plain.select(*keep, "line_no", "text"), allowMissingColumns=True)
+    state = F.coalesce(F.last(F.when(F.col("directive").isNotNull(), F.struct("active", "depth")), ignorenulls=True).over(upto), F.struct(F.lit(True).alias("active"), F.lit(0).cast("long").alias("depth")))
+    both = both.withColumn("_s", state).withColumn("active", F.col("_s.active")).withColumn("depth", F.col("_s.depth")).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
+    return both.select(*keep, "line_no", "text", *more)
 
 
 def shown(states: DataFrame, mode: str = "physical") -> DataFrame:
