@@ -1,4 +1,4 @@
-"""The language of #if conditions, evaluated once for each distinct condition and macro set.
+"""The language of #if conditions, evaluated once for each distinct one of an Arrow batch.
 
 The language is lenient on purpose: unknown characters vanish, names are compared without case,
 '!' binds looser than comparison, and a parenthesised operand at the start of a logical term
@@ -146,16 +146,19 @@ def evaluate(condition: str, macros: dict[str, str | None]) -> bool:
 @F.pandas_udf(T.StructType().add("result", T.BooleanType()).add("error", T.StringType()))
 def _evaluated(condition: pd.Series, macros: pd.Series) -> pd.DataFrame:
     sets: dict[str, dict] = {}
-    out = []
-    for text, key in zip(condition, macros, strict=True):
+    known: dict[tuple, tuple] = {}
+    for pair in set(zip(condition, macros, strict=True)):
+        text, key = pair
+        if text is None:
+            known[pair] = (None, None)
+            continue
         if key not in sets:
             sets[key] = normal_macros(json.loads(key))
         try:
-            value = _Reader(text or "", sets[key]).whole()
-            out.append((value, None))
+            known[pair] = (_Reader(text, sets[key]).whole(), None)
         except (ConditionError, OverflowError, ZeroDivisionError, TypeError) as e:
-            out.append((False, str(e)))
-    return pd.DataFrame(out, columns=["result", "error"])
+            known[pair] = (False, str(e))
+    return pd.DataFrame([known[pair] for pair in zip(condition, macros, strict=True)], columns=["result", "error"])
 
 
 def macro_key(macros: Column) -> Column:
@@ -167,7 +170,9 @@ def macro_key(macros: Column) -> Column:
 
 
 def with_results(rows: DataFrame, condition: str = "condition", key: str = "macro_key") -> DataFrame:
-    """rows with cond_result and cond_error; each distinct pair is evaluated once."""
-    distinct = rows.where(F.col(condition).isNotNull()).select(condition, key).distinct()
-    found = distinct.withColumn("_e", _evaluated(F.col(condition), F.col(key))).select(condition, key, F.col("_e.result").alias("cond_result"), F.col("_e.error").alias("cond_error"))
-    return rows.join(found, [condition, key], "left")
+    """rows with cond_result and cond_error, both null where there is no condition.
+
+    Each distinct pair of an Arrow batch is evaluated once, so no row has to be moved.
+    """
+    told = rows.withColumn("_e", _evaluated(F.col(condition), F.col(key)))
+    return told.withColumns({"cond_result": F.col("_e.result"), "cond_error": F.col("_e.error")}).drop("_e")

@@ -12,7 +12,9 @@ BOUNDARY = "[\n\x0b\x0c\x1c-\x1e\x85  ]"
 def split_lines(code: Column) -> Column:
     """Lines without their ends; a final boundary opens no further line."""
     parts = F.split(F.regexp_replace(code, "\r\n?", "\n"), BOUNDARY)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # bound as a lambda's argument, so that it is split once however often it is named
+    bound = F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return F.get(bound, F.lit(0))
 
 
 def join_lines(rows: Column) -> Column:
