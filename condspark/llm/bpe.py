@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,6 @@ import pyarrow as pa
 from . import wordhash
 
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
-STEP = 12_000_000
 WORD_END = "</w>"
 CACHE = 1_500_000
 
@@ -199,11 +197,4 @@ def encoder(file: str, keep_space: bool) -> Encoder:
     return _encoders[file, keep_space]
 
 
-def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[int, pa.Array]]:
-    """The texts in runs of about ``size`` bytes, with the place of each run."""
-    offsets, _ = wordhash.string_buffers(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
-        yield a, column.slice(a, b - a)
-        a = b
+steps = wordhash.steps

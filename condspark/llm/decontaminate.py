@@ -26,6 +26,7 @@ from . import wordhash
 
 N, WINDOW, RARE = 3, 4, 20
 BLOCK_WORDS = 500_000
+STEP = 3_000_000
 MIN_SCORE = 0.5
 _MAP_BITS = 22
 
@@ -128,11 +129,12 @@ def _counts(docs: DataFrame, text_col: str, items: Items) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, total = _Filter(known), np.zeros(len(known), np.int64)
         for batch in batches:
-            _, _, g, inside = _grams(batch.column(0))
-            at = look.places(g)
-            at = at[inside[at]]
-            if len(at):
-                total += np.bincount(np.searchsorted(known, g[at]), minlength=len(known))
+            for _, part in wordhash.steps(batch.column(0), STEP):
+                _, _, g, inside = _grams(part)
+                at = look.places(g)
+                at = at[inside[at]]
+                if len(at):
+                    total += np.bincount(np.searchsorted(known, g[at]), minlength=len(known))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known[on].view(np.int64)), pa.array(total[on])], ["gram", "n"])
 
@@ -148,6 +150,9 @@ class Matcher:
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word + 1) of every passage found, the best for text and item."""
+        return [(at + d, *rest) for at, part in wordhash.steps(column, STEP) for d, *rest in self._find(part)]
+
+    def _find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         self.look = self.look or _Filter(np.unique(self.gram))
         h, first, g, inside = _grams(column)
         at = self.look.places(g)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 SAMPLE = 4000
 BITS, ORDERS = 15, 3
 UNKNOWN = "und"
-PIECE = 1_000_000
+PIECE = 250_000
 _tables: list[np.ndarray] = []
 
 

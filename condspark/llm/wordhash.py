@@ -10,10 +10,13 @@ the temporary arrays whatever a document's length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+STEP = 12_000_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -137,3 +140,13 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         block = block[: len(block) - width] * factor + block[width:]
         factor = np.uint64(int(factor) ** 2 % 2**64)
         width *= 2
+
+
+def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about ``size`` bytes, with the place of each run."""
+    offsets, _ = string_buffers(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b
