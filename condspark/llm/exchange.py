@@ -17,6 +17,7 @@ one block is bounded by its bytes (or one longer text).
 from __future__ import annotations
 
 import ast
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,28 +64,75 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Co
     return scratch.table(rows.mapInArrow(deal, f"block long, place long, {schema}"), "blocks", "block")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes of an array, each compressed alone, as their entropies differ widely."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    press = zstandard.ZstdCompressor(level=1)
+    parts = [press.compress(p.tobytes()) for p in planes]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _whole(blob: bytes, at: int, kind: np.dtype, n: int) -> tuple[np.ndarray, int]:
+    """The array of n values whose planes begin at a place, and the place after them."""
+    out, press = np.empty((n, kind.itemsize), np.uint8), zstandard.ZstdDecompressor()
+    for k in range(kind.itemsize):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out[:, k] = np.frombuffer(press.decompress(blob[at + 4 : at + 4 + size]), np.uint8)
+        at += 4 + size
+    return out.view(kind).reshape(n), at
+
+
 def pack(sorted_hashes: np.ndarray) -> bytes:
-    delta = np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(delta.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return len(sorted_hashes).to_bytes(8, "little") + _planes(np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8"))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_whole(blob, 8, np.dtype("<u8"), int.from_bytes(blob[:8], "little"))[0], dtype=np.uint64)
+
+
+FEW = 1024
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Any array as compressed byte planes."""
-    wide = values.dtype.itemsize
-    head = f"{values.dtype.descr if values.dtype.names else values.dtype.str!r}#".encode()
-    return head + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, wide).T.tobytes())
+    """Any array, field by field, as compressed byte planes; floats of few values as places in a list.
+
+    Plain integers, which can be few, go in one frame.
+    """
+    if values.dtype.kind in "iu":
+        planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+        return f"{values.dtype.str!r}#".encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    head, body = [], b""
+    for name in values.dtype.names or ("",):
+        v = np.ascontiguousarray(values[name] if name else values)
+        listed = v[:0]
+        if v.dtype.kind == "f" and len(np.unique(v[: 2 * FEW])) <= min(FEW, len(v) // 2):
+            listed, places = np.unique(v, return_inverse=True)
+            listed, v = (listed, places.astype("<u2")) if len(listed) <= 1 << 16 else (listed[:0], v)
+        head.append((name, values.dtype[name].str if name else values.dtype.str, v.dtype.str, len(listed)))
+        body += _planes(listed) + _planes(v) if len(listed) else _planes(v)
+    return f"{(len(values), head)!r}#".encode() + body
 
 
 def expand(blob: bytes) -> np.ndarray:
-    head, _, body = blob.partition(b"#")
-    kind = np.dtype(ast.literal_eval(head.decode()))
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    end = blob.index(b"#")
+    head = ast.literal_eval(blob[:end].decode())
+    if isinstance(head, str):
+        kind = np.dtype(head)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[end + 1 :]), np.uint8).reshape(kind.itemsize, -1)
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
+    n, fields = head
+    at, found = end + 1, []
+    for _, kind, stored, listed in fields:
+        if listed:
+            values, at = _whole(blob, at, np.dtype(kind), listed)
+        v, at = _whole(blob, at, np.dtype(stored), n)
+        found.append(values[v] if listed else v)
+    if not fields[0][0]:
+        return found[0]
+    out = np.empty(n, [(name, kind) for name, kind, _, _ in fields])
+    for (name, *_), v in zip(fields, found, strict=True):
+        out[name] = v
+    return out
 
 
 QUESTION = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
@@ -93,9 +141,16 @@ QUESTION_SQL = "shard int, kind int, block long, keys binary, data binary"
 ANSWER_SQL = "block long, kind int, shard int, data binary"
 
 
-def questions(block: int, kind: int, keys: np.ndarray, data: np.ndarray, shards: int) -> list[dict]:
-    """One row for each shard that sorted distinct ``keys`` touch; ``data`` goes along, one value a key."""
-    of = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def questions(block: int, kind: int, keys: np.ndarray, data: np.ndarray, shards: int, of: np.ndarray | None = None) -> list[dict]:
+    """One row for each shard that sorted distinct ``keys`` touch; ``data`` goes along, one value a key.
+
+    ``of``: the ascending shards of keys that name them not themselves, and that are sorted within a shard.
+    """
+    of = shard_of(keys, shards) if of is None else of
     cuts = np.searchsorted(of, np.arange(shards + 1))
     return [
         {"shard": s, "kind": kind, "block": block, "keys": pack(keys[a:b]), "data": squeeze(data[a:b])}
@@ -135,13 +190,13 @@ def gather(replies: pa.Table) -> dict[int, np.ndarray]:
     return {kind: np.concatenate([expand(d) for _, d in sorted(own, key=lambda x: x[0])]) for kind, own in parts.items()}
 
 
-def answer(asked: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], keep: Callable[..., list[tuple[int, bytes]]] | None = None) -> DataFrame:
-    """Answers by block, written to a shared table.
+def replies(asked: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], keep: Callable[..., list[tuple[int, bytes]]] | None = None) -> DataFrame:
+    """Answers by block.
 
     fn(kind, keys, data, block order, inverse) sees all of one shard's questions of one kind:
     distinct keys, then for every asked key its data, the rank of its block and its place among the
     distinct keys; it returns a value for every asked key.  ``keep`` gets the same and may return rows
-    (of kind, data) that are stored beside the answers under block -1.
+    (of kind, data) that come beside the answers under block -1.
     """
 
     def shard(rows: pa.Table) -> pa.Table:
@@ -160,5 +215,28 @@ def answer(asked: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarr
             told += [{"block": -1, "kind": k, "shard": number, "data": d} for k, d in keep(kind, distinct, data, rank, inverse)]
         return pa.Table.from_pylist(told, ANSWER)
 
-    return scratch.table(asked.groupBy("shard", "kind").applyInArrow(shard, ANSWER_SQL), "answers")
+    return asked.groupBy("shard", "kind").applyInArrow(shard, ANSWER_SQL)
+
+
+def answer(asked: DataFrame, fn: Callable[..., np.ndarray]) -> DataFrame:
+    """Answers by block, written to a shared table."""
+    return scratch.table(replies(asked, fn), "answers")
+
+
+def by_block(answers: DataFrame) -> DataFrame:
+    """The answers dealt like the blocks, so that both meet without moving again."""
+    return answers.repartition(scratch.partitions(answers.sparkSession), "block")
+
+
+def answer_and_keep(asked: DataFrame, fn: Callable[..., np.ndarray], keep: Callable[..., list[tuple[int, bytes]]]) -> list[DataFrame]:
+    """Answers and what ``keep`` returned, each as a shared table."""
+    return scratch.parts(replies(asked, fn, keep).withColumn("kept", F.col("block") < 0), "kept", [False, True])
+
 
+def merged(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
+    """The answers of written tables, which go, and others, in one table bucketed like the blocks."""
+    every = [*old, *new]
+    whole = scratch.table(by_block(functools.reduce(DataFrame.unionByName, every)), "answers", "block")
+    for x in old:
+        scratch.drop(x)
+    return whole

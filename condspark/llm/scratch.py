@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -23,6 +24,20 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What is written within needs its shuffle files no more once it is written."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def table(df: DataFrame, name: str, bucket: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write df to a shared table and read it back, which cuts the lineage.
 
@@ -30,15 +45,41 @@ def table(df: DataFrame, name: str, bucket: str | None = None, buckets: int | No
     """
     spark = df.sparkSession
     to = path(spark, name)
-    if bucket is None:
-        df.write.option("compression", "zstd").parquet(to)
-        return spark.read.schema(df.schema).parquet(to)
-    known = f"scratch_{name}_{uuid.uuid4().hex[:12]}"
-    n = buckets or partitions(spark)
-    df.write.format("parquet").option("compression", "zstd").option("path", to).bucketBy(n, bucket).saveAsTable(known)
+    with _shuffles_go(spark):
+        if bucket is None:
+            df.write.option("compression", "zstd").parquet(to)
+            return spark.read.schema(df.schema).parquet(to)
+        known = f"scratch_{name}_{uuid.uuid4().hex[:12]}"
+        n = buckets or partitions(spark)
+        df.write.format("parquet").option("compression", "zstd").option("path", to).bucketBy(n, bucket).saveAsTable(known)
     return spark.table(known)
 
 
+def parts(df: DataFrame, by: str, values: list) -> list[DataFrame]:
+    """Write df to a folder for each value of ``by`` and read each back, without that column."""
+    spark, to = df.sparkSession, path(df.sparkSession, by)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").partitionBy(by).parquet(to)
+    schema = df.drop(by).schema
+    found = []
+    for v in values:
+        folder = f"{to}/{by}={str(v).lower() if isinstance(v, bool) else v}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        found.append(spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema))
+    return found
+
+
+def drop(written: DataFrame) -> None:
+    """Delete the files of a table written here; nothing may read it afterwards."""
+    spark = written.sparkSession
+    for folder in {f.rpartition("/")[0] for f in written.inputFiles()}:
+        if f"/condspark-{spark.sparkContext.applicationId}/" not in f"{folder}/":
+            raise ValueError(f"not a scratch folder: {folder}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
