@@ -105,7 +105,7 @@ def squeeze(values: np.ndarray) -> bytes:
     for name in values.dtype.names or ("",):
         v = np.ascontiguousarray(values[name] if name else values)
         listed = v[:0]
-        if v.dtype.kind == "f" and len(np.unique(v[: 2 * FEW])) <= min(FEW, len(v) // 2):
+        if v.dtype.kind == "f" and len(v) and len(np.unique(v[: 2 * FEW])) <= min(FEW, len(v) // 2):
             listed, places = np.unique(v, return_inverse=True)
             listed, v = (listed, places.astype("<u2")) if len(listed) <= 1 << 16 else (listed[:0], v)
         head.append((name, values.dtype[name].str if name else values.dtype.str, v.dtype.str, len(listed)))

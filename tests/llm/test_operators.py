@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from condspark.llm import bpe, decontaminate, hilbert, katz, langid, order_minhash, packing, quality, queries, scratch, secret_scan, substring_dedup, token_output, wordhash
+from condspark.llm import bpe, decontaminate, exchange, hilbert, katz, langid, order_minhash, packing, quality, queries, scratch, secret_scan, substring_dedup, token_output, wordhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, place string"
@@ -158,6 +158,27 @@ def test_katz(docs, empty):
     for context in [*list(after)[:5], ("no", "such")]:  # exactly normalised
         assert sum(p((*context, *w)) for w in counts[1]) + p((*context, "\1")) == pytest.approx(1)
     assert katz.katz_score(empty).count() == 0
+    assert len({r.block for r in exchange.write_blocks(docs.repartition(5), "doc_id", "text").select("block").collect()}) > 1
+    apart = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.score, r.base_score) for r in katz.katz_score(docs.repartition(5), train=~queries.held_out(5), order=order).collect()))
+    for a, b in zip(apart, got, strict=True):  # however documents are dealt over blocks
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+
+
+def test_exchange_codes():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    got, inverse = katz._unique(keys)
+    assert (got == np.unique(keys)).all() and (got[inverse] == keys).all()
+    near = np.array([5, 3, 5, 4, 2**40, 3], np.uint64)  # high bits alone don't tell these apart
+    got, inverse = katz._unique(near)
+    assert got.tolist() == [3, 4, 5, 2**40] and (got[inverse] == near).all()
+    assert (exchange.unpack(exchange.pack(np.sort(keys))) == np.sort(keys)).all()
+    for n in (0, 1, 3000):
+        share = np.zeros(n, katz.SHARE)
+        share["seen"], share["low"], share["total"] = rng.integers(0, 9, n) / 7, rng.random(n), rng.integers(0, 2**32, n)
+        for values in (share, share["total"].copy(), share["seen"].copy(), share["low"].copy()):
+            back = exchange.expand(exchange.squeeze(values))
+            assert back.dtype == values.dtype and (back == values).all()
 
 
 def test_order_minhash(docs, empty):
