@@ -103,12 +103,16 @@ def _suspects(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     lo, hi = int(offsets[0]), int(offsets[-1])
     for a in range(lo, hi, 1 << 22):
         on = _HEX_BYTE[raw[a : min(hi, a + (1 << 22) + 24)]]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-        long = np.flatnonzero(edge[1::2] - edge[::2] >= 24)
-        first, last = edge[::2][long] + a, edge[1::2][long] + a - 1
-        # a run may go over the border of two texts: both are looked at
-        flag[np.searchsorted(offsets, first, "right") - 1] = True
-        flag[np.searchsorted(offsets, last, "right") - 1] = True
+        begin, finish = on.copy(), on.copy()
+        begin[1:] &= ~on[:-1]
+        finish[:-1] &= ~on[1:]
+        # a run ends where its text ends, whatever the next text begins with
+        borders = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(on))] - a
+        begin[borders] = on[borders]
+        before = borders[borders > 0] - 1
+        finish[before] = on[before]
+        first, last = np.flatnonzero(begin), np.flatnonzero(finish)
+        flag[np.searchsorted(offsets, first[last - first >= 23] + a, "right") - 1] = True
     return flag, texts
 
 

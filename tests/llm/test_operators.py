@@ -304,6 +304,17 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.secret_spans(empty).count() == 0
 
 
+def test_secrets_in_adjacent_hex_texts(spark):
+    """Texts that are all hexadecimal, side by side in one Arrow buffer, are each scanned."""
+    digest = "0123456789abcdef0123456789abcdef"
+    for values in ([digest] * 6, ["ends in abc", digest, "def begins"], [digest, "", None, digest, digest], ["0123456789ab"] * 5, ["x " + digest[:24], digest[:23], digest[:24], "f"]):
+        flag, _ = secret_scan._suspects(pa.array(values, pa.string()))
+        assert flag.tolist() == [bool(secret_scan.HEX.search(t or "")) for t in values]
+    d = spark.createDataFrame([(i, digest) for i in range(6)], "doc_id long, text string").coalesce(1)
+    assert [(r.n_hex, r.base) for r in secret_scan.secret_spans(d).collect()] == [(1, "hex:0:32")] * 6
+    assert {r.text for r in secret_scan.redact(d).collect()} == {"[secret]"}
+
+
 def test_packing(docs, empty):
     tok = queries.TOKENIZERS("word_bpe_49k.json")
     old, packing.GROUP = packing.GROUP, 12  # many groups, so pieces are exchanged
