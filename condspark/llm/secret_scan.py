@@ -1,18 +1,24 @@
 """Secret scanning: fixed patterns, and strings that a primed compressor finds new.
 
-Three patterns give the base spans.  Beyond them, a string of mixed characters shortly after a
-sensitive word is a candidate.  Zstandard is primed with a dictionary of identifiers and the text
-around it; the bytes that the candidate adds to the compressed context measure how new it
-is.  Names, paths and repeated strings add little; random strings nearly all of their content.
-A string made of plain words and short numbers is an identifier, whatever it adds.
+Three patterns give the base spans.  Beyond them, every string of six characters or more shortly
+after a sensitive word is a candidate, as six are what the first pattern asks of a value.
+Zstandard is primed with a dictionary of words and identifiers and the text around it; the bytes
+that the candidate adds to the compressed context measure how new it is, and they alone decide.
+Words, names, paths and repeated strings add little; random strings nearly all of their content.
+A string made of plain words and short numbers has to add a larger share of its length (``PLAIN_NEW``)
+than one of mixed characters (``NEW``), and all have to add ``LEAST`` bytes: below, whole
+bytes can't tell a random string from a rare word, so most random ones of six or seven characters stay.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -27,7 +33,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make what follows sensitive.
 SENSITIVE = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "credential", "private key", "access key", "bearer", "authorization", "auth_"]
 _AFTER = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{6,}")
 #: Identifiers and phrases as they stand around secrets in code and configuration.
 IDENTIFIERS = [
     "import os from sys class def return self public static final void string const let var function async await",
@@ -36,10 +42,17 @@ IDENTIFIERS = [
     "export environment config settings default database host port url http https www com org net json yaml xml html",
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef",
     "get_value set_value file_name path_name first_name last_name created_at updated_at example placeholder changeme",
+    "1.0.0 2.0.1 v1.2.3 127.0.0.1 192.168.0.1 utf-8 UTF-8 sha256 base64 .py .txt .json .html .php",
+    " ".join(f"{y}-{m:02d}-" for y in range(1990, 2040) for m in range(1, 13)),
 ]
+#: The words of this vocabulary go before them, the most frequent last.
+VOCABULARY = "byte_bpe_50k.json"
+#: Letters as frequent as in identifiers, but in no known order: goes before every context, so that
+#: single characters cost alike however short the text is.
+BACKGROUND = " ".join(w[::-1] for w in " ".join(IDENTIFIERS[:4]).split()) + "\n"
 _PARTS = re.compile(r"[_.\-/+=~]+|(?<=[a-z])(?=[A-Z])")
 _PLAIN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|[0-9]{0,4}")
-REACH, AROUND, NEW = 48, 400, 0.55
+REACH, AROUND, NEW, PLAIN_NEW, LEAST = 48, 400, 0.55, 0.65, 8
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 
@@ -50,8 +63,13 @@ def marginal_bytes(context: str, candidate: str, primed: zstandard.ZstdCompresso
     return len(primed.compress(a + candidate.encode())) - len(primed.compress(a))
 
 
+@functools.cache
 def _primed() -> zstandard.ZstdCompressor:
-    words = zstandard.ZstdCompressionDict("\n".join(IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        rank = json.load(f)["model"]["vocab"]
+    known = [w[1:] for w in sorted(rank, key=rank.get, reverse=True) if re.fullmatch("\u0120[A-Za-z]{3,}", w)]
+    words = zstandard.ZstdCompressionDict("\n".join([" ".join(known), *IDENTIFIERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=19)
     return zstandard.ZstdCompressor(level=19, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -75,15 +93,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], primed: zstandard.Z
                 end += 1
             until = end
             found = text[m.start() : end]
-            if all(_PLAIN.fullmatch(p) for p in _PARTS.split(found)):
-                continue
-            kinds = sum(bool(re.search(c, found)) for c in ("[0-9]", "[a-z]", "[A-Z]", "[+/_=~.-]"))
-            if kinds < 2 or not re.search("[0-9]", found) or any(s < end and m.start() < e for s, _, e in base):
+            if any(s < end and m.start() < e for s, _, e in base):
                 continue
+            share = PLAIN_NEW if all(_PLAIN.fullmatch(p) for p in _PARTS.split(found)) else NEW
             # what stands around it, without it
             around = text[max(0, m.start() - AROUND) : m.start()]
-            context = text[end : end + AROUND] + "\n" + around
-            if marginal_bytes(context, found, primed) >= NEW * len(found.encode()):
+            context = BACKGROUND + text[end : end + AROUND] + "\n" + around
+            if marginal_bytes(context, found, primed) >= max(LEAST, share * len(found)):
                 out.append((m.start(), 3, end))
     return out
 

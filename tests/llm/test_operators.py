@@ -315,6 +315,18 @@ def test_secrets_in_adjacent_hex_texts(spark):
     assert {r.text for r in secret_scan.redact(d).collect()} == {"[secret]"}
 
 
+def test_secrets_of_any_characters(spark):
+    """Marginal bytes decide, not whether a string holds a digit, plain parts or 16 characters."""
+    found = ["secret key is kXQzbLmPvRtYsWcD", "access key is WXYZ-4821-QKJT-7730", "app password is qkzt-vbnw-xjrp-hdlm", "the pwd is xK9vQ2mZ7pL", "token 8305177264930162"]
+    left = ["the password manager software is good", "secret value of configuration_file_name", "credential stored under /usr/share/config/settings.json", "token created 2021-01-01 here", "password password password"]
+    d = spark.createDataFrame(list(enumerate(found + left)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_spans(d).collect()}
+    want = [f"novel:{t.rindex(' ') + 1}:{len(t)}" for t in found] + [""] * len(left)
+    assert [got[i] for i in range(len(want))] == want
+    clean = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert [clean[i] for i in range(len(want))] == [t[: t.rindex(" ")] + " [secret]" for t in found] + left
+
+
 def test_packing(docs, empty):
     tok = queries.TOKENIZERS("word_bpe_49k.json")
     old, packing.GROUP = packing.GROUP, 12  # many groups, so pieces are exchanged
