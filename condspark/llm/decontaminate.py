@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The corpus is counted first for the n-grams of the test items alone.  In every run of
-``WINDOW`` successive n-grams of an item the rarest that occurs is a seed, so common phrases lead
-nowhere, yet any shared run of N + WINDOW - 1 words holds a seed, however often an item leaked.
-n-grams that occur ``RARE`` times at most are all seeds, for copies edited every few words.
-Passages around seeds are aligned with the item word by word; copies that were edited or
-paraphrased in part keep most of their score.
+Every n-gram of a test item is a seed, so any passage that shares one intact run of N words with an
+item is looked at, whatever the corpus's size and however often the item leaked.  Common n-grams
+lead to many passages; a count of the item's words in each, never below what an alignment can
+score, leaves nearly all of them out before aligning.  What is left is aligned with the item word by
+word; copies that were edited or paraphrased in part keep most of their score.
 
 Items go out to the tasks in blocks of at most ``BLOCK_WORDS`` words, each with its own pass over
 the documents, so what is sent is bounded whatever the benchmark's size.  A document is
-handled where it is read: nothing is shuffled but the counts of the items' n-grams.
+handled where it is read: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,9 +23,10 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 
-N, WINDOW, RARE = 3, 4, 20
+N = 3
 BLOCK_WORDS = 500_000
 STEP = 3_000_000
+PAIRS = 1_000_000
 MIN_SCORE = 0.5
 _MAP_BITS = 22
 
@@ -75,28 +75,13 @@ class Items:
         self.keys = keys
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         grams = [wordhash.windows(w, N) for w in self.words]
-        self.grams = grams
-        self.known = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]))
-
-    def seeds(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, item, place in item) of each seed, by gram."""
-        gram, item, place = [], [], []
-        for i, own in enumerate(self.grams):
-            if not len(own):
-                continue
-            # n-grams that the corpus doesn't hold can't lead to a passage
-            rank = [(counts[int(g)], int(g), j) if int(g) in counts else None for j, g in enumerate(own)]
-            chosen = {r[2] for r in rank if r and r[0] <= RARE}
-            for a in range(max(1, len(own) - WINDOW + 1)):
-                if here := [r for r in rank[a : a + WINDOW] if r]:
-                    chosen.add(min(here)[2])
-            for j in sorted(chosen):
-                gram.append(own[j])
-                item.append(i)
-                place.append(j)
-        g = np.array(gram, np.uint64)
-        order = np.argsort(g, kind="stable")
-        return g[order], np.array(item, np.int64)[order], np.array(place, np.int64)[order]
+        # (gram, item, place in item) of each seed, by gram
+        gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(gram, kind="stable")
+        many = [len(g) for g in grams]
+        self.gram = gram[order]
+        self.item = np.repeat(np.arange(len(grams)), many)[order]
+        self.place = np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int64)[order]
 
 
 class _Filter:
@@ -123,72 +108,100 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return h, first, g, np.arange(len(g)) + N <= end[: len(g)]
 
 
-def _counts(docs: DataFrame, text_col: str, items: Items) -> dict[int, int]:
-    known = items.known
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Place in a bit map of each word of an item."""
+    return (wordhash.mix(words + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, total = _Filter(known), np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, part in wordhash.steps(batch.column(0), STEP):
-                _, _, g, inside = _grams(part)
-                at = look.places(g)
-                at = at[inside[at]]
-                if len(at):
-                    total += np.bincount(np.searchsorted(known, g[at]), minlength=len(known))
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[on].view(np.int64)), pa.array(total[on])], ["gram", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"] % 2**64: r["n"] for r in rows.collect()}
+def _spread(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each, low + 0, 1, ... many - 1 of each row)."""
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) + np.repeat(low - (np.cumsum(many) - many), many)
 
 
 class Matcher:
-    def __init__(self, items: Items, counts: dict[int, int], min_score: float):
+    def __init__(self, items: Items, min_score: float):
         self.items, self.min_score = items, min_score
-        self.gram, self.item, self.place = items.seeds(counts)
-        self.look = None
+        self.long = np.array([len(w) for w in items.words], np.int64)
+        self.look = self.there = None
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word + 1) of every passage found, the best for text and item."""
         return [(at + d, *rest) for at, part in wordhash.steps(column, STEP) for d, *rest in self._find(part)]
 
+    def _hits(self, at: np.ndarray, doc: np.ndarray, g: np.ndarray):
+        """(place, seed) of seeds met, about PAIRS at once; all of a text and item at once."""
+        low, high = np.searchsorted(self.items.gram, g, "left"), np.searchsorted(self.items.gram, g, "right")
+        upto = np.cumsum(high - low)
+        a = 0
+        while a < len(at):
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right"))
+            if b < len(at):
+                b = int(np.searchsorted(doc, doc[b]))
+            if b > a:
+                of, seed = _spread(low[a:b], (high - low)[a:b])
+                yield at[a:b][of], seed
+            else:  # one text meets more: some items at once
+                b = int(np.searchsorted(doc, doc[a], "right"))
+                parts = int(upto[b - 1] - (upto[a - 1] if a else 0)) // PAIRS + 1
+                for k in range(parts):
+                    some = np.flatnonzero(self.items.item % parts == k)
+                    gram = self.items.gram[some]
+                    first = np.searchsorted(gram, g[a:b], "left")
+                    of, seed = _spread(first, np.searchsorted(gram, g[a:b], "right") - first)
+                    if len(seed):
+                        yield at[a:b][of], some[seed]
+            a = b
+
+    def _enough(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which passages hold enough words of the item; no alignment scores more than there are."""
+        if self.there is None:
+            self.there = np.zeros(1 << _MAP_BITS, bool)
+            words = np.concatenate([*self.items.words, np.zeros(0, np.uint64)])
+            self.there[_of_item(words, np.repeat(np.arange(len(self.long)), self.long))] = True
+        held = np.zeros(len(item), np.int64)
+        upto = np.cumsum(hi - lo)
+        a = 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            of, at = _spread(lo[a:b], (hi - lo)[a:b])
+            held[a:b] = np.bincount(of[self.there[_of_item(h[at], item[a:b][of])]], minlength=b - a)
+            a = b
+        return held >= self.min_score * self.long[item]
+
     def _find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
-        self.look = self.look or _Filter(np.unique(self.gram))
+        self.look = self.look or _Filter(np.unique(self.items.gram))
         h, first, g, inside = _grams(column)
         at = self.look.places(g)
         at = at[inside[at]]
-        low, high = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        many = high - low
-        where = np.repeat(at, many)
-        seed = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        doc, item = np.searchsorted(first, where, "right") - 1, self.item[seed]
-        begin = where - self.place[seed]
         out: dict[tuple[int, int], tuple[float, int, int]] = {}
-        order = np.lexsort((begin, item, doc))
-        k = 0
-        while k < len(order):
-            d, i = int(doc[order[k]]), int(item[order[k]])
-            words = self.items.words[i]
-            room = len(words) // 2 + 2
-            lo = int(begin[order[k]]) - room
-            hi = int(begin[order[k]]) + len(words) + room
-            k += 1
-            while k < len(order) and doc[order[k]] == d and item[order[k]] == i and begin[order[k]] - room <= hi:
-                hi = int(begin[order[k]]) + len(words) + room
-                k += 1
-            lo, hi = max(lo, int(first[d])), min(hi, int(first[d + 1]))
-            part = h[lo:hi]
-            # no alignment scores more than the item's words that are there at all
-            if np.isin(words, part).sum() < self.min_score * len(words):
-                continue
-            score, a, b = smith_waterman(words, part)
-            found = score / len(words)
-            if found >= self.min_score and found > out.get((d, i), (0.0,))[0]:
-                out[d, i] = found, lo + a - int(first[d]), lo + b - int(first[d])
+        for where, seed in self._hits(at, np.searchsorted(first, at, "right") - 1, g[at]):
+            doc, item = np.searchsorted(first, where, "right") - 1, self.items.item[seed]
+            begin = where - self.items.place[seed]
+            order = np.lexsort((begin, item, doc))
+            doc, item, begin = doc[order], item[order], begin[order]
+            # seeds of one text and item whose passages meet make one
+            room = self.long[item] // 2 + 2
+            apart = np.ones(len(order), bool)
+            apart[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(begin) > (self.long[item] + 2 * room)[1:])
+            start = np.flatnonzero(apart)
+            stop = np.append(start[1:], len(order)) - 1
+            doc, item, room = doc[start], item[start], room[start]
+            lo = np.maximum(begin[start] - room, first[doc])
+            hi = np.minimum(begin[stop] + self.long[item] + room, first[doc + 1])
+            for k in np.flatnonzero(self._enough(h, item, lo, hi)).tolist():
+                d, i = int(doc[k]), int(item[k])
+                words, part = self.items.words[i], h[lo[k] : hi[k]]
+                if np.isin(words, part).sum() < self.min_score * len(words):
+                    continue
+                score, a, b = smith_waterman(words, part)
+                found = score / len(words)
+                if found >= self.min_score and found > out.get((d, i), (0.0,))[0]:
+                    out[d, i] = found, int(lo[k]) + a - int(first[d]), int(lo[k]) + b - int(first[d])
         return [(d, i, *v) for (d, i), v in sorted(out.items())]
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> Iterator[Matcher]:
+def matchers(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> Iterator[Matcher]:
     """One for each block of items; items of fewer than N words, null texts included, are no evidence."""
     keys, texts, size = [], [], 0
     rows = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).cast("string").alias("t")).where("t is not null").orderBy("k", "t")
@@ -197,12 +210,10 @@ def matchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         texts.append(r["t"])
         size += r["t"].count(" ") + 1
         if size >= BLOCK_WORDS:
-            items = Items(keys, texts)
-            yield Matcher(items, _counts(docs, text_col, items), min_score)
+            yield Matcher(Items(keys, texts), min_score)
             keys, texts, size = [], [], 0
     if keys:
-        items = Items(keys, texts)
-        yield Matcher(items, _counts(docs, text_col, items), min_score)
+        yield Matcher(Items(keys, texts), min_score)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -216,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, score double, first_word long, last_word long"
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for m in matchers(docs, benchmark, text_col, item_col, item_text_col, min_score):
+    for m in matchers(benchmark, item_col, item_text_col, min_score):
         out = out.unionByName(rows.mapInArrow(_reporter(m, id_col, item_col), schema))
     return out
 
@@ -235,7 +246,7 @@ def _reporter(m: Matcher, id_col: str, item_col: str):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that hold no test item, with all their columns."""
     at = docs.columns.index(text_col)
-    for m in matchers(docs, benchmark, text_col, item_col, item_text_col, min_score):
+    for m in matchers(benchmark, item_col, item_text_col, min_score):
         docs = docs.mapInArrow(_sieve(m, at), docs.schema)
     return docs
 

@@ -84,6 +84,23 @@ def test_decontaminate(spark, docs, empty):
         assert decontaminate.smith_waterman(a, b)[0] == best.max()
 
 
+def test_decontaminate_whatever_the_corpus_holds(spark):
+    """An edited copy is found however often its item leaked, and however few pairs are looked at at once."""
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(20))) for i in range(60)]
+    bench = spark.createDataFrame([*items, *((100 + i, t) for i, t in items[:5])], "item_id long, text string")
+    edited = [(i, " ".join(f"e{j}" if j % 4 == 3 else w for j, w in enumerate(t.split()))) for i, t in items]
+    rows = edited + [(1000 + 60 * k + i, "so " + t) for k in range(25) for i, t in items] + [(5000, " ".join(t for _, t in items))]
+    want = {(d, i, 0.55 if d < 1000 else 1.0) for d, _ in rows for i, _ in items if d == 5000 or (d if d < 1000 else (d - 1000) % 60) == i}
+    want |= {(d, 100 + i, s) for d, i, s in want if i < 5}
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id, r.score) for r in got} == want
+    m = next(decontaminate.matchers(bench))
+    column = pa.array([t for _, t in rows])
+    want, old, decontaminate.PAIRS = m.find(column), decontaminate.PAIRS, 50
+    assert m.find(column) == want
+    decontaminate.PAIRS = old
+
+
 def test_quality(docs, empty):
     def base(t):
         t = t or ""
