@@ -57,6 +57,31 @@ def active_includes(files: DataFrame) -> DataFrame:
     return states.where(header != "").select("path", "target", "line_no", header.alias("header"), "active")
 
 
+def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What each root reaches for each target by active includes alone, and the includes met on the way.
+
+    files: (path, code); dirs as in resolve; roots: (root, target); targets: (target, macros).  The first
+    result is (root, target, path, depth), at the least depth, a root being at depth 0; a root that
+    is no file reaches nothing.  Only paths new in a round go on, so cycles end; files at max_depth are
+    reached, not opened.  The second is (root, target, path, line_no, header, active, dst) of every
+    include of the opened files: skipped ones aren't active, those found nowhere have a null dst.
+    """
+    states = active_includes(files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros"))))
+    edges = states.join(resolve(include_lines(files), files, dirs).distinct(), ["path", "line_no", "header"], "left").localCheckpoint()
+    follow = edges.where("active and dst is not null").select("target", F.col("path").alias("src"), "dst").distinct()
+    seen = roots.join(files.select(F.col("path").alias("root")), "root", "left_semi").select("root", "target", F.col("root").alias("path"), F.lit(0).alias("depth")).distinct().localCheckpoint()
+    front = seen
+    for depth in range(1, max_depth + 1):
+        step = front.select("root", "target", F.col("path").alias("src")).join(follow, ["target", "src"]).select("root", "target", F.col("dst").alias("path")).distinct()
+        # written, as each round asks for all before it
+        front = step.join(seen.select("root", "target", "path"), ["root", "target", "path"], "left_anti").withColumn("depth", F.lit(depth)).localCheckpoint()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    opened = seen.where(F.col("depth") < max_depth).select("root", "target", "path")
+    return seen, opened.join(edges, ["target", "path"]).select("root", "target", "path", "line_no", "header", "active", "dst")
+
+
 def graph_stats(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(root, total_files, max_depth, total_edges)."""
     inside = reached.join(edges.select("src", "dst").distinct(), reached["path"] == edges["src"], "left")

@@ -315,6 +315,21 @@ def include_closure_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.active_includes(pairs.withColumn("macros", build.target_macros(F.col("target")))).select("target", "header", "active")
 
 
+ACTIVE = "n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT 'product_a' AS target, s_suppkey AS src, (s_suppkey * 7 + 3) % n AS dst FROM supplier, n UNION SELECT 'other', s_suppkey, (s_suppkey * 5 + 1) % n FROM supplier, n UNION SELECT unnest(['product_a', 'other']), s_suppkey, (s_suppkey * 3 + 2) % n FROM supplier, n WHERE s_suppkey % 3 = 0)"
+
+
+@query(f"WITH RECURSIVE {ACTIVE}, reach AS (SELECT target, s_suppkey AS root, s_suppkey AS path, 0 AS depth FROM supplier, (SELECT DISTINCT target FROM a) UNION SELECT reach.target, root, dst, depth + 1 FROM reach JOIN a ON reach.target = a.target AND path = src WHERE depth < 3 AND dst IN (SELECT s_suppkey FROM supplier)) SELECT '/h/h' || root || '.h' AS root, target, '/h/h' || path || '.h' AS path, min(depth)::INTEGER AS depth FROM reach GROUP BY ALL")
+def include_closure_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole closure over active includes; include_closure_cond lists direct includes."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    header = lambda a, b: F.concat(F.lit('#include "h'), ((F.col("s") * a + b) % F.col("n")).cast("string"), F.lit('.h"\n'))
+    code = F.concat(F.lit("#ifdef PRODUCT_A\n"), header(7, 3), F.lit("#else\n"), header(5, 1), F.lit("#endif\n#include <stdio.h>\n"), F.when(F.col("s") % 3 == 0, header(3, 2)).otherwise(F.lit("")))
+    files = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select(F.concat(F.lit("/h/h"), F.col("s").cast("string"), F.lit(".h")).alias("path"), code.alias("code"))
+    targets = rows(spark, "target string", [("product_a",), ("other",)]).withColumn("macros", build.target_macros(F.col("target")))
+    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))
+    return includes.conditional_closure(files, rows(spark, "ord int, dir string", [(0, "/h/include")]), roots, targets, 3)[0]
+
+
 @query(values_sql("root, text", [("/p/app.c", DEPS[0][1] + "\n\n/* --- types.h --- */\nstruct dev {\n    int id;\n};\n\n/* --- utils.h --- */\n" + DEPS[1][1].rstrip("\n"))]))
 def bundle_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = _deps(spark)

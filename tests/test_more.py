@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from condspark.functions import text
-from condspark.operators import build
+from condspark.operators import build, includes
+from condspark.plans import queries
 from condspark.sources import files
 from condspark.streaming import watch
 
@@ -41,3 +42,20 @@ def test_watch(spark, tmp_path):
     seen = []
     watch.watch(spark, str(tmp_path / "in"), targets, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert {r.target: r.code for r in seen} == {"on": "x;\ny;", "off": "y;"}
+
+
+def test_conditional_closure(spark):
+    """Active includes are followed to the end for each target, cycles and the depth bound included; skipped ones are told."""
+    code = [*queries.DEPS[:2], ("/p/include/types.h", '#include "utils.h"\n#ifdef PRODUCT_A\n#include "deep.h"\n#endif\n'), queries.DEPS[3], ("/p/include/deep.h", "int x;\n")]
+    files = spark.createDataFrame(code, "path string, code string")
+    dirs = spark.createDataFrame([(0, "/p/include")], "ord int, dir string")
+    targets = spark.createDataFrame([("product_a",), ("other",)], "target string").withColumn("macros", build.target_macros(F.col("target")))
+    roots = spark.createDataFrame([(r, t) for r in ("/p/app.c", "/p/none.c") for t in ("product_a", "other")], "root string, target string")
+    base = {("other", "/p/app.c", 0), ("other", "/p/include/utils.h", 1), ("other", "/p/include/types.h", 2)}
+    more = {("product_a", p, d) for _, p, d in base} | {("product_a", "/p/include/wifi.h", 1)}
+    deep = {("product_a", "/p/include/deep.h", 3)}
+    for bound, want in ((10, base | more | deep), (3, base | more | deep), (2, base | more), (1, {x for x in base | more if x[2] < 2})):
+        reached, met = includes.conditional_closure(files, dirs, roots, targets, bound)
+        assert sorted((r.target, r.path, r.depth) for r in reached.collect()) == sorted(want)
+        skipped = {(r.target, r.path, r.header) for r in met.where("not active").collect()}
+        assert skipped == {("product_a", "/p/app.c", "plain.h"), ("other", "/p/app.c", "wifi.h")} | ({("other", "/p/include/types.h", "deep.h")} if bound > 2 else set())
