@@ -28,12 +28,23 @@ BLOCK_WORDS = 500_000
 STEP = 3_000_000
 PAIRS = 1_000_000
 MIN_SCORE = 0.5
+#: An alignment of this score is a leak whatever the item's length.
+LEAK_WORDS = 20
+#: Characters of scripts without spaces between words: each is a word.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 _MAP_BITS = 22
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first of each text) of lower-cased words parted by anything but letters and digits."""
-    h, _, _, first, _ = wordhash.words(pc.utf8_lower(column), gaps=wordhash.PLAIN)
+    """(hashes, first of each text) of lower-cased words parted by anything but letters and digits.
+
+    In scripts without spaces every character is a word.
+    """
+    low = pc.utf8_lower(column)
+    offsets, raw = wordhash.string_buffers(low)
+    if len(column) and (raw[offsets[0] : offsets[-1]] >= 0xE0).any():  # such characters have three bytes or more
+        low = pc.replace_substring_regex(low, _UNSPACED, r" \1 ")
+    h, _, _, first, _ = wordhash.words(low, gaps=wordhash.PLAIN)
     return h, first
 
 
@@ -121,8 +132,9 @@ def _spread(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Matcher:
     def __init__(self, items: Items, min_score: float):
-        self.items, self.min_score = items, min_score
+        self.items = items
         self.long = np.array([len(w) for w in items.words], np.int64)
+        self.need = np.minimum(min_score * self.long, LEAK_WORDS)
         self.look = self.there = None
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
@@ -167,7 +179,7 @@ class Matcher:
             of, at = _spread(lo[a:b], (hi - lo)[a:b])
             held[a:b] = np.bincount(of[self.there[_of_item(h[at], item[a:b][of])]], minlength=b - a)
             a = b
-        return held >= self.min_score * self.long[item]
+        return held >= self.need[item]
 
     def _find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         self.look = self.look or _Filter(np.unique(self.items.gram))
@@ -192,11 +204,11 @@ class Matcher:
             for k in np.flatnonzero(self._enough(h, item, lo, hi)).tolist():
                 d, i = int(doc[k]), int(item[k])
                 words, part = self.items.words[i], h[lo[k] : hi[k]]
-                if np.isin(words, part).sum() < self.min_score * len(words):
+                if np.isin(words, part).sum() < self.need[i]:
                     continue
                 score, a, b = smith_waterman(words, part)
                 found = score / len(words)
-                if found >= self.min_score and found > out.get((d, i), (0.0,))[0]:
+                if score >= self.need[i] and found > out.get((d, i), (0.0,))[0]:
                     out[d, i] = found, int(lo[k]) + a - int(first[d]), int(lo[k]) + b - int(first[d])
         return [(d, i, *v) for (d, i), v in sorted(out.items())]
 
@@ -219,8 +231,8 @@ def matchers(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """(id_col, item_col, score, first_word, last_word) of every document that holds an item.
 
-    score: alignment score over the item's words, at least min_score; 1 is a whole copy.  Words are
-    counted from 0, last_word exclusive.  Null and empty texts hold nothing; repeated rows are
+    score: alignment score over the item's words, 1 being a whole copy.  It is at least min_score,
+    or less where a part of a long item alone scores LEAK_WORDS.  Words are counted from 0, last_word exclusive.  Null and empty texts hold nothing; repeated rows are
     reported one by one; repeated items too.  An empty benchmark gives no rows.
     """
     kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType

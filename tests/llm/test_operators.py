@@ -101,6 +101,15 @@ def test_decontaminate_whatever_the_corpus_holds(spark):
     decontaminate.PAIRS = old
 
 
+def test_decontaminate_parts_and_unspaced_scripts(spark):
+    """A verbatim part of a long item is a leak, and so is a sentence in a script without spaces."""
+    words, han = [f"p{j}" for j in range(200)], "吾輩は猫である名前はまだ無いどこで生れたか"
+    bench = spark.createDataFrame([(1, " ".join(words[:59])), (2, " ".join(words)), (3, han)], "item_id long, text string")
+    rows = [(1, "so " + " ".join(words[10:35]) + " end"), (2, "a b " + " ".join(words[100:190])), (3, " ".join(words[70:89])), (4, "前置き。" + han + "と続く"), (5, "猫がいる")]
+    got = {(r.doc_id, r.item_id): (round(r.score, 3), r.first_word, r.last_word) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): (round(25 / 59, 3), 1, 26), (1, 2): (0.125, 1, 26), (2, 2): (0.45, 2, 92), (4, 3): (1.0, 4, 4 + len(han))}
+
+
 def test_quality(docs, empty):
     def base(t):
         t = t or ""
