@@ -1,6 +1,6 @@
 """Katz backoff language model: counting, storing and scoring at corpus scale.
 
-A text is its words, hashed, then one end token; the end token also stands before the first
+A text is its words, A-Z taken as a-z and hashed, then one end token; the end token also stands before the first
 word as context.  Counts r of at most ``K`` are discounted by Good and Turing's ratios; where
 the counts of counts give no ratio within (0, 1), (r - b) / r with b = n1 / (n1 + 2 n2) is
 taken.  A context all of whose successors are above ``K`` has its total raised by one, as it
@@ -27,10 +27,10 @@ from . import exchange, scratch, wordhash
 
 K = 5
 END = np.uint64(0x5851F42D4C957F2D)
-COUNT = np.dtype([("c", "<u4"), ("own", "u1")])  # own: 1 if this block owns the n-gram, 2 more if no other asked
+COUNT = np.dtype([("c", "<u8"), ("own", "u1")])  # own: 1 if this block owns the n-gram, 2 more if no other asked
 RANKED = np.dtype([*COUNT.descr, ("step", "<u4")])  # step: from the last n-gram in its shard that others asked about too
 BLOCK = 8_000_000
-SHARE = np.dtype([("seen", "<f8"), ("low", "<f8"), ("total", "<u4"), ("back", "u1")])  # back: 1 if this block backs off from the context
+SHARE = np.dtype([("seen", "<f8"), ("low", "<f8"), ("total", "<u8"), ("back", "u1")])  # back: 1 if this block backs off from the context
 WEIGHT = np.dtype([("alpha", "<f8"), ("raised", "u1")])  # alpha: 0 where the block doesn't back off
 ALPHA = 100
 
@@ -56,7 +56,7 @@ class _Stream:
     """A block's tokens with their n-grams of every order, and what the tables say of them."""
 
     def __init__(self, texts: pa.Array, order: int, have: dict[int, np.ndarray], model: dict | None):
-        h, _, _, first, _ = wordhash.words(texts)
+        h, _, _, first, _ = wordhash.words(texts, lower=True)
         docs = len(first) - 1
         of = np.repeat(np.arange(docs), np.diff(first))
         self.tokens = np.full(len(h) + 2 * docs, END, np.uint64)
@@ -179,7 +179,7 @@ def _ranked(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inv
 
 
 def _counted(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    total = np.bincount(inverse, weights=data, minlength=len(keys)).astype(np.uint32)
+    total = np.bincount(inverse, weights=data, minlength=len(keys)).astype(np.uint64)
     lead = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(lead, inverse, rank)
     out = np.empty(len(inverse), COUNT)
@@ -194,7 +194,7 @@ def _stored(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inv
     n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 3]
     n[0], n[K + 2] = total.sum(), (total > 0).sum()
     on = total > 0
-    return [(-kind, exchange.squeeze(n.astype("<i8"))), (-10 - kind, exchange.pack(keys[on])), (-20 - kind, exchange.squeeze(total[on].astype("<u4")))]
+    return [(-kind, exchange.squeeze(n.astype("<i8"))), (-10 - kind, exchange.pack(keys[on])), (-20 - kind, exchange.squeeze(total[on].astype("<u8")))]
 
 
 def _weighed(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inverse: np.ndarray) -> np.ndarray:
