@@ -1,24 +1,23 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 A text's k-mers (runs of ``K`` words, lower-cased ASCII) are labelled with their occurrence
-number.  For each hash function the ``L`` least labelled k-mers are taken and kept in text
-order, so two texts agree with a probability that falls with their edit distance and not
-only with their sets.  ``ROWS`` sketches make a band, and texts that agree in a band are candidates.
+number.  For each of ``BANDS`` hash functions the ``L`` least labelled k-mers are taken and kept in
+text order, so two texts agree with a probability that falls with their edit distance and not
+only with their sets.  Texts that agree in one such sketch share a bucket and are candidates.
 
-Texts of equal words are one node.  A bucket of candidates is linked to the one of its nodes
-that shares most buckets: with a base text and its copies that is the base.  Pairs that can't
-reach the threshold by the k-mers they share with any candidate are left out first.  Nodes of a bucket that
-end in other components than most of it are leaders in turn, and in the end are
-compared with all of the bucket, so no pair of candidates in different components stays
-uncompared, while a dense group costs a comparison for each node and leader only.
+Texts of equal words are one node.  Each node of a bucket is first compared with the least node of
+it.  Then every pair of a bucket that is still in different components is compared, but for those
+that lengths or word parities rule out (both filters are exact), so no candidate pair in different
+components stays uncompared, while a dense group costs a comparison a node only.
 
 A link is verified by aligning the word sequences within the band of diagonals that the threshold
-allows (greedy furthest-reaching paths); common k-mers within the aligned runs, over all
-k-mers, must be at least the threshold.  Components, links and fingerprints stay distributed.
+allows: aligned words over the words of the longer text must be at least the threshold.
+Components, links and fingerprints stay distributed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +28,9 @@ from pyspark.sql import types as T
 
 from . import exchange, scratch, wordhash
 
-K, L, ROWS, BANDS = 5, 2, 3, 30
+K, L, BANDS = 5, 3, 36
 THRESHOLD = 0.8
-STAR_ROUNDS = 2
-BITS = 512
+BITS = 2048
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -63,12 +61,10 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         return out
     count = n[docs]
     of = np.repeat(np.arange(len(docs)), count)
-    limit = np.where(count <= 24, _TOP, (_TOP // np.maximum(count, 1).astype(np.uint64)) * np.uint64(12))
+    limit = np.where(count <= 32, _TOP, (_TOP // np.maximum(count, 1).astype(np.uint64)) * np.uint64(16))
     need = np.minimum(count, L)
-    seeds = wordhash.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    band = np.zeros(len(docs), np.uint64)
     per_kmer = limit[of]
-    for j, seed in enumerate(seeds):
+    for j, seed in enumerate(wordhash.mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)):
         value = kmers * seed
         # only values small enough to be among the least; texts left with too few take all
         on = np.flatnonzero(value <= per_kmer)
@@ -81,217 +77,159 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
             got = np.bincount(of[on], minlength=len(docs))
         v, own = value[on], of[on]
         begin = np.cumsum(got) - got
-        least = np.minimum.reduceat(v, begin)
-        is_least = v == least[own]
-        p1 = on[is_least]
-        v2 = np.where(is_least, _TOP, v)
-        next_least = np.minimum.reduceat(v2, begin)
-        second = np.where(count > 1, next_least, least)
-        p2 = on[(v == second[own])]
-        a, b = kmers[np.minimum(p1, p2)], kmers[np.maximum(p1, p2)]
-        band = wordhash.mix(band * np.uint64(0x9E3779B97F4A7C15) + wordhash.mix(a) * np.uint64(3) + b)
-        if j % ROWS == ROWS - 1:
-            out[docs, j // ROWS] = wordhash.mix(band + np.uint64(j + 1)) | np.uint64(1)
-            band = np.zeros(len(docs), np.uint64)
+        places = np.empty((L, len(docs)), np.int64)
+        for i in range(L):
+            least = np.minimum.reduceat(v, begin)
+            hit = np.flatnonzero(v == least[own])
+            # texts of fewer k-mers have their last one again
+            places[i] = places[i - 1] if i else 0
+            at = hit[count[own[hit]] > i]
+            places[i, own[at]] = on[at]
+            v[hit] = _TOP
+        band = np.full(len(docs), j + 1, np.uint64)
+        for place in np.sort(places, axis=0):
+            band = wordhash.mix(band * np.uint64(0x9E3779B97F4A7C15) + kmers[place])
+        out[docs, j] = band | np.uint64(1)
     return out
 
 
-def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs (place in a, length) of an alignment with the fewest insertions and deletions.
+def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts x BITS / 64) words: each bit tells whether an odd number of the text's words falls to it.
 
-    Only diagonals within ``most`` edits are looked at; [] if that isn't enough.
+    Bits that differ between two texts are at most as many as the words that only one of them has.
+    """
+    n = np.diff(first)
+    cell = wordhash.mix(h) % np.uint64(BITS)
+    out = np.zeros((len(n), BITS // 64), np.uint64)
+    place = np.repeat(np.arange(len(n)), n) * (BITS // 64) + (cell >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out.reshape(-1), place, np.uint64(1) << (cell & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _needed(n: int, m: int, threshold: float) -> int:
+    return math.ceil(threshold * max(n, m) - 1e-9)
+
+
+def aligned_words(a: np.ndarray, b: np.ndarray, need: int) -> int:
+    """Most words of a and b that can be aligned in order, if they are ``need`` or more; else 0.
+
+    Only diagonals that leave at most len - need words of either text unaligned are looked at.  A row
+    of the table is one integer, whose zero bits count the aligned words so far, so a word of b
+    costs a few operations on len(a) bits.
     """
-    runs: list[tuple[int, int]] = []
     n = min(len(a), len(b))
     head = int(np.argmin(np.append(a[:n] == b[:n], False)))
-    if head:
-        runs.append((0, head))
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
     tail = int(np.argmin(np.append(a[::-1][:n] == b[::-1][:n], False)))
-    last = (head + len(a) - tail, tail)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    stop: dict[int, np.ndarray] = {}
-
-    def slide(k: int, x: int) -> int:
-        """Furthest x on diagonal k (place in b less place in a) from x on."""
-        if k not in stop:
-            lo, hi = max(0, -k), min(len(a), len(b) - k)
-            differ = np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo if hi > lo else np.zeros(0, np.int64)
-            stop[k] = np.append(differ, max(hi, lo))
-        s = stop[k]
-        i = int(np.searchsorted(s, x))
-        return int(s[i]) if i < len(s) else x
-
-    reach: dict[int, int] = {}
-    trail: list[dict[int, int]] = []
-    goal = len(b) - len(a)
-    for d in range(most + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            # k grows by a word of b alone, falls by a word of a alone
-            x = _entry(reach, k, d)[0]
-            if x < 0 or x > len(a) or x + k > len(b) or x + k < 0:
-                reach[k] = -(10**9)
-                continue
-            reach[k] = slide(k, x)
-            if k == goal and reach[k] >= len(a):
-                return runs + _walk(trail, reach, d, k, head) + ([last] if tail else [])
-    return []
-
-
-def _entry(reach: dict[int, int], k: int, d: int) -> tuple[int, int]:
-    """Where the path of d edits comes onto diagonal k, and from which diagonal."""
-    if d == 0:
-        return 0, k
-    none = -(10**9)
-    by_a, by_b = reach.get(k + 1, none) + 1, reach.get(k - 1, none)
-    return (by_a, k + 1) if by_a > by_b else (by_b, k - 1)
-
-
-def _walk(trail: list[dict[int, int]], reach: dict[int, int], d: int, k: int, head: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    x = reach[k]
-    while True:
-        if d == 0:
-            if x:
-                out.append((head, x))
-            break
-        before = trail[d]
-        entry, k2 = _entry(before, k, d)
-        if x > entry:
-            out.append((head + entry, x - entry))
-        x, k, d = before[k2], k2, d - 1
-    return out[::-1]
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    rest, n, m = need - head - tail, len(a), len(b)
+    if rest > min(n, m):
+        return 0
+    # an alignment of ``rest`` words leaves at most n - rest of a and m - rest of b out
+    over, under = (n - rest, m - rest) if rest > 0 else (n, m)
+    where: dict[int, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    row = whole = (1 << n) - 1
+    band = (1 << (over + under + 1)) - 1
+    for j, w in enumerate(b):
+        if match := where.get(w):
+            match &= band << (j - under) if j >= under else band >> (under - j)
+            up = row & match
+            row = ((row + up) | (row - up)) & whole
+        if j & 255 == 255 and n - row.bit_count() + m - j - 1 < rest:
+            return 0
+    found = n - row.bit_count() + head + tail
+    return found if found >= need else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Common k-mers in the aligned runs over all k-mers; 0 where the threshold is out of reach."""
-    n, m = len(a) - K + 1, len(b) - K + 1
-    if n < 1 or m < 1 or min(n, m) < threshold * max(n, m):
+    """Aligned words over the words of the longer text; 0 where that is below the threshold."""
+    n, m = len(a), len(b)
+    need = _needed(n, m, threshold)
+    if not need or min(n, m) < need:
         return 0.0
     if n == m and (a == b).all():
         return 1.0
-    x, y = (np.sort(wordhash.windows(s.astype(np.uint64), K)) for s in (a, b))
-    # common k-mers with repeats: no alignment has more
-    ux, cx = np.unique(x, return_counts=True)
-    uy, cy = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    common = int(np.minimum(cx[i], cy[j]).sum())
-    if common < threshold * (n + m - common):
+    # common words with repeats: no alignment has more
+    ux, cx = np.unique(a, return_counts=True)
+    uy, cy = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(uy, ux), len(uy) - 1)
+    if int(np.minimum(cx, cy[at])[uy[at] == ux].sum()) < need:
         return 0.0
-    # each word that is in one text alone costs the pair a k-mer at least, but at the ends
-    most = int((n + m) * (1 - threshold) / (1 + threshold)) + 2 * K
-    shared = sum(max(0, r - K + 1) for _, r in alignment(a, b, most))
-    return shared / (n + m - shared)
-
-
-def _common(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled k-mers of all texts: (distinct keys, inverse, local count, where each text's begin)."""
-    kmers, starts = _labelled(hashes, first)
-    keys, inverse, count = np.unique(kmers, return_inverse=True, return_counts=True)
-    return keys, inverse, np.minimum(count, 255).astype(np.uint8), starts
-
-
-def _sequences(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [exchange.expand(x) for x in rows.column("words").to_pylist()]
-    return np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-
-
-def _shared_kmers(words: DataFrame) -> DataFrame:
-    """(node, kmers, shared, bits): how many labelled k-mers each candidate has, how many another has
-    too, and the parity of those that fall to each of ``BITS`` bits.
-
-    Two exact filters: a pair's common k-mers are shared ones of both, so its similarity is at most
-    m / (kmers_a + kmers_b - m), m being the lesser number of shared k-mers; and bits that differ
-    are at most as many as the k-mers that only one has.
-    """
-    shards = scratch.partitions(words.sparkSession)
-
-    def put(block: int, rows: pa.Table, _: dict) -> list[dict]:
-        keys, _, count, _ = _common(*_sequences(rows))
-        return exchange.questions(block, 1, keys, count, shards)
-
-    def twice(kind: int, keys: np.ndarray, data: np.ndarray, rank: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        return (np.bincount(inverse, weights=data, minlength=len(keys))[inverse] > 1).astype(np.uint8)
-
-    def tell(block: int, rows: pa.Table, have: dict) -> pa.Table:
-        keys, inverse, _, starts = _common(*_sequences(rows))
-        n = np.diff(starts)
-        cell = np.repeat(np.arange(len(n)), n) * BITS + (keys[inverse] % np.uint64(BITS)).astype(np.int64)
-        odd = (np.bincount(cell, minlength=len(n) * BITS) & 1).astype(np.uint8)
-        bits = np.packbits(odd.reshape(len(n), BITS), axis=1).view(np.int64)
-        total = np.concatenate([[0], np.cumsum(have[1][inverse].astype(np.int64))]) if 1 in have else np.zeros(1, np.int64)
-        return pa.table({"node": rows.column("node"), "kmers": pa.array(n), "shared": pa.array(total[starts[1:]] - total[starts[:-1]]), "bits": pa.array(bits.tolist(), pa.list_(pa.int64()))})
-
-    answers = exchange.answer(exchange.ask(words, None, put), twice)
-    return scratch.table(exchange.each_block(words, answers, tell, "node long, kmers long, shared long, bits array<long>"), "shared")
-
-
-def _bucket_star(members: DataFrame, labels: DataFrame | None, bits: DataFrame, rest: bool, threshold: float) -> DataFrame:
-    """Pairs (a, b) to compare: each bucket's leader with its nodes of other components.
-
-    members: (bucket, node, central, kmers, shared).  Without labels every node is a component.  With
-    ``rest`` every node outside its bucket's largest component is a leader.
-    """
-    lead = F.struct("node", "kmers", "shared")
-    least = "least(shared, s.shared)"
-    within = F.expr(f"{least} >= {threshold}D * (kmers + s.kmers - {least})")
-    pair = F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b")
-    if labels is None:
-        leaders = members.groupBy("bucket").agg(F.max_by(lead, F.struct("central", "node")).alias("s"))
-        return members.join(leaders.withColumnRenamed("bucket", "of"), (F.col("bucket") == F.col("of")) & within & (F.col("node") != F.col("s.node"))).select(*pair).distinct()
-    known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    # buckets of one component drop out before their rows meet
-    open_ = known.join(main, "bucket").join(bits.select("node", "bits"), "node")
-    differ = " + ".join(f"bit_count(bits[{i}] ^ s.bits[{i}])" for i in range(BITS // 64))
-    within &= F.expr(f"{differ} <= {(1 - threshold) / (1 + threshold)}D * (kmers + s.kmers) + 1e-6D")
-    outside = open_.where("comp <> main").select(F.col("bucket").alias("of"), F.struct("node", "kmers", "shared", "bits").alias("s"), F.col("comp").alias("comp_s"), F.col("central").alias("lead_central"))
-    if not rest:
-        outside = outside.groupBy("of").agg(F.max_by(F.struct("s", "comp_s"), F.struct("lead_central", "s.node")).alias("t")).select("of", "t.s", "t.comp_s")
-    return open_.join(outside, (F.col("bucket") == F.col("of")) & (F.col("comp") != F.col("comp_s")) & within).select(*pair).distinct()
+    return aligned_words(a, b, need) / max(n, m)
 
 
 def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs (a, b, end_a, end_b) whose texts are alike, as a written table of their ends."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             x, y = batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist()
             ok = [similarity(exchange.expand(p), exchange.expand(q), threshold) >= threshold for p, q in zip(x, y, strict=True)]
-            keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("end_a", "end_b")], ["a", "b"])
 
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    return scratch.table(both.select("a", "b", "words_a", "words_b").mapInArrow(check, "a long, b long"), "links")
+    side = lambda c: words.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+    # dealt by a once, for the distinct pairs and the first join
+    both = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b")
+    return scratch.table(both.select("end_a", "end_b", "words_a", "words_b").mapInArrow(check, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node with a link; comp is the least node.
+    """(node, comp) of every node with a link; comp is one of the component's nodes.
 
-    Labels spread to the least of all neighbours and are then followed once more (pointer jumping),
-    each round from a written table, until none changes.
+    Each round every node goes over to its least neighbour, if that is less, and the links between
+    different nodes that remain are a smaller graph; the rounds' steps are joined up.
     """
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = scratch.table(both, "both")
-    labels = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "labels")
+    edges, found = links.select("a", "b").where("a <> b"), None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("near"))
-        step = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        step = scratch.table(step, "step")
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = scratch.table(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
-        changed = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "step")
+        if found is None:
+            found = step
+        else:
+            far = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            found = scratch.table(found.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
+        to = lambda c: step.select(F.col("node").alias(c), F.col("comp").alias(f"to_{c}"))
+        left = edges.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
+        edges = scratch.table(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, n_words, comp, main) of buckets that hold several components; main is the largest."""
+    known = members.select("bucket", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).repartition("bucket")
+    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return scratch.table(known.join(main.select("bucket", "main"), "bucket"), "open")
+
+
+def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold; end_a is a's component.
+
+    Nodes outside a bucket's largest component meet all of its nodes whose lengths are in the same or
+    a neighbouring class, a class being as wide as the threshold lets lengths differ.
+    """
+    width = -math.log(threshold) + 1e-6
+    rows = open_.join(words.select("node", "bits"), "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
+    outside = rows.where("comp <> main").select(
+        "bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "bits").alias("s"))
+    differ = " + ".join(f"bit_count(bits[{i}] ^ s.bits[{i}])" for i in range(BITS // 64))
+    longer = "greatest(n_words, s.n_words)"
+    reach = F.expr(f"least(n_words, s.n_words) >= {threshold}D * {longer} - 1e-6D and {differ} <= n_words + s.n_words - {2 * threshold}D * {longer} + 1e-6D")
+    met = rows.join(outside, ["bucket", "size"]).where((F.col("comp") != F.col("s.comp")) & reach)
+    first, last = F.struct("node", "comp"), F.struct(F.col("s.node").alias("node"), F.col("s.comp").alias("comp"))
+    pair = met.select(F.least(first, last).alias("p"), F.greatest(first, last).alias("q"))
+    return pair.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, block, place, node, class_id, class_size, is_first): a row for each row of docs.
 
-    Rows of one class have equal words or are linked, in steps, by a similarity of at least threshold.
+    Rows of one class have equal words or are linked, in steps, by a similarity of at least threshold:
+    aligned words over the words of the longer text.
     class_id is a hash of words of one of its texts.  Texts below K words, empty and null ones
     included, are classes with their equals only, but texts without words are each alone (class_id is
     then made of the row's place).  is_first marks one row of each class: the least by id, then
@@ -330,47 +268,50 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
             place = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(np.uint64)
             node[filled] = np.add.reduceat(wordhash.mix(h ^ wordhash.mix(place * power + np.uint64(7))), first[:-1][filled])
         node = wordhash.mix(node + n.astype(np.uint64))
-        empty = np.flatnonzero(n == 0)
-        node[empty] = wordhash.mix((np.full(len(empty), block, np.uint64) << np.uint64(20)) * power + empty.astype(np.uint64))
+        node[n == 0] = wordless(block, np.flatnonzero(n == 0))
         bands = sketches(h, first)
-        on = bands[:, 0] != 0
+        on = np.zeros(len(n), bool)
+        on[np.unique(node, return_index=True)[1]] = True  # equal texts of a block bring one sketch
+        on &= bands[:, 0] != 0
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on * BANDS)]).astype(np.int32)), pa.array(bands[on].ravel().view(np.int64)))
-        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "bands": keys})
-
-    rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
-    nodes = rows.where("size(bands) > 0").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.min("bands").alias("bands"))
-    in_bands = nodes.select("node", "at", F.posexplode("bands").alias("band", "key")).select("node", "at", F.xxhash64("band", "key").alias("bucket"))
-    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.table(in_bands.join(sizes, "bucket"), "members")
-    central = members.groupBy("node").agg(F.sum("n").alias("central"), F.min("at").alias("at"))
-    central = scratch.table(central, "central")
-    members = members.select("bucket", "node").join(central.select("node", "central"), "node")
+        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "n_words": pa.array(n), "bands": keys})
+
+    rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, n_words long, bands array<long>"), "sketch")
+    nodes = rows.where("size(bands) > 0").groupBy("node", "n_words").agg(F.min(F.struct("block", "place")).alias("at"), F.min("bands").alias("bands"))
+    in_bands = nodes.select("node", "n_words", "at", F.explode("bands").alias("bucket"))
+    lead = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("lead")).where("n > 1")
+    members = scratch.table(in_bands.join(lead, "bucket").select("bucket", "node", "n_words", "at", "lead"), "members")
     # word sequences of candidates alone, taken from the blocks that hold them
-    wanted = central.select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "node")
+    wanted = exchange.by_block(members.select("at.block", "at.place", "node")).distinct()
 
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
         places = want.column("place").to_numpy()
         order = np.argsort(places)
+        if not len(order):
+            return pa.table({"node": pa.array([], pa.int64()), "words": pa.array([], pa.binary()), "bits": pa.array([], pa.list_(pa.int64()))})
         h, _, _, first, _ = wordhash.words(exchange.in_order(texts).column("text").combine_chunks().take(pa.array(places[order])), lower=True)
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.table({"block": pa.array(np.full(len(places), key[0].as_py())), "node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary())})
-
-    words = scratch.table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "block long, node long, words binary"), "words", "block")
-    shared = _shared_kmers(words).where(f"shared >= {threshold}D * kmers")
-    members = scratch.table(members.join(shared.drop("bits"), "node"), "members")
-    links = _verify(_bucket_star(members, None, shared, False, threshold), words, threshold)
-    labels = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        more = _verify(_bucket_star(members, labels, shared, turn == STAR_ROUNDS, threshold), words, threshold)
-        if more.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        links = links.unionByName(more)
-        labels = components(links)
+        bits = parities(h, first)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
+        return pa.table({"node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary()), "bits": lists})
+
+    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, words binary, bits array<long>"), "words")
+    star = members.where(f"node <> lead.node and least(n_words, lead.n_words) >= {threshold}D * greatest(n_words, lead.n_words) - 1e-6D")
+    star = star.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.node").alias("end_a"), F.col("node").alias("end_b"))
+    labels = components(_verify(star, words, threshold))
+    more = _verify(_rest(_open(members, labels), words, threshold), words, threshold)
+    if not more.isEmpty():
+        far = components(more)
+        ends = labels.unionByName(far.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "left_anti"))
+        labels = scratch.table(ends.join(far.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
     classed = rows.join(labels, "node", "left").select("id", "block", "place", "node", F.coalesce("comp", "node").alias("class_id"))
     classed = scratch.table(classed, "classed")
     size = classed.groupBy("class_id").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "place")).alias("lead"))
     # written, so that both sides of the join are plain shuffles and a large class can be split
     out = classed.join(scratch.table(size, "classes"), "class_id")
     return out.select("id", "block", "place", "node", "class_id", "class_size", ((F.col("lead.block") == F.col("block")) & (F.col("lead.place") == F.col("place"))).alias("is_first"))
+
+
+def wordless(block: int, places: np.ndarray) -> np.ndarray:
+    """Nodes of texts without words: each its own, whatever the number of its block (partition and run in it)."""
+    return wordhash.mix(wordhash.mix(np.full(len(places), block, np.uint64)) + places.astype(np.uint64))
