@@ -2,9 +2,10 @@
 
 Features are hashed n-grams of one to three characters over the lower-cased letters of the whole
 text, other characters being one gap; their values are relative frequency times inverse
-document frequency.  Weights are learnt by follow-the-regularised-leader with elastic-net
-penalties, on a sample of ``SAMPLE`` labelled rows at most (chosen by hash of the id); a part of the
-sample that isn't learnt from sets the temperature of the probabilities.
+document frequency, counted over all rows that may be learnt from.  Weights are learnt by
+follow-the-regularised-leader with elastic-net penalties, on a sample of about ``SAMPLE`` labelled
+rows (chosen by hash of id and text; more of a label with few rows, up to ``LEAST`` of each); a part
+of the sample that isn't learnt from sets the temperature of the probabilities.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 4000
+SAMPLE, LEAST = 4000, 200
 BITS, ORDERS = 15, 3
 UNKNOWN = "und"
 PIECE = 250_000
@@ -110,8 +111,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 0) -> Model:
-    """rows: (feature numbers, relative frequencies) of each labelled text."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], df: np.ndarray, documents: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 0) -> Model:
+    """rows: (feature numbers, relative frequencies) of each labelled text; df: texts with each feature, of ``documents``."""
     names = sorted(set(labels))
     if not names:
         return Model([], np.zeros((ORDERS << BITS, 0)), np.zeros(0), 1.0)
@@ -119,10 +120,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: in
     size = ORDERS << BITS
     held = np.arange(len(rows)) % 5 == 4
     learn = np.flatnonzero(~held)
-    df = np.zeros(size)
-    for i in learn:
-        df[rows[i][0]] += 1
-    idf = np.log((1 + len(learn)) / (1 + df)) + 1
+    idf = np.log((1 + documents) / (1 + df)) + 1
     # relative frequencies are small numbers: one scale for all brings the mean row norm to 1
     norms = [np.sqrt(((f * idf[j]) ** 2).sum()) for j, f in (rows[i] for i in learn)]
     scale = 1 / max(1e-9, float(np.mean(norms))) if norms else 1.0
@@ -157,26 +155,71 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: in
     return Model(names, w * (idf * scale)[:, None], bias, temperature)
 
 
-def train(docs: DataFrame, label_col: str, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Learn from at most about ``sample`` rows with a label (twice as many at the very most)."""
-    rows = docs.where(F.col(label_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    n = rows.count()
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000 + 1)
-    picked = rows.where(share).select(F.xxhash64(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).limit(2 * sample)
+def _counts(text: str | None) -> np.ndarray:
+    total = np.zeros(ORDERS << BITS)
+    for _, numbers, _ in features([text]):
+        total += np.bincount(numbers, minlength=len(total))
+    return total
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(texts that have each feature, texts with a letter) over all rows of a one-column table.
+
+    A task gives one sum for each feature; what comes to the driver is as long as the features.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = ORDERS << BITS
+        df, seen = np.zeros(size + 1, np.int64), np.zeros(size, bool)
+        for batch in batches:
+            last = -1
+            for of, numbers, texts in features(batch.column(0).to_pylist()):
+                pairs = np.unique(of * size + numbers)
+                of, numbers = pairs // size, pairs % size
+                goes_on = of == last  # a text's later runs count no feature again
+                df[:-1] += np.bincount(numbers[~(goes_on & seen[numbers])], minlength=size)
+                df[-1] += len(texts) - (texts[0] == last)
+                if texts[-1] != last:
+                    seen[:], last = False, texts[-1]
+                seen[numbers[of == last]] = True
+        on = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(df[on])], ["feature", "n"])
+
+    df = np.zeros((ORDERS << BITS) + 1, np.int64)
+    for r in texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        df[r["feature"]] = r["n"]
+    return df[:-1], int(df[-1])
+
+
+def train(docs: DataFrame, label_col: str, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: int = LEAST) -> Model:
+    """Learn from about ``sample`` rows with a label, where ``learn`` holds (default: all; null is false).
+
+    A label with fewer rows than others has up to ``least`` of them in the sample.  Rows of equal id and text
+    count once in it.  Document frequencies are of all the rows.  Without any labelled row the
+    model knows no language.
+    """
+    rows = docs.where(F.col(label_col).isNotNull() & F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)))
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a language
+    if not sizes:
+        return fit([], [], np.zeros(ORDERS << BITS), 0)
+    n = sum(sizes.values())
+    shares = F.create_map(*[F.lit(x) for label, rows_of in sizes.items() for x in (label, int(min(1.0, max(sample / n, least / rows_of)) * 1_000_000 + 1))])
+    picked = rows.where(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1_000_000)) < shares[F.col("label")])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                total = np.zeros(ORDERS << BITS)
-                for _, numbers, _ in features([text]):
-                    total += np.bincount(numbers, minlength=len(total))
+            for k, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = _counts(text)
                 on = np.flatnonzero(total)
                 if len(on):
-                    cells = [batch.column(0)[i].as_py()], [batch.column(2)[i].as_py()], [on.astype("<i4").tobytes()], [(total[on] / total.sum()).astype("<f4").tobytes()]
+                    cells = [k], [label], [on.astype("<i4").tobytes()], [(total[on] / total.sum()).astype("<f4").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.string()), pa.array(cells[2], pa.binary()), pa.array(cells[3], pa.binary())], ["k", "label", "at", "share"])
 
-    got = sorted((r["k"], r["label"], bytes(r["at"]), bytes(r["share"])) for r in picked.mapInArrow(sparse, "k long, label string, at binary, share binary").collect())
-    return fit([(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4").astype(float)) for _, _, a, s in got], [label for _, label, _, _ in got])
+    told = picked.mapInArrow(sparse, "k long, label string, at binary, share binary").dropDuplicates(["k", "label"])
+    got = sorted((r["k"], r["label"], bytes(r["at"]), bytes(r["share"])) for r in told.collect())
+    df, documents = document_frequencies(rows.select("text"))
+    return fit([(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4").astype(float)) for _, _, a, s in got], [label for _, label, _, _ in got], df, documents)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
@@ -196,7 +239,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added to every row, as in identify."""
+    """docs with lang_pred and score added to every row, as in identify; columns of docs so named are replaced."""
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,3 +250,18 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(predict, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns and no other, whose language is known with ``least_score`` at least.
+
+    A null text and one without letters have no language.
+    """
+    at = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([name != UNKNOWN and p >= least_score for name, p in zip(label, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
