@@ -133,7 +133,8 @@ def test_line_rules(spark):
 
 def test_katz(docs, empty):
     order, learn = 3, lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1
-    rows = collected(docs)
+    rows = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in collected(docs)]
+    assert sum(t != (u or "") for (_, t), (_, u) in zip(rows, collected(docs), strict=True)) >= 2  # A-Z alone are folded
     counts = [collections.Counter() for _ in range(order + 1)]
     for i, t in rows:
         if learn(i):
@@ -218,13 +219,76 @@ def test_order_minhash(docs, empty):
     assert {(r.block, r.place) for r in kept.collect()} == {(7, "c")}
     assert order_minhash.near_duplicates(empty).count() == 0 and order_minhash.deduplicate(empty).count() == 0
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(0, 12))
-        d = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
-        assert sum(n for _, n in order_minhash.alignment(a, b, 40)) == d[-1, -1]
+    for k in range(600):
+        a, b = rng.integers(0, 2 + k % 5, rng.integers(1, 14)), rng.integers(0, 2 + k % 5, rng.integers(1, 14))
+        best = longest_common(a, b)
+        for need in range(1, min(len(a), len(b)) + 1):
+            assert order_minhash.aligned_words(a, b, need) == (best if best >= need else 0)
+        assert order_minhash.similarity(a, b) == (best / max(len(a), len(b)) if best >= 0.8 * max(len(a), len(b)) else 0)
+
+
+def longest_common(a, b):
+    d = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
+    return d[-1, -1]
+
+
+def test_wordless_rows_of_any_block():
+    """Rows without words are each alone, whatever the partition's number."""
+    places = np.arange(50)
+    nodes = [order_minhash.wordless(part << 32 | run, places) for part in (0, 3, 4099, 3 + (1 << 20), (1 << 31) - 1) for run in (0, 1)]
+    assert len(set(np.concatenate(nodes).tolist())) == 10 * len(places)
+
+
+def test_near_duplicates_beside_all_pairs(spark):
+    """Classes by alignment of all pairs, over texts that share passages; most edited copies are found."""
+    rng = random.Random(11)
+    passage = ["pass%d" % i for i in range(40)]
+    rows, i = [], 0
+    for g in range(25):
+        base = ["g%d_%d" % (g, j) for j in range(rng.randint(60, 220))] + (passage if g % 3 == 0 else [])
+        for k in range(8):
+            w = [("x%d_%d" % (i, j) if rng.random() < (0, 0.01, 0.02, 0.03, 0.04, 0.06, 0.08, 0.1)[k] else x) for j, x in enumerate(base)]
+            rows.append((i, " ".join(w)))
+            i += 1
+    split = {i: np.array([hash(x) for x in t.split()]) for i, t in rows}
+    parent = {i: i for i in split}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in split:
+        for b in split:
+            if a < b and min(len(split[a]), len(split[b])) >= 0.8 * max(len(split[a]), len(split[b])) and len(np.intersect1d(split[a], split[b])) > 30:
+                if order_minhash.similarity(split[a], split[b]) >= 0.8:
+                    parent[root(b)] = root(a)
+    want = {i: root(i) for i in split}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    linked = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    assert all(want[a] == want[b] for a in got for b in got if got[a] == got[b])  # nothing beside
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.95 * len(linked)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)]
+    got = {r.node: r.comp for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    own = {x for e in edges for x in e if e[0] != e[1]}
+    assert set(got) == own and all(root(got[x]) == root(x) for x in own) and len(set(got.values())) == len({root(x) for x in own})
+    assert order_minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_large_group_keeps_links(spark):
@@ -310,6 +374,32 @@ def test_language(spark, docs, empty):
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
     assert {r.lang_pred for r in langid.identify(d, langid.train(empty, "lang")).collect()} == {"und"}
     assert langid.annotate(docs, model).columns == [*docs.columns, "lang_pred", "score"]
+    clash = d.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    assert {r.doc_id: r.lang_pred for r in langid.annotate(clash, model).collect()} == {i: r.lang_pred for i, r in got.items()}
+    assert sorted(map(str, langid.accepted(clash, model, 0.5).collect())) == sorted(str(r) for r in clash.collect() if got[r.doc_id].score >= 0.5)
+
+
+def test_language_learns_from_all_and_only_learnt_rows(spark):
+    """Held-out accuracy, labels of held-out rows unused, repeated rows, and document frequencies of all rows."""
+    rng = random.Random(8)
+    common = ["ka", "lo", "mi", "tu", "re"]
+    words = {"aa": ["thorn", "wick", "shale"], "bb": ["brod", "stein", "fahr"], "cc": ["oiseau", "quelque", "lieu"]}
+    rows = [(i, " ".join(rng.choice(common + words[x]) for _ in range(rng.randint(8, 40))), x) for i, x in enumerate(["aa", "bb", "cc"] * 150)]
+    rows += [rows[0]] * 3 + [(None, "thorn wick", "aa")] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, "lang", ~queries.held_out(3), sample=250)
+    held = {i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, model).collect()}
+    assert sum(got[i] == x for i, _, x in rows if i in held) >= 0.97 * len([i for i, *_ in rows if i in held])
+    other = langid.train(d.withColumn("lang", F.when(queries.held_out(3), "zz").otherwise(F.col("lang"))), "lang", ~queries.held_out(3), sample=250)
+    assert other.labels == model.labels and (other.weights == model.weights).all() and other.temperature == model.temperature
+    df, n = langid.document_frequencies(d.select("text").unionByName(spark.createDataFrame([(None,), ("1 2",), ("thorn " * 90000,)], "text string")).coalesce(1))
+    want = np.zeros(langid.ORDERS << langid.BITS)
+    for t in [t for _, t, _ in rows] + ["thorn thorn"]:
+        want += langid._counts(t) > 0
+    assert n == len(rows) + 1 and (df == want).all()
+    rare = spark.createDataFrame([*[(i, "thorn shale wick", "aa") for i in range(3000)], *[(9000 + i, "brod stein fahr %d" % i, "bb") for i in range(4)]], "doc_id long, text string, lang string")
+    assert langid.train(rare, "lang", sample=100).labels == ["aa", "bb"]
 
 
 def test_secrets(spark, docs, empty):
