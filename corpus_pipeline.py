@@ -9,36 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condspark.llm import decontaminate, langid, order_minhash, packing, queries, secret_scan
+from condspark.llm import decontaminate, langid, order_minhash, packing, queries, scratch, secret_scan
 
 MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language isn't clear (score below 0.5)."""
-    model = langid.train(docs, "lang")
-    said = langid.annotate(docs, model)
-    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    """Drops documents without letters (null and empty texts are such) and those whose language isn't clear (score below 0.5).
+
+    Repeated rows share their fate; without any labelled row no language is known and all are dropped.
+    """
+    return langid.accepted(docs, langid.train(docs, "lang"), MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, the one with the least doc_id."""
+    """Keeps one document of each class of near duplicates, the one with the least doc_id, then place.
+
+    Repeated rows are one class; rows without words, null texts included, are each their own.
+    """
     return order_minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null and empty texts hold none, an empty benchmark drops nothing."""
     return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; n_chars is counted anew."""
+    """Replaces every secret by a mark, keeping each row; n_chars, if there, is counted anew (null for a null text)."""
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens."""
+    """Packs what is left into sequences of at most 2048 tokens; a null text is empty and brings its end token alone."""
     return packing.pack(docs, queries.TOKENIZERS("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
@@ -54,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage before it is written as Parquet and read again."""
     docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
