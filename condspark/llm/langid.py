@@ -169,19 +169,14 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = ORDERS << BITS
-        df, seen = np.zeros(size + 1, np.int64), np.zeros(size, bool)
+        df, has = np.zeros((ORDERS << BITS) + 1, np.int64), np.zeros(ORDERS << BITS, bool)
         for batch in batches:
-            last = -1
-            for of, numbers, texts in features(batch.column(0).to_pylist()):
-                pairs = np.unique(of * size + numbers)
-                of, numbers = pairs // size, pairs % size
-                goes_on = of == last  # a text's later runs count no feature again
-                df[:-1] += np.bincount(numbers[~(goes_on & seen[numbers])], minlength=size)
-                df[-1] += len(texts) - (texts[0] == last)
-                if texts[-1] != last:
-                    seen[:], last = False, texts[-1]
-                seen[numbers[of == last]] = True
+            for text in batch.column(0).to_pylist():
+                has[:] = False
+                for _, numbers, _ in features([text]):
+                    has[numbers] = True
+                df[:-1] += has
+                df[-1] += has.any()
         on = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(df[on])], ["feature", "n"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import exchange, scratch, wordhash
 
-K, L, BANDS = 5, 3, 36
+K, L, BANDS = 5, 3, 32
 THRESHOLD = 0.8
 BITS = 2048
 _TOP = np.iinfo(np.uint64).max
@@ -170,9 +170,9 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
             ok = [similarity(exchange.expand(p), exchange.expand(q), threshold) >= threshold for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("end_a", "end_b")], ["a", "b"])
 
-    side = lambda c: words.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+    side = lambda c: words.select(F.col("node").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("words").alias(f"words_{c}"))
     # dealt by a once, for the distinct pairs and the first join
-    both = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-6D")
     return scratch.table(both.select("end_a", "end_b", "words_a", "words_b").mapInArrow(check, "a long, b long"), "links")
 
 
@@ -200,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, n_words, comp, main) of buckets that hold several components; main is the largest."""
-    known = members.select("bucket", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).repartition("bucket")
+    known = members.select("bucket", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).repartition("bucket").distinct()
     sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     return scratch.table(known.join(main.select("bucket", "main"), "bucket"), "open")
@@ -277,27 +277,27 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "n_words": pa.array(n), "bands": keys})
 
     rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, n_words long, bands array<long>"), "sketch")
-    nodes = rows.where("size(bands) > 0").groupBy("node", "n_words").agg(F.min(F.struct("block", "place")).alias("at"), F.min("bands").alias("bands"))
-    in_bands = nodes.select("node", "n_words", "at", F.explode("bands").alias("bucket"))
-    lead = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("lead")).where("n > 1")
-    members = scratch.table(in_bands.join(lead, "bucket").select("bucket", "node", "n_words", "at", "lead"), "members")
+    # equal texts of a block bring one sketch, so a text comes at most once from each block
+    in_bands = rows.where("size(bands) > 0").select("node", "n_words", "block", "place", F.explode("bands").alias("bucket"))
+    lead = in_bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
+    members = scratch.table(in_bands.join(lead.select("bucket", "lead"), "bucket"), "members")
     # word sequences of candidates alone, taken from the blocks that hold them
-    wanted = exchange.by_block(members.select("at.block", "at.place", "node")).distinct()
+    at = members.groupBy("node", "n_words").agg(F.min(F.struct("block", "place")).alias("at"))
+    wanted = exchange.by_block(at.select("at.block", "at.place", "node", "n_words"))
 
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
         places = want.column("place").to_numpy()
         order = np.argsort(places)
         if not len(order):
-            return pa.table({"node": pa.array([], pa.int64()), "words": pa.array([], pa.binary()), "bits": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"node": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "words": pa.array([], pa.binary()), "bits": pa.array([], pa.list_(pa.int64()))})
         h, _, _, first, _ = wordhash.words(exchange.in_order(texts).column("text").combine_chunks().take(pa.array(places[order])), lower=True)
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
         bits = parities(h, first)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
-        return pa.table({"node": want.column("node").take(pa.array(order)), "words": pa.array(blobs, pa.binary()), "bits": lists})
+        return pa.table({"node": want.column("node").take(pa.array(order)), "n_words": pa.array(np.diff(first)), "words": pa.array(blobs, pa.binary()), "bits": lists})
 
-    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, words binary, bits array<long>"), "words")
-    star = members.where(f"node <> lead.node and least(n_words, lead.n_words) >= {threshold}D * greatest(n_words, lead.n_words) - 1e-6D")
-    star = star.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.node").alias("end_a"), F.col("node").alias("end_b"))
+    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, n_words long, words binary, bits array<long>"), "words")
+    star = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
     labels = components(_verify(star, words, threshold))
     more = _verify(_rest(_open(members, labels), words, threshold), words, threshold)
     if not more.isEmpty():
