@@ -5,10 +5,10 @@ number.  For each of ``BANDS`` hash functions the ``L`` least labelled k-mers ar
 text order, so two texts agree with a probability that falls with their edit distance and not
 only with their sets.  Texts that agree in one such sketch share a bucket and are candidates.
 
-Texts of equal words are one node.  Each node of a bucket is first compared with the least node of
-it.  Then every pair of a bucket that is still in different components is compared, but for those
-that lengths or word parities rule out (both filters are exact), so no candidate pair in different
-components stays uncompared, while a dense group costs a comparison a node only.
+Texts of equal words are one node.  Each node of a bucket is first compared with the one that meets
+most others in all buckets: with a base text and its copies that is the base.  Where a bucket still
+holds several components, all pairs of its nodes in different ones are compared, but for those that
+lengths or word parities rule out; both filters are exact, so no such pair is lost.
 
 A link is verified by aligning the word sequences within the band of diagonals that the threshold
 allows: aligned words over the words of the longer text must be at least the threshold.
@@ -30,7 +30,7 @@ from . import exchange, scratch, wordhash
 
 K, L, BANDS = 5, 3, 32
 THRESHOLD = 0.8
-BITS = 2048
+BITS = 8192
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -93,19 +93,6 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts x BITS / 64) words: each bit tells whether an odd number of the text's words falls to it.
-
-    Bits that differ between two texts are at most as many as the words that only one of them has.
-    """
-    n = np.diff(first)
-    cell = wordhash.mix(h) % np.uint64(BITS)
-    out = np.zeros((len(n), BITS // 64), np.uint64)
-    place = np.repeat(np.arange(len(n)), n) * (BITS // 64) + (cell >> np.uint64(6)).astype(np.int64)
-    np.bitwise_xor.at(out.reshape(-1), place, np.uint64(1) << (cell & np.uint64(63)))
-    return out.view(np.int64)
-
-
 def _needed(n: int, m: int, threshold: float) -> int:
     return math.ceil(threshold * max(n, m) - 1e-9)
 
@@ -206,20 +193,42 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return scratch.table(known.join(main.select("bucket", "main"), "bucket"), "open")
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """BITS bits, each telling whether an odd number of the text's words, by occurrence, falls to it.
+
+    Bits that differ between two texts are at most as many as the words that only one of them has.
+    """
+    keys, times = np.unique(words.astype(np.uint64), return_counts=True)
+    nth = np.arange(len(words)) - np.repeat(np.cumsum(times) - times, times)
+    word = wordhash.mix(np.repeat(keys, times) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64))
+    odd = np.bincount((word % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold; end_a is a's component.
+    """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold.
 
-    Nodes outside a bucket's largest component meet all of its nodes whose lengths are in the same or
-    a neighbouring class, a class being as wide as the threshold lets lengths differ.
+    Nodes outside a bucket's largest component meet those of its nodes whose lengths are in the same or a
+    neighbouring class, a class being as wide as the threshold lets lengths differ.  Lengths and parities
+    then rule out all but near pairs, and of the buckets that a pair shares only one tells it.  end_a is a's
+    component.
     """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = pa.array([parities(exchange.expand(x)) for x in batch.column("words").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("buckets"), bits], ["node", "buckets", "bits"])
+
+    nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "words"), "node")
+    marked = nodes.select("node", "buckets", "words").mapInArrow(mark, "node long, buckets array<long>, bits array<long>")
     width = -math.log(threshold) + 1e-6
-    rows = open_.join(words.select("node", "bits"), "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
-    outside = rows.where("comp <> main").select(
-        "bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "bits").alias("s"))
-    differ = " + ".join(f"bit_count(bits[{i}] ^ s.bits[{i}])" for i in range(BITS // 64))
-    longer = "greatest(n_words, s.n_words)"
-    reach = F.expr(f"least(n_words, s.n_words) >= {threshold}D * {longer} - 1e-6D and {differ} <= n_words + s.n_words - {2 * threshold}D * {longer} + 1e-6D")
-    met = rows.join(outside, ["bucket", "size"]).where((F.col("comp") != F.col("s.comp")) & reach)
+    rows = open_.join(marked, "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
+    rows = scratch.table(rows, "marked")
+    outside = rows.where("comp <> main").select("bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "buckets", "bits").alias("s"))
+    differ = F.expr(f"aggregate(zip_with(bits, s.bits, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= n_words + s.n_words - {2 * threshold}D * greatest(n_words, s.n_words) + 1e-6D")
+    near = F.expr(f"comp <> s.comp and least(n_words, s.n_words) >= {threshold}D * greatest(n_words, s.n_words) - 1e-6D")
+    once = F.expr("bucket = array_min(array_intersect(buckets, s.buckets))")
+    met = rows.join(outside, ["bucket", "size"]).where(near & differ & once)
     first, last = F.struct("node", "comp"), F.struct(F.col("s.node").alias("node"), F.col("s.comp").alias("comp"))
     pair = met.select(F.least(first, last).alias("p"), F.greatest(first, last).alias("q"))
     return pair.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b"))
@@ -279,25 +288,26 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
     rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, n_words long, bands array<long>"), "sketch")
     # equal texts of a block bring one sketch, so a text comes at most once from each block
     in_bands = rows.where("size(bands) > 0").select("node", "n_words", "block", "place", F.explode("bands").alias("bucket"))
-    lead = in_bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    members = scratch.table(in_bands.join(lead.select("bucket", "lead"), "bucket"), "members")
+    size = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
+    members = scratch.table(in_bands.join(size.select("bucket", "n"), "bucket"), "members")
     # word sequences of candidates alone, taken from the blocks that hold them
-    at = members.groupBy("node", "n_words").agg(F.min(F.struct("block", "place")).alias("at"))
-    wanted = exchange.by_block(at.select("at.block", "at.place", "node", "n_words"))
+    at = members.groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.sum("n").alias("central"))
+    at = scratch.table(at.select("at.block", "at.place", "node", "central"), "wanted")
+    wanted = exchange.by_block(at.select("block", "place", "node"))
 
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
         places = want.column("place").to_numpy()
         order = np.argsort(places)
         if not len(order):
-            return pa.table({"node": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "words": pa.array([], pa.binary()), "bits": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"node": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "words": pa.array([], pa.binary())})
         h, _, _, first, _ = wordhash.words(exchange.in_order(texts).column("text").combine_chunks().take(pa.array(places[order])), lower=True)
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
-        bits = parities(h, first)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
-        return pa.table({"node": want.column("node").take(pa.array(order)), "n_words": pa.array(np.diff(first)), "words": pa.array(blobs, pa.binary()), "bits": lists})
+        return pa.table({"node": want.column("node").take(pa.array(order)), "n_words": pa.array(np.diff(first)), "words": pa.array(blobs, pa.binary())})
 
-    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, n_words long, words binary, bits array<long>"), "words")
-    star = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
+    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, n_words long, words binary"), "words")
+    known = members.select("bucket", "node").join(at.select("node", "central"), "node").repartition("bucket")
+    lead = known.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
+    star = known.join(lead, "bucket").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
     labels = components(_verify(star, words, threshold))
     more = _verify(_rest(_open(members, labels), words, threshold), words, threshold)
     if not more.isEmpty():
