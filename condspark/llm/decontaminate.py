@@ -240,7 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for m in matchers(benchmark, item_col, item_text_col, min_score):
-        out = out.unionByName(rows.mapInArrow(_reporter(m, id_col, item_col), schema))
+        out = out.unionByName(rows.mapInArrow(wordhash.tidy(_reporter(m, id_col, item_col)), schema))
     return out
 
 
@@ -259,7 +259,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of docs that hold no test item, with all their columns."""
     at = docs.columns.index(text_col)
     for m in matchers(benchmark, item_col, item_text_col, min_score):
-        docs = docs.mapInArrow(_sieve(m, at), docs.schema)
+        docs = docs.mapInArrow(wordhash.tidy(_sieve(m, at)), docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, wordhash
 
 BLOCK = 6_000_000
 
@@ -170,12 +170,12 @@ def ask(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Tabl
 
 def each_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
     if answers is None:
-        return blocks.groupBy("block").applyInArrow(lambda rows: fn(rows.column("block")[0].as_py(), in_order(rows), {}), schema)
+        return blocks.groupBy("block").applyInArrow(wordhash.tidied(lambda rows: fn(rows.column("block")[0].as_py(), in_order(rows), {})), schema)
 
     def both(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
         return fn(key[0].as_py(), in_order(rows), gather(replies))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(wordhash.tidied(both), schema)
 
 
 def in_order(rows: pa.Table) -> pa.Table:
@@ -215,7 +215,7 @@ def replies(asked: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndar
             told += [{"block": -1, "kind": k, "shard": number, "data": d} for k, d in keep(kind, distinct, data, rank, inverse)]
         return pa.Table.from_pylist(told, ANSWER)
 
-    return asked.groupBy("shard", "kind").applyInArrow(shard, ANSWER_SQL)
+    return asked.groupBy("shard", "kind").applyInArrow(wordhash.tidied(shard), ANSWER_SQL)
 
 
 def answer(asked: DataFrame, fn: Callable[..., np.ndarray]) -> DataFrame:

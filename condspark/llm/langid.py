@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import wordhash
+
 SAMPLE, LEAST = 4000, 200
 BITS, ORDERS = 15, 3
 UNKNOWN = "und"
@@ -181,7 +183,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(df[on])], ["feature", "n"])
 
     df = np.zeros((ORDERS << BITS) + 1, np.int64)
-    for r in texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(wordhash.tidy(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     return df[:-1], int(df[-1])
 
@@ -230,7 +232,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *more)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(wordhash.tidy(predict), f"{schema}, lang_pred string, score double")
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -244,7 +246,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(wordhash.tidy(predict), schema)
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
@@ -259,4 +261,4 @@ def accepted(docs: DataFrame, model: Model, least_score: float, text_col: str =
             label, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([name != UNKNOWN and p >= least_score for name, p in zip(label, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(wordhash.tidy(sift), docs.schema)

@@ -160,7 +160,7 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     side = lambda c: words.select(F.col("node").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("words").alias(f"words_{c}"))
     # dealt by a once, for the distinct pairs and the first join
     both = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-6D")
-    return scratch.table(both.select("end_a", "end_b", "words_a", "words_b").mapInArrow(check, "a long, b long"), "links")
+    return scratch.table(both.select("end_a", "end_b", "words_a", "words_b").mapInArrow(wordhash.tidy(check), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("buckets"), bits], ["node", "buckets", "bits"])
 
     nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "words"), "node")
-    marked = nodes.select("node", "buckets", "words").mapInArrow(mark, "node long, buckets array<long>, bits array<long>")
+    marked = nodes.select("node", "buckets", "words").mapInArrow(wordhash.tidy(mark), "node long, buckets array<long>, bits array<long>")
     width = -math.log(threshold) + 1e-6
     rows = open_.join(marked, "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
     rows = scratch.table(rows, "marked")
@@ -304,7 +304,7 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         blobs = [exchange.squeeze((h[a:b] >> np.uint64(32)).astype("<u4")) for a, b in zip(first[:-1], first[1:], strict=True)]
         return pa.table({"node": want.column("node").take(pa.array(order)), "n_words": pa.array(np.diff(first)), "words": pa.array(blobs, pa.binary())})
 
-    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sequences, "node long, n_words long, words binary"), "words")
+    words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(wordhash.tidied(sequences), "node long, n_words long, words binary"), "words")
     known = members.select("bucket", "node").join(at.select("node", "central"), "node").repartition("bucket")
     lead = known.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
     star = known.join(lead, "bucket").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))

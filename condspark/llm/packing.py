@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, scratch
+from . import bpe, scratch, wordhash
 
 GROUP = 60_000
 SLACK = 32
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: in
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return scratch.table(rows.mapInArrow(cut, f"row long, `{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
+    return scratch.table(rows.mapInArrow(wordhash.tidy(cut), f"row long, `{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = False) -> DataFrame:

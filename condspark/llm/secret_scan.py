@@ -155,7 +155,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
+    return rows.mapInArrow(wordhash.tidy(scan), f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -179,4 +179,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             new = pa.array([None if v else t for v, t in zip(given.is_null().to_pylist(), texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(wordhash.tidy(clean), docs.schema)

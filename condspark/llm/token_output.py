@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, scratch
+from . import bpe, scratch, wordhash
 
 SEGMENT = 1 << 19
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -69,7 +69,7 @@ def id_ranks(docs: DataFrame, text_col: str, tokenizer_file: str, keep_space: bo
             on = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["id", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(wordhash.tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return sorted(((r["id"], r["n"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
 
 
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
     kind = docs.schema[id_col].dataType.simpleString()
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(scratch.partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     schema = f"part int, seq int, first_token long, n_tokens long, doc_lengths binary, control binary, data binary, doc_ids array<{kind}>"
-    ordered.mapInArrow(segments, schema).write.option("compression", "zstd").parquet(f"{path}/segments")
+    ordered.mapInArrow(wordhash.tidy(segments), schema).write.option("compression", "zstd").parquet(f"{path}/segments")
     return path
 
 
@@ -155,4 +155,4 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(start[r["part"]] + r["first_token"] + ends - n), pa.array(n), blob], [id_col, "start", "n_tokens", "ids"])
 
     kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
-    return rows.mapInArrow(decode, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(wordhash.tidy(decode), f"`{id_col}` {kind}, start long, n_tokens long, ids binary")

@@ -10,7 +10,8 @@ the temporary arrays whatever a document's length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,40 @@ def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[int, pa.Array]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, column.slice(a, b - a)
         a = b
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; worker processes are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, which trims after every batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in fn(batches):
+            yield batch
+            del batch
+            trim()
+
+    return each
+
+
+def tidied(fn: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """fn for applyInArrow, which trims after every group."""
+
+    def then(out: pa.Table) -> pa.Table:
+        trim()
+        return out
+
+    # the number of parameters tells whether the key is wanted
+    n = fn.__code__.co_argcount
+    if n == 1:
+        return lambda rows: then(fn(rows))
+    if n == 2:
+        return lambda a, b: then(fn(a, b))
+    return lambda key, a, b: then(fn(key, a, b))
