@@ -158,8 +158,9 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("end_a", "end_b")], ["a", "b"])
 
     side = lambda c: words.select(F.col("node").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("words").alias(f"words_{c}"))
-    # dealt by a once, for the distinct pairs and the first join
-    both = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-6D")
+    # dealt by b once, for the distinct pairs and the first join: a leader (a) has many, a node few leaders;
+    # the join by a is a plain shuffle on both sides, which is split where a leader is hot
+    both = pairs.repartition("b").distinct().join(side("b"), "b").join(side("a"), "a").where(f"least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-6D")
     return scratch.table(both.select("end_a", "end_b", "words_a", "words_b").mapInArrow(wordhash.tidy(check), "a long, b long"), "links")
 
 
