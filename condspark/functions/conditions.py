@@ -143,6 +143,14 @@ def evaluate(condition: str, macros: dict[str, str | None]) -> bool:
     return _Reader(condition, normal_macros(macros)).whole()
 
 
+def told(condition: str, normal: dict[str, str | None]) -> tuple[bool, str | None]:
+    """(result, error) by macros that normal_macros gave; an error leaves the result false."""
+    try:
+        return _Reader(condition, normal).whole(), None
+    except (ConditionError, OverflowError, ZeroDivisionError, TypeError) as e:
+        return False, str(e)
+
+
 @F.pandas_udf(T.StructType().add("result", T.BooleanType()).add("error", T.StringType()))
 def _evaluated(condition: pd.Series, macros: pd.Series) -> pd.DataFrame:
     sets: dict[str, dict] = {}
@@ -154,16 +162,13 @@ def _evaluated(condition: pd.Series, macros: pd.Series) -> pd.DataFrame:
             continue
         if key not in sets:
             sets[key] = normal_macros(json.loads(key))
-        try:
-            known[pair] = (_Reader(text, sets[key]).whole(), None)
-        except (ConditionError, OverflowError, ZeroDivisionError, TypeError) as e:
-            known[pair] = (False, str(e))
+        known[pair] = told(text, sets[key])
     return pd.DataFrame([known[pair] for pair in zip(condition, macros, strict=True)], columns=["result", "error"])
 
 
 def macro_key(macros: Column) -> Column:
-    """A macro map as text that keeps nulls: equal sets have equal keys."""
-    entries = F.array_sort(F.map_entries(macros))
+    """A macro map as text that keeps nulls and the map's order, as the last of names equal but for case counts."""
+    entries = F.map_entries(macros)
     quoted = lambda c: F.to_json(F.array(c), {"ignoreNullFields": "false"})
     body = F.transform(entries, lambda e: F.concat(F.regexp_extract(quoted(e["key"]), r"^\[(.*)\]$", 1), F.lit(":"), F.coalesce(F.regexp_extract(quoted(e["value"]), r"^\[(.*)\]$", 1), F.lit("null"))))
     return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))

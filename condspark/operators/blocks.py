@@ -1,70 +1,141 @@
-"""Conditional blocks: which lines are active, as prefix sums over each file's lines.
+"""Conditional blocks: which lines are active, told within each file's row.
 
-Depth is a running sum of openers and closers, reflected at zero so stray closers do nothing.
-Within a block the first true branch wins; changes of "not active here" from branch to branch
-sum up to the number of inactive enclosing blocks, and a line is active where that is zero.
-All windows share one partitioning by (path, target).
+A file's lines are split where the file is; its directives alone go to a function that walks them with a
+stack of open blocks and tells runs of lines (spans) of one state.  The first true branch of a block
+wins, stray closers do nothing, and a line is active where all blocks around it are.  Text is never moved:
+pruning and folding filter the split lines in place, and no step shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import conditions, text, tokens
 
+#: The conditional directives and includes, as patterns.
 DIRECTIVE = r"^\s*#\s*(ifdef|ifndef|if|elif|else|endif)\b\s*(.*)"
 INCLUDE = r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]"""
 FILE = ["path", "target"]
+_SPAN = {"n": T.IntegerType(), "active": T.BooleanType(), "depth": T.LongType(), "level": T.LongType(), "orphan": T.BooleanType(), "closes": T.StringType(), "error": T.StringType()}
+_OPENERS = ("if", "ifdef", "ifndef")
+
+
+def _directive(line: Column) -> Column:
+    """(directive, condition) of a line, or null."""
+    # most lines hold no '#' and skip the pattern
+    word = F.regexp_extract(line, DIRECTIVE, 1)
+    found = F.struct(word.alias("directive"), F.regexp_replace(F.regexp_extract(line, DIRECTIVE, 2), r"(?U)\s+$", "").alias("condition"))
+    return F.when(line.contains("#"), F.when(word != "", found))
 
 
 def lines(files: DataFrame) -> DataFrame:
     """(all columns but code, line_no, text, directive, condition) of every line."""
     keep = [c for c in files.columns if c != "code"]
     rows = files.select(*keep, F.posexplode(text.split_lines(F.col("code"))).alias("_n", "text"))
-    # most lines hold no '#' and skip the pattern
-    word = F.when(F.col("text").contains("#"), F.regexp_extract("text", DIRECTIVE, 1)).otherwise("")
-    rest = F.regexp_extract("text", DIRECTIVE, 2)
-    return rows.select(*keep, (F.col("_n") + 1).alias("line_no"), "text", F.when(word != "", word).alias("directive"), F.when(word != "", F.rtrim(rest)).alias("condition"))
+    rows = rows.select(*keep, (F.col("_n") + 1).alias("line_no"), "text", _directive(F.col("text")).alias("_d"))
+    return rows.select(*keep, "line_no", "text", "_d.directive", "_d.condition")
+
+
+def _walk(asked: list[tuple[int, str, str]], total: int, truth) -> tuple[list[tuple], str]:
+    """Spans of a file of ``total`` lines with directives (line, word, condition), and the blocks left open.
+
+    truth(condition) gives (result, error).  A condition that can't be evaluated is false.
+    """
+    at = [d[0] for d in asked] + [total]
+    spans = [(at[0], True, 0, None, False, None, None)]
+    open_: list[list] = []  # [opener, whether a branch was taken, whether this branch is on]
+    for k, (line, word, condition) in enumerate(asked):
+        result, error = truth(condition) if word not in ("else", "endif") else (True, None)
+        yes = not result if word == "ifndef" else bool(result)
+        stray, level, closes = word not in _OPENERS and not open_, len(open_), None
+        if word in _OPENERS:
+            open_.append([word, yes, yes])
+            level += 1
+        elif stray:
+            level = 0
+        elif word == "endif":
+            closes = open_.pop()[0]
+        else:
+            block = open_[-1]
+            block[2], block[1] = yes and not block[1], block[1] or yes
+        spans.append((at[k + 1] - line, all(b[2] for b in open_), len(open_), level, stray, closes, error))
+    return spans, ", ".join(b[0] for b in open_)
+
+
+_SPANS = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in _SPAN.items()), T.StructField("open", T.StringType())])
+
+
+@F.pandas_udf(_SPANS)
+def _spans(total: pd.Series, asked: pd.Series, key: pd.Series) -> pd.DataFrame:
+    """asked: arrays of (line, directive, condition) structs; each condition is evaluated once for a macro set."""
+    sets: dict[str, dict] = {}
+    known: dict[tuple[str, str], tuple] = {}
+    out = []
+    for n, rows, k in zip(total, asked, key, strict=True):
+
+        def truth(condition: str, k: str = k) -> tuple:
+            if (k, condition) not in known:
+                if k not in sets:
+                    sets[k] = conditions.normal_macros(json.loads(k))
+                known[k, condition] = conditions.told(condition, sets[k])
+            return known[k, condition]
+
+        spans, left = _walk([(d["at"], d["directive"], d["condition"]) for d in rows], n, truth) if rows is not None else ([], "")
+        out.append([*(list(x) for x in zip(*spans, strict=True)), left] if spans else [[]] * len(_SPAN) + [left])
+    return pd.DataFrame(out, columns=[*_SPAN, "open"])
+
+
+def _told(files: DataFrame) -> DataFrame:
+    """files with _lines, _found (their directives) and _s (spans and open blocks); null code has no lines."""
+    rows = files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
+    found = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), _directive(x).alias("d"))), lambda d: d["d"].isNotNull())
+    rows = rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
+    return rows.withColumn("_s", _spans(F.size("_lines"), F.col("_found"), conditions.macro_key(F.col("macros"))))
+
+
+def _by_line(row: str = "_s") -> Column:
+    """For every line its span's state, head being true on the directive that begins a span."""
+    spans = F.arrays_zip(*[F.col(f"{row}.{c}").alias(c) for c in _SPAN])
+    of = lambda s, k: F.transform(F.sequence(F.lit(1), s["n"]), lambda j: F.struct(((k > 0) & (j == 1)).alias("head"), k.alias("span"), s["active"].alias("active"), s["depth"].alias("depth"), s["level"].alias("level"), s["orphan"].alias("orphan"), s["closes"].alias("closes"), s["error"].alias("error")))
+    empty = F.array().cast("array<struct<head:boolean,span:int,active:boolean,depth:bigint,level:bigint,orphan:boolean,closes:string,error:string>>")
+    return F.flatten(F.transform(spans, lambda s, k: F.when(s["n"] > 0, of(s, k)).otherwise(empty)))
+
+
+def _with_lines(files: DataFrame) -> DataFrame:
+    """files with _rows: an array of (text, state, directive, condition) for every line."""
+    rows = _told(files)
+    both = F.zip_with("_lines", _by_line(), lambda x, s: F.struct(x.alias("text"), s.alias("s"), F.when(s["head"], F.get("_found", s["span"] - 1)).alias("d")))
+    return rows.withColumn("_rows", both)
 
 
 def line_states(files: DataFrame) -> DataFrame:
     """Lines of (path, target, macros, code) with depth, active and what their directive does.
 
     A condition that can't be evaluated is false, so its #ifndef is true.  Null code has no lines.
-    The windows sort directives alone; the other lines then take the last directive's state, in one
-    more window.
     """
-    every = lines(files.withColumn("macro_key", conditions.macro_key(F.col("macros"))).drop("macros"))
-    plain, rows = every.where("directive is null"), every.where("directive is not null")
-    asks = F.col("directive").isin("if", "ifdef", "ifndef", "elif")
-    rows = conditions.with_results(rows.withColumn("ask", F.when(asks, F.col("condition"))), "ask")
-    by = W.partitionBy(*FILE).orderBy("line_no")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    opens = F.coalesce(F.col("directive").isin("if", "ifdef", "ifndef"), F.lit(False))
-    ends = F.coalesce(F.col("directive") == "endif", F.lit(False))
-    rows = rows.withColumn("opens", opens).withColumn("s", F.sum(F.when(opens, 1).when(ends, -1).otherwise(0)).over(upto))
-    rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(upto)))
-    rows = rows.withColumn("level", F.when(ends, F.lag("depth", 1, 0).over(by)).when(F.col("directive").isNotNull(), F.col("depth")))
-    at_level = W.partitionBy(*FILE, "level").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("block", F.max(F.when(F.col("opens"), F.col("line_no"))).over(at_level))
-    in_block = W.partitionBy(*FILE, "level", "block").orderBy("line_no")
-    cond = F.coalesce("cond_result", F.lit(False))
-    branch = F.when(F.col("directive") == "ifndef", ~cond).when(F.col("directive").isin("if", "ifdef", "elif"), cond).when(F.col("directive") == "else", F.lit(True)).otherwise(F.lit(False))
-    rows = rows.withColumn("branch", branch).withColumn("taken", F.coalesce(F.max("branch").over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)))
-    real = F.col("level") > 0
-    rows = rows.withColumn("on", F.when(real, ends | (F.col("branch") & ~F.col("taken"))))
-    rows = rows.withColumn("delta", F.when(real, (~F.col("on")).cast("int") - (~F.coalesce(F.lag("on").over(in_block), F.lit(True))).cast("int")).otherwise(0))
-    rows = rows.withColumn("inactive", F.sum("delta").over(upto)).withColumn("active", F.col("inactive") == 0).withColumn("orphan", F.col("directive").isNotNull() & (F.col("level") == 0))
-    opener = F.first(F.when(F.col("opens"), F.col("directive")), ignorenulls=True).over(in_block.rowsBetween(W.unboundedPreceding, 0))
     keep = [c for c in files.columns if c not in ("code", "macros")]
-    more = ["directive", "condition", "depth", "level", "orphan", "active", "closes", "cond_error"]
-    told = rows.select(*keep, "line_no", "text", *more[:6], F.when(ends & real, opener).alias("closes"), "cond_error")
-    both = told.unionByName(plain.select(*keep, "line_no", "text"), allowMissingColumns=True)
-    state = F.coalesce(F.last(F.when(F.col("directive").isNotNull(), F.struct("active", "depth")), ignorenulls=True).over(upto), F.struct(F.lit(True).alias("active"), F.lit(0).cast("long").alias("depth")))
-    both = both.withColumn("_s", state).withColumn("active", F.col("_s.active")).withColumn("depth", F.col("_s.depth")).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
-    return both.select(*keep, "line_no", "text", *more)
+    rows = _with_lines(files).select(*keep, F.posexplode("_rows").alias("_n", "r"))
+    head = lambda c: F.when(F.col("r.s.head"), F.col(f"r.s.{c}"))
+    return rows.select(
+        *keep, (F.col("_n") + 1).alias("line_no"), "r.text", "r.d.directive", "r.d.condition", F.col("r.s.depth").alias("depth"), head("level").alias("level"),
+        F.coalesce(head("orphan"), F.lit(False)).alias("orphan"), F.col("r.s.active").alias("active"), head("closes").alias("closes"), head("error").alias("cond_error"),
+    )
+
+
+def _mark(directive: Column, condition: Column, closes: Column, active: Column) -> Column:
+    """What the folded text shows in place of a directive."""
+    state = F.when(active, "ACTIVE").otherwise("INACTIVE")
+    return (
+        F.when(directive == "endif", F.concat(F.lit("/* [ENDIF "), closes, F.lit("] */")))
+        .when(directive == "else", F.concat(F.lit("/* [ELSE - "), state, F.lit("] */")))
+        .otherwise(F.concat(F.lit("/* ["), F.upper(directive), F.lit(" "), condition, F.lit(" - "), state, F.lit("] */")))
+    )
 
 
 def shown(states: DataFrame, mode: str = "physical") -> DataFrame:
@@ -72,12 +143,7 @@ def shown(states: DataFrame, mode: str = "physical") -> DataFrame:
     plain = F.col("directive").isNull() | F.col("orphan")
     if mode == "physical":
         return states.where(plain & F.col("active"))
-    state = F.when(F.col("active"), "ACTIVE").otherwise("INACTIVE")
-    mark = (
-        F.when(F.col("directive") == "endif", F.concat(F.lit("/* [ENDIF "), "closes", F.lit("] */")))
-        .when(F.col("directive") == "else", F.concat(F.lit("/* [ELSE - "), state, F.lit("] */")))
-        .otherwise(F.concat(F.lit("/* ["), F.upper("directive"), F.lit(" "), "condition", F.lit(" - "), state, F.lit("] */")))
-    )
+    mark = _mark(F.col("directive"), F.col("condition"), F.col("closes"), F.col("active"))
     return states.withColumn("text", F.when(~plain, mark).when(F.col("active"), F.col("text")).otherwise(""))
 
 
@@ -104,21 +170,21 @@ def unclosed(states: DataFrame) -> DataFrame:
 def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
     """(path, target, code, original_lines, pruned_lines, original_tokens, pruned_tokens, saved_tokens).
 
-    files: (path, target, macros, code), one row for each file and target.  Files without any
-    conditional directive keep their text and skip the windows.
+    files: (path, target, macros, code), one row for each file and target; null code is empty.  No step moves
+    a row.  pruned_lines counts the lines that aren't blank.
     """
-    cond = r"(?m)^\s*#\s*(if|ifdef|ifndef|elif|else|endif)\b"
-    plain, guarded = files.where(~F.col("code").rlike(cond)), files.where(F.col("code").rlike(cond))
-    states = line_states(guarded)
-    texts = shown(states, mode).groupBy(*FILE).agg(text.join_lines(F.collect_list(F.struct("line_no", "text"))).alias("pruned"))
-    if mode == "virtual":
-        texts = texts.join(unclosed(states), FILE, "left").select(*FILE, F.concat_ws("\n", "pruned", F.when(F.col("kinds").isNotNull(), F.concat(F.lit("/* [WARN: unclosed directives: "), "kinds", F.lit("] */")))).alias("pruned"))
-    out = guarded.join(texts, FILE, "left").withColumn("pruned", F.coalesce("pruned", F.lit("")))
-    out = out.unionByName(plain.withColumn("pruned", F.array_join(text.split_lines(F.col("code")), "\n")))
-    pair = tokens.estimate_pair(F.col("code"), F.col("pruned"))
+    rows = _with_lines(files.select(*FILE, "macros", "code"))
+    plain = lambda r: r["d"].isNull() | r["s"]["orphan"]
+    if mode == "physical":
+        kept = F.transform(F.filter("_rows", lambda r: plain(r) & r["s"]["active"]), lambda r: r["text"])
+    else:
+        kept = F.transform("_rows", lambda r: F.when(~plain(r), _mark(r["d"]["directive"], r["d"]["condition"], r["s"]["closes"], r["s"]["active"])).when(r["s"]["active"], r["text"]).otherwise(""))
+        kept = F.concat(kept, F.when(F.col("_s.open") != "", F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), "_s.open", F.lit("] */")))).otherwise(F.array().cast("array<string>")))
+    # bound once, as what follows names it several times
+    out = rows.select(*FILE, "code", F.size("_lines").cast("long").alias("original_lines"), F.explode(F.array(F.array_join(kept, "\n"))).alias("pruned"))
+    pair = tokens.estimate_pair(F.coalesce("code", F.lit("")), F.col("pruned"))
+    filled = F.size(F.filter(text.split_lines(F.col("pruned")), lambda x: x.rlike(r"(?U)\S"))).cast("long")
     return out.select(
-        *FILE, F.col("pruned").alias("code"),
-        F.size(text.split_lines(F.col("code"))).cast("long").alias("original_lines"),
-        F.size(F.filter(text.split_lines(F.col("pruned")), lambda x: F.trim(x) != "")).cast("long").alias("pruned_lines"),
+        *FILE, F.col("pruned").alias("code"), "original_lines", filled.alias("pruned_lines"),
         pair["original"].alias("original_tokens"), pair["pruned"].alias("pruned_tokens"), pair["saved"].alias("saved_tokens"),
     )
