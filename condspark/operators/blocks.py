@@ -37,7 +37,7 @@ def _directive(line: Column) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """(all columns but code, line_no, text, directive, condition) of every line."""
     keep = [c for c in files.columns if c != "code"]
-    rows = files.select(*keep, F.posexplode(text.split_lines(F.col("code"))).alias("_n", "text"))
+    rows = files.select(*keep, F.posexplode_outer(text.split_lines(F.col("code"))).alias("_n", "text")).where("_n is not null")
     rows = rows.select(*keep, (F.col("_n") + 1).alias("line_no"), "text", _directive(F.col("text")).alias("_d"))
     return rows.select(*keep, "line_no", "text", "_d.directive", "_d.condition")
 
@@ -120,7 +120,8 @@ def line_states(files: DataFrame) -> DataFrame:
     A condition that can't be evaluated is false, so its #ifndef is true.  Null code has no lines.
     """
     keep = [c for c in files.columns if c not in ("code", "macros")]
-    rows = _with_lines(files).select(*keep, F.posexplode("_rows").alias("_n", "r"))
+    # outer, as the filter that Spark derives from a plain one would work out every line twice
+    rows = _with_lines(files).select(*keep, F.posexplode_outer("_rows").alias("_n", "r")).where("_n is not null")
     head = lambda c: F.when(F.col("r.s.head"), F.col(f"r.s.{c}"))
     return rows.select(
         *keep, (F.col("_n") + 1).alias("line_no"), "r.text", "r.d.directive", "r.d.condition", F.col("r.s.depth").alias("depth"), head("level").alias("level"),
@@ -181,7 +182,7 @@ def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
         kept = F.transform("_rows", lambda r: F.when(~plain(r), _mark(r["d"]["directive"], r["d"]["condition"], r["s"]["closes"], r["s"]["active"])).when(r["s"]["active"], r["text"]).otherwise(""))
         kept = F.concat(kept, F.when(F.col("_s.open") != "", F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), "_s.open", F.lit("] */")))).otherwise(F.array().cast("array<string>")))
     # bound once, as what follows names it several times
-    out = rows.select(*FILE, "code", F.size("_lines").cast("long").alias("original_lines"), F.explode(F.array(F.array_join(kept, "\n"))).alias("pruned"))
+    out = rows.select(*FILE, "code", F.size("_lines").cast("long").alias("original_lines"), F.explode_outer(F.array(F.array_join(kept, "\n"))).alias("pruned"))
     pair = tokens.estimate_pair(F.coalesce("code", F.lit("")), F.col("pruned"))
     filled = F.size(F.filter(text.split_lines(F.col("pruned")), lambda x: x.rlike(r"(?U)\S"))).cast("long")
     return out.select(

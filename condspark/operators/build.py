@@ -72,19 +72,22 @@ def union_macros(first: Column, over: Column) -> Column:
 def match_files(files: DataFrame, entries: DataFrame, by_name: bool = True, units_only: bool = True) -> DataFrame:
     """files (path) with the first entry, in database order, of the same path or the same file name.
 
-    Two equi-joins, of which the least entry_ord stays.
+    Each path and each file name keeps its first entry alone before the two equi-joins, so a name that many
+    files and entries share makes one row a file.
     """
     own = entries.withColumn("entry_path", text.resolve(F.col("file"), F.col("directory")))
     if units_only:
         own = own.where(F.col("file").rlike(UNIT))
-    by_path = files.select("path", text.normal_path(F.col("path")).alias("k")).join(own.withColumnRenamed("entry_path", "k"), "k").drop("k")
-    found = by_path
+    rest = [c for c in own.columns if c not in ("entry_ord", "entry_path")]
+    entry = F.struct("entry_ord", *rest)
+    first = lambda k, name: own.groupBy(k.alias("k")).agg(F.min_by(entry, "entry_ord").alias(name))
+    found = files.withColumn("_path", text.normal_path(F.col("path"))).join(first(F.col("entry_path"), "_p").withColumnRenamed("k", "_path"), "_path", "left").drop("_path")
+    best = F.col("_p")
     if by_name:
-        same = files.select("path", text.basename(F.col("path")).alias("k")).join(own.withColumn("k", text.basename(F.col("file"))).drop("entry_path"), "k").drop("k")
-        found = found.unionByName(same)
-    first = W.partitionBy("path").orderBy("entry_ord")
-    best = found.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return files.join(best, "path", "left")
+        found = found.withColumn("_name", text.basename(F.col("path"))).join(first(text.basename(F.col("file")), "_q").withColumnRenamed("k", "_name"), "_name", "left").drop("_name")
+        best = F.when(F.col("_p.entry_ord") <= F.col("_q.entry_ord"), F.col("_p")).otherwise(F.coalesce("_q", "_p"))
+    out = found.withColumn("_e", best)
+    return out.select(*files.columns, *[F.col(f"_e.{c}").alias(c) for c in entries.columns])
 
 
 def macros_by_file(entries: DataFrame) -> DataFrame:

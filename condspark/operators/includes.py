@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text
 from . import blocks
 
@@ -35,14 +36,15 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFram
     """(root, path, depth): what each root reaches at its least depth, a root being at depth 0.
 
     Semi-naive: only paths new in a round go on, so cycles end; files from depth max_depth on
-    aren't opened.  edges: (src, dst).
+    aren't opened.  edges: (src, dst).  Each round is a written table, so plans stay small at any depth.
     """
-    edges = edges.where("dst is not null").select("src", "dst").distinct()
-    seen = roots.select("root", F.col("root").alias("path"), F.lit(0).alias("depth"))
-    front = seen
+    edges = shared.table(edges.where("dst is not null").select("src", "dst").distinct(), "edges")
+    seen = front = shared.table(roots.select("root", F.col("root").alias("path"), F.lit(0).alias("depth")).distinct(), "front")
     for depth in range(1, max_depth):
         step = front.join(edges, front["path"] == edges["src"]).select("root", F.col("dst").alias("path")).distinct()
-        front = step.join(seen.select("root", "path"), ["root", "path"], "left_anti").withColumn("depth", F.lit(depth))
+        front = shared.table(step.join(seen.select("root", "path"), ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -67,14 +69,14 @@ def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, tar
     include of the opened files: skipped ones aren't active, those found nowhere have a null dst.
     """
     states = active_includes(files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros"))))
-    edges = states.join(resolve(include_lines(files), files, dirs).distinct(), ["path", "line_no", "header"], "left").localCheckpoint()
+    edges = shared.table(states.join(resolve(include_lines(files), files, dirs).distinct(), ["path", "line_no", "header"], "left"), "includes")
     follow = edges.where("active and dst is not null").select("target", F.col("path").alias("src"), "dst").distinct()
-    seen = roots.join(files.select(F.col("path").alias("root")), "root", "left_semi").select("root", "target", F.col("root").alias("path"), F.lit(0).alias("depth")).distinct().localCheckpoint()
-    front = seen
+    begin = roots.join(files.select(F.col("path").alias("root")), "root", "left_semi").select("root", "target", F.col("root").alias("path"), F.lit(0).alias("depth"))
+    seen = front = shared.table(begin.distinct(), "front")
     for depth in range(1, max_depth + 1):
         step = front.select("root", "target", F.col("path").alias("src")).join(follow, ["target", "src"]).select("root", "target", F.col("dst").alias("path")).distinct()
         # written, as each round asks for all before it
-        front = step.join(seen.select("root", "target", "path"), ["root", "target", "path"], "left_anti").withColumn("depth", F.lit(depth)).localCheckpoint()
+        front = shared.table(step.join(seen.select("root", "target", "path"), ["root", "target", "path"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

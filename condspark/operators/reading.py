@@ -50,7 +50,7 @@ def marker_lines(outputs: DataFrame) -> DataFrame:
     number, file = F.regexp_extract("text", MARKER, 1), F.regexp_extract("text", MARKER, 2)
     by = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     here = F.last(F.when(number != "", F.struct(number.cast("int").alias("n"), (text.normal_path(file) == text.normal_path(F.col("path"))).alias("own"))), ignorenulls=True).over(by)
-    return rows.withColumn("m", here).where((number == "") & (F.trim("text") != "") & F.col("m.own")).select("path", F.col("m.n").alias("line_no")).distinct()
+    return rows.withColumn("m", here).where((number == "") & F.col("text").rlike(r"(?U)\S") & F.col("m.own")).select("path", F.col("m.n").alias("line_no")).distinct()
 
 
 def missing_ranges(marked: DataFrame, counts: DataFrame) -> DataFrame:
