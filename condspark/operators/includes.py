@@ -84,6 +84,15 @@ def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, tar
     return seen, opened.join(edges, ["target", "path"]).select("root", "target", "path", "line_no", "header", "active", "dst")
 
 
+def rooted(edges: DataFrame, reached: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(root, src, dst): the includes met on the way from each root, for exports.
+
+    reached: what closure with the same max_depth gave; files at max_depth - 1 are reached, not opened.
+    """
+    opened = reached.where(F.col("depth") < max_depth - 1)
+    return opened.join(edges.where("dst is not null").select("src", "dst").distinct(), opened["path"] == F.col("src")).select("root", "src", "dst")
+
+
 def graph_stats(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(root, total_files, max_depth, total_edges)."""
     inside = reached.join(edges.select("src", "dst").distinct(), reached["path"] == edges["src"], "left")

@@ -90,10 +90,10 @@ def page_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "page_offset", text.page(F.col("text"), F.lit(500), F.col("page_offset")).alias("shown"))
 
 
-@query("WITH d AS (SELECT doc_id, regexp_replace(text, '\\n$', '') AS s, text FROM documents) SELECT doc_id, CASE WHEN c <= 400 THEN 'full' ELSE 'over' END AS level, CASE WHEN c <= 400 THEN c ELSE t END AS tokens FROM (SELECT doc_id, greatest(1, floor(length(text) / 3.7::DOUBLE))::BIGINT AS c, greatest(1, floor(length(s) / 3.7::DOUBLE))::BIGINT AS t FROM d)")
+@query("WITH d AS (SELECT doc_id, regexp_replace(text, '\\n$', '') AS s, text FROM documents) SELECT doc_id, CASE WHEN c <= 400 THEN 'full' ELSE 'over' END AS level, CASE WHEN c <= 400 THEN c ELSE t END AS tokens, md5(CASE WHEN c <= 400 THEN text ELSE s END) AS shown_md5 FROM (SELECT doc_id, text, s, greatest(1, floor(length(text) / 3.7::DOUBLE))::BIGINT AS c, greatest(1, floor(length(s) / 3.7::DOUBLE))::BIGINT AS t FROM d)")
 def budget_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit("t").alias("target"), F.col("text").alias("code"))
-    return reading.budgeted(d, 400).select(F.col("path").alias("doc_id"), "level", "tokens")
+    return reading.budgeted(d, 400).select(F.col("path").alias("doc_id"), "level", "tokens", F.md5(F.col("shown").cast("binary")).alias("shown_md5"))
 
 
 # -- conditional blocks
@@ -111,11 +111,16 @@ def prune_guarded_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.prune(corpora.guarded_docs(spark, sf_dir)).select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"), "original_lines")
 
 
-@query(f"WITH {GUARDED}, v AS (SELECT g.path, g.target, list_sum(list_transform(g.a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND g.lang = g.t THEN 1 WHEN (i - 1) % 4 = 1 AND g.t IN ('EN', 'FR') THEN 1 ELSE 0 END)) AS n_if FROM g) SELECT path, target, n_if::BIGINT AS active_ifs FROM v")
+ON = "CASE WHEN {} THEN 'ACTIVE' ELSE 'INACTIVE' END"
+FOLDED = f"""v AS (SELECT path, target, a, list_transform(a, lambda x, i: CASE (i - 1) % 4
+  WHEN 0 THEN concat('/* [IFDEF LANG_', lang, ' - ', {ON.format("lang = t")}, '] */', chr(10), CASE WHEN lang = t THEN x ELSE '' END, chr(10), '/* [ELSE - ', {ON.format("lang <> t")}, '] */', chr(10), CASE WHEN lang = t THEN '' ELSE 'other line' END, chr(10), '/* [ENDIF ifdef] */')
+  WHEN 1 THEN concat('/* [IF LANG_EN || defined(LANG_FR) - ', {ON.format("t IN ('EN', 'FR')")}, '] */', chr(10), CASE WHEN t IN ('EN', 'FR') THEN x ELSE '' END, chr(10), '/* [ENDIF if] */') ELSE x END) AS k FROM g)"""
+
+
+@query(f"WITH {GUARDED}, {FOLDED} SELECT path, target, md5(array_to_string(CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END, chr(10))) AS code_md5 FROM v")
 def prune_guarded_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening markers that say ACTIVE, counted in the folded text."""
     p = blocks.prune(corpora.guarded_docs(spark, sf_dir), "virtual")
-    return p.select("path", "target", F.regexp_count("code", F.lit(r"/\* \[IF(DEF)? [^\n]* - ACTIVE\] \*/")).cast("long").alias("active_ifs"))
+    return p.select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"))
 
 
 TOKENS_OF = "CASE WHEN {0} = 0 THEN 0 ELSE greatest(1, floor({0} / 3.7::DOUBLE))::BIGINT END"
@@ -129,12 +134,12 @@ def savings_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STACK = f"""src AS (SELECT f, n, {TEMPLATE_OF} AS k, p_size FROM (SELECT p_partkey AS f, p_size FROM part), range(1, {LINES + 1}) t(n)),
 cond AS (SELECT f, n, k, CASE k WHEN 0 THEN p_size % 2 = 0 WHEN 1 THEN p_size % 7 = 3 WHEN 2 THEN p_size % 3 <> 0 WHEN 3 THEN p_size % 7 = 5 END AS c FROM src),
-run AS (SELECT p_partkey AS f, 0::BIGINT AS n, []::STRUCT(a BOOLEAN, t BOOLEAN)[] AS st, 99::BIGINT AS k, false AS orphan FROM part
+run AS (SELECT p_partkey AS f, 0::BIGINT AS n, []::STRUCT(a BOOLEAN, t BOOLEAN, k BIGINT)[] AS st, 99::BIGINT AS k, false AS orphan FROM part
 UNION ALL SELECT r.f, c.n, CASE
-  WHEN c.k <= 2 THEN list_append(r.st, {{'a': len(list_filter(r.st, lambda x: NOT x.a)) = 0 AND c.c, 't': c.c}})
+  WHEN c.k <= 2 THEN list_append(r.st, {{'a': len(list_filter(r.st, lambda x: NOT x.a)) = 0 AND c.c, 't': c.c, 'k': c.k}})
   WHEN c.k > 6 OR len(r.st) = 0 THEN r.st
-  WHEN c.k = 3 THEN list_append(r.st[:-2], {{'a': len(list_filter(r.st[:-2], lambda x: NOT x.a)) = 0 AND NOT r.st[-1].t AND c.c, 't': r.st[-1].t OR c.c}})
-  WHEN c.k = 4 THEN list_append(r.st[:-2], {{'a': len(list_filter(r.st[:-2], lambda x: NOT x.a)) = 0 AND NOT r.st[-1].t, 't': true}})
+  WHEN c.k = 3 THEN list_append(r.st[:-2], {{'a': len(list_filter(r.st[:-2], lambda x: NOT x.a)) = 0 AND NOT r.st[-1].t AND c.c, 't': r.st[-1].t OR c.c, 'k': r.st[-1].k}})
+  WHEN c.k = 4 THEN list_append(r.st[:-2], {{'a': len(list_filter(r.st[:-2], lambda x: NOT x.a)) = 0 AND NOT r.st[-1].t, 't': true, 'k': r.st[-1].k}})
   ELSE r.st[:-2] END, c.k, c.k BETWEEN 3 AND 6 AND len(r.st) = 0
  FROM run r JOIN cond c ON c.f = r.f AND c.n = r.n + 1),
 states AS (SELECT '/s/' || f || '.c' AS path, n::INTEGER AS line_no, k, st, orphan, len(list_filter(st, lambda x: NOT x.a)) = 0 AS active FROM run WHERE n > 0)"""
@@ -150,10 +155,9 @@ def skipped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.skipped_ranges(blocks.line_states(corpora.synth_sources(spark, sf_dir))).select("path", "lo", "hi")
 
 
-@query(f"WITH RECURSIVE {STACK} SELECT path, len(st)::BIGINT AS open_blocks FROM states WHERE line_no = {LINES} AND len(st) > 0")
+@query(f"WITH RECURSIVE {STACK} SELECT path, array_to_string(list_transform(st, lambda x: CASE x.k WHEN 0 THEN 'ifdef' WHEN 1 THEN 'if' ELSE 'ifndef' END), ', ') AS kinds FROM states WHERE line_no = {LINES} AND len(st) > 0")
 def unclosed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = blocks.unclosed(blocks.line_states(corpora.synth_sources(spark, sf_dir)))
-    return u.select("path", F.size(F.split("kinds", ", ")).cast("long").alias("open_blocks"))
+    return blocks.unclosed(blocks.line_states(corpora.synth_sources(spark, sf_dir))).select("path", "kinds")
 
 
 @query(f"WITH RECURSIVE {STACK} SELECT path, count(*) AS strays FROM states WHERE orphan GROUP BY path")
@@ -263,6 +267,9 @@ EDGES = "e AS (SELECT DISTINCT 'h' || s_suppkey AS src, 'h' || unnest([(s_suppke
 REACH = f"{EDGES}, reach AS (SELECT 'h' || s_suppkey AS root, 'h' || s_suppkey AS path, 0 AS depth FROM supplier UNION SELECT root, dst, depth + 1 FROM reach JOIN e ON path = src WHERE depth < 3)"
 
 
+WALK = f"{REACH}, w AS (SELECT DISTINCT root, src, dst FROM reach JOIN e ON path = src WHERE depth < 3)"
+
+
 def _reach(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = corpora.synth_edges(spark, sf_dir)
     return edges, includes.closure(edges, table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("root")), 4)
@@ -278,14 +285,15 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.graph_stats(*_reach(spark, sf_dir))
 
 
-@query(f"""WITH {EDGES} SELECT src AS root, '{{"nodes":[' || array_to_string(list_sort(list_distinct(list_append(list('"' || dst || '"'), '"' || src || '"'))), ',') || '],"edges":[' || array_to_string(list_sort(list('{{"src":"' || src || '","dst":"' || dst || '"}}')), ',') || ']}}' AS json FROM e GROUP BY src""")
+@query(f"""WITH RECURSIVE {WALK} SELECT root, '{{"nodes":[' || array_to_string(list_sort(list_distinct(list_concat(list('"' || dst || '"'), list('"' || src || '"')))), ',') || '],"edges":[' || array_to_string(list_sort(list(DISTINCT '{{"src":"' || src || '","dst":"' || dst || '"}}')), ',') || ']}}' AS json FROM w GROUP BY root""")
 def graph_edges_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return includes.to_json(corpora.synth_edges(spark, sf_dir).withColumn("root", F.col("src")))
+    """Graphs of all roots to a depth of three."""
+    return includes.to_json(includes.rooted(*_reach(spark, sf_dir), 4))
 
 
-@query(f"""WITH {EDGES} SELECT src AS root, 'digraph deps {{' || chr(10) || array_to_string(list_sort(list('  "' || src || '" -> "' || dst || '";')), chr(10)) || chr(10) || '}}' AS dot FROM e GROUP BY src""")
+@query(f"""WITH RECURSIVE {WALK} SELECT root, 'digraph deps {{' || chr(10) || array_to_string(list_sort(list(DISTINCT '  "' || src || '" -> "' || dst || '";')), chr(10)) || chr(10) || '}}' AS dot FROM w GROUP BY root""")
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return includes.to_dot(corpora.synth_edges(spark, sf_dir).withColumn("root", F.col("src")))
+    return includes.to_dot(includes.rooted(*_reach(spark, sf_dir), 4))
 
 
 DEPS = [
@@ -338,12 +346,17 @@ def bundle_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- comparing analyses
 
 
-@query(f"WITH {GUARDED}, c AS (SELECT path, list_sum(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang IN ('EN', 'DE') THEN 1 WHEN (i - 1) % 4 = 1 THEN 1 ELSE 0 END)) AS en, list_sum(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang IN ('EN', 'DE') THEN 1 ELSE 0 END)) AS de FROM g WHERE t = 'EN') SELECT path, en::BIGINT AS only_one, de::BIGINT AS only_other FROM c WHERE en + de > 0")
+AT = "1 + ((i - 1) // 4) * 10"
+
+
+@query(f"""WITH {GUARDED}, c AS (SELECT path, list_filter(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang = 'EN' THEN {AT} + 1 WHEN (i - 1) % 4 = 0 AND lang = 'DE' THEN {AT} + 3 WHEN (i - 1) % 4 = 1 THEN {AT} + 6 END), lambda n: n IS NOT NULL) AS en,
+ list_filter(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang = 'EN' THEN {AT} + 3 WHEN (i - 1) % 4 = 0 AND lang = 'DE' THEN {AT} + 1 END), lambda n: n IS NOT NULL) AS de FROM g WHERE t = 'EN')
+SELECT path, len(en)::BIGINT AS only_one, len(de)::BIGINT AS only_other, array_to_string(en[:20], ',') AS first_one, array_to_string(de[:20], ',') AS first_other FROM c WHERE len(en) + len(de) > 0""")
 def active_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that one of two targets alone has."""
     s = reading.active_lines(blocks.line_states(corpora.guarded_docs(spark, sf_dir).where("target in ('lang_en', 'lang_de')")))
     side = lambda t: s.where(F.col("target") == t).select("path", F.lit("both").alias("target"), "line_no")
-    return reading.active_diff(side("lang_en"), side("lang_de")).select("path", "only_one", "only_other")
+    return reading.active_diff(side("lang_en"), side("lang_de")).select("path", "only_one", "only_other", F.array_join("first_one", ",").alias("first_one"), F.array_join("first_other", ",").alias("first_other"))
 
 
 MARKED = "m AS (SELECT '/m/' || doc_id || '.c' AS path, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, doc_id % 5 + 2, 9] ELSE [1, 9] END)::INTEGER AS line_no FROM documents)"
@@ -413,13 +426,17 @@ def patch_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("case_id", patch.patched("code", "diff").alias("p")).select("case_id", "p.patched", F.col("p.error").isNotNull().alias("failed"))
 
 
-SYNTAX = [("int f() { return 1; }\n", 0), ("int f() {\n", 1), ("#if A\nint x;\n", 1), ("#else\n#endif\n", 2), ('char *s = "{"; /* { */\n', 0), ("// note\nint f() {\n", 0), ("#if A\n#else\n#else\n#endif\n", 1)]
+OPEN_IF, OPEN_BRACE = "unbalanced #if/#endif: 1 unmatched #if at end of file", "unbalanced braces: depth=1 at end of file"
+SYNTAX = [
+    ("int f() { return 1; }\n", ""), ("int f() {\n", OPEN_BRACE), ("#if A\nint x;\n", OPEN_IF), ("#else\n#endif\n", "line 1: #else without matching #if; line 2: #endif without matching #if"),
+    ('char *s = "{"; /* { */\n', ""), ("// note\nint f() {\n", ""), ("#if A\n#else\n#else\n#endif\n", "line 3: #else without matching #if"), ("#if A\nint f() {\n", f"{OPEN_BRACE}; {OPEN_IF}"),
+]
 
 
 @query(values_sql("case_id, warnings", [(i, n) for i, (_, n) in enumerate(SYNTAX)]))
 def syntax_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rows(spark, "case_id long, code string", [(i, c[0]) for i, c in enumerate(SYNTAX)])
-    return d.select("case_id", F.size(patch.syntax("code")).cast("int").alias("warnings"))
+    return d.select("case_id", F.array_join(patch.syntax("code"), "; ").alias("warnings"))
 
 
 FAILURES = [("FileNotFoundError", "no a.c", "[FATAL] no a.c\n  hint: check that the file exists and the path is correct"), ("ValueError", "bad", "[FATAL] bad\n  hint: this usually means invalid arguments"), ("KeyError", "k", "[ERROR] KeyError: k")]
