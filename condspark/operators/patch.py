@@ -16,6 +16,11 @@ _IFS = ("if", "ifdef", "ifndef")
 _SYNTAX = re.compile(r"\\.?|[\"'{}]|//|/\*|\*/")
 
 
+#: Texts of the two warnings at the end of a file.
+BRACES_OPEN = "unbalanced braces: depth={} at end of file"
+IFS_OPEN = "unbalanced #if/#endif: {} unmatched #if at end of file"
+
+
 class PatchError(ValueError):
     pass
 
@@ -110,9 +115,9 @@ def syntax_warnings(code: str) -> list[str]:
             else:
                 at = m.start() + 1
     if braces:
-        found.append(f"unbalanced braces: depth={braces} at end of file")
+        found.append(BRACES_OPEN.format(braces))
     if chain:
-        found.append(f"unbalanced #if/#endif: {len(chain)} unmatched #if at end of file")
+        found.append(IFS_OPEN.format(len(chain)))
     return found
 
 
