@@ -46,11 +46,11 @@ def with_tokens(entries: DataFrame) -> DataFrame:
 
 
 def macros_of(tokens: Column) -> Column:
-    """Map of -D macros, the last of equal names counting; one without '=' has a null value."""
+    """Map of -D macros by first mention, the last value of equal names counting; one without '=' has a null value."""
     parts = F.transform(F.filter(tokens, lambda t: t.startswith("-D")), lambda t: F.trim(F.substring(t, F.lit(3), F.length(t))))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p)))).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
 
 
 def include_dirs_of(tokens: Column) -> Column:
@@ -128,3 +128,27 @@ def keep_flags(tokens: Column) -> Column:
 
 def is_cpp(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1)).isin(CPP)
+
+
+def preprocessor_argv(entries: DataFrame, compiler: str = "clang", target: str = "", sysroot: str = "") -> DataFrame:
+    """entries (path, macro_target, file, directory, tokens) with argv: the words that would preprocess path.
+
+    Flags of the entry that don't disturb preprocessing come first, without its macros, include folders, output and
+    source; then target and sysroot (given, else the entry's), the entry's macros, the target's three where the entry has
+    none of that name, the include folders and the file.  A null entry (tokens) gives none of its own.
+    """
+    own = F.coalesce("tokens", F.array().cast("array<string>"))
+    kept = keep_flags(own)
+    word = lambda t: (t == "-o") | (t == "--output")
+    sources = r"^/.*\.(c|cpp|cc|cxx|C|h|hpp)$"
+    plain = F.filter(kept, lambda t, i: ~word(t) & ~F.coalesce((i > 0) & word(F.get(kept, i - 1)), F.lit(False)) & ~t.rlike(sources))
+    plain = F.filter(plain, lambda t: ~t.rlike("^-(D|I|isystem|iquote|include)"))
+    inherited = lambda flag: F.try_element_at(F.filter(plain, lambda t: t.startswith(flag)), F.lit(-1))
+    option = lambda flag, given: F.array_compact(F.array(F.lit(f"{flag}{given}") if given else inherited(flag)))
+    macros = macros_of(own)
+    every = F.map_concat(macros, F.map_filter(target_macros(F.col("macro_target")), lambda k, _: ~F.map_contains_key(macros, k)))
+    defined = F.transform(F.map_entries(every), lambda e: F.concat(F.lit("-D"), e["key"], F.when(e["value"].isNotNull(), F.concat(F.lit("="), e["value"])).otherwise("")))
+    language = F.when(is_cpp(F.col("path")), "c++").otherwise("c")
+    begin = F.array(F.lit(compiler), F.lit("-E"), F.lit("-w"), F.lit("-x"), language)
+    folders = F.transform(include_dirs_of(own), lambda d: F.concat(F.lit("-I"), d))
+    return entries.withColumn("argv", F.concat(begin, plain, option("--target=", target), option("--sysroot=", sysroot), defined, folders, F.array("path")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import shared
-from ..functions import text
+from ..functions import conditions, text
 from . import blocks
 
 
@@ -59,16 +63,71 @@ def active_includes(files: DataFrame) -> DataFrame:
     return states.where(header != "").select("path", "target", "line_no", header.alias("header"), "active")
 
 
-def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+def _loose(events: list[tuple[str | None, str | None]], truth) -> list[bool]:
+    """Whether each include (a null directive) is followed, by branches that forget what was taken.
+
+    A branch is on where the one before it was off and its condition holds, so an else after an elif that
+    switched the chain off is on again; elif is asked only where the blocks around it are on.
+    """
+    found, chain = [], []
+    for word, condition in events:
+        outer = all(chain[:-1])
+        if word is None:
+            found.append(all(chain))
+        elif word in ("if", "ifdef", "ifndef"):
+            chain.append(all(chain) and (truth(condition) != (word == "ifndef")))
+        elif chain and word == "elif" and outer:
+            chain[-1] = not chain[-1] and truth(condition)
+        elif chain and word == "else":
+            chain[-1] = outer and not chain[-1]
+        elif chain and word == "endif":
+            chain.pop()
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _loosely(events: pd.Series, key: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str], bool] = {}
+    sets: dict[str, dict] = {}
+
+    def one(rows, k: str) -> list[bool]:
+        if k not in sets:
+            sets[k] = conditions.normal_macros(json.loads(k))
+
+        def truth(condition: str) -> bool:
+            if (k, condition) not in known:
+                known[k, condition] = conditions.told(condition, sets[k])[0]
+            return known[k, condition]
+
+        return _loose([(d["directive"], d["condition"]) for d in rows], truth)
+
+    return pd.Series([one(rows, k) for rows, k in zip(events, key, strict=True)])
+
+
+def walked_includes(files: DataFrame) -> DataFrame:
+    """(path, target, line_no, header, active) as the include walker tells branches: see _loose.
+
+    files: (path, target, macros, code).  It differs from active_includes in chains with #elif.  No step shuffles.
+    """
+    lines = F.transform(text.split_lines(F.coalesce("code", F.lit(""))), lambda x, i: F.when(x.contains("#"), F.struct((i + 1).alias("line_no"), blocks._directive(x).alias("d"), F.regexp_extract(x, blocks.INCLUDE, 1).alias("header"))))
+    rows = files.withColumn("_e", F.filter(lines, lambda e: e.isNotNull() & (e["d"].isNotNull() | (e["header"] != ""))))
+    asked = F.transform("_e", lambda e: F.struct(e["d"]["directive"].alias("directive"), e["d"]["condition"].alias("condition")))
+    rows = rows.withColumn("_on", _loosely(asked, conditions.macro_key(F.col("macros"))))
+    told = F.arrays_zip(F.filter("_e", lambda e: e["d"].isNull()).alias("e"), F.col("_on").alias("active"))
+    return rows.select("path", "target", F.explode_outer(told).alias("r")).where("r is not null").select("path", "target", "r.e.line_no", "r.e.header", "r.active")
+
+
+def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 10, walker: bool = True) -> tuple[DataFrame, DataFrame]:
     """What each root reaches for each target by active includes alone, and the includes met on the way.
 
     files: (path, code); dirs as in resolve; roots: (root, target); targets: (target, macros).  The first
     result is (root, target, path, depth), at the least depth, a root being at depth 0; a root that
     is no file reaches nothing.  Only paths new in a round go on, so cycles end; files at max_depth are
     reached, not opened.  The second is (root, target, path, line_no, header, active, dst) of every
-    include of the opened files: skipped ones aren't active, those found nowhere have a null dst.
+    include of the opened files: skipped ones aren't active, those found nowhere have a null dst.  Branches are
+    told by walked_includes, or as pruning tells them where ``walker`` is off.
     """
-    states = active_includes(files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros"))))
+    states = (walked_includes if walker else active_includes)(files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros"))))
     edges = shared.table(states.join(resolve(include_lines(files), files, dirs).distinct(), ["path", "line_no", "header"], "left"), "includes")
     follow = edges.where("active and dst is not null").select("target", F.col("path").alias("src"), "dst").distinct()
     begin = roots.join(files.select(F.col("path").alias("root")), "root", "left_semi").select("root", "target", F.col("root").alias("path"), F.lit(0).alias("depth"))

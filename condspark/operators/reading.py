@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text, tokens
-from . import blocks, skeleton
+from . import blocks, build, includes, skeleton
 
 
 def budgeted(pruned: DataFrame, budget: int) -> DataFrame:
-    """pruned (path, target, code) with (shown, level, tokens): the text that fits the budget.
+    """(path, target, shown, level, tokens, skeleton_tokens): pruned (path, target, code) as it fits the budget.
 
-    level: full, skeleton, or over where even the skeleton is too long; 0 sets no budget.
-    Skeletons are made only for texts over the budget.
+    level: full, skeleton, or over where even the skeleton is too long, and then the whole text is shown; 0 sets no
+    budget.  Skeletons are made only for texts over the budget; else skeleton_tokens is null.
     """
     cost = tokens.char_estimate(F.col("code"))
-    fits = pruned.where((F.lit(budget) <= 0) | (cost <= budget)).select("path", "target", F.col("code").alias("shown"), F.lit("full").alias("level"))
-    over = pruned.where((F.lit(budget) > 0) & (cost > budget)).select("path", "target", skeleton.skeleton("code")["skeleton"].alias("shown"))
-    small = tokens.char_estimate(F.col("shown")) <= budget
-    return fits.unionByName(over.select("path", "target", "shown", F.when(small, "skeleton").otherwise("over").alias("level"))).withColumn("tokens", tokens.char_estimate(F.col("shown")))
+    fits = pruned.where((F.lit(budget) <= 0) | (cost <= budget)).select("path", "target", F.col("code").alias("shown"), F.lit("full").alias("level"), F.lit(None).cast("long").alias("skeleton_tokens"))
+    long = pruned.where((F.lit(budget) > 0) & (cost > budget)).select("path", "target", "code", skeleton.skeleton("code")["skeleton"].alias("skeleton"))
+    long = long.withColumn("skeleton_tokens", tokens.char_estimate(F.col("skeleton")))
+    small = F.col("skeleton_tokens") <= budget
+    told = fits.unionByName(long.select("path", "target", F.when(small, F.col("skeleton")).otherwise(F.col("code")).alias("shown"), F.when(small, "skeleton").otherwise("over").alias("level"), "skeleton_tokens"))
+    return told.withColumn("tokens", tokens.char_estimate(F.col("shown"))).select("path", "target", "shown", "level", "tokens", "skeleton_tokens")
 
 
 def active_lines(states: DataFrame) -> DataFrame:
@@ -70,3 +73,36 @@ def bundle(roots: DataFrame, deps: DataFrame) -> DataFrame:
     said = said.withColumn("part", F.when(F.col("code").isNull(), F.concat(F.lit("/* --- "), text.basename(F.col("path")), F.lit(" --- */\n/* Skipped */"))).otherwise(F.col("part")))
     parts = said.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(text.basename(F.col("path")).alias("name"), "path", "part"))), lambda d: d["part"]), "\n\n").alias("parts"))
     return roots.join(parts, "root", "left").select("root", F.concat_ws("\n\n", "code", "parts").alias("text"))
+
+
+RULE = "══════════════════"
+
+
+def with_dependencies(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame, title: str, max_depth: int = 2, mode: str = "physical") -> DataFrame:
+    """(root, target, n_deps, text): each root pruned, then skeletons of the headers that it includes for the target.
+
+    files: (path, code); dirs as for includes.resolve; roots: (root, target); targets: (target, macros), the macros
+    that the root's build gives and the target's three.  Headers are found by active includes up to ``max_depth`` files
+    deep, come by name (of headers of one name the one of least depth, then path) and are pruned with the target's three macros alone,
+    as no build entry names them.  Each file is pruned once a target, however many roots reach it.
+    """
+    reached, _ = includes.conditional_closure(files, dirs, roots, targets, max_depth - 1)
+    reached = shared.table(reached.withColumn("name", text.basename(F.col("path"))), "reached")
+    own = F.col("name") != text.basename(F.col("root"))
+    deps = reached.where(own).groupBy("root", "target", "name").agg(F.min_by("path", F.struct("depth", "path")).alias("path"))
+    wanted = deps.select("path", "target").distinct().join(files, "path").withColumn("macros", build.target_macros(F.col("target")))
+    plain = blocks.prune(wanted.select("path", "target", "macros", "code"), mode).select("path", "target", skeleton.skeleton("code").alias("s"))
+    head = lambda kind, name: F.concat(F.lit(f"/* ══ {kind}: "), name, F.lit(f" {RULE} */\n"))
+    part = F.concat(F.lit("\n"), head("DEPENDENCY", F.col("name")), F.lit("/* Skeleton: "), F.col("s.skeleton_lines").cast("string"), F.lit(" lines | Functions stripped: "), F.col("s.functions_stripped").cast("string"), F.lit(" */\n\n"), F.col("s.skeleton"))
+    parts = deps.join(plain, ["path", "target"]).groupBy("root", "target").agg(F.count("*").alias("n_deps"), F.transform(F.array_sort(F.collect_list(F.struct("name", part.alias("part")))), lambda d: d["part"]).alias("parts"))
+    begun = reached.where("depth = 0").select("root", "target").join(targets, "target").join(files.withColumnRenamed("path", "root"), "root")
+    pruned = blocks.prune(begun.select(F.col("root").alias("path"), "target", "macros", "code"), mode).withColumnRenamed("path", "root")
+    rows = pruned.join(parts, ["root", "target"], "left").withColumn("n_deps", F.coalesce("n_deps", F.lit(0)).cast("long"))
+    name = text.basename(F.col("root"))
+    line = lambda label, value, gap: F.concat(F.lit(f"/* {label}: "), value, F.lit(f"{gap}*/\n"))
+    top = F.concat(
+        F.lit(f"/* ── {title} ──────────────── */\n"), line("Target", F.col("target"), " " * 32), line("Root", name, " " * 27), line("Dependencies", F.col("n_deps").cast("string"), " files        "),
+        F.lit(f"/* Max depth: {max_depth}                          */\n/* Mode: {mode}                                    */\n/* Backend: regex                          */\n/* ─────────────────────────────────────────────── */\n\n"),
+    )
+    first = F.concat(head("TARGET FILE", name), F.lit("/* Original: "), F.col("original_lines").cast("string"), F.lit(" lines | Pruned: "), F.col("pruned_lines").cast("string"), F.lit(" lines */\n\n"), F.col("code"))
+    return rows.select("root", "target", "n_deps", F.concat(top, F.concat_ws("\n", first, "parts")).alias("text"))

@@ -69,6 +69,42 @@ def synth_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, code): preprocessed text with line markers, made of documents' first lines."""
+    """(path, code): preprocessed text with line markers, a small one for each document's id."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), F.col("doc_id").alias("d"))
     return docs.select("path", F.concat(F.lit('# 1 "'), "path", F.lit('"\nint a;\n# 1 "/usr/x.h" 1\nint x;\n# '), (F.col("d") % 5 + 2).cast("string"), F.lit(' "'), "path", F.lit('" 2\n'), F.when(F.col("d") % 2 == 0, "int b;").otherwise("   "), F.lit('\n# 9 "'), "path", F.lit('"\nint c;')).alias("code"))
+
+
+def synth_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """synth_sources with an include in place of each line of code."""
+    return synth_sources(spark, sf_dir).withColumn("code", F.regexp_replace("code", r"(?m)^code_(\d+);$", '#include "i$1.h"'))
+
+
+def header_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, folders, targets): a header for each supplier that includes others, by target, and defines a function."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    header = lambda a, b: F.concat(F.lit('#include "h'), ((F.col("s") * a + b) % F.col("n")).cast("string"), F.lit('.h"\n'))
+    body = F.concat(F.lit("int f"), F.col("s").cast("string"), F.lit("(int a,\n    int b)\n{\n    return a + b;\n}\n"))
+    code = F.concat(F.lit("#ifdef PRODUCT_A\n"), header(7, 3), F.lit("#else\n"), header(5, 1), F.lit("#endif\n#include <stdio.h>\n"), F.when(F.col("s") % 3 == 0, header(3, 2)).otherwise(F.lit("")), body)
+    files = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select(F.concat(F.lit("/h/h"), F.col("s").cast("string"), F.lit(".h")).alias("path"), code.alias("code"))  # one row
+    targets = spark.createDataFrame([("product_a",), ("other",)], "target string").withColumn("macros", build.target_macros(F.col("target")))
+    return files, spark.createDataFrame([(0, "/h/include")], "ord int, dir string"), targets
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(projects, listing, manifests): a project for each supplier, the files that exist, and the manifests' text."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.concat(F.lit("/w/s"), F.col("s_suppkey").cast("string")).alias("w"))
+    name = lambda *parts: F.concat(*[F.lit(p) if p.startswith("/") or "." in p else F.col(p).cast("string") for p in parts])
+    projects = s.select(F.col("s").alias("project"), name("w", "/code/app").alias("root"))
+    when = lambda on, *parts: F.when(on, name(*parts))
+    k = F.col("s")
+    paths = F.array(
+        when(k % 4 != 3, "w", "/MANIFEST.md"), name("w", "/out/b.json"), when(k % 5 == 0, "w", "/code/app/build/compile_commands.json"), when(k % 3 == 0, "w", "/code/app/x/y/compile_commands_z.json"),
+        name("w", "/code/app/node_modules/compile_commands.json"), when(k % 7 == 0, "w", "/ai/projects/b", "s", "/.toolrc"),
+    )
+    listing = s.select(F.explode(F.array_compact(paths)).alias("path"))
+    wanted = F.when(k % 4 == 0, "beta").when(k % 4 == 1, "none").otherwise("gamma")
+    said = F.concat(
+        F.lit("repo_root: "), "w", F.lit("\nactive_project: "), wanted, F.lit("\n# note: this\n\n## Project Matrix\n### alpha\n- project_id: a"), k.cast("string"), F.lit("\n- active: "), F.when(k % 2 == 1, "Yes").otherwise("no"),
+        F.lit("\n- compile_commands: a.json\n### beta  \n- project_id: old\n- project_id: b"), k.cast("string"), F.lit("\n- compile_commands: out/b.json\n## End\n- stray: x\n"),
+    )
+    return projects, listing, s.where("s % 4 <> 3").select(name("w", "/MANIFEST.md").alias("manifest"), said.alias("text"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text, tokens
-from ..operators import blocks, build, includes, patch, reading, skeleton
+from ..operators import blocks, build, includes, patch, reading, report, skeleton
 from ..sources import files as sources
+from ..sources import projects
 from . import corpora
 from .corpora import LANGS, LINES, TEMPLATE_OF, TEMPLATES, table
 
@@ -90,10 +91,10 @@ def page_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "page_offset", text.page(F.col("text"), F.lit(500), F.col("page_offset")).alias("shown"))
 
 
-@query("WITH d AS (SELECT doc_id, regexp_replace(text, '\\n$', '') AS s, text FROM documents) SELECT doc_id, CASE WHEN c <= 400 THEN 'full' ELSE 'over' END AS level, CASE WHEN c <= 400 THEN c ELSE t END AS tokens, md5(CASE WHEN c <= 400 THEN text ELSE s END) AS shown_md5 FROM (SELECT doc_id, text, s, greatest(1, floor(length(text) / 3.7::DOUBLE))::BIGINT AS c, greatest(1, floor(length(s) / 3.7::DOUBLE))::BIGINT AS t FROM d)")
+@query("WITH d AS (SELECT doc_id, regexp_replace(text, '\\n$', '') AS s, text FROM documents) SELECT doc_id, CASE WHEN c <= 400 THEN 'full' ELSE 'over' END AS level, c AS tokens, CASE WHEN c > 400 THEN t END AS skeleton_tokens, md5(text) AS shown_md5 FROM (SELECT doc_id, text, s, greatest(1, floor(length(text) / 3.7::DOUBLE))::BIGINT AS c, greatest(1, floor(length(s) / 3.7::DOUBLE))::BIGINT AS t FROM d)")
 def budget_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit("t").alias("target"), F.col("text").alias("code"))
-    return reading.budgeted(d, 400).select(F.col("path").alias("doc_id"), "level", "tokens", F.md5(F.col("shown").cast("binary")).alias("shown_md5"))
+    return reading.budgeted(d, 400).select(F.col("path").alias("doc_id"), "level", "tokens", "skeleton_tokens", F.md5(F.col("shown").cast("binary")).alias("shown_md5"))
 
 
 # -- conditional blocks
@@ -327,13 +328,44 @@ ACTIVE = "n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT 'product_a' AS
 @query(f"WITH RECURSIVE {ACTIVE}, reach AS (SELECT target, s_suppkey AS root, s_suppkey AS path, 0 AS depth FROM supplier, (SELECT DISTINCT target FROM a) UNION SELECT reach.target, root, dst, depth + 1 FROM reach JOIN a ON reach.target = a.target AND path = src WHERE depth < 3 AND dst IN (SELECT s_suppkey FROM supplier)) SELECT '/h/h' || root || '.h' AS root, target, '/h/h' || path || '.h' AS path, min(depth)::INTEGER AS depth FROM reach GROUP BY ALL")
 def include_closure_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole closure over active includes; include_closure_cond lists direct includes."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
-    header = lambda a, b: F.concat(F.lit('#include "h'), ((F.col("s") * a + b) % F.col("n")).cast("string"), F.lit('.h"\n'))
-    code = F.concat(F.lit("#ifdef PRODUCT_A\n"), header(7, 3), F.lit("#else\n"), header(5, 1), F.lit("#endif\n#include <stdio.h>\n"), F.when(F.col("s") % 3 == 0, header(3, 2)).otherwise(F.lit("")))
-    files = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select(F.concat(F.lit("/h/h"), F.col("s").cast("string"), F.lit(".h")).alias("path"), code.alias("code"))
-    targets = rows(spark, "target string", [("product_a",), ("other",)]).withColumn("macros", build.target_macros(F.col("target")))
-    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))
-    return includes.conditional_closure(files, rows(spark, "ord int, dir string", [(0, "/h/include")]), roots, targets, 3)[0]
+    files, dirs, targets = corpora.header_tree(spark, sf_dir)
+    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))  # two targets
+    return includes.conditional_closure(files, dirs, roots, targets, 3)[0]
+
+
+HEADERS = """k AS (SELECT s_suppkey AS s, t AS target, (SELECT count(*) FROM supplier) AS n FROM supplier, (VALUES ('product_a'), ('other')) v(t)),
+x AS (SELECT s, target, '#include "h' || CASE target WHEN 'product_a' THEN (s * 7 + 3) % n ELSE (s * 5 + 1) % n END || '.h"' || chr(10) || '#include <stdio.h>' || chr(10) || CASE WHEN s % 3 = 0 THEN '#include "h' || (s * 3 + 2) % n || '.h"' || chr(10) ELSE '' END AS top, CASE WHEN s % 3 = 0 THEN 3 ELSE 2 END AS n_top FROM k)"""
+
+
+@query(f"""WITH RECURSIVE {ACTIVE}, reach AS (SELECT target, s_suppkey AS root, s_suppkey AS path, 0 AS depth FROM supplier, (SELECT DISTINCT target FROM a) UNION SELECT reach.target, root, dst, depth + 1 FROM reach JOIN a ON reach.target = a.target AND path = src WHERE depth < 2 AND dst IN (SELECT s_suppkey FROM supplier)),
+{HEADERS}, deps AS (SELECT DISTINCT target, root, path FROM reach WHERE path <> root),
+parts AS (SELECT target, root, count(*) AS n_deps, string_agg(chr(10) || '/* ══ DEPENDENCY: h' || path || '.h ══════════════════ */' || chr(10) || '/* Skeleton: ' || (n_top + 2) || ' lines | Functions stripped: 1 */' || chr(10) || chr(10) || top || 'int f' || path || '(int a, int b)' || chr(10) || '{{ /* ... */ }}', chr(10) ORDER BY 'h' || path || '.h') AS body FROM deps JOIN x USING (target) WHERE x.s = path GROUP BY ALL)
+SELECT '/h/h' || s || '.h' AS root, x.target, coalesce(n_deps, 0) AS n_deps, md5('/* ── Sources ──────────────── */' || chr(10) || '/* Target: ' || x.target || repeat(' ', 32) || '*/' || chr(10) || '/* Root: h' || s || '.h' || repeat(' ', 27) || '*/' || chr(10) || '/* Dependencies: ' || coalesce(n_deps, 0) || ' files        */' || chr(10) || '/* Max depth: 3                          */' || chr(10) || '/* Mode: physical                                    */' || chr(10) || '/* Backend: regex                          */' || chr(10) || '/* ─────────────────────────────────────────────── */' || chr(10) || chr(10)
+ || '/* ══ TARGET FILE: h' || s || '.h ══════════════════ */' || chr(10) || '/* Original: ' || (n_top + 9) || ' lines | Pruned: ' || (n_top + 5) || ' lines */' || chr(10) || chr(10) || top || 'int f' || s || '(int a,' || chr(10) || '    int b)' || chr(10) || '{{' || chr(10) || '    return a + b;' || chr(10) || '}}' || coalesce(chr(10) || body, '')) AS text_md5
+FROM x LEFT JOIN parts ON x.s = parts.root AND x.target = parts.target""")
+def read_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every header as root for two targets, with the headers that it includes for the target."""
+    files, dirs, targets = corpora.header_tree(spark, sf_dir)
+    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))  # two targets
+    got = reading.with_dependencies(files, dirs, roots, targets, "Sources", 3)
+    return got.select("root", "target", "n_deps", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+LOOSE = STACK.replace("run AS", "unused AS").split("unused AS")[0] + """run AS (SELECT p_partkey AS f, 0::BIGINT AS n, []::BOOLEAN[] AS st, 99::BIGINT AS k FROM part
+UNION ALL SELECT r.f, c.n, CASE
+  WHEN c.k <= 2 THEN list_append(r.st, len(list_filter(r.st, lambda x: NOT x)) = 0 AND c.c)
+  WHEN c.k > 6 OR len(r.st) = 0 THEN r.st
+  WHEN c.k <= 4 AND len(list_filter(r.st[:-2], lambda x: NOT x)) > 0 THEN CASE c.k WHEN 4 THEN list_append(r.st[:-2], false) ELSE r.st END
+  WHEN c.k = 3 THEN list_append(r.st[:-2], NOT r.st[-1] AND c.c)
+  WHEN c.k = 4 THEN list_append(r.st[:-2], NOT r.st[-1])
+  ELSE r.st[:-2] END, c.k
+ FROM run r JOIN cond c ON c.f = r.f AND c.n = r.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {LOOSE} SELECT '/s/' || f || '.c' AS path, n::INTEGER AS line_no, 'i' || n || '.h' AS header, len(list_filter(st, lambda x: NOT x)) = 0 AS active FROM run WHERE n > 0 AND k > 6")
+def include_walker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes as the walker tells branches, which forgets what was taken."""
+    return includes.walked_includes(corpora.synth_includes(spark, sf_dir)).select("path", "line_no", "header", "active")
 
 
 @query(values_sql("root, text", [("/p/app.c", DEPS[0][1] + "\n\n/* --- types.h --- */\nstruct dev {\n    int id;\n};\n\n/* --- utils.h --- */\n" + DEPS[1][1].rstrip("\n"))]))
@@ -373,6 +405,89 @@ def marker_skipped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.missing_ranges(reading.marker_lines(out), out.select("path", F.lit(12).alias("n_lines")))
 
 
+@query(f"""WITH {GUARDED}, c AS (SELECT path, list_filter(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang = 'EN' THEN {AT} + 1 WHEN (i - 1) % 4 = 0 AND lang = 'DE' THEN {AT} + 3 WHEN (i - 1) % 4 = 1 THEN {AT} + 6 END), lambda n: n IS NOT NULL) AS en,
+ list_filter(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang = 'EN' THEN {AT} + 3 WHEN (i - 1) % 4 = 0 AND lang = 'DE' THEN {AT} + 1 END), lambda n: n IS NOT NULL) AS de, len(a)::BIGINT AS n_lines FROM g WHERE t = 'EN')
+SELECT path, len(en) + len(de) = 0 AS agree, CASE WHEN len(en) + len(de) = 0 THEN 'OK: both agree on all ' || n_lines || ' lines.' ELSE 'Disagreement: ' || len(en) || ' line(s) only in the first, ' || len(de) || ' line(s) only in the second.'
+ || CASE WHEN len(en) > 0 THEN chr(10) || '  first alone: [' || array_to_string(en[:20], ', ') || ']' || CASE WHEN len(en) > 20 THEN '...' ELSE '' END ELSE '' END
+ || CASE WHEN len(de) > 0 THEN chr(10) || '  second alone: [' || array_to_string(de[:20], ', ') || ']' || CASE WHEN len(de) > 20 THEN '...' ELSE '' END ELSE '' END END AS said FROM c""")
+def backend_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two analyses of each file, in words."""
+    s = reading.active_lines(blocks.line_states(corpora.guarded_docs(spark, sf_dir).where("target in ('lang_en', 'lang_de')")))
+    side = lambda t: s.where(F.col("target") == t).select("path", F.lit("both").alias("target"), "line_no")
+    counts = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), F.lit("both").alias("target"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return report.verdicts(reading.active_diff(side("lang_en"), side("lang_de")), counts).select("path", "agree", "said")
+
+
+@query(f"WITH RECURSIVE {STACK}, code AS (SELECT path, line_no, active, min(CASE WHEN active THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM states WHERE k > 6 OR orphan) SELECT path, count(CASE WHEN active THEN 1 END) AS active_lines, count(DISTINCT CASE WHEN NOT active THEN nx END) AS skipped_ranges FROM code GROUP BY path")
+def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = blocks.line_states(corpora.synth_sources(spark, sf_dir))
+    return report.line_counts(s, blocks.skipped_ranges(s)).select("path", "active_lines", "skipped_ranges")
+
+
+@query(f"""WITH {GUARDED}, c AS (SELECT path, target, a, n_lines, n_chars, CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END AS k FROM kept),
+m AS (SELECT path, target, array_to_string(k, chr(10)) AS code, (n_lines - CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN 1 ELSE 0 END)::BIGINT AS o, len(list_filter(k, lambda x: regexp_matches(x, '\\S')))::BIGINT AS p, {TOKENS_OF.format('n_chars')} AS ot FROM c),
+q AS (SELECT *, {TOKENS_OF.format('length(code)')} AS pt FROM m)
+SELECT path, target, md5('/* --- Sources ---------------------------- */' || chr(10) || '/* Target:    ' || rpad(target, 36, ' ') || '*/' || chr(10) || '/* Lines:     ' || (o - p) || '/' || o || ' dropped (' || CASE WHEN o > 0 THEN round_even((o - p) / o * 100, 2) ELSE 0.0::DOUBLE END || '%)              */' || chr(10)
+ || '/* Tokens:    ' || greatest(0, ot - pt) || '/' || ot || ' saved (' || CASE WHEN ot > 0 THEN round_even(greatest(0, ot - pt) / ot * 100, 2) ELSE 0.0::DOUBLE END || '%)                  */' || chr(10) || '/* Mode:      physical                                */' || chr(10) || '/* Backend:   regex                              */' || chr(10) || '/* ------------------------------------------------ */' || chr(10) || chr(10) || code) AS text_md5 FROM q""")
+def read_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader gets for each file and target: banner and pruned text."""
+    return report.read(blocks.prune(corpora.guarded_docs(spark, sf_dir)), "Sources").select("path", "target", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {DB} SELECT db_id, entry_ord, 'clang -E -w -x ' || CASE WHEN name LIKE '%.cpp' THEN 'c++' ELSE 'c' END || ' -Wall inc -x -c --sysroot=/sdk -DPRODUCT_TYPE=' || t5 || CASE WHEN wifi THEN ' -DHAS_WIFI' ELSE '' END || ' -DWS63 -DTARGET_WS63 -DPRODUCT_WS63 -Iinc -Iinc' || i4 || ' /w/src/' || name AS argv FROM db")
+def preprocessor_argv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = build.with_tokens(corpora.synth_database(spark, sf_dir)).withColumn("macro_target", F.lit("ws63")).withColumn("path", text.resolve(F.col("file"), F.col("directory")))
+    return build.preprocessor_argv(e, sysroot="/sdk").select("db_id", "entry_ord", F.array_join("argv", " ").alias("argv"))
+
+
+# -- projects
+
+
+PROJECTS = """b AS (SELECT s_suppkey AS s, '/w/s' || s_suppkey AS w FROM supplier),
+h AS (SELECT *, CASE WHEN s % 5 = 0 THEN w || '/code/app/build/compile_commands.json' WHEN s % 3 = 0 THEN w || '/code/app/x/y/compile_commands_z.json' END AS searched FROM b)"""
+
+
+@query(f"WITH {PROJECTS} SELECT s AS project, CASE s % 4 WHEN 0 THEN 'manifest' WHEN 1 THEN 'manifest' WHEN 2 THEN 'manifest (no active project)' ELSE 'none' END AS source, CASE WHEN s % 4 = 0 THEN w || '/out/b.json' ELSE searched END AS path, CASE WHEN s % 4 = 0 THEN 'PRODUCT_' || s % 7 ELSE 'DEFAULT' END AS target, CASE s % 4 WHEN 0 THEN w || '/ai/projects/b' || s WHEN 1 THEN w || '/ai/projects/a' || s WHEN 2 THEN w || '/ai/projects/default' ELSE w || '/code/app/ai/projects/default' END || '/.toolrc' AS settings_path, s % 4 = 0 AND s % 7 = 0 AS exists, NOT (s % 4 = 0 AND s % 7 = 0) AS write FROM h")
+def bootstrap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest above the root, its active project, the build database, and where settings would go."""
+    known, listing, texts = corpora.project_files(spark, sf_dir)
+    near = projects.manifests(known, listing, "MANIFEST.md").where("manifest is not null")
+    active = near.join(projects.active_projects(projects.manifest_fields(texts)), "manifest", "left")
+    databases = active.where("fields is not null").select("project", text.resolve(F.col("fields")["compile_commands"], text.dirname(F.col("manifest"))).alias("path"))
+    targets = listing.where("path like '%/out/b.json'").select("path", F.concat(F.lit("PRODUCT_"), (F.regexp_extract("path", r"/s(\d+)/", 1).cast("long") % 7).cast("string")).alias("target"))
+    return projects.bootstrap(known, listing, databases, targets, active.select("project", "manifest", F.col("fields")["project_id"].alias("project_id")), "toolrc")
+
+
+@query(f"WITH {PROJECTS} SELECT w || '/MANIFEST.md' AS manifest, ord, name, key, value FROM b, LATERAL (VALUES (0, NULL, 'repo_root', w), (0, NULL, 'active_project', CASE s % 4 WHEN 0 THEN 'beta' WHEN 1 THEN 'none' ELSE 'gamma' END), (1, 'alpha', 'project_id', 'a' || s), (1, 'alpha', 'active', CASE WHEN s % 2 = 1 THEN 'Yes' ELSE 'no' END), (1, 'alpha', 'compile_commands', 'a.json'), (2, 'beta', 'project_id', 'b' || s), (2, 'beta', 'compile_commands', 'out/b.json')) v(ord, name, key, value) WHERE s % 4 <> 3")
+def manifest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.manifest_fields(corpora.project_files(spark, sf_dir)[2]).withColumn("ord", F.col("ord").cast("int"))
+
+
+@query("SELECT s_suppkey AS project, CASE WHEN s_suppkey % 11 = 0 THEN '/o/' || s_suppkey WHEN s_suppkey % 2 = 0 THEN '/p/' || s_suppkey || '/.toolrc' WHEN s_suppkey % 3 = 0 THEN '/p/' || s_suppkey || '/toolrc' WHEN s_suppkey % 5 = 0 THEN '/m/' || s_suppkey || '/.toolrc' WHEN s_suppkey % 7 <> 0 THEN '/home/toolrc' END AS path, coalesce(CASE WHEN s_suppkey % 13 = 0 THEN 'given' END, CASE WHEN s_suppkey % 4 = 0 THEN 'configured' END, 'detected') AS target, s_suppkey % 6 IN (0, 1) AS read_only, CASE WHEN s_suppkey % 3 = 0 THEN '/p/' || s_suppkey || '/toolrc' END AS found FROM supplier")
+def settings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings file in use, what a value falls back to, the read-only switch, and a path that may exist."""
+    k = F.col("s")
+    at = lambda a, b: F.concat(F.lit(a), k.cast("string"), F.lit(b))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    some = F.array(F.when(k % 11 == 0, at("/o/", "")), F.when(k % 2 == 0, at("/p/", "/.toolrc")), F.when(k % 3 == 0, at("/p/", "/toolrc")), F.when(k % 5 == 0, at("/m/", "/.toolrc")), F.when(k % 7 != 0, at("/home", "/toolrc")))
+    listing = s.select(F.explode(F.array_compact(some)).alias("path"))
+    known = s.select(k.alias("project"), at("/p/", "").alias("root"), F.lit("/none").alias("cwd"), at("/home", "").alias("home"), at("/o/", "").alias("override"))
+    found = projects.find_settings(known, listing, s.select(k.alias("project"), at("/m/", "").alias("folder")), "toolrc").withColumn("path", F.regexp_replace("path", r"^/home\d+", "/home"))
+    asked = projects.existing(s.select("s", F.concat(F.lit("p/"), k.cast("string"), F.lit("/toolrc")).alias("path")), listing, "/").select(k.alias("project"), "found")
+    value = projects.chosen(F.when(k % 13 == 0, "given").otherwise(""), F.when(k % 4 == 0, "configured"), F.lit("detected"))
+    switch = projects.truthy(F.when(k % 6 == 0, "YES").when(k % 6 == 1, "1").when(k % 6 == 2, "off"))
+    return found.join(s.select(k.alias("project"), value.alias("target"), switch.alias("read_only")), "project").join(asked, "project")
+
+
+@query("SELECT n_nationkey AS project, '# settings' || chr(10) || chr(10) || '[other]' || chr(10) || 'region = ' || n_regionkey || chr(10) || chr(10) || '[pruner]' || chr(10) || '# Target.' || chr(10) || 'name = ' || CASE WHEN contains(n_name, ' ') THEN '\"' || n_name || '\"' ELSE n_name END || chr(10) || 'roots = [/a, \"\"]' || chr(10) AS text FROM nation")
+def settings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project"), "n_name", F.col("n_regionkey").cast("string").alias("r"))
+    value = projects.quoted_value
+    listed = F.concat(F.lit("["), value(F.lit("/a")), F.lit(", "), value(F.lit("")), F.lit("]"))
+    entries = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(s).alias("section"), F.lit(k).alias("key"), v.alias("value"), F.lit(c).alias("comment")) for o, s, k, v, c in [(0, "pruner", "name", value(F.col("n_name")), "Target."), (1, "pruner", "roots", listed, ""), (2, "other", "region", value(F.col("r")), "")]])
+    return projects.settings_text(n.select("project", F.inline(entries)), "# settings")
+
+
 # -- fixed cases
 
 SAFETY = [("/p/src/a.c", [], [], "ok"), ("/p/.git/x", [], ["/p/.git"], "denied"), ("/p/src/a.c", ["/p/src"], [], "ok"), ("/p/srcs/a.c", ["/p/src"], [], "outside"), ("/p/src/v/a.c", ["/p/src"], ["/p/src/v"], "denied"), ("/p/src/../etc/a", ["/p/src"], [], "outside")]

@@ -1,4 +1,4 @@
-"""Source trees, build databases, configuration and manifests as DataFrames; writers of results."""
+"""Source trees, build databases and settings as DataFrames; writers of results (see projects for finding them)."""
 
 from __future__ import annotations
 
@@ -24,6 +24,26 @@ def compile_commands(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("db_id", F.posexplode("entries").alias("entry_ord", "e")).select("db_id", "entry_ord", "e.directory", "e.file", "e.command", "e.arguments")
 
 
+_parsed: dict[str, tuple[int, DataFrame]] = {}
+#: Fixed value: how many databases stay parsed.
+KEPT = 16
+
+
+def cached_commands(spark: SparkSession, path: str) -> DataFrame:
+    """compile_commands of one file, kept until the file changes; of more than KEPT the one changed longest ago goes."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getModificationTime()
+    known = _parsed.get(path)
+    if known and known[0] == changed and known[1].sparkSession is spark:
+        return known[1]
+    if known:
+        known[1].unpersist()
+    elif len(_parsed) >= KEPT:
+        _parsed.pop(min(_parsed, key=lambda p: _parsed[p][0]))[1].unpersist()
+    _parsed[path] = changed, compile_commands(spark, path).cache()
+    return _parsed[path][1]
+
+
 def settings(texts: DataFrame) -> DataFrame:
     """(project, key, value) of rc texts (project, text): sections prefix keys, '#' begins a comment."""
     rows = texts.select("project", F.posexplode(text.split_lines(F.col("text"))).alias("n", "line"))

@@ -1,11 +1,14 @@
 """Sources, macros and streaming on small files."""
 
 import json
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from condspark.functions import text
-from condspark.operators import build, includes
+from condspark.operators import blocks, build, includes, report
 from condspark.plans import queries
 from condspark.sources import files
 from condspark.streaming import watch
@@ -59,3 +62,65 @@ def test_conditional_closure(spark):
         assert sorted((r.target, r.path, r.depth) for r in reached.collect()) == sorted(want)
         skipped = {(r.target, r.path, r.header) for r in met.where("not active").collect()}
         assert skipped == {("product_a", "/p/app.c", "plain.h"), ("other", "/p/app.c", "wifi.h")} | ({("other", "/p/include/types.h", "deep.h")} if bound > 2 else set())
+
+
+def test_two_places_as_python_rounds(spark):
+    rng = random.Random(1)
+    values = [2.675, 0.125, 0.375, 3.125, 0.0, 100.0, 1 / 3, 66.666, 0.005, 0.015] + [rng.randint(0, 4000) / rng.randint(1, 4000) * 100 for _ in range(3000)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r.x == round(r.v, 2) for r in d.select("v", report.two_places(F.col("v")).alias("x")).collect())
+
+
+def test_savings_without_the_original(spark):
+    d = spark.createDataFrame([("a" * 370, "b" * 37, 5), (None, "b" * 37, 5), ("", "", 0), (None, None, 0)], "o string, p string, n int")
+    got = [tuple(r.s) for r in d.select(report.savings(F.col("o"), F.col("p"), F.col("n")).alias("s")).collect()]
+    assert got[:3] == [(100, 10, 90, 90.0), (10 + 2, 10, 0, 0.0), (0, 0, 0, 0.0)]
+
+
+def test_match_by_path_alone_and_first_entry(spark):
+    files = spark.createDataFrame([("/w/a.c",), ("/x/a.c",), ("/x/b.h",)], "path string")
+    entries = spark.createDataFrame([(0, "/w", "../y/a.c"), (1, "/w", "a.c"), (2, "/w", "a.c")], "entry_ord int, directory string, file string")
+    by = {r.path: r.entry_ord for r in build.match_files(files, entries).collect()}
+    assert by == {"/w/a.c": 0, "/x/a.c": 0, "/x/b.h": None}
+    assert {r.path: r.entry_ord for r in build.match_files(files, entries, by_name=False).collect()} == {"/w/a.c": 1, "/x/a.c": None, "/x/b.h": None}
+    names = spark.createDataFrame([(x,) for x in ("/a.c", "/a.CPP", "/a.cc", "/a.h", "/c++")], "n string")
+    assert [r[0] for r in names.select(build.is_cpp(F.col("n"))).collect()] == [False, True, True, False, False]
+
+
+def test_deep_closure_has_small_plans(spark):
+    edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(30)] + [("f9", "f0")], "src string, dst string")
+    got = includes.closure(edges, spark.createDataFrame([("f0",)], "root string"), 10)
+    assert {(r.path, r.depth) for r in got.collect()} == {(f"f{i}", i) for i in range(10)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_cached_database_follows_the_file(spark, tmp_path):
+    f = tmp_path / "compile_commands.json"
+    f.write_text('[{"directory": "/w", "file": "a.c", "command": "cc -DA a.c"}]')
+    one = files.cached_commands(spark, str(f))
+    assert files.cached_commands(spark, str(f)) is one and one.count() == 1
+    f.write_text('[{"directory": "/w", "file": "a.c", "command": "cc"}, {"directory": "/w", "file": "b.c", "command": "cc"}]')
+    os.utime(f, (1, 1))
+    assert files.cached_commands(spark, str(f)).count() == 2
+    for i in range(files.KEPT):
+        g = tmp_path / f"{i}.json"
+        g.write_text("[]")
+        files.cached_commands(spark, str(g))
+    assert len(files._parsed) == files.KEPT and str(f) not in files._parsed
+
+
+def test_written_texts_are_not_replaced_unasked(spark, tmp_path):
+    d = spark.createDataFrame([("/a.c", "int a;")], "path string, code string")
+    files.write_texts(d, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        files.write_texts(d, str(tmp_path / "out"))
+    files.write_texts(d.limit(0), str(tmp_path / "out"), force=True)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_nulls_in_sources(spark):
+    d = spark.createDataFrame([("/a.c", "t", {"A": None}, None), ("/b.c", "t", {"A": None}, ""), ("/c.c", "t", {}, "#ifdef A\nx\n")], "path string, target string, macros map<string, string>, code string")
+    got = {r.path: (r.code, r.original_lines, r.pruned_lines) for r in blocks.prune(d).collect()}
+    assert got == {"/a.c": ("", 0, 0), "/b.c": ("", 0, 0), "/c.c": ("", 2, 0)}
+    assert {r.path: r.code for r in blocks.prune(d, "virtual").collect()}["/c.c"] == "/* [IFDEF A - INACTIVE] */\n\n/* [WARN: unclosed directives: ifdef] */"
+    assert blocks.line_states(d).where("path <> '/c.c'").count() == 0 and includes.walked_includes(d).count() == 0
