@@ -11,12 +11,13 @@ the temporary arrays whatever a document's length.
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 STEP = 12_000_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,6 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_FOLDED = _BYTE[_LOWER]
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
             if to == edge:
                 break
         b = raw[at:to]
-        solid = ~gaps[b]
+        solid = ~gaps.take(b)
         begin, finish = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         finish[:-1] &= ~solid[1:]
@@ -105,7 +107,9 @@ def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
         total = np.empty(len(b) + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE[_LOWER[b] if lower else b] * _power("up", _MULT, len(b)), out=total[1:])
+        part = (_FOLDED if lower else _BYTE).take(b)
+        part *= _power("up", _MULT, len(b))
+        np.cumsum(part, out=total[1:])
         h = (total[e] - total[s]) * _power("down", _INVERSE, len(b) + 1)[s]
         hashes.append(mix(h + (e - s).astype(np.uint64)))
         starts.append(s + at)
@@ -153,8 +157,14 @@ def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[int, pa.Array]]:
         a = b
 
 
-def trim() -> None:
-    """Gives freed memory back to the system; worker processes are used again and would keep it."""
+_trimmed = [0.0]
+
+
+def trim(every: float = 2.0) -> None:
+    """Gives freed memory back to the system, which worker processes, used again, would keep; now and then alone."""
+    if time.monotonic() < _trimmed[0] + every:
+        return
+    _trimmed[0] = time.monotonic()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
