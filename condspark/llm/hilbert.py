@@ -8,6 +8,8 @@ ranges of all of them and files can be skipped by any.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +22,9 @@ from pyspark.sql import types as T
 
 from . import scratch
 
+#: Of the quantiles: their buckets' number bounds what a task sends.
+ACCURACY = 1000
+
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place on the curve of each row of cells (n x dimensions, values below 2^bits).
@@ -51,41 +56,76 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number: a string counts by its first six bytes; a null goes first."""
+    """An order-preserving number; a null goes first."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        six = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        value = F.conv(six, 16, 10).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, (T.TimestampType, T.DateType)):
         value = F.unix_timestamp(F.col(name).cast("timestamp")).cast("double")
     else:
         value = F.col(name).cast("double")
     return F.coalesce(value, F.lit(float("-inf")))
 
 
+def string_cuts(values: DataFrame, cells: int) -> list[str]:
+    """At most cells - 1 strings that part a column's rows (one string column, without nulls) into cells of near equal counts.
+
+    Whole strings count, in byte order.  Distinct strings are counted, sorted by ranges and numbered by sums of
+    the ranges before, so only the cuts and a number a partition come to the driver.
+    """
+    spark, (name,) = values.sparkSession, values.columns
+    counts = values.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ranges = counts.repartitionByRange(scratch.partitions(spark), "v").sortWithinPartitions("v")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(1).to_numpy(zero_copy_only=False)
+            upto = total + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(upto), pa.array(np.full(b.num_rows, part, np.int32))], ["v", "n", "upto", "part"])
+            total = int(upto[-1]) if len(upto) else total
+
+    ranked = scratch.table(ranges.mapInArrow(number, "v string, n long, upto long, part int"), "strings")
+    sums = {r["part"]: r["t"] for r in ranked.groupBy("part").agg(F.max("upto").alias("t")).collect()}
+    if not sums:
+        return []
+    before, base = {}, 0
+    for part in sorted(sums):
+        before[part], base = base, base + sums[part]
+    at = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] + F.col("upto")
+    # the string in whose run a share of the rows ends is a cut
+    crossed = F.floor(at * cells / F.lit(base)) > F.floor((at - F.col("n")) * cells / F.lit(base))
+    return sorted((r["v"] for r in ranked.where(crossed & (at < base)).select("v").collect()), key=lambda v: v.encode())
+
+
 def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int = 16, keep: Sequence[str] = (), tie: Sequence[str] = (), bits: int = 5) -> DataFrame:
     """(keep, curve, shard, slot): every row's shard and its gapless place in it.
 
+    Cells part a dimension at its quantiles; strings count whole, in byte order, and nulls go first.
     Rows of one cell go in the order of a hash of ``tie``, then of ``tie`` itself, so a cell that holds
     much of the table is cut like any other run.  Repeated rows all get a place.  Only ``keep``,
     ``tie`` and ``dims`` are moved; an empty table gives no rows.
     """
     spark = df.sparkSession
-    cells = [f"_cell{i}" for i in range(len(dims))]
-    numbers = df.select(*[_as_number(df, d).alias(c) for d, c in zip(dims, cells, strict=True)])
-    shares = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
-    cuts = numbers.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in cells]).first()
-    edges = [np.asarray(cuts[c] or [], dtype=float) for c in cells]
+    n = 1 << bits
+    strings = {d for d in dims if isinstance(df.schema[d].dataType, T.StringType)}
+    numeric = [d for d in dict.fromkeys(dims) if d not in strings]
+    shares = [(i + 1) / n for i in range(n - 1)]
+    cuts = df.agg(*[F.percentile_approx(_as_number(df, d), shares, ACCURACY).alias(f"_cut{i}") for i, d in enumerate(numeric)]).first() if numeric else []
+    edges = {d: [float(x) for x in c or []] for d, c in zip(numeric, cuts, strict=True)}
+    edges |= {d: string_cuts(df.select(F.coalesce(d, F.lit("")).alias(d)), n) for d in strings}
+
+    def cell(d: str) -> Column:
+        value = F.coalesce(d, F.lit("")) if d in strings else _as_number(df, d)
+        below = [(value > F.lit(e)).cast("int") for e in edges[d]]
+        return functools.reduce(operator.add, below, F.lit(0))
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
         if not len(columns[0]):
             return pd.Series([], dtype="int64")
-        grid = np.stack([np.searchsorted(e, c.to_numpy(), "left") for e, c in zip(edges, columns, strict=True)], axis=1)
-        return pd.Series(hilbert_index(np.minimum(grid, (1 << bits) - 1), bits))
+        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
     names = list(dict.fromkeys([*keep, *tie]))
-    rows = df.select(*names, curve(*[_as_number(df, d) for d in dims]).alias("curve"), F.xxhash64(*[F.col(t) for t in tie]).alias("_tie") if tie else F.lit(0).cast("long").alias("_tie"))
+    rows = df.select(*names, curve(*[cell(d) for d in dims]).alias("curve"), F.xxhash64(*[F.col(t) for t in tie]).alias("_tie") if tie else F.lit(0).cast("long").alias("_tie"))
     rows = scratch.table(rows, "curve")
     order = ["curve", "_tie", *tie]
     # numbered within ranges of the curve, then by sums of the ranges before: one number a partition
@@ -112,6 +152,11 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int = 16, keep: S
 
 
 def write_shards(df: DataFrame, placed: DataFrame, key: Sequence[str], path: str) -> None:
-    """Write df's rows as one folder a shard, in slot order; key must be unique in both."""
+    """Write df's rows as one folder a shard, in slot order; key must be unique in both, else a ValueError.
+
+    A reader that filters by a dimension skips files by their statistics.
+    """
+    if placed.groupBy(*key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{', '.join(key)} is not unique")
     rows = df.join(placed.select(*key, "shard", "slot"), list(key))
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -65,13 +65,14 @@ class _Stream:
         length = np.diff(self.first)
         self.doc = np.repeat(np.arange(docs), length)
         self.depth = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], length)
+        self.single = wordhash.single(self.tokens)
         self.have, self.model, self.made = have, model, {}
 
     def grams(self, m: int):
         """(places of last tokens, distinct keys, inverse) of the m-grams that predict a token."""
         if m not in self.made:
             at = np.flatnonzero(self.depth >= max(1, m - 1))
-            keys = wordhash.windows(self.tokens, m)[at - m + 1] if len(at) else np.zeros(0, np.uint64)
+            keys = wordhash.windows_of(self.single, m)[at - m + 1] if len(at) else np.zeros(0, np.uint64)
             self.made[m] = at, *_unique(keys)
         return self.made[m]
 

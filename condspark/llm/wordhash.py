@@ -128,10 +128,18 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
 
     Built by doubling, in about 2 log2(size) passes; runs over text borders are the caller's to drop.
     """
-    n = len(h) - size + 1
+    return windows_of(single(h, seed), size)
+
+
+def single(h: np.ndarray, seed: int = 0) -> np.ndarray:
+    """What windows starts from; made once for several sizes."""
+    return mix(h + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
+
+
+def windows_of(block: np.ndarray, size: int) -> np.ndarray:
+    h, n = block, len(block) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    block = mix(h + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
     out, have, width, rest = None, 0, 1, size
     factor = _FACTOR
     while True:

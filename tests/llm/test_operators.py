@@ -350,6 +350,26 @@ def test_hilbert(docs, empty):
         assert sorted(at) == list(range(len(cells))) and (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(1) == 1).all()
 
 
+def test_hilbert_whole_strings(spark, tmp_path):
+    """Strings that share a long prefix fall into cells by their whole values, and shards skip files by any dimension."""
+    rows = [(i, f"https://example.org/section/{i * 7919 % 997:04d}", (i * 31) % 1000) for i in range(4000)] + [(9000, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, size int")
+    values = [(r[1] or "").encode() for r in rows]
+    cuts = hilbert.string_cuts(d.select(F.coalesce("source", F.lit("")).alias("source")), 32)
+    per_cell = collections.Counter(sum(c.encode() < v for c in cuts) for v in values)
+    assert len(cuts) == 31 and max(per_cell.values()) <= 2 * len(rows) / 32
+    assert hilbert.string_cuts(d.where("false").select("source"), 32) == []
+    placed = hilbert.hilbert_shards(d, ["source", "size"], 16, keep=["doc_id"], tie=["doc_id"])
+    hilbert.write_shards(d, placed, ["doc_id"], f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == len(rows)
+    spans = back.groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("size").alias("c"), F.max("size").alias("d")).collect()
+    mid = "https://example.org/section/0500"
+    assert sum(r.a <= mid <= r.b for r in spans) <= 8 and sum(r.c <= 500 <= r.d for r in spans) <= 8
+    with pytest.raises(ValueError, match="unique"):
+        hilbert.write_shards(d, placed.unionByName(placed), ["doc_id"], f"{tmp_path}/again")
+
+
 @pytest.mark.parametrize("size", [2, 7, 35])
 def test_substring_dedup(docs, empty, size):
     rows = [(i, WORD.findall(t or "")) for i, t in collected(docs)]
