@@ -14,21 +14,15 @@ from pyspark.sql import functions as F
 WORD_GAP = r"\s+"
 #: Phrases of lines that are no content.
 BOILERPLATE = [
-    "all rights reserved",
-    "copyright",
-    "cookie",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "enable javascript",
-    "click here",
-    "subscribe",
-    "sign up",
-    "log in",
-    "lorem ipsum",
-    "licensed under",
-    "share this",
-]
+    "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service", "enable javascript",
+    "click here", "subscribe", "sign up", "log in", "lorem ipsum", "licensed under", "share this",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "hier klicken",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "cliquez ici",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "haga clic",
+]
+#: A phrase stands alone, but for a plural or a past form.
+PHRASE = rf"\b({'|'.join(BOILERPLATE)})(s|d)?\b"
+ENDS = """[.!?:;…\"'”’)]"""
 SYMBOLS = "#*$%&|<>"
 
 
@@ -40,11 +34,11 @@ def line_rules(line: Column) -> dict[str, Column]:
     """Each rule's verdict on a line that has a word: true where it fails."""
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     shouts = F.size(F.split(line, r"[!?]{2}")) - 1
-    words = F.size(F.split(F.trim(line), WORD_GAP))
+    words = F.size(F.filter(F.split(line, WORD_GAP), lambda w: w != ""))
     return {
-        "punctuation": (~line.rlike(r"[.!?:;…\"'”’)]\s*$") & (words < 10)) | (shouts * 3 > words),
+        "punctuation": (~line.rlike(rf"{ENDS}\s*$") & (words < 10)) | (shouts * 3 > words),
         "navigation": (bars >= 2) | line.rlike(r"(\s[>»/]\s.*){2}"),
-        "boilerplate": F.lower(line).rlike("|".join(BOILERPLATE)),
+        "boilerplate": F.lower(line).rlike(PHRASE),
     }
 
 

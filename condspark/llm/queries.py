@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, katz, langid, order_minhash, packing, quality, scratch, secret_scan, substring_dedup, token_output
+from . import decontaminate, hilbert, katz, langid, oracles, order_minhash, packing, quality, scratch, secret_scan, substring_dedup, token_output
 
 TOKENIZERS = public_tokenizers.path
 
@@ -76,4 +76,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "wo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE

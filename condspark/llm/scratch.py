@@ -3,21 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import root
 
-def root(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; set here only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='condspark-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/condspark-{spark.sparkContext.applicationId}"
+#: Bucketed tables need a name; they are kept out of the user's databases.
+DATABASE = "condspark_scratch"
 
 
 def path(spark: SparkSession, name: str) -> str:
@@ -49,7 +42,8 @@ def table(df: DataFrame, name: str, bucket: str | None = None, buckets: int | No
         if bucket is None:
             df.write.option("compression", "zstd").parquet(to)
             return spark.read.schema(df.schema).parquet(to)
-        known = f"scratch_{name}_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{root(spark)}/tables'")
+        known = f"{DATABASE}.{name}_{uuid.uuid4().hex[:12]}"
         n = buckets or partitions(spark)
         df.write.format("parquet").option("compression", "zstd").option("path", to).bucketBy(n, bucket).saveAsTable(known)
     return spark.table(known)
@@ -86,8 +80,6 @@ def partitions(spark: SparkSession) -> int:
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that read them must be written first."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("scratch_"):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    spark.sql(f"DROP DATABASE IF EXISTS {DATABASE} CASCADE")
     where = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
