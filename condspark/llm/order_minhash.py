@@ -187,8 +187,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, n_words, comp, main) of buckets that hold several components; main is the largest."""
-    known = members.select("bucket", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).repartition("bucket").distinct()
+    """(bucket, node, comp, main) of buckets that hold several components; main is the largest."""
+    known = members.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).repartition("bucket").distinct()
     sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     return scratch.table(known.join(main.select("bucket", "main"), "bucket"), "open")
@@ -218,10 +218,10 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = pa.array([parities(exchange.expand(x)) for x in batch.column("words").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("buckets"), bits], ["node", "buckets", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_words"), batch.column("buckets"), bits], ["node", "n_words", "buckets", "bits"])
 
-    nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "words"), "node")
-    marked = nodes.select("node", "buckets", "words").mapInArrow(wordhash.tidy(mark), "node long, buckets array<long>, bits array<long>")
+    nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "n_words", "words"), "node")
+    marked = nodes.select("node", "n_words", "buckets", "words").mapInArrow(wordhash.tidy(mark), "node long, n_words long, buckets array<long>, bits array<long>")
     width = -math.log(threshold) + 1e-6
     rows = open_.join(marked, "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
     rows = scratch.table(rows, "marked")
@@ -284,15 +284,17 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         on[np.unique(node, return_index=True)[1]] = True  # equal texts of a block bring one sketch
         on &= bands[:, 0] != 0
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on * BANDS)]).astype(np.int32)), pa.array(bands[on].ravel().view(np.int64)))
-        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "n_words": pa.array(n), "bands": keys})
+        return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "bands": keys})
 
-    rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, n_words long, bands array<long>"), "sketch")
+    rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
     # equal texts of a block bring one sketch, so a text comes at most once from each block
-    in_bands = rows.where("size(bands) > 0").select("node", "n_words", "block", "place", F.explode("bands").alias("bucket"))
+    sketched = rows.where("size(bands) > 0")
+    in_bands = sketched.select("node", F.explode("bands").alias("bucket"))
     size = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
     members = scratch.table(in_bands.join(size.select("bucket", "n"), "bucket"), "members")
     # word sequences of candidates alone, taken from the blocks that hold them
-    at = members.groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.sum("n").alias("central"))
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    at = sketched.select("node", "block", "place").join(central, "node").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.max("central").alias("central"))
     at = scratch.table(at.select("at.block", "at.place", "node", "central"), "wanted")
     wanted = exchange.by_block(at.select("block", "place", "node"))
 
