@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table with production parameters, and their SQL."""
+"""The queries op1 to op13, each over its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, katz, langid, oracles, order_minhash, packing, quality, scratch, secret_scan, substring_dedup, token_output
+from . import decontaminate, hilbert, katz, langid, merkle, oracles, order_minhash, packing, phrases, prefix_forest, quality, scratch, secret_scan, substring_dedup, token_output
 
 TOKENIZERS = public_tokenizers.path
 
@@ -74,6 +74,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "wo
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZERS(tokenizer), end_id=0, capacity=2048)
 
 
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, contained=80, top=2000)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    forged = merkle.leaf_of([F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in fields])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, forged)
+    out = merkle.manifest(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", claimed)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
 ORACLE = oracles.ORACLE
