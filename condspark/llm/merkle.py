@@ -90,44 +90,44 @@ def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
 _NODE = "tree string, pos long, n long, digest string"
 
 
-def _block() -> Column:
-    return F.expr(f"pos div {1 << LEVELS}").alias("block")
+def _block(levels: int) -> Column:
+    return F.expr(f"pos div {1 << levels}").alias("block")
 
 
-def _sorted(rows: pa.Table) -> tuple[pa.Table, int]:
+def _sorted(rows: pa.Table, most: int) -> tuple[pa.Table, int]:
     """A block's rows by place, and the levels that it has to climb."""
-    return rows.sort_by("pos").combine_chunks(), min(LEVELS, height(rows.column("n")[0].as_py()))
+    return rows.sort_by("pos").combine_chunks(), min(most, height(rows.column("n")[0].as_py()))
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, most: int) -> DataFrame:
     """A node for each block of nodes (tree, pos, n, digest), written."""
 
     def root(rows: pa.Table) -> pa.Table:
-        rows, levels = _sorted(rows)
-        block, n = rows.column("pos")[0].as_py() >> LEVELS, rows.column("n")[0].as_py()
-        return pa.table({"tree": rows.column("tree")[:1], "pos": [block], "n": [-(-n >> LEVELS)], "digest": [traverse(rows.column("digest").to_pylist(), levels)[0]]})
+        rows, levels = _sorted(rows, most)
+        block, n = rows.column("pos")[0].as_py() >> most, rows.column("n")[0].as_py()
+        return pa.table({"tree": rows.column("tree")[:1], "pos": [block], "n": [-(-n >> most)], "digest": [traverse(rows.column("digest").to_pylist(), levels)[0]]})
 
-    return scratch.table(nodes.select("tree", "pos", "n", "digest").groupBy("tree", _block()).applyInArrow(root, _NODE), "roots")
+    return scratch.table(nodes.select("tree", "pos", "n", "digest").groupBy("tree", _block(most)).applyInArrow(root, _NODE), "roots")
 
 
-def _above(blocks: DataFrame) -> DataFrame:
+def _above(blocks: DataFrame, most: int) -> DataFrame:
     """(tree, pos, root, path) of each of the nodes: its tree's root and the siblings on the way there."""
     if blocks.where("n > 1").isEmpty():
         return blocks.select("tree", "pos", F.col("digest").alias("root"), F.array().cast("array<string>").alias("path"))
 
     def unwound(rows: pa.Table, above: pa.Table) -> pa.Table:
-        rows, levels = _sorted(rows)
+        rows, levels = _sorted(rows, most)
         rest = above.column("path")[0].as_py()
         paths = [own + rest for own in traverse(rows.column("digest").to_pylist(), levels)[1]]
         root = above.column("root")[0].as_py()
         return pa.table({"tree": rows.column("tree"), "pos": rows.column("pos"), "root": pa.array([root] * len(paths), pa.string()), "path": pa.array(paths, pa.list_(pa.string()))})
 
-    below = blocks.groupBy("tree", _block())
-    found = below.cogroup(_above(_roots(blocks)).groupBy("tree", F.col("pos").alias("block"))).applyInArrow(unwound, "tree string, pos long, root string, path array<string>")
+    below = blocks.groupBy("tree", _block(most))
+    found = below.cogroup(_above(_roots(blocks, most), most).groupBy("tree", F.col("pos").alias("block"))).applyInArrow(unwound, "tree string, pos long, root string, path array<string>")
     return scratch.table(found, "paths")
 
 
-def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), tree_col: str = "lang", id_col: str = "doc_id", claimed: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), tree_col: str = "lang", id_col: str = "doc_id", claimed: Column | None = None, most: int = LEVELS) -> DataFrame:
     """(id_col, tree_col, place, leaf, subroot, root, proof, proof_sha256, folded_root, verified): a row for each of docs.
 
     leaf is the SHA-256 of ``columns``, each with its length, so no two rows of different values share their text
@@ -137,7 +137,7 @@ def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lan
     node stood alone; proof_sha256 is of the siblings joined.  ``claimed``: a leaf that someone else claims for the
     row (null: the row's own); folded_root is what that leads to with the row's proof, verified whether it is the root.
     A text of any length moves once, as its digest.  An empty table gives no rows.  Columns beside those named
-    are ignored; id_col and tree_col can't have the name of a column returned.
+    are ignored; ``most`` is the height of a block; id_col and tree_col can't have the name of a column returned.
     """
     given = ["place", "leaf", "subroot", "root", "proof", "proof_sha256", "folded_root", "verified"]
     if clash := {id_col, tree_col} & set(given):
@@ -147,17 +147,16 @@ def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lan
     name = F.when(F.col(f"`{tree_col}`").isNull(), "").otherwise(F.concat(F.lit("="), F.col(f"`{tree_col}`").cast("string")))
     light = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{tree_col}`").alias("named"), name.alias("tree"), own.alias("digest"), (F.lit(None).cast("string") if claimed is None else claimed).alias("claimed"), F.monotonically_increasing_id().alias("row"))
     leaves = scratch.table(_placed(scratch.table(light, "leaves"), ["id", "digest", "row"]), "placed")
-    blocks = _roots(leaves)
-    above = _above(blocks)
+    above = _above(_roots(leaves, most), most)
     # the roots of all trees are the leaves of one more
     roots = above.groupBy("tree").agg(F.min("root").alias("digest"))
     tops = _placed(scratch.table(roots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest"), "trees"), ["of"])
     tops = scratch.table(tops, "tops")
-    way = tops.join(_above(tops.select("tree", "pos", "n", "digest")).select("pos", F.col("root").alias("top"), F.col("path").alias("rest")), "pos").select(F.col("of").alias("tree"), "top", "rest")
+    way = tops.join(_above(tops.select("tree", "pos", "n", "digest"), most).select("pos", F.col("root").alias("top"), F.col("path").alias("rest")), "pos").select(F.col("of").alias("tree"), "top", "rest")
     whole = above.join(way, "tree").select("tree", F.col("pos").alias("block"), "root", "top", F.concat("path", "rest").alias("path"))
 
     def told(rows: pa.Table, above: pa.Table) -> pa.Table:
-        rows, levels = _sorted(rows)
+        rows, levels = _sorted(rows, most)
         digests, rest = rows.column("digest").to_pylist(), above.column("path")[0].as_py()
         subroot, root = above.column("root")[0].as_py(), above.column("top")[0].as_py()
         proofs = [own + rest for own in traverse(digests, levels)[1]]
@@ -169,5 +168,5 @@ def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lan
         })
 
     schema = f"id {kinds[id_col]}, named {kinds[tree_col]}, place long, leaf string, subroot string, root string, proof array<string>, proof_sha256 string, folded_root string, verified boolean"
-    out = leaves.groupBy("tree", _block()).cogroup(whole.groupBy("tree", "block")).applyInArrow(told, schema)
+    out = leaves.groupBy("tree", _block(most)).cogroup(whole.groupBy("tree", "block")).applyInArrow(told, schema)
     return out.select(F.col("id").alias(id_col), F.col("named").alias(tree_col), *given)

@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from . import exchange, scratch, wordhash
 
 LONGEST = 4
 UNKNOWN = "und"
+SHARES = 8
 #: What parts pieces, and what parts words within one.
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -58,11 +61,9 @@ class Suffixes:
         self._double()
 
     def _double(self) -> None:
-        _, ids = np.unique(wordhash.mix(self.h + self.seed), return_inverse=True)
-        one = ids + 1
-        two = self._pairs(one, one, 1)
-        four = self._pairs(two, two, 2)
-        self.order = np.argsort(four, kind="stable")
+        one = self.word = pd.factorize(wordhash.mix(self.h + self.seed))[0] + 1
+        two, _ = self._pairs(one, one, 1)
+        four, self.order = self._pairs(two, two, 2)
         o, room = self.order, self.room[self.order]
         same = lambda rank: np.concatenate([[False], rank[1:] == rank[:-1]]) if len(rank) else np.zeros(0, bool)
         third = np.where(room > 2, one[np.minimum(o + 2, max(len(o) - 1, 0))], 0)
@@ -71,11 +72,18 @@ class Suffixes:
         # words that a suffix has in common with the one before it
         self.common = same(one[o]).astype(np.int8) + pair + triple + (triple & same(four[o]) & (room > 3))
 
-    def _pairs(self, first: np.ndarray, second: np.ndarray, step: int) -> np.ndarray:
-        """Ranks by ``first`` and then ``second`` a step further; suffixes that end there come before others."""
+    def _pairs(self, first: np.ndarray, second: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks by ``first`` and then ``second`` a step further, their order); suffixes that end there come before others."""
         n = len(first)
-        after = np.where(self.room > step, second[np.minimum(np.arange(n) + step, max(n - 1, 0))], 0)
-        return np.unique(first * (int(second.max(initial=0)) + 1) + after, return_inverse=True)[1] + 1
+        after = np.zeros(n, np.int64)
+        after[: max(n - step, 0)] = second[step:]
+        after[self.room <= step] = 0
+        key = first * (int(second.max(initial=0)) + 1) + after
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[:n])
+        return rank, order
 
     def intervals(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a word where each distinct n-gram begins, its count, the n-gram of each word or -1)."""
@@ -92,8 +100,17 @@ class Suffixes:
             return np.zeros(0, np.uint64)
         return wordhash.mix(wordhash.windows(self.h, size, seed=size)[at] ^ wordhash.mix(self.seed[at] + np.uint64(size)))
 
-    def phrase(self, at: int, size: int) -> str:
-        return b" ".join(self.raw[s:e].tobytes() for s, e in zip(self.start[at : at + size].tolist(), self.end[at : at + size].tolist(), strict=True)).lower().decode()
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """The n-grams that begin at these words, joined by spaces."""
+        if not len(at):
+            return pa.array([], pa.string())
+        # each distinct word is cut out once
+        if not hasattr(self, "cut"):
+            lead = np.zeros(int(self.word.max()) + 1, np.int64)
+            lead[self.word[::-1]] = np.arange(len(self.word))[::-1]
+            data = self.raw.tobytes()
+            self.cut = pa.array([data[s:e].lower().decode() for s, e in zip(self.start[lead].tolist(), self.end[lead].tolist(), strict=True)], pa.string())
+        return pc.binary_join_element_wise(*[self.cut.take(pa.array(self.word[at + k])) for k in range(size)], " ")
 
 
 def _asked(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,15 +171,13 @@ def ngrams(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: s
 
     def told(block: int, rows: pa.Table, have: dict) -> pa.Table:
         own = _Levels(rows, {1: np.zeros(0, np.uint8)} | have)
-        lang, size, phrase, count = [], [], [], []
+        names = pa.array(own.s.langs, pa.string())
+        parts = [(names, 0, pa.array([""] * len(names), pa.string()), own.s.n_words)]
         for n, (at, many, _) in own.found.items():
             on = own.frequent[n]
-            lang += [own.s.langs[i] for i in own.s.lang[at[on]].tolist()]
-            phrase += [own.s.phrase(a, n) for a in at[on].tolist()]
-            size += [n] * int(on.sum())
-            count += many[on].tolist()
-        lang, size, phrase, count = lang + own.s.langs, size + [0] * len(own.s.langs), phrase + [""] * len(own.s.langs), count + own.s.n_words.tolist()
-        return pa.table({"lang": pa.array(lang, pa.string()), "size": pa.array(size, pa.int32()), "phrase": pa.array(phrase, pa.string()), "f": pa.array(count, pa.int64())})
+            parts.append((names.take(pa.array(own.s.lang[at[on]])), n, own.s.phrases(at[on], n), many[on]))
+        made = [pa.table({"lang": a, "size": pa.array(np.full(len(a), n, np.int32)), "phrase": p, "f": pa.array(f.astype(np.int64))}) for a, n, p, f in parts]
+        return pa.concat_tables(made).combine_chunks()
 
     each = exchange.each_block(blocks, answers, told, "lang string, size int, phrase string, f long")
     total = scratch.table(each.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")), "ngrams")
@@ -194,8 +209,12 @@ def collocations(docs: DataFrame, least: int = 30, contained: int = 80, top: int
     gone = F.expr(f"100 * cast(longer as decimal(20,0)) >= {contained} * cast(a as decimal(20,0))")
     kept = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~gone).drop("longer")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # first within shares of a language, as one may hold most phrases
-    share = F.pmod(F.xxhash64("phrase"), F.lit(scratch.partitions(docs.sparkSession)))
-    some = kept.withColumn("share", share).withColumn("rank", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top).drop("share", "rank")
-    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    # a language may hold most phrases: the best of its shares first, then of SHARES shares together, down to one
+    shares = scratch.partitions(docs.sparkSession)
+    ranked = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    while True:
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+        if shares == 1:
+            break
+        shares, ranked = -(-shares // SHARES), ranked.withColumn("share", F.expr(f"share div {SHARES}"))
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
