@@ -63,58 +63,72 @@ def active_includes(files: DataFrame) -> DataFrame:
     return states.where(header != "").select("path", "target", "line_no", header.alias("header"), "active")
 
 
-def _loose(events: list[tuple[str | None, str | None]], truth) -> list[bool]:
-    """Whether each include (a null directive) is followed, by branches that forget what was taken.
+def _loose(events: list[tuple[str | None, str | None]], truth) -> tuple[list[bool], int, str | None]:
+    """(whether each include, a null directive, is followed; how many events were read; the error that ended them).
 
-    A branch is on where the one before it was off and its condition holds, so an else after an elif that
-    switched the chain off is on again; elif is asked only where the blocks around it are on.
+    Branches forget what was taken: a branch is on where the one before it was off and its condition holds, so an else
+    after an elif that switched the chain off is on again; elif is asked only where the blocks around it are on,
+    if, ifdef and ifndef everywhere.  The first condition that can't be evaluated ends the file.
     """
     found, chain = [], []
-    for word, condition in events:
+    for n, (word, condition) in enumerate(events):
         outer = all(chain[:-1])
+        asked = word in ("if", "ifdef", "ifndef") or (word == "elif" and chain and outer)
+        yes, error = truth(condition) if asked else (False, None)
+        if error is not None:
+            return found, n, error
         if word is None:
             found.append(all(chain))
         elif word in ("if", "ifdef", "ifndef"):
-            chain.append(all(chain) and (truth(condition) != (word == "ifndef")))
+            chain.append(all(chain) and (yes != (word == "ifndef")))
         elif chain and word == "elif" and outer:
-            chain[-1] = not chain[-1] and truth(condition)
+            chain[-1] = not chain[-1] and yes
         elif chain and word == "else":
             chain[-1] = outer and not chain[-1]
         elif chain and word == "endif":
             chain.pop()
-    return found
+    return found, len(events), None
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _loosely(events: pd.Series, key: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], bool] = {}
+@F.pandas_udf(T.StructType().add("on", T.ArrayType(T.BooleanType())).add("read", T.IntegerType()).add("error", T.StringType()))
+def _loosely(events: pd.Series, key: pd.Series) -> pd.DataFrame:
+    known: dict[tuple[str, str], tuple] = {}
     sets: dict[str, dict] = {}
 
-    def one(rows, k: str) -> list[bool]:
+    def one(rows, k: str) -> tuple[list[bool], int, str | None]:
         if k not in sets:
             sets[k] = conditions.normal_macros(json.loads(k))
 
-        def truth(condition: str) -> bool:
+        def truth(condition: str) -> tuple:
             if (k, condition) not in known:
-                known[k, condition] = conditions.told(condition, sets[k])[0]
+                known[k, condition] = conditions.told(condition, sets[k])
             return known[k, condition]
 
         return _loose([(d["directive"], d["condition"]) for d in rows], truth)
 
-    return pd.Series([one(rows, k) for rows, k in zip(events, key, strict=True)])
+    return pd.DataFrame([one(rows, k) for rows, k in zip(events, key, strict=True)], columns=["on", "read", "error"])
 
 
-def walked_includes(files: DataFrame) -> DataFrame:
-    """(path, target, line_no, header, active) as the include walker tells branches: see _loose.
+def walker_events(files: DataFrame) -> DataFrame:
+    """(path, target, line_no, header, active, error): a file's includes as the include walker tells branches, see _loose.
 
-    files: (path, target, macros, code).  It differs from active_includes in chains with #elif.  No step shuffles.
+    files: (path, target, macros, code).  It differs from active_includes in chains with #elif, and in a condition that
+    can't be evaluated: that is the file's last row, with an error and without a header.  No step shuffles.
     """
     lines = F.transform(text.split_lines(F.coalesce("code", F.lit(""))), lambda x, i: F.when(x.contains("#"), F.struct((i + 1).alias("line_no"), blocks._directive(x).alias("d"), F.regexp_extract(x, blocks.INCLUDE, 1).alias("header"))))
     rows = files.withColumn("_e", F.filter(lines, lambda e: e.isNotNull() & (e["d"].isNotNull() | (e["header"] != ""))))
     asked = F.transform("_e", lambda e: F.struct(e["d"]["directive"].alias("directive"), e["d"]["condition"].alias("condition")))
-    rows = rows.withColumn("_on", _loosely(asked, conditions.macro_key(F.col("macros"))))
-    told = F.arrays_zip(F.filter("_e", lambda e: e["d"].isNull()).alias("e"), F.col("_on").alias("active"))
-    return rows.select("path", "target", F.explode_outer(told).alias("r")).where("r is not null").select("path", "target", "r.e.line_no", "r.e.header", "r.active")
+    rows = rows.withColumn("_s", _loosely(asked, conditions.macro_key(F.col("macros"))))
+    read = F.filter(F.slice("_e", F.lit(1), F.col("_s.read")), lambda e: e["d"].isNull())
+    told = F.zip_with(read, F.col("_s.on"), lambda e, on: F.struct(e["line_no"].alias("line_no"), e["header"].alias("header"), on.alias("active"), F.lit(None).cast("string").alias("error")))
+    end = F.struct(F.get("_e", F.col("_s.read"))["line_no"].alias("line_no"), F.lit(None).cast("string").alias("header"), F.lit(False).alias("active"), F.col("_s.error").alias("error"))
+    last = F.filter(F.array(end), lambda e: e["error"].isNotNull())
+    return rows.select("path", "target", F.explode_outer(F.concat(told, last)).alias("r")).where("r is not null").select("path", "target", "r.*")
+
+
+def walked_includes(files: DataFrame) -> DataFrame:
+    """(path, target, line_no, header, active): walker_events without errors; a file is read up to its first bad condition."""
+    return walker_events(files).where("error is null").drop("error")
 
 
 def conditional_closure(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 10, walker: bool = True) -> tuple[DataFrame, DataFrame]:

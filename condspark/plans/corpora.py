@@ -90,6 +90,20 @@ def header_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return files, spark.createDataFrame([(0, "/h/include")], "ord int, dir string"), targets
 
 
+def walk_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, folders, targets): a header for each supplier, five folders repeating the names; some conditions can't be evaluated."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    far = lambda k: F.concat(F.lit('#include "../d'), (k % 5).cast("string"), F.lit("/n"), F.floor(k / 5).cast("string"), F.lit('.h"\n'))
+    near = lambda k: F.concat(F.lit('#include "n'), F.floor(k / 5).cast("string"), F.lit('.h"\n'))
+    s, n = F.col("s"), F.col("n")
+    third = F.when(s % 11 == 5, F.lit("#if 1L\n")).otherwise(far((s * 3 + 2) % n))
+    code = F.concat(F.lit("#ifdef PRODUCT_A\n"), far((s * 7 + 3) % n), F.lit("#else\n"), near((s * 5 + 1) % n), F.lit("#endif\n#include <stdio.h>\n"), third, F.when(s % 3 == 0, far((s * s + 1) % n)).otherwise(F.lit("")))
+    path = F.concat(F.lit("/t/d"), (s % 5).cast("string"), F.lit("/n"), F.floor(s / 5).cast("string"), F.lit(".h"))
+    files = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select(path.alias("path"), code.alias("code"))  # one row
+    targets = spark.createDataFrame([("product_a",), ("other",)], "target string").withColumn("macros", build.target_macros(F.col("target")))
+    return files, spark.createDataFrame([(0, "/t/d0")], "ord int, dir string"), targets
+
+
 def project_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(projects, listing, manifests): a project for each supplier, the files that exist, and the manifests' text."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.concat(F.lit("/w/s"), F.col("s_suppkey").cast("string")).alias("w"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text, tokens
-from ..operators import blocks, build, includes, patch, reading, report, skeleton
+from ..operators import blocks, build, includes, patch, reading, report, skeleton, walk
 from ..sources import files as sources
 from ..sources import projects
 from . import corpora
@@ -368,6 +369,71 @@ def include_walker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.walked_includes(corpora.synth_includes(spark, sf_dir)).select("path", "line_no", "header", "active")
 
 
+# -- depth-first walks: a stack of includes to follow, the next one last; f is null where there is nothing to open
+
+WALKS = """n AS (SELECT count(*) AS n FROM supplier), x AS (SELECT s_suppkey AS s, n, t AS target FROM supplier, n, (VALUES ('product_a'), ('other')) v(t)),
+ways AS (SELECT target, s, o, e, CASE WHEN o = 4 THEN 'n' || k // 5 || '.h' WHEN o = 6 THEN 'stdio.h' ELSE '../d' || k % 5 || '/n' || k // 5 || '.h' END AS header, active,
+  CASE WHEN NOT active OR e OR o = 6 THEN NULL WHEN o = 4 THEN CASE WHEN k // 5 * 5 + s % 5 < n THEN k // 5 * 5 + s % 5 ELSE k // 5 * 5 END ELSE k END AS f
+ FROM x, LATERAL (VALUES (2, false, (s * 7 + 3) % n, target = 'product_a'), (4, false, (s * 5 + 1) % n, target = 'other'), (6, false, 0, true), (7, s % 11 = 5, (s * 3 + 2) % n, true), (8, false, (s * s + 1) % n, true)) v(o, e, k, active)
+ WHERE o < 8 OR (s % 3 = 0 AND s % 11 <> 5)),
+kids AS (SELECT target, s, list({'f': f, 's': s, 'o': o, 'e': e} ORDER BY o DESC) AS kids FROM ways GROUP BY target, s),
+run AS (SELECT s AS root, target, 0 AS step, [{'f': s, 's': NULL::BIGINT, 'o': 0, 'e': false, 'd': 0}] AS st, []::BIGINT[] AS seen, NULL::STRUCT(f BIGINT, s BIGINT, o INTEGER, e BOOLEAN, d INTEGER) AS top, false AS new FROM x
+UNION ALL SELECT root, run.target, step + 1, CASE WHEN st[-1].e THEN [] WHEN st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f) THEN st[:-2] ELSE list_concat(st[:-2], list_transform(kids, lambda k: {'f': k.f, 's': k.s, 'o': k.o, 'e': k.e, 'd': st[-1].d + 1})) END,
+  CASE WHEN st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f) THEN seen ELSE list_append(seen, st[-1].f) END, st[-1], NOT (st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f))
+ FROM run LEFT JOIN kids ON kids.target = run.target AND kids.s = run.st[-1].f WHERE len(st) > 0),
+visits AS (SELECT root, target, step, top.f AS f, top.d AS depth FROM run WHERE new), ends AS (SELECT root, target, top.s AS f, top.o AS line_no FROM run WHERE top.e),
+met AS (SELECT r.root, r.target, r.step, r.top.s AS f, r.top.o AS o, w.header, w.active, w.f AS dst FROM run r JOIN ways w ON w.target = r.target AND w.s = r.top.s AND w.o = r.top.o WHERE NOT r.top.e)"""
+PLACE = "'/t/d' || {0} % 5 || '/n' || {0} // 5 || '.h'"
+NAMES = """last AS (SELECT root, target, f // 5 AS b, max(step) AS step, min(step) AS came FROM visits GROUP BY ALL),
+names AS (SELECT last.root, last.target, last.b, came, list(header || CASE WHEN active THEN '' ELSE ' [skipped]' END ORDER BY met.step) FILTER (header IS NOT NULL) AS deps FROM last LEFT JOIN met ON met.root = last.root AND met.target = last.target AND met.f // 5 = last.b AND met.step > last.step GROUP BY ALL),
+g AS (SELECT root, target, came, 'n' || b || '.h' AS name, coalesce(deps, []) AS deps FROM names),
+lead AS (SELECT s AS root, target, 0 AS step, [{'n': 'n' || s // 5 || '.h', 'd': 0}] AS st, []::VARCHAR[] AS seen, NULL::STRUCT(n VARCHAR, d INTEGER) AS top, false AS new FROM x
+UNION ALL SELECT lead.root, lead.target, step + 1, CASE WHEN list_contains(seen, st[-1].n) THEN st[:-2] ELSE list_concat(st[:-2], list_transform(coalesce(deps, []), lambda z: {'n': z, 'd': st[-1].d + 1})) END,
+  CASE WHEN list_contains(seen, st[-1].n) THEN seen ELSE list_append(seen, st[-1].n) END, st[-1], NOT list_contains(seen, st[-1].n) FROM lead LEFT JOIN g ON g.root = lead.root AND g.target = lead.target AND g.name = lead.st[-1].n WHERE len(st) > 0),
+reached AS (SELECT lead.root, lead.target, lead.step, top.n AS name, top.d AS depth, coalesce(g.deps, []) AS deps FROM lead LEFT JOIN g ON g.root = lead.root AND g.target = lead.target AND g.name = top.n WHERE new)"""
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> walk.Walk:
+    files, dirs, targets = corpora.walk_tree(spark, sf_dir)
+    return walk.walk(files, dirs, files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target"))), targets, 4)  # two targets
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT {PLACE.format('root')} AS root, target, {PLACE.format('f')} AS path, depth, row_number() OVER (PARTITION BY root, target ORDER BY step) AS place FROM visits")
+def include_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the order of each walk's first visits, as far as a bad condition lets it go."""
+    place = F.row_number().over(W.partitionBy("root", "target").orderBy("label"))
+    return _walk(spark, sf_dir).visits.select("root", "target", "path", "depth", place.cast("long").alias("place"))
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT {PLACE.format('root')} AS root, target, {PLACE.format('f')} AS path, line_no, 'trailing tokens' AS error FROM ends")
+def include_walk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condition that ended each walk that one ended."""
+    return _walk(spark, sf_dir).errors
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT {PLACE.format('root')} AS root, target, {PLACE.format('f')} AS path, o AS line_no, header, active, CASE WHEN dst IS NOT NULL THEN {PLACE.format('dst')} END AS dst FROM met")
+def include_walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes that each walk met, the skipped ones too."""
+    return _walk(spark, sf_dir).events.select("root", "target", "path", "line_no", "header", "active", F.when(F.col("active"), F.col("dst")).alias("dst"))
+
+
+@query(f"""WITH RECURSIVE {WALKS}, {NAMES} SELECT {PLACE.format('root')} AS root, target, '{{"root":"n' || root // 5 || '.h","nodes":[' || string_agg('"' || name || '"', ',' ORDER BY step) || '],"edges":[' || coalesce(string_agg(array_to_string(list_transform(deps, lambda d: '{{"from":"' || name || '","to":"' || d || '"}}'), ','), ',' ORDER BY step) FILTER (len(deps) > 0), '') || ']}}' AS json FROM reached GROUP BY reached.root, target""")
+def include_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph by names that each walk leaves, as far as the root's name leads."""
+    return walk.graph_json(walk.name_graph(_walk(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {WALKS}, {NAMES}, d AS (SELECT root, target, list_sort(list_distinct(flatten(list(deps)))) AS every, list(name) AS own, string_agg(array_to_string(list_transform(deps, lambda d: '  "' || name || '" -> "' || d || '";'), chr(10)), chr(10) ORDER BY came) FILTER (len(deps) > 0) AS arrows FROM g GROUP BY root, target)
+SELECT {PLACE.format('root')} AS root, target, concat_ws(chr(10), 'digraph G {{', '  rankdir="LR";', '  node [shape=box];', '  "n' || root // 5 || '.h" [style=filled, fillcolor=lightblue];', arrows, nullif(array_to_string(list_transform(list_filter(every, lambda e: NOT list_contains(own, e)), lambda e: '  "' || e || '" [style=dashed];'), chr(10)), ''), '}}') AS dot FROM d""")
+def include_graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.graph_dot(walk.name_graph(_walk(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {WALKS}, {NAMES} SELECT {PLACE.format('r.root')} AS root, target, total_files, max_depth, total_edges FROM (SELECT root, target, count(*) AS total_files, max(depth)::BIGINT AS max_depth FROM reached GROUP BY ALL) r JOIN (SELECT root, target, sum(len(deps))::BIGINT AS total_edges FROM g GROUP BY ALL) e USING (root, target)")
+def include_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.graph_stats(walk.name_graph(_walk(spark, sf_dir)))
+
+
 @query(values_sql("root, text", [("/p/app.c", DEPS[0][1] + "\n\n/* --- types.h --- */\nstruct dev {\n    int id;\n};\n\n/* --- utils.h --- */\n" + DEPS[1][1].rstrip("\n"))]))
 def bundle_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = _deps(spark)
