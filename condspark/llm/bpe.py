@@ -4,7 +4,8 @@ Both pre-tokenizers used here split a text before any ASCII white space that fol
 characters, so a text's ids are those of its pieces in order.  Where a text holds other
 Unicode white space that rule doesn't hold, and the whole text is encoded at once.
 
-Distinct pieces are found by 64-bit hash and go to the tokenizer as one long text; the bytes
+Distinct pieces are found by 64-bit hash, told apart by a second one (words up to eight bytes differ in the
+first already), and go to the tokenizer as one long text; the bytes
 that each id stands for show where a piece's ids end.  If those bytes don't add up, the pieces
 are encoded one by one.  A worker process remembers up to ``CACHE`` pieces.
 """
@@ -25,6 +26,13 @@ WORD_END = "</w>"
 CACHE = 1_500_000
 
 
+def _leads(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes comes first."""
+    lead = np.empty(n, np.int64)
+    lead[codes[::-1]] = np.arange(len(codes))[::-1]
+    return lead
+
+
 class Encoder:
     """keep_space: white space belongs to the piece after it; else the tokenizer drops it."""
 
@@ -50,22 +58,23 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
 
-    def _remember(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+    def _remember(self, keys: np.ndarray, other: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         if len(self.keys) + len(keys) > CACHE:
             keep = np.flatnonzero(self.used > 1)[: CACHE // 2]
             ends = np.cumsum(self.length[keep])
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[keep] - (ends - self.length[keep]), self.length[keep])
-            self.keys, self.ids, self.length = self.keys[keep], self.ids[at], self.length[keep]
+            self.keys, self.other, self.ids, self.length = self.keys[keep], self.other[keep], self.ids[at], self.length[keep]
             self.begin, self.used = ends - self.length, np.zeros(len(keep), np.int64)
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])[order]
         self.length = np.concatenate([self.length, length])[order]
         self.used = np.concatenate([self.used, np.zeros(len(keys), np.int64)])[order]
+        self.other = np.concatenate([self.other, other])[order]
         self.keys, self.ids = all_keys[order], np.concatenate([self.ids, ids])
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +135,24 @@ class Encoder:
                 key[i] ^= np.uint64(hash(raw[begin[i] : start[i]].tobytes()) & 0xFFFFFFFFFFFFFFFF)
         else:
             begin, key = start, h
+        other = np.zeros(len(h), np.uint64)
+        long = np.flatnonzero(end - start > 8)
+        other[long] = wordhash.spans(raw, start[long], end[long], seed=1)
         codes, distinct = pd.factorize(key)
-        lead = np.empty(len(distinct), np.int64)
-        lead[codes[::-1]] = np.arange(len(codes))[::-1]
+        lead = _leads(codes, len(distinct))
+        apart = other != other[lead][codes]
+        if apart.any():  # words that the first hash takes for equal
+            key = np.where(apart, wordhash.mix(key ^ wordhash.mix(other)), key)
+            codes, distinct = pd.factorize(key)
+            lead = _leads(codes, len(distinct))
         joined = (start[lead] > begin[lead]) if self.keep_space else np.ones(len(lead), bool)
         place = np.searchsorted(self.keys, distinct)
         hit = np.zeros(len(distinct), bool)
         if len(self.keys):
-            hit = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
+            place = np.minimum(place, len(self.keys) - 1)
+            known = self.keys[place] == distinct
+            hit = known & (self.other[place] == other[lead])
+            joined &= ~known | hit  # another word of the same hash is encoded each time
         joined &= ~hit
         ids_a, len_a = self._joined(raw, begin[lead[joined]], end[lead[joined]])
         alone = ~joined & ~hit
@@ -165,7 +184,7 @@ class Encoder:
             begins[p] = base + np.cumsum(own) - own
             base += int(own.sum())
         ids = np.concatenate([ids, ids_a, ids_b, ids_c])
-        self._remember(distinct[joined], ids_a, len_a)
+        self._remember(distinct[joined], other[lead[joined]], ids_a, len_a)
         if extra:
             codes = np.insert(codes, first[1:][extra_at], np.arange(len(distinct), len(lengths)))
             first = first + np.concatenate([[0], np.cumsum(np.bincount(extra_at, minlength=n))])

@@ -91,7 +91,9 @@ class _Levels:
         cand = np.flatnonzero(np.cumsum(mark)[:n] > 0)
         self.at = cand[cand + self.size <= self.doc_end[cand]] if len(cand) else cand
         self.keys = wordhash.windows(self.h, self.size)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.more = wordhash.windows(self.h, self.size, seed=1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        # words and windows hashed anew, so that nothing is shared with the keys
+        other = wordhash.spans(self.raw, self.start, self.end, seed=1) if len(self.at) else self.h
+        self.more = wordhash.windows(other, self.size, seed=1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
         self.level = 3
 
     def question(self) -> tuple[np.ndarray, np.ndarray]:

@@ -2,15 +2,17 @@
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, the separators of every
 word contract in this subpackage.  UTF-8 never uses those bytes inside a longer code
-point, so words can be cut on bytes.  A word's 64-bit hash is a polynomial over
-randomised byte values, taken from prefix sums, so no Python object is made per word.
-Text is handled in pieces of about ``PIECE`` bytes that end between words, which bounds
+point, so words can be cut on bytes.  A word is hashed in groups of eight bytes, each mixed
+into what the groups before and the length gave, all words' k-th groups at once, so no Python object is
+made per word; words of equal length up to eight bytes never collide.  The few above ``LONG`` bytes
+are hashed one by one.  A second seed gives an independent hash.  Text is handled in pieces of about ``PIECE`` bytes that end between words, which bounds
 the temporary arrays whatever a document's length.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -21,11 +23,9 @@ PIECE = 1 << 18
 STEP = 12_000_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
+LONG = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,17 +39,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_FOLDED = _BYTE[_LOWER]
+#: By the bytes of a group that a word has.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH, _SEED = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE + 4096), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
-    return have[:n]
+def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of raw[start:end] for each of the spans; with ``lower``, A-Z as a-z."""
+    n = end - start
+    out = mix(n.astype(np.uint64) * _LENGTH + np.uint64(seed * _SEED % 2**64))
+    if not len(n):
+        return out
+    low, high = int(start.min()), int(end.max())
+    held = np.zeros(high - low + 8, np.uint8)
+    held[:-8] = _LOWER.take(raw[low:high]) if lower else raw[low:high]
+    groups = np.lib.stride_tricks.as_strided(held[:8].view("<u8"), (high - low + 1,), (1,))  # from any byte on
+    at, left = start - low, n
+    out = mix(out ^ groups[at] & _MASK[np.minimum(left, 8)])
+    on = np.flatnonzero((n > 8) & (n <= LONG))
+    at, left = at[on], left[on]
+    while len(on):
+        at, left = at + 8, left - 8
+        out[on] = mix(out[on] ^ groups[at] & _MASK[np.minimum(left, 8)])
+        more = left > 8
+        on, at, left = on[more], at[more], left[more]
+    for i in np.flatnonzero(n > LONG).tolist():
+        long = held[start[i] - low : end[i] - low].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(long, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +87,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 PLAIN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
+def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE, seed: int = 0):
     """Words of every text: (hash uint64[], start int64[], end int64[], first int64[n + 1], bytes).
 
     start and end are byte places in ``bytes``; the words of text i are first[i]:first[i + 1].
@@ -105,13 +122,7 @@ def words(column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         inner = edges[edges > 0] - 1
         finish[inner] = solid[inner]
         s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-        total = np.empty(len(b) + 1, dtype=np.uint64)
-        total[0] = 0
-        part = (_FOLDED if lower else _BYTE).take(b)
-        part *= _power("up", _MULT, len(b))
-        np.cumsum(part, out=total[1:])
-        h = (total[e] - total[s]) * _power("down", _INVERSE, len(b) + 1)[s]
-        hashes.append(mix(h + (e - s).astype(np.uint64)))
+        hashes.append(spans(b, s, e, seed, lower))
         starts.append(s + at)
         ends.append(e + at)
         at = to
@@ -151,6 +162,8 @@ def windows_of(block: np.ndarray, size: int) -> np.ndarray:
         if not rest:
             return mix(out[:n])
         block = block[: len(block) - width] * factor + block[width:]
+        if width > 1:  # else long runs of few words would meet in their polynomials
+            block ^= block >> np.uint64(32)
         factor = np.uint64(int(factor) ** 2 % 2**64)
         width *= 2
 

@@ -64,6 +64,55 @@ def test_words_and_windows():
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 256, 1024, 2048])
+def test_words_that_defeat_polynomials(spark, n):
+    """Complementary Thue-Morse words, and runs of such words, stay apart in every operator that hashes words."""
+    one, two = thue_morse(n)
+    h = wordhash.words(pa.array([one, two, one]))[0]
+    assert h[0] == h[2] != h[1] and (wordhash.spans(np.frombuffer((one + two).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]), 1) != h[:2]).all()
+    rest = [" ".join(f"v{k}_{i}" for i in range(34)) for k in range(2)]
+    rows = [(0, " ".join([one, rest[0]])), (1, " ".join([two, rest[0]])), (2, one), (3, two), (4, " ".join(one)), (5, " ".join(two))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    if n == 1024:
+        assert sum(r.n_removed for r in substring_dedup.substring_dedup(d.where("doc_id < 2"), size=35).collect()) == 0
+        assert order_minhash.near_duplicates(d.where("doc_id in (2, 3)")).select("class_id").distinct().count() == 2
+        for name, keep, end in (("byte_bpe_50k.json", True, 2), ("word_bpe_49k.json", False, 0)):
+            e, t = bpe.Encoder(queries.TOKENIZERS(name), keep), Tokenizer.from_file(queries.TOKENIZERS(name))
+            for _ in range(2):  # the second time from what is remembered
+                ids, cuts = e.encode(pa.array([x for _, x in rows]))
+                assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for _, x in rows]
+        scores = {r.doc_id: r.n_known for r in katz.katz_score(d, train=F.col("doc_id") % 2 == 0).collect()}
+        assert scores[2] == 2 and scores[3] == 1
+    if n >= 64:
+        w = [wordhash.words(pa.array([" ".join(x)]))[0] for x in (one, two)]
+        assert wordhash.windows(w[0], n)[0] != wordhash.windows(w[1], n)[0]
+
+
+def test_bpe_told_apart_by_the_second_hash(monkeypatch):
+    """Encoders whose first hash takes long words for equal still give each its own ids."""
+    real = wordhash.words
+
+    def blind(*a, **b):
+        h, start, end, first, raw = real(*a, **b)
+        return np.where(end - start > 8, np.uint64(7), h), start, end, first, raw
+
+    monkeypatch.setattr(wordhash, "words", blind)
+    words = ["understanding", "misunderstanding", "internationally", "short", "understanding"]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(4)]
+    for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e, t = bpe.Encoder(queries.TOKENIZERS(name), keep), Tokenizer.from_file(queries.TOKENIZERS(name))
+        for _ in range(2):
+            ids, cuts = e.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_decontaminate(spark, docs, empty):
     items = [(1, texts()[12].split(" ", 20)[-1][:150]), (2, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10"), (3, None), (4, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
