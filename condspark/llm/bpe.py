@@ -197,14 +197,6 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(length)])
         return ids[np.repeat(begins[codes] - ends[:-1], length) + np.arange(ends[-1])], ends[first]
 
-    def count(self, column: pa.Array) -> np.ndarray:
-        """How often each id comes in the texts."""
-        codes, _, ids, begins, lengths = self._pieces(column)
-        times = np.bincount(codes, minlength=len(lengths))
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
-        return np.bincount(ids[at], weights=np.repeat(times, lengths), minlength=self.size).astype(np.int64)
-
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 

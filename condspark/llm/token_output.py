@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, scratch
+from . import bpe, scratch, wordhash
 
 SEGMENT = 1 << 19
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -55,39 +55,81 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def id_ranks(docs: DataFrame, text_col: str, tokenizer_file: str, keep_space: bool, end_id: int) -> list[tuple[int, int]]:
-    """(id, count) of every id that comes up, most frequent first: at most as many as the vocabulary has."""
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of the cells, from 0 on, and their bytes) of a binary column."""
+    _, edges, data = column.buffers()
+    edges = np.frombuffer(edges, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    return edges - edges[0], raw
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, total = bpe.encoder(tokenizer_file, keep_space), None
+
+def _steps(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The cells in runs of about bpe's step, with the place of each run."""
+    edges, _ = _cells(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + wordhash.STEP, "right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str, keep_space: bool, end_id: int) -> DataFrame:
+    """(id, tie, ids, counts), written: a row for each text with its ids packed, and one for each partition with the counts of ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = bpe.encoder(tokenizer_file, keep_space)
+        total = np.zeros(max(e.size, end_id + 1), np.int64)
+        kind, names, of = "<u2" if len(total) <= 1 << 16 else "<u4", ["id", "tie", "ids", "counts"], pa.null()
         for batch in batches:
-            for _, part in bpe.steps(batch.column(0)):
-                own = e.count(part)
-                total = own if total is None else total + own
-                total[end_id] += len(part)
-        if total is not None:
-            on = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["id", "n"])
+            of = batch.schema.field(0).type
+            for at, texts in bpe.steps(batch.column(2)):
+                ids, cuts = e.encode(texts)
+                total += np.bincount(ids, minlength=len(total))
+                total[end_id] += len(texts)
+                packed = pa.py_buffer(ids.astype(kind))
+                edges = pa.py_buffer((cuts * int(kind[-1])).astype(np.int32))
+                blobs = pa.Array.from_buffers(pa.binary(), len(texts), [None, edges, packed])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), blobs, pa.nulls(len(texts), pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, of), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()])], names)
+
+    text = F.col(text_col).cast("string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return scratch.table(rows.mapInArrow(encode, f"id {kind}, tie long, ids binary, counts binary"), "encoded")
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return sorted(((r["id"], r["n"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+
+def id_ranks(rows: DataFrame) -> list[tuple[int, int]]:
+    """(id, count) of every id in encoded rows, most frequent first: at most as many as the vocabulary has."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                total = np.frombuffer(blob.as_py(), "<i8")
+                on = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["id", "n"])
+
+    counts = rows.where("counts is not null").select("counts").mapInArrow(tell, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return sorted(((r["id"], r["n"]) for r in counts.collect()), key=lambda r: (-r[1], r[0]))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = True) -> str:
     """Encode every text, add end_id, write all in ascending id_col order (nulls first) and return path.
 
     A null text is empty and becomes the end id alone.  Rows with equal ids go in the order of
-    their texts' hashes; an empty table gives a file without segments.
+    their texts' hashes; an empty table gives a file without segments.  Texts are tokenised once; their packed ids are what is
+    sorted.  A very long text's ids are packed in one cell and cut into segments of their own; other columns are ignored.
     """
     spark = docs.sparkSession
-    ranked = id_ranks(docs, text_col, tokenizer_file, keep_space, end_id)
+    rows = encoded(docs, id_col, text_col, tokenizer_file, keep_space, end_id)
+    ranked = id_ranks(rows)
     spark.createDataFrame([(r, i, n) for r, (i, n) in enumerate(ranked)], "rank int, id int, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max((i for i, _ in ranked), default=0) + 1, np.uint32)
     rank_of[[i for i, _ in ranked]] = np.arange(len(ranked))
+    narrow = max(bpe.encoder(tokenizer_file, keep_space).size, end_id + 1) <= 1 << 16
     end_rank = rank_of[end_id] if ranked else 0
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = bpe.encoder(tokenizer_file, keep_space)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         held, lengths, ids, size = [], [], [], 0
 
@@ -102,9 +144,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
             return pa.RecordBatch.from_arrays(arrays, [*cells, "doc_ids"])
 
         for batch in batches:
-            for at, texts in bpe.steps(batch.column(1)):
-                got, cuts = e.encode(texts)
-                n = np.diff(cuts) + 1
+            for at, blobs in _steps(batch.column(1)):
+                offsets, raw = _cells(blobs)
+                got = raw.view("<u2" if narrow else "<u4")
+                n = np.diff(offsets) // got.dtype.itemsize + 1
                 out = np.full(int(n.sum()), end_rank, np.uint32)
                 inside = np.ones(len(out), bool)
                 inside[np.cumsum(n) - 1] = False
@@ -127,7 +170,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, i
             yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(scratch.partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    keep = rows.where("ids is not null").select("id", "ids", "tie")
+    ordered = keep.repartitionByRange(scratch.partitions(spark), "id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
     schema = f"part int, seq int, first_token long, n_tokens long, doc_lengths binary, control binary, data binary, doc_ids array<{kind}>"
     ordered.mapInArrow(segments, schema).write.option("compression", "zstd").parquet(f"{path}/segments")
     return path
