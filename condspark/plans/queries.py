@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text, tokens
-from ..operators import blocks, build, includes, patch, reading, report, skeleton, walk
+from ..operators import blocks, build, includes, reading, report, walk
 from ..sources import files as sources
 from ..sources import projects
 from . import corpora
 from .corpora import LANGS, LINES, TEMPLATE_OF, TEMPLATES, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .registry import ORACLE, QUERIES, query, sql_text
 
 GAP = r"""[\s+*/%=<>!&|^~(){}\[\];,.?:''"#-]+"""
 WORDS = f"len(list_filter(regexp_split_to_array(text, '{GAP}'), lambda x: x <> ''))"
@@ -24,28 +20,6 @@ CHARS = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) /
 WORD_TOKENS = f"CASE WHEN {WORDS} = 0 THEN 0 ELSE greatest(1, floor({WORDS} * (1 / 1.30::DOUBLE)))::BIGINT END"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(values, schema)
-
-
-def sql_text(value) -> str:
-    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
-
-
-def values_sql(columns: str, values: list[tuple]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(sql_text, v)) + ')' for v in values)}) t({columns})"
-
-
 # -- token functions and line counts on real text
 
 
@@ -175,39 +149,7 @@ def directive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.lines(corpora.synth_sources(spark, sf_dir)).where("directive is not null").groupBy("directive", "condition").agg(F.count("*").alias("n"))
 
 
-# -- conditions: (macros, condition, result); a null result is an error
-
-CONDITIONS = [
-    ("PRODUCT_TYPE=3", "PRODUCT_TYPE == 3", True), ("PRODUCT_TYPE=3", "PRODUCT_TYPE == 5", False), ("PRODUCT_TYPE=3", "PRODUCT_TYPE != 5", True),
-    ("A,B", "defined(A) && defined(B)", True), ("A", "defined(A) && defined(B)", False), ("A,B", "defined(A) || defined(B)", True), ("A", "!defined(A)", False),
-    ("A", "!defined(A) || defined(B)", False), ("A,B", "!defined(A) || defined(B)", True), ("CPU_ARM=1", "CPU_ARM", True), ("CPU_ARM=0", "CPU_ARM", False),
-    ("X=5", "X > 3 && X < 10", True), ("X=5", "X >= 5 && X <= 5", True), ("X=5", "(X == 5) || (X == 6)", True), ("X=5", "(X == 5) && (X == 6)", False), ("X=0xa", "X == 10", True),
-    ("X=5", "X + 1 == 6", True), ("X=5", "X * 2 == 10", True), ("X", "X == 1", True), ("X", "X == 0", False), ("", "A == 1", False), ("A,B", "IS_ENABLED(A) || IS_ENABLED(B)", True),
-    ("A", "IS_ENABLED(B)", False), ("X=2,Y=3", "X + Y == 5", True), ("X=0,Y=5", "!X && Y", True), ("X=0", "!X", True), ("X=1", "!X", False), ("X=1,Y=1", "X == 1 && Y == 1", True),
-]
-QUIRKS = [
-    ("A=2", "!A == 1", True), ("A=1", "(A) == 1", None), ("A=1", "2*(A+1) == 4", True), ("A=1", "A == -1", None), ("A=1", "A == !A", None), ("A=1", "1L", None), ("A=1", "A << 1", None),
-    ("A=1", "~A", True), ("A=10", "A == 010", True), ("A=10L", "A == 1", True), ("a=3", "A == 3", True), ("A=7", "A / 0 == 7", True), ("A", "A // note", None), ("A", "A /* note */", None),
-    ("a=1,A=2", "A == 2", True), ("A=2,a=1", "A == 2", False), ("A", "A || \\", None), ("A", "", None), ("FOO", "FOO(1,2)", True), ("", '__has_include("x.h")', False),
-]
-
-
-def _conditions(spark: SparkSession, cases: list[tuple]) -> DataFrame:
-    d = rows(spark, "case_id long, macros string, condition string", [(i, m, c) for i, (m, c, _) in enumerate(cases)])
-    parts = F.filter(F.split("macros", ","), lambda x: x != "")
-    sets = F.map_from_entries(F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1), F.when(x.contains("="), F.substring_index(x, "=", -1)))))
-    got = conditions.with_results(d.withColumn("macro_key", conditions.macro_key(sets)))
-    return got.select("case_id", "condition", F.when(F.col("cond_error").isNull(), F.col("cond_result")).alias("result"))
-
-
-@query(values_sql("case_id, condition, result", [(i, c, r) for i, (_, c, r) in enumerate(CONDITIONS)]))
-def cond_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conditions(spark, CONDITIONS)
-
-
-@query(values_sql("case_id, condition, result", [(i, c, r) for i, (_, c, r) in enumerate(QUIRKS)]))
-def cond_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conditions(spark, QUIRKS)
+# -- conditions
 
 
 @query("""SELECT p_partkey, t.c AS condition, CASE t.c WHEN 'PRODUCT_TYPE == 3' THEN p_size % 7 = 3 WHEN 'PRODUCT_TYPE * 2 + 1 > 6' THEN (p_size % 7) * 2 + 1 > 6 WHEN 'defined(BIG) && !PRODUCT_TYPE' THEN p_size > 25 AND p_size % 7 = 0 ELSE p_size % 7 % 2 = 1 OR p_size > 25 END AS result
@@ -298,31 +240,6 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.to_dot(includes.rooted(*_reach(spark, sf_dir), 4))
 
 
-DEPS = [
-    ("/p/app.c", '#include "utils.h"\n#ifdef PRODUCT_A\n#include <wifi.h>\n#else\n#include "plain.h"\n#endif\nint main(void) {\n    return 0;\n}\n'),
-    ("/p/include/utils.h", '#include "types.h"\n#include <stdio.h>\nvoid log_it(const char *m);\n'),
-    ("/p/include/types.h", "struct dev {\n    int id;\n};\n"),
-    ("/p/include/wifi.h", "void up(void);\n"),
-]
-
-
-def _deps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return rows(spark, "path string, code string", DEPS), rows(spark, "ord int, dir string", [(0, "/p/include")])
-
-
-@query(values_sql("path, line_no, header, dst", [("/p/app.c", 1, "utils.h", "/p/include/utils.h"), ("/p/app.c", 3, "wifi.h", "/p/include/wifi.h"), ("/p/app.c", 5, "plain.h", None), ("/p/include/utils.h", 1, "types.h", "/p/include/types.h"), ("/p/include/utils.h", 2, "stdio.h", None)]))
-def include_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, dirs = _deps(spark)
-    return includes.resolve(includes.include_lines(files), files, dirs)
-
-
-@query(values_sql("target, header, active", [("product_a", "utils.h", True), ("product_a", "wifi.h", True), ("product_a", "plain.h", False), ("other", "utils.h", True), ("other", "wifi.h", False), ("other", "plain.h", True)]))
-def include_closure_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = _deps(spark)
-    pairs = files.where("path = '/p/app.c'").select("path", "code", F.explode(F.array(F.lit("product_a"), F.lit("other"))).alias("target"))
-    return includes.active_includes(pairs.withColumn("macros", build.target_macros(F.col("target")))).select("target", "header", "active")
-
-
 ACTIVE = "n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT 'product_a' AS target, s_suppkey AS src, (s_suppkey * 7 + 3) % n AS dst FROM supplier, n UNION SELECT 'other', s_suppkey, (s_suppkey * 5 + 1) % n FROM supplier, n UNION SELECT unnest(['product_a', 'other']), s_suppkey, (s_suppkey * 3 + 2) % n FROM supplier, n WHERE s_suppkey % 3 = 0)"
 
 
@@ -434,13 +351,6 @@ def include_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.graph_stats(walk.name_graph(_walk(spark, sf_dir)))
 
 
-@query(values_sql("root, text", [("/p/app.c", DEPS[0][1] + "\n\n/* --- types.h --- */\nstruct dev {\n    int id;\n};\n\n/* --- utils.h --- */\n" + DEPS[1][1].rstrip("\n"))]))
-def bundle_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = _deps(spark)
-    roots = files.where("path = '/p/app.c'").select(F.col("path").alias("root"), "code")
-    return reading.bundle(roots, files.where("path in ('/p/include/utils.h', '/p/include/types.h')").select(F.lit("/p/app.c").alias("root"), "path", "code"))
-
-
 # -- comparing analyses
 
 
@@ -554,78 +464,6 @@ def settings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.settings_text(n.select("project", F.inline(entries)), "# settings")
 
 
-# -- fixed cases
-
-SAFETY = [("/p/src/a.c", [], [], "ok"), ("/p/.git/x", [], ["/p/.git"], "denied"), ("/p/src/a.c", ["/p/src"], [], "ok"), ("/p/srcs/a.c", ["/p/src"], [], "outside"), ("/p/src/v/a.c", ["/p/src"], ["/p/src/v"], "denied"), ("/p/src/../etc/a", ["/p/src"], [], "outside")]
-
-
-@query(values_sql("case_id, verdict", [(i, v) for i, (*_, v) in enumerate(SAFETY)]))
-def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, "case_id long, path string, allow array<string>, deny array<string>", [(i, *c[:3]) for i, c in enumerate(SAFETY)])
-    return d.select("case_id", text.path_verdict(F.col("path"), F.col("allow"), F.col("deny")).alias("verdict"))
-
-
-RC = "token_budget = 80 # cap\n[pruner]\ndefault_target = \"x\"\nstrict = Yes\ndirs = [a, b]\nratio = 1.5\nbad = 1.2.3\n[other]\nstrict = off\n"
-RC_WANT = [("other.strict", "bool", "false"), ("pruner.bad", "string", "1.2.3"), ("pruner.default_target", "string", "x"), ("pruner.dirs", "list", "[a, b]"), ("pruner.ratio", "float", "1.5"), ("pruner.strict", "bool", "true"), ("pruner.token_budget", "int", "80")]
-
-
-@query(values_sql("key, kind, value", RC_WANT))
-def config_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sources.settings(rows(spark, "project string, text string", [("p", RC)]))
-    return s.select("key", sources.coerced(F.col("value")).alias("c")).select("key", "c.kind", "c.value")
-
-
-SKELETONS = [
-    ("int add(int a, int b) {\n    return a + b;\n}", "int add(int a, int b)\n{ /* ... */ }", 1),
-    ('struct P {\n    int x;\n};\n\nvoid draw(struct P p) {\n    printf("}");\n}', "struct P {\n    int x;\n};\n\nvoid draw(struct P p)\n{ /* ... */ }", 1),
-    ("#include <a.h>\n\nstatic int\nf(int a,\n  int b)\n{\n    if (a) {\n        b++;\n    }\n    return b;\n}\nint g;", "#include <a.h>\n\nstatic int f(int a, int b)\n{ /* ... */ }\nint g;", 1),
-    ("int one(void) { return 1; }", "int one(void) { return 1; }\n{ /* ... */ }", 1),
-    ("extern int x;\nint f(void) {\n    return 1;\n}", "extern int x;\nint f(void) {\n    return 1;\n}", 0),
-]
-
-
-@query(values_sql("case_id, skeleton, stripped", [(i, s, n) for i, (_, s, n) in enumerate(SKELETONS)]))
-def skeleton_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, "case_id long, code string", [(i, c[0]) for i, c in enumerate(SKELETONS)])
-    return d.select("case_id", skeleton.skeleton("code").alias("s")).select("case_id", "s.skeleton", F.col("s.functions_stripped").alias("stripped"))
-
-
-PATCHES = [
-    ("a\nb\nc\nd\n", "@@ -2,2 +2,3 @@\n b\n+new\n c\n", "a\nb\nnew\nc\nd\n", False),
-    ("a\nb\nc\n", "--- a\n+++ b\n@@ -2,1 +2,1 @@\n-b\n+B\n", "a\nB\nc\n", False),
-    ("a\nb\nc\n", "@@ -1,3 +1,2 @@\n a\n-b\n c\n", "a\nc\n", False),
-    ("l1\nl2\nl3\nl4\nl5", "@@ -1,1 +1,2 @@\n l1\n+i1\n@@ -4,1 +5,2 @@\n l4\n+i4\n", "l1\ni1\nl2\nl3\nl4\ni4\nl5", False),
-    ("a\n", "@@ -9,1 +9,1 @@\n-a\n+b\n", None, True),
-    ("a\n", "@@ -1,1 +1,1 @@\n-x\n+b\n", None, True),
-    ("a\nb\n", "@@ -1,1 +1,1 @@ int f()\n-a\n+b\n", None, True),
-]
-
-
-@query(values_sql("case_id, patched, failed", [(i, p, e) for i, (_, _, p, e) in enumerate(PATCHES)]))
-def patch_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, "case_id long, code string, diff string", [(i, *c[:2]) for i, c in enumerate(PATCHES)])
-    return d.select("case_id", patch.patched("code", "diff").alias("p")).select("case_id", "p.patched", F.col("p.error").isNotNull().alias("failed"))
-
-
-OPEN_IF, OPEN_BRACE = "unbalanced #if/#endif: 1 unmatched #if at end of file", "unbalanced braces: depth=1 at end of file"
-SYNTAX = [
-    ("int f() { return 1; }\n", ""), ("int f() {\n", OPEN_BRACE), ("#if A\nint x;\n", OPEN_IF), ("#else\n#endif\n", "line 1: #else without matching #if; line 2: #endif without matching #if"),
-    ('char *s = "{"; /* { */\n', ""), ("// note\nint f() {\n", ""), ("#if A\n#else\n#else\n#endif\n", "line 3: #else without matching #if"), ("#if A\nint f() {\n", f"{OPEN_BRACE}; {OPEN_IF}"),
-]
-
-
-@query(values_sql("case_id, warnings", [(i, n) for i, (_, n) in enumerate(SYNTAX)]))
-def syntax_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, "case_id long, code string", [(i, c[0]) for i, c in enumerate(SYNTAX)])
-    return d.select("case_id", F.array_join(patch.syntax("code"), "; ").alias("warnings"))
-
-
-FAILURES = [("FileNotFoundError", "no a.c", "[FATAL] no a.c\n  hint: check that the file exists and the path is correct"), ("ValueError", "bad", "[FATAL] bad\n  hint: this usually means invalid arguments"), ("KeyError", "k", "[ERROR] KeyError: k")]
-
-
-@query(values_sql("kind, said", [(k, s) for k, _, s in FAILURES]))
-def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "kind string, message string", [f[:2] for f in FAILURES]).select("kind", text.failure(F.col("kind"), F.col("message")).alias("said"))
-
-
 FLAGSHIP = savings_by_target
+
+from . import cases  # noqa: E402, F401  names its queries

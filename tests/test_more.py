@@ -1,5 +1,6 @@
 """Sources, macros and streaming on small files."""
 
+import errno
 import json
 import os
 import random
@@ -8,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condspark.functions import text
-from condspark.operators import blocks, build, includes, report
-from condspark.plans import queries
+from condspark.operators import blocks, build, includes, paths, report
 from condspark.sources import files
 from condspark.streaming import watch
 
@@ -49,7 +49,7 @@ def test_watch(spark, tmp_path):
 
 def test_conditional_closure(spark):
     """Active includes are followed to the end for each target, cycles and the depth bound included; skipped ones are told."""
-    code = [*queries.DEPS[:2], ("/p/include/types.h", '#include "utils.h"\n#ifdef PRODUCT_A\n#include "deep.h"\n#endif\n'), queries.DEPS[3], ("/p/include/deep.h", "int x;\n")]
+    code = [("/p/app.c", '#include "utils.h"\n#ifdef PRODUCT_A\n#include <wifi.h>\n#else\n#include "plain.h"\n#endif\n'), ("/p/include/utils.h", '#include "types.h"\n#include <stdio.h>\n'), ("/p/include/wifi.h", "void up(void);\n"), ("/p/include/types.h", '#include "utils.h"\n#ifdef PRODUCT_A\n#include "deep.h"\n#endif\n'), ("/p/include/deep.h", "int x;\n")]
     files = spark.createDataFrame(code, "path string, code string")
     dirs = spark.createDataFrame([(0, "/p/include")], "ord int, dir string")
     targets = spark.createDataFrame([("product_a",), ("other",)], "target string").withColumn("macros", build.target_macros(F.col("target")))
@@ -124,3 +124,34 @@ def test_nulls_in_sources(spark):
     assert got == {"/a.c": ("", 0, 0), "/b.c": ("", 0, 0), "/c.c": ("", 2, 0)}
     assert {r.path: r.code for r in blocks.prune(d, "virtual").collect()}["/c.c"] == "/* [IFDEF A - INACTIVE] */\n\n/* [WARN: unclosed directives: ifdef] */"
     assert blocks.line_states(d).where("path <> '/c.c'").count() == 0 and includes.walked_includes(d).count() == 0
+
+
+def test_real_paths_beside_a_file_system(spark, tmp_path):
+    """Links of all kinds, made on disk and told in a table, lead to the same places."""
+    rng = random.Random(8)
+    folders = [tmp_path / x for x in ("a", "a/b", "a/b/c", "d", "d/e")]
+    for f in folders:
+        f.mkdir()
+    links = []
+    for i in range(14):
+        place = rng.choice(folders) / f"l{i}"
+        to = rng.choice([str(rng.choice(folders)), os.path.relpath(rng.choice(folders), place.parent), f"../{rng.choice(folders).name}", f"l{rng.randint(0, 13)}", f"./l{rng.randint(0, 13)}/..", "gone/x"])
+        place.symlink_to(to)
+        links.append((str(place), to))
+    for name, to in (("x1", "x2"), ("x2", "./x1"), ("grow", "grow/x")):
+        (tmp_path / "a" / name).symlink_to(to)
+        links.append((str(tmp_path / "a" / name), to))
+    names = [f.name for f in folders] + [f"l{i}" for i in range(14)] + ["..", ".", "none"]
+    asked = {str(rng.choice(folders)) + "/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, 5))) for _ in range(150)} | {p for p, _ in links}
+    got = {r.path: r.real for r in paths.real_paths(spark.createDataFrame([(p,) for p in sorted(asked)], "path string"), spark.createDataFrame(links, "link string, to string")).collect()}
+    assert set(got) == asked
+    for p in asked:
+        try:
+            os.path.realpath(p, strict=True)
+        except OSError as e:
+            if e.errno == errno.ELOOP:
+                continue
+        if got[p] is not None:
+            assert got[p] == os.path.realpath(p), p
+    looped = {p for p in asked if got[p] is None}
+    assert {p for p, _ in links[-3:]} <= looped
