@@ -12,7 +12,6 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,13 +41,33 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.select(*keep, "line_no", "text", "_d.directive", "_d.condition")
 
 
-def _walk(asked: list[tuple[int, str, str]], total: int, truth) -> tuple[list[tuple], str]:
-    """Spans of a file of ``total`` lines with directives (line, word, condition), and the blocks left open.
+class _Lines:
+    """Runs of inactive code lines up to before the next active one, and the number of active lines of code."""
+
+    def __init__(self):
+        self.ranges: list[tuple[int, int]] = []
+        self.active = self.opened = 0
+
+    def add(self, first: int, last: int, active: bool) -> None:
+        if first > last:
+            return
+        if active:
+            self.active += last - first + 1
+            if self.opened:
+                self.ranges.append((self.opened, first - 1))
+                self.opened = 0
+        elif not self.opened:
+            self.opened = first
+
+
+def _walk(asked: list[tuple[int, str, str]], total: int, truth) -> tuple[list[tuple], str, _Lines]:
+    """Spans of a file of ``total`` lines with directives (line, word, condition), the blocks left open, and its lines of code.
 
     truth(condition) gives (result, error).  A condition that can't be evaluated is false.
     """
     at = [d[0] for d in asked] + [total]
-    spans = [(at[0], True, 0, None, False, None, None)]
+    spans, code = [(at[0], True, 0, None, False, None, None)], _Lines()
+    code.add(1, at[0], True)
     open_: list[list] = []  # [opener, whether a branch was taken, whether this branch is on]
     for k, (line, word, condition) in enumerate(asked):
         result, error = truth(condition) if word not in ("else", "endif") else (True, None)
@@ -64,39 +83,51 @@ def _walk(asked: list[tuple[int, str, str]], total: int, truth) -> tuple[list[tu
         else:
             block = open_[-1]
             block[2], block[1] = yes and not block[1], block[1] or yes
-        spans.append((at[k + 1] - line, all(b[2] for b in open_), len(open_), level, stray, closes, error))
-    return spans, ", ".join(b[0] for b in open_)
+        active = all(b[2] for b in open_)
+        spans.append((at[k + 1] - line, active, len(open_), level, stray, closes, error))
+        code.add(line + (1 if stray else 2), at[k + 1], active)  # line counts from 0
+    return spans, ", ".join(b[0] for b in open_), code
+
 
+_FILE = {"open": T.StringType(), "lo": T.ArrayType(T.IntegerType()), "hi": T.ArrayType(T.IntegerType()), "active_lines": T.LongType()}
+_SPANS = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in _SPAN.items()), *(T.StructField(k, v) for k, v in _FILE.items())])
 
-_SPANS = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in _SPAN.items()), T.StructField("open", T.StringType())])
 
+@F.pandas_udf(T.ArrayType(_SPANS))
+def _spans(total: pd.Series, asked: pd.Series, keys: pd.Series) -> pd.Series:
+    """For each of a file's macro sets its spans.  asked: arrays of (line, directive, condition) structs.
 
-@F.pandas_udf(_SPANS)
-def _spans(total: pd.Series, asked: pd.Series, key: pd.Series) -> pd.DataFrame:
-    """asked: arrays of (line, directive, condition) structs; each condition is evaluated once for a macro set."""
+    Each condition is evaluated once for a macro set, and a file's directives are unpacked once for all sets.
+    """
     sets: dict[str, dict] = {}
     known: dict[tuple[str, str], tuple] = {}
-    out = []
-    for n, rows, k in zip(total, asked, key, strict=True):
 
-        def truth(condition: str, k: str = k) -> tuple:
+    def one(rows: list[tuple], n: int, k: str) -> dict:
+        if k not in sets:
+            sets[k] = conditions.normal_macros(json.loads(k))
+
+        def truth(condition: str) -> tuple:
             if (k, condition) not in known:
-                if k not in sets:
-                    sets[k] = conditions.normal_macros(json.loads(k))
                 known[k, condition] = conditions.told(condition, sets[k])
             return known[k, condition]
 
-        spans, left = _walk([(d["at"], d["directive"], d["condition"]) for d in rows], n, truth) if rows is not None else ([], "")
-        out.append([*(list(x) for x in zip(*spans, strict=True)), left] if spans else [[]] * len(_SPAN) + [left])
-    return pd.DataFrame(out, columns=[*_SPAN, "open"])
+        spans, left, code = _walk(rows, n, truth)
+        return dict(zip(_SPAN, map(list, zip(*spans, strict=True)), strict=True)) | {"open": left, "lo": [x for x, _ in code.ranges], "hi": [x for _, x in code.ranges], "active_lines": code.active}
 
+    return pd.Series([[one([(d["at"], d["directive"], d["condition"]) for d in rows], n, k) for k in own] for n, rows, own in zip(total, asked, keys, strict=True)])
 
-def _told(files: DataFrame) -> DataFrame:
-    """files with _lines, _found (their directives) and _s (spans and open blocks); null code has no lines."""
+
+def _parsed(files: DataFrame, keys: Column) -> DataFrame:
+    """files with _lines, _found (their directives) and _all (spans for each of ``keys``); null code has no lines."""
     rows = files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
     found = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), _directive(x).alias("d"))), lambda d: d["d"].isNotNull())
     rows = rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
-    return rows.withColumn("_s", _spans(F.size("_lines"), F.col("_found"), conditions.macro_key(F.col("macros"))))
+    return rows.withColumn("_all", _spans(F.size("_lines"), F.col("_found"), keys))
+
+
+def _told(files: DataFrame) -> DataFrame:
+    """files (with macros) with _lines, _found and _s, the spans and what is told of the whole file."""
+    return _parsed(files, F.array(conditions.macro_key(F.col("macros")))).withColumn("_s", F.get("_all", F.lit(0))).drop("_all")
 
 
 def _by_line(row: str = "_s") -> Column:
@@ -107,9 +138,8 @@ def _by_line(row: str = "_s") -> Column:
     return F.flatten(F.transform(spans, lambda s, k: F.when(s["n"] > 0, of(s, k)).otherwise(empty)))
 
 
-def _with_lines(files: DataFrame) -> DataFrame:
-    """files with _rows: an array of (text, state, directive, condition) for every line."""
-    rows = _told(files)
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """What _told gave with _rows: an array of (text, state, directive, condition) for every line."""
     both = F.zip_with("_lines", _by_line(), lambda x, s: F.struct(x.alias("text"), s.alias("s"), F.when(s["head"], F.get("_found", s["span"] - 1)).alias("d")))
     return rows.withColumn("_rows", both)
 
@@ -121,7 +151,7 @@ def line_states(files: DataFrame) -> DataFrame:
     """
     keep = [c for c in files.columns if c not in ("code", "macros")]
     # outer, as the filter that Spark derives from a plain one would work out every line twice
-    rows = _with_lines(files).select(*keep, F.posexplode_outer("_rows").alias("_n", "r")).where("_n is not null")
+    rows = _with_lines(_told(files)).select(*keep, F.posexplode_outer("_rows").alias("_n", "r")).where("_n is not null")
     head = lambda c: F.when(F.col("r.s.head"), F.col(f"r.s.{c}"))
     return rows.select(
         *keep, (F.col("_n") + 1).alias("line_no"), "r.text", "r.d.directive", "r.d.condition", F.col("r.s.depth").alias("depth"), head("level").alias("level"),
@@ -148,24 +178,23 @@ def shown(states: DataFrame, mode: str = "physical") -> DataFrame:
     return states.withColumn("text", F.when(~plain, mark).when(F.col("active"), F.col("text")).otherwise(""))
 
 
-def skipped_ranges(states: DataFrame) -> DataFrame:
-    """(path, target, lo, hi): inactive runs of code lines up to before the next active one.
+def skipped_ranges(files: DataFrame) -> DataFrame:
+    """(path, target, lo, hi) of files as for line_states: inactive runs of code lines up to before the next active one.
 
-    A run that no active code line follows isn't reported.
+    A run that no active code line follows isn't reported.  Told within a file's row.
     """
-    code = states.where(F.col("directive").isNull() | F.col("orphan"))
-    ahead = W.partitionBy(*FILE).orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
-    runs = code.withColumn("next", F.min(F.when(F.col("active"), F.col("line_no"))).over(ahead)).where(~F.col("active") & F.col("next").isNotNull())
-    return runs.groupBy(*FILE, "next").agg(F.min("line_no").alias("lo")).select(*FILE, "lo", (F.col("next") - 1).alias("hi"))
+    ranges = F.arrays_zip(F.col("_s.lo").alias("lo"), F.col("_s.hi").alias("hi"))
+    return _told(files).select(*FILE, F.explode(ranges).alias("r")).select(*FILE, "r.lo", "r.hi")
+
 
+def unclosed(files: DataFrame) -> DataFrame:
+    """(path, target, kinds) of files as for line_states: the blocks still open at the end, outermost first."""
+    return _told(files).select(*FILE, F.col("_s.open").alias("kinds")).where("kinds <> ''")
 
-def unclosed(states: DataFrame) -> DataFrame:
-    """(path, target, kinds): the blocks still open at the end of a file, outermost first."""
-    last = W.partitionBy(*FILE)
-    ends = states.withColumn("end_depth", F.last("depth").over(last.orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    opens = ends.where(F.col("directive").isin("if", "ifdef", "ifndef") & (F.col("level") <= F.col("end_depth")))
-    latest = opens.groupBy(*FILE, "level").agg(F.max_by("directive", "line_no").alias("kind"))
-    return latest.groupBy(*FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "kind"))), lambda r: r["kind"]), ", ").alias("kinds"))
+
+def line_counts(files: DataFrame) -> DataFrame:
+    """(path, target, active_lines, skipped_ranges) of files as for line_states; active lines are lines of code."""
+    return _told(files).select(*FILE, F.col("_s.active_lines").alias("active_lines"), F.size("_s.lo").cast("long").alias("skipped_ranges"))
 
 
 def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
@@ -174,7 +203,22 @@ def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
     files: (path, target, macros, code), one row for each file and target; null code is empty.  No step moves
     a row.  pruned_lines counts the lines that aren't blank.
     """
-    rows = _with_lines(files.select(*FILE, "macros", "code"))
+    return _pruned(_with_lines(_told(files.select(*FILE, "macros", "code"))), mode)
+
+
+def prune_for(files: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
+    """prune of every file (path, code) for every target (target, macros).
+
+    A file's lines are split and its directives found once, whatever the number of targets; the targets' macros, one
+    small row, go along with every file.
+    """
+    own = targets.select(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("_t"))
+    rows = _parsed(files.select("path", "code").join(F.broadcast(own)), F.transform("_t", lambda t: t["key"]))  # one row
+    each = F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s"))
+    return _pruned(_with_lines(rows.select("path", "code", "_lines", "_found", F.explode(each).alias("_e")).select("path", "code", "_lines", "_found", F.col("_e.t.target").alias("target"), F.col("_e.s").alias("_s"))), mode)
+
+
+def _pruned(rows: DataFrame, mode: str) -> DataFrame:
     plain = lambda r: r["d"].isNull() | r["s"]["orphan"]
     if mode == "physical":
         kept = F.transform(F.filter("_rows", lambda r: plain(r) & r["s"]["active"]), lambda r: r["text"])

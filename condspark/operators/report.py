@@ -65,13 +65,6 @@ def read(pruned: DataFrame, title: str, mode: str = "physical", cap: int = 0, of
     return pruned.select("path", "target", (text.page(whole, F.lit(cap), F.lit(offset)) if cap else whole).alias("text"))
 
 
-def line_counts(states: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(path, target, active_lines, skipped_ranges) of each analysed file."""
-    counts = states.groupBy("path", "target").agg(F.count(F.when(F.col("active") & (F.col("directive").isNull() | F.col("orphan")), 1)).alias("active_lines"))
-    ranges = skipped.groupBy("path", "target").agg(F.count("*").alias("skipped_ranges"))
-    return counts.join(ranges, ["path", "target"], "left").select("path", "target", "active_lines", F.coalesce("skipped_ranges", F.lit(0)).cast("long").alias("skipped_ranges"))
-
-
 def verdicts(apart: DataFrame, counts: DataFrame, first: int = 20) -> DataFrame:
     """(path, target, agree, said): what active_diff found, in words, for each file of counts (path, target, n_lines)."""
     both = counts.join(apart, ["path", "target"], "left")

@@ -23,16 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def guarded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, target, macros, code): each document's lines within conditionals, for each language as target."""
+def guarded_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """((path, code), (target, macros)): each document's lines within conditionals, and each language as target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.upper("lang").alias("lang"))
     code = F.expr("""array_join(transform(split(text, '\\n'), (x, i) -> case i % 4
         when 0 then concat('#ifdef LANG_', lang, '\\n', x, '\\n#else\\nother line\\n#endif')
         when 1 then concat('#if LANG_EN || defined(LANG_FR)\\n', x, '\\n#endif')
         else x end), '\\n')""")
-    target = F.explode(F.array(*[F.lit(f"lang_{x.lower()}") for x in LANGS]))
-    rows = docs.select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), target.alias("target"), code.alias("code"))
-    return rows.select("path", "target", build.target_macros(F.col("target")).alias("macros"), "code")
+    targets = spark.createDataFrame([(f"lang_{x.lower()}",) for x in LANGS], "target string").withColumn("macros", build.target_macros(F.col("target")))
+    return docs.select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), code.alias("code")), targets
+
+
+def guarded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, target, macros, code): the same, a row for each file and target."""
+    files, targets = guarded_files(spark, sf_dir)
+    return files.crossJoin(F.broadcast(targets)).select("path", "target", "macros", "code")  # four targets
 
 
 def synth_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

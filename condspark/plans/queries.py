@@ -84,7 +84,7 @@ kept AS (SELECT path, target, a, lang, flatten(list_transform(a, lambda x, i: CA
 
 @query(f"WITH {GUARDED} SELECT path, target, md5(array_to_string(k, chr(10))) AS code_md5, (n_lines - CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN 1 ELSE 0 END)::BIGINT AS original_lines FROM (SELECT path, target, a, n_lines, CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END AS k FROM kept)")
 def prune_guarded_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.prune(corpora.guarded_docs(spark, sf_dir)).select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"), "original_lines")
+    return blocks.prune_for(*corpora.guarded_files(spark, sf_dir)).select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"), "original_lines")
 
 
 ON = "CASE WHEN {} THEN 'ACTIVE' ELSE 'INACTIVE' END"
@@ -95,7 +95,7 @@ FOLDED = f"""v AS (SELECT path, target, a, list_transform(a, lambda x, i: CASE (
 
 @query(f"WITH {GUARDED}, {FOLDED} SELECT path, target, md5(array_to_string(CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END, chr(10))) AS code_md5 FROM v")
 def prune_guarded_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = blocks.prune(corpora.guarded_docs(spark, sf_dir), "virtual")
+    p = blocks.prune_for(*corpora.guarded_files(spark, sf_dir), "virtual")
     return p.select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"))
 
 
@@ -104,7 +104,7 @@ TOKENS_OF = "CASE WHEN {0} = 0 THEN 0 ELSE greatest(1, floor({0} / 3.7::DOUBLE))
 
 @query(f"WITH {GUARDED}, c AS (SELECT target, n_chars AS o, length(array_to_string(CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END, chr(10))) AS p FROM kept) SELECT target, count(*) AS files, sum({TOKENS_OF.format('o')})::BIGINT AS original_tokens, sum({TOKENS_OF.format('p')})::BIGINT AS pruned_tokens, sum(greatest(0, {TOKENS_OF.format('o')} - {TOKENS_OF.format('p')}))::BIGINT AS saved_tokens FROM c GROUP BY target")
 def savings_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = blocks.prune(corpora.guarded_docs(spark, sf_dir))
+    p = blocks.prune_for(*corpora.guarded_files(spark, sf_dir))
     return p.groupBy("target").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in ("original_tokens", "pruned_tokens", "saved_tokens")])
 
 
@@ -128,12 +128,12 @@ def prune_synth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {STACK}, code AS (SELECT path, line_no, active, min(CASE WHEN active THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM states WHERE k > 6 OR orphan) SELECT path, min(line_no) AS lo, (nx - 1)::INTEGER AS hi FROM code WHERE NOT active AND nx IS NOT NULL GROUP BY path, nx")
 def skipped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.skipped_ranges(blocks.line_states(corpora.synth_sources(spark, sf_dir))).select("path", "lo", "hi")
+    return blocks.skipped_ranges(corpora.synth_sources(spark, sf_dir)).select("path", "lo", "hi")
 
 
 @query(f"WITH RECURSIVE {STACK} SELECT path, array_to_string(list_transform(st, lambda x: CASE x.k WHEN 0 THEN 'ifdef' WHEN 1 THEN 'if' ELSE 'ifndef' END), ', ') AS kinds FROM states WHERE line_no = {LINES} AND len(st) > 0")
 def unclosed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.unclosed(blocks.line_states(corpora.synth_sources(spark, sf_dir))).select("path", "kinds")
+    return blocks.unclosed(corpora.synth_sources(spark, sf_dir)).select("path", "kinds")
 
 
 @query(f"WITH RECURSIVE {STACK} SELECT path, count(*) AS strays FROM states WHERE orphan GROUP BY path")
@@ -396,8 +396,7 @@ def backend_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {STACK}, code AS (SELECT path, line_no, active, min(CASE WHEN active THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM states WHERE k > 6 OR orphan) SELECT path, count(CASE WHEN active THEN 1 END) AS active_lines, count(DISTINCT CASE WHEN NOT active THEN nx END) AS skipped_ranges FROM code GROUP BY path")
 def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = blocks.line_states(corpora.synth_sources(spark, sf_dir))
-    return report.line_counts(s, blocks.skipped_ranges(s)).select("path", "active_lines", "skipped_ranges")
+    return blocks.line_counts(corpora.synth_sources(spark, sf_dir)).select("path", "active_lines", "skipped_ranges")
 
 
 @query(f"""WITH {GUARDED}, c AS (SELECT path, target, a, n_lines, n_chars, CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END AS k FROM kept),
@@ -407,7 +406,7 @@ SELECT path, target, md5('/* --- Sources ---------------------------- */' || chr
  || '/* Tokens:    ' || greatest(0, ot - pt) || '/' || ot || ' saved (' || CASE WHEN ot > 0 THEN round_even(greatest(0, ot - pt) / ot * 100, 2) ELSE 0.0::DOUBLE END || '%)                  */' || chr(10) || '/* Mode:      physical                                */' || chr(10) || '/* Backend:   regex                              */' || chr(10) || '/* ------------------------------------------------ */' || chr(10) || chr(10) || code) AS text_md5 FROM q""")
 def read_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader gets for each file and target: banner and pruned text."""
-    return report.read(blocks.prune(corpora.guarded_docs(spark, sf_dir)), "Sources").select("path", "target", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return report.read(blocks.prune_for(*corpora.guarded_files(spark, sf_dir)), "Sources").select("path", "target", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(f"WITH {DB} SELECT db_id, entry_ord, 'clang -E -w -x ' || CASE WHEN name LIKE '%.cpp' THEN 'c++' ELSE 'c' END || ' -Wall inc -x -c --sysroot=/sdk -DPRODUCT_TYPE=' || t5 || CASE WHEN wifi THEN ' -DHAS_WIFI' ELSE '' END || ' -DWS63 -DTARGET_WS63 -DPRODUCT_WS63 -Iinc -Iinc' || i4 || ' /w/src/' || name AS argv FROM db")

@@ -45,7 +45,7 @@ def test_random_files(spark):
     got, ranges = {}, {}
     for r in states.select("path", "line_no", "active").collect():
         got[r.path, r.line_no] = r.active
-    for r in blocks.skipped_ranges(states).collect():
+    for r in blocks.skipped_ranges(df).collect():
         ranges.setdefault(r.path, []).append((r.lo, r.hi))
     for p, x in files.items():
         active, skipped = by_stack(x)
