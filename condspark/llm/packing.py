@@ -4,10 +4,11 @@ Documents are cut into pieces of at most ``capacity`` tokens.  Full pieces are s
 are.  The others are dealt to groups of bounded size and each group is packed by best-fit
 decreasing.  Dual feasible functions bound from below how many sequences a group needs; a
 group that meets its bound is certified.  Sequences with free space then give their pieces
-back: all of them where a group has a gap, those with more than ``SLACK`` tokens free where it is
-certified.  The pieces given back are dealt anew to fewer groups and packed again, until
-one group packs all that is left or the total meets the bound of the whole corpus, which needs
-only the histogram of lengths.
+back, the emptiest first: any of them where a group has a gap, those with more than ``SLACK`` tokens free where
+it is certified, but no more than a ``FEWER``-th of a full group's pieces.  The pieces given back are dealt
+anew to a ``FEWER``-th of the groups and packed again, until one group packs all that is left or the total meets
+the bound of the whole corpus, which needs only the histogram of lengths.  So a group stays bounded and rounds
+grow with the logarithm of the corpus, also where a gap is the bound's and can't be closed.
 """
 
 from __future__ import annotations
@@ -25,15 +26,23 @@ from . import bpe, scratch, wordhash
 
 GROUP = 60_000
 SLACK = 32
+FEWER = 4
+#: Dual feasible functions of 2 to STEPS + 1 steps are tried.
+STEPS = 16
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Most of the bounds by Martello and Toth's dual feasible functions, over every threshold."""
+    """Most of the bounds by dual feasible functions, over every threshold."""
     return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
 
 
 def bound_of(count: np.ndarray, capacity: int) -> int:
-    """The same from a histogram: count[w] pieces of length w."""
+    """The same from a histogram: count[w] pieces of length w.
+
+    The functions are those that raise pieces of which none smaller than a threshold fits beside, and drop those
+    (Martello and Toth), alone, with the room left counted, and followed by rounding in k steps (Fekete and Schepers): of
+    k + 1 equal parts a piece that doesn't end on one loses what is over, and each full part counts 1 / k.
+    """
     count = np.asarray(count, np.int64)
     weight = count * np.arange(capacity + 1)
     n, w = np.cumsum(count), np.cumsum(weight)
@@ -45,6 +54,13 @@ def bound_of(count: np.ndarray, capacity: int) -> int:
         big, big_w = n[capacity - a] - n[half], w[capacity - a] - w[half]
         small = w[half] - (w[a - 1] if a else 0)
         best = max(best, int(huge + big + max(0, -(-(small - (big * capacity - big_w)) // capacity))))
+    lengths, a = np.arange(capacity + 1), np.arange(half + 1)
+    for k in range(1, STEPS + 1):
+        parts = (k + 1) * lengths
+        step = np.where(parts % capacity == 0, k * lengths, capacity * (parts // capacity))
+        upto = np.concatenate([[0], np.cumsum(count * step)])
+        value = upto[capacity - a + 1] - upto[a] + k * capacity * (n[-1] - n[capacity - a])
+        best = max(best, -(-int(value.max()) // (k * capacity)))
     return best
 
 
@@ -73,6 +89,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, np.asarray(free, np.int64)
 
 
+def given_back(where: np.ndarray, free: np.ndarray, gap: bool, groups: int, most: int) -> np.ndarray:
+    """Which sequences of one of several groups give their pieces back, the emptiest first and ``most`` pieces at most."""
+    opened = np.zeros(len(free), bool)
+    if groups > 1:
+        order = np.argsort(-free, kind="stable")
+        order = order[free[order] > (0 if gap else SLACK)]
+        opened[order[np.cumsum(np.bincount(where, minlength=len(free))[order]) <= most]] = True
+    return opened
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_col: str, text_col: str, keep_space: bool) -> DataFrame:
     """(row, id_col, piece, start, length, ids_crc32), written to a shared table; row is unique."""
 
@@ -119,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
     schema = f"{left._jdf.schema().toDDL()}, sequence_id long, offset long, open boolean"
     while n:
         fewer = -(-n // GROUP)
-        groups = fewer if groups is None else min(fewer, max(1, groups - 1))
+        groups, most = fewer if groups is None else min(fewer, max(1, groups // FEWER)), max(1, GROUP // FEWER)
 
         def packed(rows: pa.Table) -> pa.Table:  # runs before base and groups change
             rows = rows.sort_by("row")
@@ -128,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
             lengths = rows.column("length").to_numpy()
             where, offset, free = best_fit_decreasing(lengths, capacity)
             gap = len(free) > lower_bound(lengths, capacity)
-            opened = (free > 0 if gap else free > SLACK) & (groups > 1)
+            opened = given_back(where, free, gap, groups, most)
             return rows.append_column("sequence_id", pa.array(base + (group << 20) + where)).append_column("offset", pa.array(offset)).append_column("open", pa.array(opened[where]))
 
         dealt = left.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups)).cast("int"))
