@@ -1,5 +1,6 @@
 """Each operator beside a plain version, over awkward inputs: nulls, empty and long texts, ties, repeated rows."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -322,6 +323,64 @@ def test_near_duplicates_beside_all_pairs(spark):
     assert sum(got[a] == got[b] for a, b in linked) >= 0.95 * len(linked)
 
 
+@pytest.mark.parametrize("near", [0.98, 0.95, 0.9, 0.87, 0.84, 0.81])
+def test_recall_by_similarity(near):
+    """Pairs of a text and a copy of about that similarity, edits spread at random, insertions and removals among them: they share a sketch."""
+    rng = random.Random(int(near * 100))
+    met = total = 0
+    while total < 120:
+        n = (80, 150, 400)[total % 3]
+        a = rng.sample(range(10**6), n)
+        b = []
+        for w in a:
+            kind = rng.random()
+            if kind < 1 - near:
+                b += [[rng.randint(10**7, 10**8)], [], [w, rng.randint(10**7, 10**8)]][int(kind * 1000) % 3]
+            else:
+                b.append(w)
+        x, y = (np.array(v, np.uint64) for v in (a, b))
+        found = longest(a, b) / max(len(a), len(b))
+        if not near - 0.01 <= found < near + 0.02 or found < 0.8:
+            continue
+        assert order_minhash.similarity(x, y) == found
+        h = wordhash.mix(np.concatenate([x, y]))
+        s = order_minhash.sketches(h, np.array([0, len(x), len(h)]))
+        met += bool((s[0] == s[1]).any())
+        total += 1
+    # edits of one kind leave more k-mers than these do; README has the figures
+    assert met >= (0.9 if near > 0.82 else 0.75) * total
+
+
+def longest(a, b):
+    """Aligned words of texts whose words are all different: a longest ascending run of places."""
+    place = {w: i for i, w in enumerate(a)}
+    ends = []
+    for i in (place[w] for w in b if w in place):
+        k = bisect.bisect_left(ends, i)
+        ends[k : k + 1] = [i]
+    return len(ends)
+
+
+def test_rounds_of_packing_grow_with_the_logarithm(monkeypatch):
+    """Lengths whose bound can't be met: rounds and the size of groups, by the operator's own steps."""
+    for low, high in ((700, 1100), (683, 1023), (1, 2047)):
+        lengths = np.random.default_rng(low).integers(low, high + 1, 16 * 400)
+        groups, rounds, done, left = 16, 0, 0, lengths
+        while len(left):
+            rounds += 1
+            again = []
+            for own in np.array_split(np.random.default_rng(rounds).permutation(left), groups):
+                where, _, free = packing.best_fit_decreasing(own, 2048)
+                opened = packing.given_back(where, free, len(free) > packing.lower_bound(own, 2048), groups, 100)
+                assert opened[where].sum() <= 100 or groups == 1
+                again.append(own[opened[where]])
+                done += int((~opened).sum())
+            left = np.concatenate(again)
+            groups = max(1, groups // packing.FEWER)
+        assert rounds <= 3
+        assert packing.lower_bound(lengths, 2048) <= done <= 1.02 * packing.lower_bound(lengths, 2048) + 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)]
