@@ -70,29 +70,42 @@ def union_macros(first: Column, over: Column) -> Column:
 
 
 def match_files(files: DataFrame, entries: DataFrame, by_name: bool = True, units_only: bool = True) -> DataFrame:
-    """files (path) with the first entry, in database order, of the same path or the same file name.
+    """files (path) with what each database has for them: its first entry of the same path or the same file name.
 
-    Each path and each file name keeps its first entry alone before the two equi-joins, so a name that many
-    files and entries share makes one row a file.
+    A row for each file and database (entries' db_id) that has such an entry; a file that no database knows keeps one row
+    of nulls.  Files that name a db_id themselves are looked up in that one alone.  Order (entry_ord) counts within a
+    database.  Each path and each file name keeps a database's first entry alone before the equi-joins, so a
+    name that many files and entries share makes one row a file and database.
     """
     own = entries.withColumn("entry_path", text.resolve(F.col("file"), F.col("directory")))
     if units_only:
         own = own.where(F.col("file").rlike(UNIT))
-    rest = [c for c in own.columns if c not in ("entry_ord", "entry_path")]
-    entry = F.struct("entry_ord", *rest)
-    first = lambda k, name: own.groupBy(k.alias("k")).agg(F.min_by(entry, "entry_ord").alias(name))
-    found = files.withColumn("_path", text.normal_path(F.col("path"))).join(first(F.col("entry_path"), "_p").withColumnRenamed("k", "_path"), "_path", "left").drop("_path")
-    best = F.col("_p")
+    entry = F.struct(*entries.columns)
+    first = lambda k: own.groupBy("db_id", k.alias("_k")).agg(F.min_by(entry, "entry_ord").alias("_e"))
+    within = ["path", "db_id"] if "db_id" in files.columns else ["path"]
+    asked = files.select(*within).distinct()
+    keyed = lambda k: asked.withColumn("_k", k)
+    met = keyed(text.normal_path(F.col("path"))).join(first(F.col("entry_path")), ["_k", *within[1:]]).select("path", "db_id", "_e")
     if by_name:
-        found = found.withColumn("_name", text.basename(F.col("path"))).join(first(text.basename(F.col("file")), "_q").withColumnRenamed("k", "_name"), "_name", "left").drop("_name")
-        best = F.when(F.col("_p.entry_ord") <= F.col("_q.entry_ord"), F.col("_p")).otherwise(F.coalesce("_q", "_p"))
-    out = found.withColumn("_e", best)
-    return out.select(*files.columns, *[F.col(f"_e.{c}").alias(c) for c in entries.columns])
+        met = met.unionByName(keyed(text.basename(F.col("path"))).join(first(text.basename(F.col("file"))), ["_k", *within[1:]]).select("path", "db_id", "_e"))
+    best = met.groupBy("path", "db_id").agg(F.min_by("_e", "_e.entry_ord").alias("_e"))
+    out = files.join(best if len(within) > 1 else best.drop("db_id"), within, "left")
+    return out.select(*files.columns, *[F.col(f"_e.{c}").alias(c) for c in entries.columns if c not in files.columns])
+
+
+def include_folders(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path, db_id, ord, dir): the include folders that each database gives a file, by its path alone.
+
+    A relative folder is one of the file's own folder.
+    """
+    met = with_tokens(match_files(files.select("path"), entries, by_name=False, units_only=False).where("db_id is not null"))
+    folder = met.select("path", "db_id", F.posexplode(include_dirs_of(F.col("tokens"))).alias("ord", "dir"))
+    return folder.select("path", "db_id", "ord", text.resolve(F.col("dir"), text.dirname(F.col("path"))).alias("dir"))
 
 
 def macros_by_file(entries: DataFrame) -> DataFrame:
-    """(file, macros) with the last entry of each file."""
-    return with_tokens(entries).groupBy("file").agg(F.max_by("tokens", "entry_ord").alias("tokens")).select("file", macros_of(F.col("tokens")).alias("macros"))
+    """(db_id, file, macros) with a database's last entry of each file."""
+    return with_tokens(entries).groupBy("db_id", "file").agg(F.max_by("tokens", "entry_ord").alias("tokens")).select("db_id", "file", macros_of(F.col("tokens")).alias("macros"))
 
 
 def infer_target(entries: DataFrame) -> DataFrame:

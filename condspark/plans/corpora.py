@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import build
 
 LANGS = ["EN", "DE", "FR", "ES"]
@@ -79,6 +80,17 @@ def marked_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", F.concat(F.lit('# 1 "'), "path", F.lit('"\nint a;\n# 1 "/usr/x.h" 1\nint x;\n# '), (F.col("d") % 5 + 2).cast("string"), F.lit(' "'), "path", F.lit('" 2\n'), F.when(F.col("d") % 2 == 0, "int b;").otherwise("   "), F.lit('\n# 9 "'), "path", F.lit('"\nint c;')).alias("code"))
 
 
+def nested_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, target, code, original): each document's lines as preprocessed text, every third line within a header that includes another."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/n/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), F.lit("ws63").alias("target"), F.col("text").alias("original"))
+    mark = lambda n, file, flag: F.concat(F.lit("# "), n.cast("string") if not isinstance(n, str) else F.lit(n), F.lit(' "'), file, F.lit(f'"{flag}\n'))
+    own = F.col("path")
+    inner = lambda n: F.concat(mark("1", F.lit("/usr/h.h"), " 1"), F.lit("struct h"), n.cast("string"), F.lit(";\n\n"), mark("3", F.lit("/usr/../usr/sys/deep.h"), " 1 3"), F.lit("  int deep;\n"), mark("9", F.lit("/usr/h.h"), " 2"), F.lit("back in h;"))
+    line = lambda x, n: F.when(n % 3 == 1, F.concat(mark(n, own, ""), x)).when(n % 3 == 2, inner(n)).when(n % 6 == 0, F.concat(F.lit("  "), mark(n, F.concat(F.lit("/n/./"), F.substring_index(own, "/", -1)), " 2"), x, F.lit('\n#line 7 "x"'))).otherwise(F.concat(mark(n, own, " 2"), F.lit("   ")))
+    code = F.array_join(F.transform(text.split_lines(F.col("original")), lambda x, i: line(x, i + 1)), "\n")
+    return docs.select("path", "target", code.alias("code"), "original")
+
+
 def synth_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """synth_sources with an include in place of each line of code."""
     return synth_sources(spark, sf_dir).withColumn("code", F.regexp_replace("code", r"(?m)^code_(\d+);$", '#include "i$1.h"'))

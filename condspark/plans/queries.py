@@ -179,18 +179,35 @@ def cdb_include_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("db_id", "entry_ord", F.array_join(build.include_dirs_of(F.col("tokens")), ",").alias("dirs"))
 
 
-@query(f"WITH {DB} SELECT DISTINCT '/w/src/' || name AS path, min(CASE WHEN name LIKE '%.S' THEN NULL ELSE entry_ord END) OVER (PARTITION BY name) AS entry_ord FROM db UNION ALL SELECT '/elsewhere/' || name, min(entry_ord) FROM db WHERE name NOT LIKE '%.S' GROUP BY name")
+@query(f"WITH {DB}, u AS (SELECT db_id, name, min(entry_ord) AS entry_ord FROM db WHERE name NOT LIKE '%.S' GROUP BY ALL) SELECT '/w/src/' || name AS path, db_id, entry_ord FROM u UNION ALL SELECT '/elsewhere/' || name, db_id, entry_ord FROM u UNION ALL SELECT DISTINCT '/w/src/' || name, NULL, NULL FROM db WHERE name LIKE '%.S'")
 def cdb_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five databases has for a file, by path or by name."""
     db = corpora.synth_database(spark, sf_dir)
     paths = db.select(text.resolve(F.col("file"), F.col("directory")).alias("path")).distinct()
     other = paths.where(F.col("path").rlike(build.UNIT)).select(F.concat(F.lit("/elsewhere/"), text.basename(F.col("path"))).alias("path"))
-    return build.match_files(paths.unionByName(other), db).select("path", "entry_ord")
+    return build.match_files(paths.unionByName(other), db).select("path", "db_id", "entry_ord")
 
 
-@query(f"WITH {DB}, l AS (SELECT name, max(entry_ord) AS entry_ord FROM db GROUP BY name) SELECT '../src/' || name AS file, t5::VARCHAR AS product_type, wifi FROM l JOIN db USING (name, entry_ord)")
+@query(f"WITH {DB} SELECT '/w/src/' || name AS path, db_id, min(entry_ord) AS entry_ord FROM db WHERE db_id IN ('db1', 'db3') AND name NOT LIKE '%.S' GROUP BY ALL UNION ALL SELECT DISTINCT '/w/src/' || name, db_id, NULL FROM db WHERE db_id IN ('db1', 'db3') AND name LIKE '%.S' UNION ALL SELECT '/elsewhere/x.c', 'db1', NULL FROM (SELECT 1)")
+def cdb_match_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that name the database to look them up in."""
+    db = corpora.synth_database(spark, sf_dir)
+    asked = db.where("db_id in ('db1', 'db3')").select(text.resolve(F.col("file"), F.col("directory")).alias("path"), "db_id").distinct()
+    return build.match_files(asked.unionByName(spark.createDataFrame([("/elsewhere/x.c", "db1")], "path string, db_id string")), db).select("path", "db_id", "entry_ord")
+
+
+@query(f"WITH {DB}, u AS (SELECT db_id, name, i4 FROM db QUALIFY row_number() OVER (PARTITION BY db_id, name ORDER BY entry_ord) = 1) SELECT '/w/src/' || name AS path, db_id, o AS ord, '/w/src/inc' || CASE o WHEN 1 THEN i4::VARCHAR ELSE '' END AS dir FROM u, range(0, 2) t(o)")
+def cdb_folders_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Include folders of each file by database, from the entry of its path alone."""
+    db = corpora.synth_database(spark, sf_dir)
+    paths = db.select(text.resolve(F.col("file"), F.col("directory")).alias("path")).distinct()
+    return build.include_folders(paths, db).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(f"WITH {DB}, l AS (SELECT db_id, name, max(entry_ord) AS entry_ord FROM db GROUP BY ALL) SELECT db_id, '../src/' || name AS file, t5::VARCHAR AS product_type, wifi FROM l JOIN db USING (db_id, name, entry_ord)")
 def cdb_all_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = build.macros_by_file(corpora.synth_database(spark, sf_dir))
-    return m.select("file", F.col("macros")["PRODUCT_TYPE"].alias("product_type"), F.map_contains_key("macros", "HAS_WIFI").alias("wifi"))
+    return m.select("db_id", "file", F.col("macros")["PRODUCT_TYPE"].alias("product_type"), F.map_contains_key("macros", "HAS_WIFI").alias("wifi"))
 
 
 @query(f"WITH {DB}, v AS (SELECT db_id, 'PRODUCT_' || t7 AS target, count(*) AS votes, min(entry_ord) AS seen FROM db GROUP BY ALL) SELECT db_id, target, votes FROM v QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY votes DESC, seen) = 1")
@@ -255,20 +272,6 @@ HEADERS = """k AS (SELECT s_suppkey AS s, t AS target, (SELECT count(*) FROM sup
 x AS (SELECT s, target, '#include "h' || CASE target WHEN 'product_a' THEN (s * 7 + 3) % n ELSE (s * 5 + 1) % n END || '.h"' || chr(10) || '#include <stdio.h>' || chr(10) || CASE WHEN s % 3 = 0 THEN '#include "h' || (s * 3 + 2) % n || '.h"' || chr(10) ELSE '' END AS top, CASE WHEN s % 3 = 0 THEN 3 ELSE 2 END AS n_top FROM k)"""
 
 
-@query(f"""WITH RECURSIVE {ACTIVE}, reach AS (SELECT target, s_suppkey AS root, s_suppkey AS path, 0 AS depth FROM supplier, (SELECT DISTINCT target FROM a) UNION SELECT reach.target, root, dst, depth + 1 FROM reach JOIN a ON reach.target = a.target AND path = src WHERE depth < 2 AND dst IN (SELECT s_suppkey FROM supplier)),
-{HEADERS}, deps AS (SELECT DISTINCT target, root, path FROM reach WHERE path <> root),
-parts AS (SELECT target, root, count(*) AS n_deps, string_agg(chr(10) || '/* ══ DEPENDENCY: h' || path || '.h ══════════════════ */' || chr(10) || '/* Skeleton: ' || (n_top + 2) || ' lines | Functions stripped: 1 */' || chr(10) || chr(10) || top || 'int f' || path || '(int a, int b)' || chr(10) || '{{ /* ... */ }}', chr(10) ORDER BY 'h' || path || '.h') AS body FROM deps JOIN x USING (target) WHERE x.s = path GROUP BY ALL)
-SELECT '/h/h' || s || '.h' AS root, x.target, coalesce(n_deps, 0) AS n_deps, md5('/* ── Sources ──────────────── */' || chr(10) || '/* Target: ' || x.target || repeat(' ', 32) || '*/' || chr(10) || '/* Root: h' || s || '.h' || repeat(' ', 27) || '*/' || chr(10) || '/* Dependencies: ' || coalesce(n_deps, 0) || ' files        */' || chr(10) || '/* Max depth: 3                          */' || chr(10) || '/* Mode: physical                                    */' || chr(10) || '/* Backend: regex                          */' || chr(10) || '/* ─────────────────────────────────────────────── */' || chr(10) || chr(10)
- || '/* ══ TARGET FILE: h' || s || '.h ══════════════════ */' || chr(10) || '/* Original: ' || (n_top + 9) || ' lines | Pruned: ' || (n_top + 5) || ' lines */' || chr(10) || chr(10) || top || 'int f' || s || '(int a,' || chr(10) || '    int b)' || chr(10) || '{{' || chr(10) || '    return a + b;' || chr(10) || '}}' || coalesce(chr(10) || body, '')) AS text_md5
-FROM x LEFT JOIN parts ON x.s = parts.root AND x.target = parts.target""")
-def read_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every header as root for two targets, with the headers that it includes for the target."""
-    files, dirs, targets = corpora.header_tree(spark, sf_dir)
-    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))  # two targets
-    got = reading.with_dependencies(files, dirs, roots, targets, "Sources", 3)
-    return got.select("root", "target", "n_deps", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
 LOOSE = STACK.replace("run AS", "unused AS").split("unused AS")[0] + """run AS (SELECT p_partkey AS f, 0::BIGINT AS n, []::BOOLEAN[] AS st, 99::BIGINT AS k FROM part
 UNION ALL SELECT r.f, c.n, CASE
   WHEN c.k <= 2 THEN list_append(r.st, len(list_filter(r.st, lambda x: NOT x)) = 0 AND c.c)
@@ -292,14 +295,15 @@ WALKS = """n AS (SELECT count(*) AS n FROM supplier), x AS (SELECT s_suppkey AS
 ways AS (SELECT target, s, o, e, CASE WHEN o = 4 THEN 'n' || k // 5 || '.h' WHEN o = 6 THEN 'stdio.h' ELSE '../d' || k % 5 || '/n' || k // 5 || '.h' END AS header, active,
   CASE WHEN NOT active OR e OR o = 6 THEN NULL WHEN o = 4 THEN CASE WHEN k // 5 * 5 + s % 5 < n THEN k // 5 * 5 + s % 5 ELSE k // 5 * 5 END ELSE k END AS f
  FROM x, LATERAL (VALUES (2, false, (s * 7 + 3) % n, target = 'product_a'), (4, false, (s * 5 + 1) % n, target = 'other'), (6, false, 0, true), (7, s % 11 = 5, (s * 3 + 2) % n, true), (8, false, (s * s + 1) % n, true)) v(o, e, k, active)
- WHERE o < 8 OR (s % 3 = 0 AND s % 11 <> 5)),
-kids AS (SELECT target, s, list({'f': f, 's': s, 'o': o, 'e': e} ORDER BY o DESC) AS kids FROM ways GROUP BY target, s),
+ WHERE o < 8 OR (s % 3 = 0 AND s % 11 <> 5))"""
+RUN = """kids AS (SELECT target, s, list({'f': f, 's': s, 'o': o, 'e': e} ORDER BY o DESC) AS kids FROM ways GROUP BY target, s),
 run AS (SELECT s AS root, target, 0 AS step, [{'f': s, 's': NULL::BIGINT, 'o': 0, 'e': false, 'd': 0}] AS st, []::BIGINT[] AS seen, NULL::STRUCT(f BIGINT, s BIGINT, o INTEGER, e BOOLEAN, d INTEGER) AS top, false AS new FROM x
-UNION ALL SELECT root, run.target, step + 1, CASE WHEN st[-1].e THEN [] WHEN st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f) THEN st[:-2] ELSE list_concat(st[:-2], list_transform(kids, lambda k: {'f': k.f, 's': k.s, 'o': k.o, 'e': k.e, 'd': st[-1].d + 1})) END,
-  CASE WHEN st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f) THEN seen ELSE list_append(seen, st[-1].f) END, st[-1], NOT (st[-1].f IS NULL OR st[-1].d >= 4 OR list_contains(seen, st[-1].f))
+UNION ALL SELECT root, run.target, step + 1, CASE WHEN st[-1].e THEN [] WHEN st[-1].f IS NULL OR st[-1].d >= {bound} OR list_contains(seen, st[-1].f) THEN st[:-2] ELSE list_concat(st[:-2], list_transform(kids, lambda k: {'f': k.f, 's': k.s, 'o': k.o, 'e': k.e, 'd': st[-1].d + 1})) END,
+  CASE WHEN st[-1].f IS NULL OR st[-1].d >= {bound} OR list_contains(seen, st[-1].f) THEN seen ELSE list_append(seen, st[-1].f) END, st[-1], NOT (st[-1].f IS NULL OR st[-1].d >= {bound} OR list_contains(seen, st[-1].f))
  FROM run LEFT JOIN kids ON kids.target = run.target AND kids.s = run.st[-1].f WHERE len(st) > 0),
 visits AS (SELECT root, target, step, top.f AS f, top.d AS depth FROM run WHERE new), ends AS (SELECT root, target, top.s AS f, top.o AS line_no FROM run WHERE top.e),
 met AS (SELECT r.root, r.target, r.step, r.top.s AS f, r.top.o AS o, w.header, w.active, w.f AS dst FROM run r JOIN ways w ON w.target = r.target AND w.s = r.top.s AND w.o = r.top.o WHERE NOT r.top.e)"""
+WALKS = f"{WALKS}, {RUN.replace('{bound}', '4')}"
 PLACE = "'/t/d' || {0} % 5 || '/n' || {0} // 5 || '.h'"
 NAMES = """last AS (SELECT root, target, f // 5 AS b, max(step) AS step, min(step) AS came FROM visits GROUP BY ALL),
 names AS (SELECT last.root, last.target, last.b, came, list(header || CASE WHEN active THEN '' ELSE ' [skipped]' END ORDER BY met.step) FILTER (header IS NOT NULL) AS deps FROM last LEFT JOIN met ON met.root = last.root AND met.target = last.target AND met.f // 5 = last.b AND met.step > last.step GROUP BY ALL),
@@ -351,6 +355,24 @@ def include_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.graph_stats(walk.name_graph(_walk(spark, sf_dir)))
 
 
+HEADER_WAYS = """x0 AS (SELECT s_suppkey AS s, (SELECT count(*) FROM supplier) AS n, t AS target FROM supplier, (VALUES ('product_a'), ('other')) v(t)),
+ways AS (SELECT target, s, o, false AS e, CASE WHEN active AND o <> 6 THEN k END AS f FROM x0, LATERAL (VALUES (2, (s * 7 + 3) % n, target = 'product_a'), (4, (s * 5 + 1) % n, target = 'other'), (6, 0, true), (7, (s * 3 + 2) % n, s % 3 = 0)) v(o, k, active))"""
+
+
+@query(f"""WITH RECURSIVE {HEADER_WAYS}, {RUN.replace('{bound}', '3').replace('FROM x', 'FROM x0').split('met AS')[0].rstrip().rstrip(',')}, reach AS (SELECT root, target, f AS path FROM visits),
+{HEADERS}, deps AS (SELECT DISTINCT target, root, path FROM reach WHERE path <> root),
+parts AS (SELECT target, root, count(*) AS n_deps, string_agg(chr(10) || '/* ══ DEPENDENCY: h' || path || '.h ══════════════════ */' || chr(10) || '/* Skeleton: ' || (n_top + 2) || ' lines | Functions stripped: 1 */' || chr(10) || chr(10) || top || 'int f' || path || '(int a, int b)' || chr(10) || '{{ /* ... */ }}', chr(10) ORDER BY 'h' || path || '.h') AS body FROM deps JOIN x USING (target) WHERE x.s = path GROUP BY ALL)
+SELECT '/h/h' || s || '.h' AS root, x.target, coalesce(n_deps, 0) AS n_deps, md5('/* ── Sources ──────────────── */' || chr(10) || '/* Target: ' || x.target || repeat(' ', 32) || '*/' || chr(10) || '/* Root: h' || s || '.h' || repeat(' ', 27) || '*/' || chr(10) || '/* Dependencies: ' || coalesce(n_deps, 0) || ' files        */' || chr(10) || '/* Max depth: 3                          */' || chr(10) || '/* Mode: physical                                    */' || chr(10) || '/* Backend: regex                          */' || chr(10) || '/* ─────────────────────────────────────────────── */' || chr(10) || chr(10)
+ || '/* ══ TARGET FILE: h' || s || '.h ══════════════════ */' || chr(10) || '/* Original: ' || (n_top + 9) || ' lines | Pruned: ' || (n_top + 5) || ' lines */' || chr(10) || chr(10) || top || 'int f' || s || '(int a,' || chr(10) || '    int b)' || chr(10) || '{{' || chr(10) || '    return a + b;' || chr(10) || '}}' || coalesce(chr(10) || body, '')) AS text_md5
+FROM x LEFT JOIN parts ON x.s = parts.root AND x.target = parts.target""")
+def read_with_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every header as root for two targets, with the headers that it includes for the target."""
+    files, dirs, targets = corpora.header_tree(spark, sf_dir)
+    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))  # two targets
+    got = reading.with_dependencies(files, dirs, roots, targets, "Sources", 3)
+    return got.select("root", "target", "n_deps", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 # -- comparing analyses
 
 
@@ -378,7 +400,24 @@ def marker_active_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MARKED}, x AS (SELECT path, unnest(range(1, 13))::INTEGER AS line_no FROM (SELECT DISTINCT path FROM m) EXCEPT SELECT path, line_no FROM m), y AS (SELECT path, line_no, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS g FROM x) SELECT path, min(line_no)::INTEGER AS lo, max(line_no)::INTEGER AS hi FROM y GROUP BY path, g")
 def marker_skipped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = corpora.marked_outputs(spark, sf_dir)
-    return reading.missing_ranges(reading.marker_lines(out), out.select("path", F.lit(12).alias("n_lines")))
+    return reading.missing_ranges(out, out.select("path", F.lit(12).alias("n_lines")))
+
+
+NESTED = r"""WITH d AS (SELECT '/n/' || doc_id || '.c' AS path, string_split(text, chr(10)) AS a, text FROM documents), l AS (SELECT path, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM d),
+k AS (SELECT path, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS total, list_filter(range(1, len(a) + 1), lambda i: (i % 3 = 1 AND regexp_matches(a[i], '\S')) OR i % 6 = 0) AS act,
+  flatten(list_transform(a, lambda x, i: CASE WHEN i % 3 = 1 THEN [x] WHEN i % 3 = 2 THEN ['struct h' || i || ';', '', '  int deep;', 'back in h;'] WHEN i % 6 = 0 THEN [x, '#line 7 "x"'] ELSE ['   '] END)) AS kept FROM l),
+g AS (SELECT *, list_filter(list_transform(list_concat(act, [total + 1]), lambda b, i: [CASE WHEN i = 1 THEN 0 ELSE act[i - 1] END + 1, b - 1]), lambda p: p[1] <= p[2]) AS gaps FROM k)
+SELECT path, total AS original_lines, len(list_filter(kept, lambda x: regexp_matches(x, '\S')))::BIGINT AS pruned_lines, array_to_string(act, ',') AS active_lines, array_to_string(list_transform(gaps, lambda p: p[1] || '-' || p[2]), ',') AS skipped,
+ md5('/* --- Oracle --- */' || chr(10) || '/* Target:    ' || rpad('ws63', 36, ' ') || '*/' || chr(10) || '/* Backend:   ' || rpad('sysroot=/sdk', 36, ' ') || '*/' || chr(10) || '/* Note: Fully preprocessed by clang -E.             */' || chr(10) || '/* Macros expanded, #include''d content inlined.       */' || chr(10) || '/* Use this output for CROSS-VALIDATION only;         */' || chr(10) || '/* prefer the regex backend for normal LLM reading.  */'
+ || chr(10) || '/* Active original lines: ' || lpad(len(act)::VARCHAR, 5, ' ') || '                */' || chr(10) || '/* Skipped ranges: ' || lpad(len(gaps)::VARCHAR, 5, ' ') || '                       */' || chr(10) || '/* --------------------------------------------------- */' || chr(10) || chr(10) || array_to_string(kept, chr(10))) AS code_md5 FROM g"""
+
+
+@query(NESTED)
+def preprocessed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as preprocessed text with headers within headers: cleaned text under its banner, active lines, skipped runs."""
+    got = reading.preprocessed(corpora.nested_outputs(spark, sf_dir), "Oracle", "/sdk")
+    said = F.array_join(F.transform("skipped", lambda r: F.concat_ws("-", r["lo"], r["hi"])), ",")
+    return got.select("path", "original_lines", "pruned_lines", F.array_join("active_lines", ",").alias("active_lines"), said.alias("skipped"), F.md5(F.col("code").cast("binary")).alias("code_md5"))
 
 
 @query(f"""WITH {GUARDED}, c AS (SELECT path, list_filter(list_transform(a, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND lang = 'EN' THEN {AT} + 1 WHEN (i - 1) % 4 = 0 AND lang = 'DE' THEN {AT} + 3 WHEN (i - 1) % 4 = 1 THEN {AT} + 6 END), lambda n: n IS NOT NULL) AS en,
