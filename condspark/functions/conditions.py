@@ -151,19 +151,39 @@ def told(condition: str, normal: dict[str, str | None]) -> tuple[bool, str | Non
         return False, str(e)
 
 
+class Memo:
+    """Results of conditions by the values of the names that they hold, so macro sets that differ in other names share them.
+
+    Sets are given as macro_key makes them and read once each.  ``asked`` counts evaluations.
+    """
+
+    def __init__(self):
+        self.sets: dict[str, dict] = {}
+        self.names: dict[str, list[str]] = {}
+        self.known: dict[tuple, tuple[bool, str | None]] = {}
+        self.by_set: dict[tuple[str, str], tuple[bool, str | None]] = {}
+        self.asked = 0
+
+    def told(self, condition: str, key: str) -> tuple[bool, str | None]:
+        if (key, condition) in self.by_set:
+            return self.by_set[key, condition]
+        if key not in self.sets:
+            self.sets[key] = normal_macros(json.loads(key))
+        if condition not in self.names:
+            self.names[condition] = sorted({n.lower() for n in re.findall(r"[A-Za-z_]\w*", condition)})
+        macros = self.sets[key]
+        about = condition, tuple((n, macros[n]) for n in self.names[condition] if n in macros)
+        if about not in self.known:
+            self.asked += 1
+            self.known[about] = told(condition, macros)
+        self.by_set[key, condition] = self.known[about]
+        return self.known[about]
+
+
 @F.pandas_udf(T.StructType().add("result", T.BooleanType()).add("error", T.StringType()))
 def _evaluated(condition: pd.Series, macros: pd.Series) -> pd.DataFrame:
-    sets: dict[str, dict] = {}
-    known: dict[tuple, tuple] = {}
-    for pair in set(zip(condition, macros, strict=True)):
-        text, key = pair
-        if text is None:
-            known[pair] = (None, None)
-            continue
-        if key not in sets:
-            sets[key] = normal_macros(json.loads(key))
-        known[pair] = told(text, sets[key])
-    return pd.DataFrame([known[pair] for pair in zip(condition, macros, strict=True)], columns=["result", "error"])
+    memo = Memo()
+    return pd.DataFrame([memo.told(c, k) if c is not None else (None, None) for c, k in zip(condition, macros, strict=True)], columns=["result", "error"])
 
 
 def macro_key(macros: Column) -> Column:

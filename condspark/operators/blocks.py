@@ -8,8 +8,6 @@ pruning and folding filter the split lines in place, and no step shuffles.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,21 +95,12 @@ _SPANS = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in _SPAN.item
 def _spans(total: pd.Series, asked: pd.Series, keys: pd.Series) -> pd.Series:
     """For each of a file's macro sets its spans.  asked: arrays of (line, directive, condition) structs.
 
-    Each condition is evaluated once for a macro set, and a file's directives are unpacked once for all sets.
+    Each condition is evaluated once for the values of its names, and a file's directives are unpacked once for all sets.
     """
-    sets: dict[str, dict] = {}
-    known: dict[tuple[str, str], tuple] = {}
+    memo = conditions.Memo()
 
     def one(rows: list[tuple], n: int, k: str) -> dict:
-        if k not in sets:
-            sets[k] = conditions.normal_macros(json.loads(k))
-
-        def truth(condition: str) -> tuple:
-            if (k, condition) not in known:
-                known[k, condition] = conditions.told(condition, sets[k])
-            return known[k, condition]
-
-        spans, left, code = _walk(rows, n, truth)
+        spans, left, code = _walk(rows, n, lambda condition: memo.told(condition, k))
         return dict(zip(_SPAN, map(list, zip(*spans, strict=True)), strict=True)) | {"open": left, "lo": [x for x, _ in code.ranges], "hi": [x for _, x in code.ranges], "active_lines": code.active}
 
     return pd.Series([[one([(d["at"], d["directive"], d["condition"]) for d in rows], n, k) for k in own] for n, rows, own in zip(total, asked, keys, strict=True)])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,21 +90,9 @@ def _loose(events: list[tuple[str | None, str | None]], truth) -> tuple[list[boo
 
 @F.pandas_udf(T.StructType().add("on", T.ArrayType(T.BooleanType())).add("read", T.IntegerType()).add("error", T.StringType()))
 def _loosely(events: pd.Series, key: pd.Series) -> pd.DataFrame:
-    known: dict[tuple[str, str], tuple] = {}
-    sets: dict[str, dict] = {}
-
-    def one(rows, k: str) -> tuple[list[bool], int, str | None]:
-        if k not in sets:
-            sets[k] = conditions.normal_macros(json.loads(k))
-
-        def truth(condition: str) -> tuple:
-            if (k, condition) not in known:
-                known[k, condition] = conditions.told(condition, sets[k])
-            return known[k, condition]
-
-        return _loose([(d["directive"], d["condition"]) for d in rows], truth)
-
-    return pd.DataFrame([one(rows, k) for rows, k in zip(events, key, strict=True)], columns=["on", "read", "error"])
+    memo = conditions.Memo()
+    told = [_loose([(d["directive"], d["condition"]) for d in rows], lambda condition, k=k: memo.told(condition, k)) for rows, k in zip(events, key, strict=True)]
+    return pd.DataFrame(told, columns=["on", "read", "error"])
 
 
 def walker_events(files: DataFrame) -> DataFrame:

@@ -76,12 +76,26 @@ def walk(files: DataFrame, dirs: DataFrame, roots: DataFrame, targets: DataFrame
     max_depth aren't visited; roots that are no file have no walk.  A condition that can't be evaluated ends the walk
     that meets it, at that place in its order; what came before stays, other walks go on.  Null code has no lines.
     """
-    pairs = files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros")))
-    found = includes.walker_events(pairs)
-    where = includes.resolve(includes.include_lines(files), files, dirs).distinct()
-    lines = shared.table(found.join(where, ["path", "line_no", "header"], "left"), "events")
+    lines = placed(told_lines(files, targets), files, dirs)
+    begin = roots.join(files.select(F.col("path").alias("root")).distinct(), "root", "left_semi").distinct()
+    return walk_lines(lines, begin, max_depth)
+
+
+def told_lines(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, target, line_no, header, active, error) of every file for every target."""
+    return includes.walker_events(files.select("path", "code").crossJoin(F.broadcast(targets.select("target", "macros"))))
+
+
+def placed(lines: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """lines with dst, the file that each header is, as a written table."""
+    headers = lines.where("header is not null").select("path", "line_no", "header").distinct()
+    return shared.table(lines.join(includes.resolve(headers, files, dirs), ["path", "line_no", "header"], "left"), "events")
+
+
+def walk_lines(lines: DataFrame, roots: DataFrame, max_depth: int) -> Walk:
+    """walk from roots (root, target) that are files, over what placed gave."""
     follow = lines.where("active and dst is not null").select("target", F.col("path").alias("src"), F.col("line_no").alias("ord"), "dst")
-    begin = roots.join(files.select(F.col("path").alias("root")).distinct(), "root", "left_semi").distinct() if max_depth > 0 else roots.limit(0)
+    begin = roots.select("root", "target") if max_depth > 0 else roots.select("root", "target").limit(0)
     labels = first_visits(follow, begin.withColumn("node", F.col("root")), ["root", "target"], ["target"], max_depth).withColumnRenamed("node", "path")
     labels = shared.table(labels, "visits")
     at = F.concat("label", F.array("line_no"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text, tokens
-from ..operators import blocks, build, includes, reading, report, walk
+from ..operators import blocks, build, includes, incremental, reading, report, walk
 from ..sources import files as sources
 from ..sources import projects
 from . import corpora
@@ -326,6 +326,20 @@ def include_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir).visits.select("root", "target", "path", "depth", place.cast("long").alias("place"))
 
 
+CHANGED = WALKS.replace("WHERE o < 8 OR (s % 3 = 0 AND s % 11 <> 5)", "WHERE s <> 4 AND (o < 8 OR (s % 3 = 0 AND s % 11 <> 5)) AND (o <> 7 OR s <> 7)").replace("WHEN o = 4 THEN CASE WHEN k // 5 * 5 + s % 5 < n THEN", "WHEN o <> 4 AND k = 4 THEN NULL WHEN o = 4 THEN CASE WHEN k // 5 * 5 + s % 5 < n AND k // 5 * 5 + s % 5 <> 4 THEN").replace("false AS new FROM x\n", "false AS new FROM x WHERE s <> 4\n")
+
+
+@query(f"WITH RECURSIVE {CHANGED} SELECT {PLACE.format('root')} AS root, target, {PLACE.format('f')} AS path, depth, row_number() OVER (PARTITION BY root, target ORDER BY step) AS place FROM visits")
+def include_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks after one header lost an include and another went, refreshed from the walks before that."""
+    files, dirs, targets = corpora.walk_tree(spark, sf_dir)
+    roots = files.select(F.col("path").alias("root")).crossJoin(F.broadcast(targets.select("target")))  # two targets
+    state = incremental.begin(files, dirs, roots, targets, 4)
+    now = files.where("path <> '/t/d4/n0.h'").withColumn("code", F.when(F.col("path") == "/t/d2/n1.h", F.regexp_replace("code", r"(stdio.h>\n)#include [^\n]*\n", "$1\n")).otherwise(F.col("code")))
+    place = F.row_number().over(W.partitionBy("root", "target").orderBy("label"))
+    return incremental.refresh(state, now, dirs, roots, targets, 4).state.walked.visits.select("root", "target", "path", "depth", place.cast("long").alias("place"))
+
+
 @query(f"WITH RECURSIVE {WALKS} SELECT {PLACE.format('root')} AS root, target, {PLACE.format('f')} AS path, line_no, 'trailing tokens' AS error FROM ends")
 def include_walk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The condition that ended each walk that one ended."""

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from condspark.functions import conditions
-from condspark.operators import includes, walk
+from condspark.operators import includes, incremental, walk
 
 MACROS = {"on": {"A": "1", "B": None}, "off": {}}
 
@@ -144,3 +144,41 @@ def test_walks_of_nothing(spark):
     assert sorted((r.path, r.depth) for r in full.visits.collect()) == [("/a.h", 0 + 1), ("/b.h", 0)]
     lines = includes.walked_includes(spark.createDataFrame([("/x.h", '#include "a.h"\n#if (\n#include "b.h"')], "path string, code string").crossJoin(targets))
     assert [(r.line_no, r.active) for r in lines.collect()] == [(1, True)]
+
+
+def test_refresh_equals_a_full_run(spark):
+    """Files that change, come and go; only walks that met them go anew."""
+    rng = random.Random(5)
+    files = tree(rng, 15, 0.05)
+    dirs = spark.createDataFrame([(0, "/r/d1")], "ord int, dir string")
+    targets = spark.createDataFrame([(k, v) for k, v in MACROS.items()], "target string, macros map<string,string>")
+    table = lambda f: spark.createDataFrame([(p, "\n".join(x)) for p, x in f.items()], "path string, code string")
+    rooted = lambda f: spark.createDataFrame([(p, t) for p in f for t in MACROS], "root string, target string")
+    state = incremental.begin(table(files), dirs, rooted(files), targets, 4)
+    for k in range(2):
+        now = dict(files)
+        changed = rng.choice(sorted(now))
+        now[changed] = [x for x in now[changed] if "include" not in x] + ["int more;"]
+        if k:
+            del now[rng.choice(sorted(set(now) - {changed}))]
+            now["/r/d0/none.h"] = ["int found;"]  # what could not be found is
+        seen = {(r.root, r.target): set() for r in state.walked.visits.collect()}
+        for r in state.walked.visits.collect():
+            seen[r.root, r.target].add(r.path)
+        state, apart, redone = incremental.refresh(state, table(now), dirs, rooted(now), targets, 4)
+        full = walk.walk(table(now), dirs, rooted(now), targets, 4)
+        for got, want in zip(state.walked, full, strict=True):
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert {r.path for r in apart.collect()} == {p for p in files.keys() | now.keys() if files.get(p) != now.get(p)}
+        if not k:
+            assert {(r.root, r.target) for r in redone.collect()} == {w for w, paths in seen.items() if changed in paths}
+        files = now
+
+
+def test_conditions_are_asked_once_for_the_values_they_name():
+    memo = conditions.Memo()
+    sets = [json.dumps({"A": str(i % 2), f"OTHER_{i}": "1", "b": None}) for i in range(100)]
+    for condition in ("A == 1", "defined(B) && !A", "NONE", "A <<"):
+        for k in sets:
+            assert memo.told(condition, k) == conditions.told(condition, conditions.normal_macros(json.loads(k)))
+    assert memo.asked == 2 + 2 + 1 + 2
