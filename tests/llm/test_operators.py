@@ -144,11 +144,21 @@ def test_decontaminate_whatever_the_corpus_holds(spark):
     want |= {(d, 100 + i, s) for d, i, s in want if i < 5}
     got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert len(got) == len(want) and {(r.doc_id, r.item_id, r.score) for r in got} == want
-    m = next(decontaminate.matchers(bench))
-    column = pa.array([t for _, t in rows])
-    want, old, decontaminate.PAIRS = m.find(column), decontaminate.PAIRS, 50
-    assert m.find(column) == want
-    decontaminate.PAIRS = old
+
+
+def test_leaks_without_three_words_in_a_row(spark):
+    """A word put in after every second one, and every third one changed: enough is left, and every pair is found."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate((16, 30, 40, 3, 5, 90))]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        rows.append((10 + i, "so " + " ".join(" ".join(w[k : k + 2]) + f" put{k}" for k in range(0, len(w), 2))))
+        rows.append((20 + i, " ".join(x if k % 5 else f"other{k}" for k, x in enumerate(w))))
+        rows.append((30 + i, " ".join(w[: len(w) // 2] + ["far"] * 300 + w[len(w) // 2 :])))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = lambda t: np.array([hash(w) for w in t.split()])
+    want = {(d, i): decontaminate.smith_waterman(number(item), number(t))[0] / len(item.split()) for d, t in rows for i, item in items if decontaminate.smith_waterman(number(item), number(t))[0] >= decontaminate.needed(len(item.split()), 0.5)}
+    assert got == want and {(10, 0), (11, 1)} <= set(got)
 
 
 def test_decontaminate_parts_and_unspaced_scripts(spark):
