@@ -58,15 +58,16 @@ class _Lines:
             self.opened = first
 
 
-def _walk(asked: list[tuple[int, str, str]], total: int, truth) -> tuple[list[tuple], str, _Lines]:
+def _walk(asked: list[tuple[int, str, str]], total: int, truth, begin: list[list] | None = None) -> tuple[list[tuple], str, _Lines]:
     """Spans of a file of ``total`` lines with directives (line, word, condition), the blocks left open, and its lines of code.
 
-    truth(condition) gives (result, error).  A condition that can't be evaluated is false.
+    truth(condition) gives (result, error).  A condition that can't be evaluated is false.  ``begin``: blocks open before.
     """
     at = [d[0] for d in asked] + [total]
-    spans, code = [(at[0], True, 0, None, False, None, None)], _Lines()
-    code.add(1, at[0], True)
-    open_: list[list] = []  # [opener, whether a branch was taken, whether this branch is on]
+    open_ = [*(begin or [])]  # [opener, whether a branch was taken, whether this branch is on]
+    active = all(b[2] for b in open_)
+    spans, code = [(at[0], active, len(open_), None, False, None, None)], _Lines()
+    code.add(1, at[0], active)
     for k, (line, word, condition) in enumerate(asked):
         result, error = truth(condition) if word not in ("else", "endif") else (True, None)
         yes = not result if word == "ifndef" else bool(result)
@@ -106,12 +107,16 @@ def _spans(total: pd.Series, asked: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([[one([(d["at"], d["directive"], d["condition"]) for d in rows], n, k) for k in own] for n, rows, own in zip(total, asked, keys, strict=True)])
 
 
-def _parsed(files: DataFrame, keys: Column) -> DataFrame:
-    """files with _lines, _found (their directives) and _all (spans for each of ``keys``); null code has no lines."""
+def directives(files: DataFrame) -> DataFrame:
+    """files with _lines and _found, their directives; null code has no lines."""
     rows = files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
     found = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), _directive(x).alias("d"))), lambda d: d["d"].isNotNull())
-    rows = rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
-    return rows.withColumn("_all", _spans(F.size("_lines"), F.col("_found"), keys))
+    return rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
+
+
+def _parsed(files: DataFrame, keys: Column) -> DataFrame:
+    """files with directives and _all, spans for each of ``keys``."""
+    return directives(files).withColumn("_all", _spans(F.size("_lines"), F.col("_found"), keys))
 
 
 def _told(files: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def _by_line(row: str = "_s") -> Column:
     return F.flatten(F.transform(spans, lambda s, k: F.when(s["n"] > 0, of(s, k)).otherwise(empty)))
 
 
-def _with_lines(rows: DataFrame) -> DataFrame:
+def with_lines(rows: DataFrame) -> DataFrame:
     """What _told gave with _rows: an array of (text, state, directive, condition) for every line."""
     both = F.zip_with("_lines", _by_line(), lambda x, s: F.struct(x.alias("text"), s.alias("s"), F.when(s["head"], F.get("_found", s["span"] - 1)).alias("d")))
     return rows.withColumn("_rows", both)
@@ -140,7 +145,7 @@ def line_states(files: DataFrame) -> DataFrame:
     """
     keep = [c for c in files.columns if c not in ("code", "macros")]
     # outer, as the filter that Spark derives from a plain one would work out every line twice
-    rows = _with_lines(_told(files)).select(*keep, F.posexplode_outer("_rows").alias("_n", "r")).where("_n is not null")
+    rows = with_lines(_told(files)).select(*keep, F.posexplode_outer("_rows").alias("_n", "r")).where("_n is not null")
     head = lambda c: F.when(F.col("r.s.head"), F.col(f"r.s.{c}"))
     return rows.select(
         *keep, (F.col("_n") + 1).alias("line_no"), "r.text", "r.d.directive", "r.d.condition", F.col("r.s.depth").alias("depth"), head("level").alias("level"),
@@ -192,7 +197,7 @@ def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
     files: (path, target, macros, code), one row for each file and target; null code is empty.  No step moves
     a row.  pruned_lines counts the lines that aren't blank.
     """
-    return _pruned(_with_lines(_told(files.select(*FILE, "macros", "code"))), mode)
+    return _pruned(with_lines(_told(files.select(*FILE, "macros", "code"))), mode)
 
 
 def prune_for(files: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
@@ -204,16 +209,21 @@ def prune_for(files: DataFrame, targets: DataFrame, mode: str = "physical") -> D
     own = targets.select(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("_t"))
     rows = _parsed(files.select("path", "code").join(F.broadcast(own)), F.transform("_t", lambda t: t["key"]))  # one row
     each = F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s"))
-    return _pruned(_with_lines(rows.select("path", "code", "_lines", "_found", F.explode(each).alias("_e")).select("path", "code", "_lines", "_found", F.col("_e.t.target").alias("target"), F.col("_e.s").alias("_s"))), mode)
+    return _pruned(with_lines(rows.select("path", "code", "_lines", "_found", F.explode(each).alias("_e")).select("path", "code", "_lines", "_found", F.col("_e.t.target").alias("target"), F.col("_e.s").alias("_s"))), mode)
 
 
-def _pruned(rows: DataFrame, mode: str) -> DataFrame:
+def kept_lines(mode: str, last: Column | None = None) -> Column:
+    """The lines that with_lines' rows show; folded, blocks left open are told at the end (of the ``last`` part of a file)."""
     plain = lambda r: r["d"].isNull() | r["s"]["orphan"]
     if mode == "physical":
-        kept = F.transform(F.filter("_rows", lambda r: plain(r) & r["s"]["active"]), lambda r: r["text"])
-    else:
-        kept = F.transform("_rows", lambda r: F.when(~plain(r), _mark(r["d"]["directive"], r["d"]["condition"], r["s"]["closes"], r["s"]["active"])).when(r["s"]["active"], r["text"]).otherwise(""))
-        kept = F.concat(kept, F.when(F.col("_s.open") != "", F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), "_s.open", F.lit("] */")))).otherwise(F.array().cast("array<string>")))
+        return F.transform(F.filter("_rows", lambda r: plain(r) & r["s"]["active"]), lambda r: r["text"])
+    kept = F.transform("_rows", lambda r: F.when(~plain(r), _mark(r["d"]["directive"], r["d"]["condition"], r["s"]["closes"], r["s"]["active"])).when(r["s"]["active"], r["text"]).otherwise(""))
+    ends = F.col("_s.open") != "" if last is None else last & (F.col("_s.open") != "")
+    return F.concat(kept, F.when(ends, F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), "_s.open", F.lit("] */")))).otherwise(F.array().cast("array<string>")))
+
+
+def _pruned(rows: DataFrame, mode: str) -> DataFrame:
+    kept = kept_lines(mode)
     # bound once, as what follows names it several times
     out = rows.select(*FILE, "code", F.size("_lines").cast("long").alias("original_lines"), F.explode_outer(F.array(F.array_join(kept, "\n"))).alias("pruned"))
     pair = tokens.estimate_pair(F.coalesce("code", F.lit("")), F.col("pruned"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text, tokens
-from ..operators import blocks, build, includes, incremental, reading, report, walk
+from ..operators import blocks, build, includes, incremental, parts, reading, report, walk
 from ..sources import files as sources
 from ..sources import projects
 from . import corpora
@@ -82,11 +82,23 @@ kept AS (SELECT path, target, a, lang, flatten(list_transform(a, lambda x, i: CA
   list_sum(list_transform(a, lambda x, i: length(x) + CASE (i - 1) % 4 WHEN 0 THEN 37 + length(lang) WHEN 1 THEN 39 ELSE 0 END)) + len(a) - 1 AS n_chars FROM g)"""
 
 
-@query(f"WITH {GUARDED} SELECT path, target, md5(array_to_string(k, chr(10))) AS code_md5, (n_lines - CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN 1 ELSE 0 END)::BIGINT AS original_lines FROM (SELECT path, target, a, n_lines, CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END AS k FROM kept)")
+PRUNED = f"WITH {GUARDED} SELECT path, target, md5(array_to_string(k, chr(10))) AS code_md5, (n_lines - CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN 1 ELSE 0 END)::BIGINT AS original_lines FROM (SELECT path, target, a, n_lines, CASE WHEN (len(a) - 1) % 4 NOT IN (0, 1) AND a[-1] = '' THEN k[:-2] ELSE k END AS k FROM kept)"
+
+
+@query(PRUNED)
 def prune_guarded_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.prune_for(*corpora.guarded_files(spark, sf_dir)).select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"), "original_lines")
 
 
+@query(PRUNED.replace(", (n_lines - ", ", 0 * (n_lines - ").replace("AS original_lines", "AS nothing"))
+def prune_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files pruned in parts of five lines, as if each were too large for a row, and put together again."""
+    files, targets = corpora.guarded_files(spark, sf_dir)
+    shown = parts.prune(parts.line_parts(files, 5), targets)
+    whole = shown.groupBy("path", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("part", "code")))), lambda p: p["code"]), "\n").alias("code"))
+    return whole.select("path", "target", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.lit(0).cast("long").alias("nothing"))
+
+
 ON = "CASE WHEN {} THEN 'ACTIVE' ELSE 'INACTIVE' END"
 FOLDED = f"""v AS (SELECT path, target, a, list_transform(a, lambda x, i: CASE (i - 1) % 4
   WHEN 0 THEN concat('/* [IFDEF LANG_', lang, ' - ', {ON.format("lang = t")}, '] */', chr(10), CASE WHEN lang = t THEN x ELSE '' END, chr(10), '/* [ELSE - ', {ON.format("lang <> t")}, '] */', chr(10), CASE WHEN lang = t THEN '' ELSE 'other line' END, chr(10), '/* [ENDIF ifdef] */')

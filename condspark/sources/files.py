@@ -78,6 +78,19 @@ def database_path(projects: DataFrame, listing: DataFrame) -> DataFrame:
     return projects.select("project").join(found, "project", "left")
 
 
+def read_parts(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:
+    """(path, part, code) of files of any size, a row for each run of lines of a split, parts ascending within a file.
+
+    Splits are those that Spark reads text by (spark.sql.files.maxPartitionBytes), so no task holds a file.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    first = rows.groupBy("path", "block").agg(F.min("at").alias("first"))
+    run = rows.join(F.broadcast(first), ["path", "block"]).withColumn("run", F.expr(f"(at - first) div {lines}"))  # a row a split
+    parts = run.groupBy("path", "block", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda r: r["value"]), "\n").alias("code"))
+    parts = parts.withColumn("code", F.concat("code", F.lit("\n")))
+    return parts.select("path", F.expr("block * 4096 + run").alias("part"), "code")
+
+
 def write_texts(df: DataFrame, path: str, force: bool = False) -> None:
     """(path, code) as Parquet; an existing result is replaced only by force, never changed in place."""
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
