@@ -96,14 +96,20 @@ def string_cuts(values: DataFrame, cells: int) -> list[str]:
     return sorted((r["v"] for r in ranked.where(crossed & (at < base)).select("v").collect()), key=lambda v: v.encode())
 
 
+RESERVED = {"curve", "shard", "slot", "_tie", "_part", "_place", "_before"}
+
+
 def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int = 16, keep: Sequence[str] = (), tie: Sequence[str] = (), bits: int = 5) -> DataFrame:
     """(keep, curve, shard, slot): every row's shard and its gapless place in it.
 
     Cells part a dimension at its quantiles; strings count whole, in byte order, and nulls go first.
     Rows of one cell go in the order of a hash of ``tie``, then of ``tie`` itself, so a cell that holds
     much of the table is cut like any other run.  Repeated rows all get a place.  Only ``keep``,
-    ``tie`` and ``dims`` are moved; an empty table gives no rows.
+    ``tie`` and ``dims`` are moved; an empty table gives no rows.  Very long strings are compared whole.  Kept and tie
+    columns can't have the names that are given here (RESERVED): a ValueError.
     """
+    if clash := RESERVED & {*keep, *tie}:
+        raise ValueError(f"a column is named {sorted(clash)[0]}, as one that is added")
     spark = df.sparkSession
     n = 1 << bits
     strings = {d for d in dims if isinstance(df.schema[d].dataType, T.StringType)}
@@ -159,4 +165,5 @@ def write_shards(df: DataFrame, placed: DataFrame, key: Sequence[str], path: str
     if placed.groupBy(*key).count().where("count > 1").limit(1).count():
         raise ValueError(f"{', '.join(key)} is not unique")
     rows = df.join(placed.select(*key, "shard", "slot"), list(key))
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    # ranges of places, so that a shard is several files by as many tasks
+    rows.repartitionByRange(scratch.partitions(df.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -222,7 +222,8 @@ def train(docs: DataFrame, label_col: str, learn: Column | None = None, id_col:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, more, lang_pred, score) for every row; ``und`` and 0 where the text is null or has no letter.
 
-    The model is as large as its features times its languages, whatever the corpus.
+    The model is as large as its features times its languages, whatever the corpus.  Texts are read whole, however long;
+    repeated rows give repeated results, an empty table none; other columns are ignored.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

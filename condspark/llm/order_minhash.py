@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is a hash of words of one of its texts.  Texts below K words, empty and null ones
     included, are classes with their equals only, but texts without words are each alone (class_id is
     then made of the row's place).  is_first marks one row of each class: the least by id, then
-    place (nulls last).  Texts are told apart by 64-bit hashes of their words.
+    place (nulls last).  Texts are told apart by 64-bit hashes of their words.  A very long text is one block; an empty table
+    gives no rows; repeated rows are one class; other columns are ignored.
     """
     out = _classes(exchange.write_blocks(docs, id_col, text_col), threshold)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])

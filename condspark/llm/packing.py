@@ -27,6 +27,7 @@ from . import bpe, scratch, wordhash
 GROUP = 60_000
 SLACK = 32
 FEWER = 4
+RESERVED = {"row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group", "open", "text"}
 #: Dual feasible functions of 2 to STEPS + 1 steps are tried.
 STEPS = 16
 
@@ -131,8 +132,11 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
 
     Returns (id_col, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.  A
     null text is empty: its one piece is the end id.  Only documents longer than ``capacity`` are cut.
-    Repeated rows are packed one by one; an empty table gives no rows.
+    Repeated rows are packed one by one; an empty table gives no rows.  Other columns are ignored; the id column can't have
+    the name of one that is made on the way (RESERVED): a ValueError.
     """
+    if id_col in RESERVED:
+        raise ValueError(f"the id column is named {id_col}, as one that is added")
     spark = docs.sparkSession
     pieces = token_pieces(docs, tokenizer_file, end_id, capacity, id_col, text_col, keep_space)
     full = pieces.where(F.col("length") == capacity).select("*", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

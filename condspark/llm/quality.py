@@ -54,7 +54,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     n_lines_removed, n_words_kept, clean_text, kept).  base_failed: fewer than min_words words, or more
     than max_repeat of them in 8-word windows found twice in the text.  kept: not base_failed, and
     the lines removed hold at most max_lost of the words.  A null text is empty, so it fails; repeated
-    rows give repeated results.  Windows are compared by 64-bit hash within a document.
+    rows give repeated results, an empty table none, and a very long text is measured whole.  Other columns are ignored.
+    Windows are compared by 64-bit hash within a document.
     """
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     d = d.select(

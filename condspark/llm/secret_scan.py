@@ -136,7 +136,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, n_assign, n_access, n_hex, n_novel, base, spans), a row for each row of docs.
 
     base and spans list kind:start:end in code points, end exclusive, by start, then kind.  A null
-    text is empty and has none; repeated rows give repeated results.
+    text is empty and has none; repeated rows give repeated results, an empty table none.  A very long text is read whole;
+    other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ the place of the least hash among each ``size - k + 1`` successive ones, every f
 holds a chosen place, and equal windows choose equal places; of the two doubled windows at
 that place (to its left and to its right) one at least lies within the full window.
 
-Counts are by 64-bit hash up to the last level and by 128 bits there.
+Counts are by 64-bit hash up to the last level and by 128 bits there, of two hashes that share nothing.
 """
 
 from __future__ import annotations
@@ -141,7 +141,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns (id_col, text, n_words, n_removed, kept_text), a row for each row of docs.  The first
     copy goes as well: windows are judged on the input.  A null text has no words and kept text "";
     a text shorter than ``size`` words keeps all.  Repeated rows are separate documents, so from
-    ``size`` words on they lose everything.  kept_text joins kept words by one space.
+    ``size`` words on they lose everything.  kept_text joins kept words by one space.  A very long text is one block; an empty
+    table gives no rows; other columns are ignored.
     """
     if size < 2:
         raise ValueError("size must be at least 2")

@@ -468,6 +468,15 @@ def test_hilbert(docs, empty):
         assert sorted(at) == list(range(len(cells))) and (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(1) == 1).all()
 
 
+def test_names_that_clash_are_told(docs):
+    for name in ("curve", "slot", "_tie"):
+        with pytest.raises(ValueError, match=name):
+            hilbert.hilbert_shards(docs.withColumnRenamed("doc_id", name), ["lang"], 4, keep=[name])
+    for name in ("piece", "row"):
+        with pytest.raises(ValueError, match=name):
+            packing.pack(docs.withColumnRenamed("doc_id", name), queries.TOKENIZERS("word_bpe_49k.json"), id_col=name)
+
+
 def test_hilbert_whole_strings(spark, tmp_path):
     """Strings that share a long prefix fall into cells by their whole values, and shards skip files by any dimension."""
     rows = [(i, f"https://example.org/section/{i * 7919 % 997:04d}", (i * 31) % 1000) for i in range(4000)] + [(9000, None, None)]
