@@ -17,7 +17,8 @@ MIN_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty texts are such) and those whose language isn't clear (score below 0.5).
 
-    Repeated rows share their fate; without any labelled row no language is known and all are dropped.
+    Repeated rows share their fate; without any labelled row no language is known and all are dropped.  Texts are read whole,
+    however long; further columns stay, whatever their names.
     """
     return langid.accepted(docs, langid.train(docs, "lang"), MIN_LANGUAGE_SCORE)
 
@@ -25,13 +26,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates, the one with the least doc_id, then place.
 
-    Repeated rows are one class; rows without words, null texts included, are each their own.
+    Repeated rows are one class; rows without words, null texts included, are each their own.  A very long text is a block of
+    its own; further columns stay, whatever their names.
     """
     return order_minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; null and empty texts hold none, an empty benchmark drops nothing."""
+    """Drops documents that hold a benchmark item; null and empty texts hold none, an empty benchmark drops nothing.
+
+    Repeated rows share their fate.  A very long text is a block of its own; further columns stay, whatever their names.
+    """
     return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
