@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import conditions, text
-from ..operators import blocks, includes, patch, paths, reading, skeleton
+from ..operators import blocks, hunks, includes, patch, paths, reading, skeleton
 from ..sources import files as sources
 from . import corpora
 from .corpora import table
@@ -159,11 +159,13 @@ def skeleton_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", skeleton.skeleton("code").alias("s")).select("p_partkey", "s.skeleton", F.col("s.functions_stripped").alias("stripped"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents), l AS (SELECT doc_id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM d), n AS (SELECT doc_id, text, a, len(a) AS n, 1 + doc_id % greatest(len(a), 1) AS k FROM l),
+PATCHED = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents), l AS (SELECT doc_id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM d), n AS (SELECT doc_id, text, a, len(a) AS n, 1 + doc_id % greatest(len(a), 1) AS k FROM l),
 p AS (SELECT doc_id, text, n > 0 AND doc_id % 5 < 3 AS fine, CASE doc_id % 5 WHEN 0 THEN list_concat(a[:k - 1], ['new ' || doc_id], a[k + 1:]) WHEN 1 THEN list_concat(a[:1], ['ins ' || doc_id], a[2:n - 1], CASE WHEN n > 1 THEN ['last'] ELSE [] END) WHEN 2 THEN list_concat(a[:k - 1], a[k + 1:]) END AS b FROM n)
-SELECT doc_id, CASE WHEN fine THEN md5(array_to_string(b, chr(10)) || CASE WHEN ends_with(text, chr(10)) THEN chr(10) ELSE '' END) END AS patched_md5, NOT fine AS failed FROM p""")
-def patch_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diff for each document, made of its lines: one line replaced, hunks that move later ones, a line dropped, wrong context, a hunk past the end."""
+SELECT doc_id, CASE WHEN fine THEN md5(array_to_string(b, chr(10)) || CASE WHEN ends_with(text, chr(10)) THEN chr(10) ELSE '' END) END AS patched_md5, NOT fine AS failed FROM p"""
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, diff): a diff for each document, made of its lines: one line replaced, hunks that move later ones, a line dropped, wrong context, a hunk past the end."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", text.split_lines(F.col("text")).alias("a"))
     d = d.withColumn("n", F.size("a").cast("long")).withColumn("at", 1 + F.col("doc_id") % F.greatest(F.col("n"), F.lit(1)))
     c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -174,7 +176,21 @@ def patch_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, c("--- a\n+++ b\n@@ -", at, ",1 +", at, ",1 @@\n-", line, "\n+new ", k, "\n")).when(k % 5 == 1, c("@@ -1,1 +1,2 @@\n ", first, "\n+ins ", k, "\n", moved))
         .when(k % 5 == 2, c("@@ -", at, ",1 +", at, ",0 @@\n-", line, "\n")).when(k % 5 == 3, c("@@ -", at, ",1 +", at, ",1 @@\n-", line, " not\n+x\n")).otherwise(c("@@ -", n + 2, ",1 +", n + 2, ",1 @@\n-x\n+y\n"))
     )
-    return d.select("doc_id", patch.patched("text", diff).alias("p")).select("doc_id", F.md5(F.col("p.patched").cast("binary")).alias("patched_md5"), F.col("p.error").isNotNull().alias("failed"))
+    return d.select("doc_id", "text", diff.alias("diff"))
+
+
+@query(PATCHED)
+def patch_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs applied text by text."""
+    return _diffs(spark, sf_dir).select("doc_id", patch.patched("text", "diff").alias("p")).select("doc_id", F.md5(F.col("p.patched").cast("binary")).alias("patched_md5"), F.col("p.error").isNotNull().alias("failed"))
+
+
+@query(PATCHED)
+def patch_by_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same diffs as rows of hunks, checked and put in place by joins."""
+    d = _diffs(spark, sf_dir)
+    got = hunks.apply_diffs(d.select(F.col("doc_id").alias("path"), F.col("text").alias("code")), d.select(F.col("doc_id").alias("path"), "diff"))
+    return got.select(F.col("path").alias("doc_id"), F.md5(F.col("patched").cast("binary")).alias("patched_md5"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("""WITH x AS (SELECT p_partkey, p_partkey % 3 AS braces, p_size % 4 AS ifs, p_size % 5 = 0 AS stray FROM part)
