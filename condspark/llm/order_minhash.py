@@ -32,7 +32,7 @@ from . import exchange, scratch, wordhash
 #: With two k-mers in each of 64 sketches a pair of similarity 0.8, a fifth of whose words are replaced, is met with 0.92.
 K, L, BANDS = 5, 2, 64
 THRESHOLD = 0.8
-BITS, COARSE = 8192, 1024
+BITS, COARSE = 8192, 2048
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -214,9 +214,9 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold.
 
     Nodes outside a bucket's largest component meet those of its nodes whose lengths are in the same or a
-    neighbouring class, a class being as wide as the threshold lets lengths differ.  Lengths and parities (folded to
-    COARSE bits first, which are told by plain arithmetic) then rule out all but near pairs, and of the buckets that a pair shares only one tells it.  end_a is a's
-    component.
+    neighbouring class, a class being as wide as the threshold lets lengths differ.  Lengths and parities folded to
+    COARSE bits rule out most, by plain arithmetic on what the rows carry; all BITS, fetched for what is left, then all but
+    near pairs.  end_a is a's component.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,23 +225,24 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
             # a word's bit among fewer is its bit's place by their number, so parts fold onto each other
             coarse = [np.bitwise_xor.reduce(x.reshape(-1, COARSE // 64), axis=0) for x in bits]
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, coarse)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_words"), batch.column("buckets"), *lists], ["node", "n_words", "buckets", "bits", "coarse"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_words"), *lists], ["node", "n_words", "bits", "coarse"])
 
-    nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "n_words", "words"), "node")
-    marked = nodes.select("node", "n_words", "buckets", "words").mapInArrow(wordhash.tidy(mark), "node long, n_words long, buckets array<long>, bits array<long>, coarse array<long>")
+    nodes = open_.select("node").distinct().join(words.select("node", "n_words", "words"), "node")
+    marked = scratch.table(nodes.select("node", "n_words", "words").mapInArrow(wordhash.tidy(mark), "node long, n_words long, bits array<long>, coarse array<long>"), "parities")
     width = -math.log(threshold) + 1e-6
-    rows = open_.join(marked, "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
+    rows = open_.join(marked.drop("bits"), "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
     rows = scratch.table(rows, "marked")
-    outside = rows.where("comp <> main").select("bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "buckets", "bits", "coarse").alias("s"))
-    apart = f"n_words + s.n_words - {2 * threshold}D * greatest(n_words, s.n_words) + 1e-6D"
-    roughly = F.expr(" + ".join(f"bit_count(coarse[{i}] ^ s.coarse[{i}])" for i in range(COARSE // 64)) + f" <= {apart}")
-    differ = F.expr(f"aggregate(zip_with(bits, s.bits, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {apart}")
-    near = F.expr(f"comp <> s.comp and least(n_words, s.n_words) >= {threshold}D * greatest(n_words, s.n_words) - 1e-6D")
-    once = F.expr("bucket = array_min(array_intersect(buckets, s.buckets))")
-    met = rows.join(outside, ["bucket", "size"]).where(near & roughly & differ & once)
-    first, last = F.struct("node", "comp"), F.struct(F.col("s.node").alias("node"), F.col("s.comp").alias("comp"))
-    pair = met.select(F.least(first, last).alias("p"), F.greatest(first, last).alias("q"))
-    return pair.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b"))
+    outside = rows.where("comp <> main").select("bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "coarse").alias("s"))
+    apart = f"{{a}}.n_words + {{b}}.n_words - {2 * threshold}D * greatest({{a}}.n_words, {{b}}.n_words) + 1e-6D"
+    own = rows.select("bucket", "size", F.struct("node", "comp", "n_words", "coarse").alias("r"))
+    roughly = F.expr(" + ".join(f"bit_count(r.coarse[{i}] ^ s.coarse[{i}])" for i in range(COARSE // 64)) + f" <= {apart.format(a='r', b='s')}")
+    near = F.expr(f"r.comp <> s.comp and least(r.n_words, s.n_words) >= {threshold}D * greatest(r.n_words, s.n_words) - 1e-6D")
+    ends = [F.struct(f"{x}.node", f"{x}.comp") for x in "rs"]
+    pairs = own.join(outside, ["bucket", "size"]).where(near & roughly).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+    side = lambda c: marked.select(F.col("node").alias(c), F.struct("n_words", "bits").alias(f"{c}_m"))
+    both = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b")).join(side("a"), "a").join(side("b"), "b")
+    differ = F.expr(f"aggregate(zip_with(a_m.bits, b_m.bits, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {apart.format(a='a_m', b='b_m')}")
+    return both.where(differ).select("a", "b", "end_a", "end_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
