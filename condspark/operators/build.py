@@ -77,6 +77,8 @@ def match_files(files: DataFrame, entries: DataFrame, by_name: bool = True, unit
     database.  Each path and each file name keeps a database's first entry alone before the equi-joins, so a
     name that many files and entries share makes one row a file and database.
     """
+    if "db_id" not in entries.columns:  # one database
+        return match_files(files, entries.withColumn("db_id", F.lit("")), by_name, units_only).drop("db_id")
     own = entries.withColumn("entry_path", text.resolve(F.col("file"), F.col("directory")))
     if units_only:
         own = own.where(F.col("file").rlike(UNIT))

@@ -147,6 +147,7 @@ def with_dependencies(files: DataFrame, dirs: DataFrame, roots: DataFrame, targe
     deps = names.where(F.col("name") != text.basename(F.col("root"))).select("root", "target", "name", "path").join(lost, ["root", "target"], "left_anti")
     wanted = deps.select("path", "target").distinct().join(files, "path").withColumn("macros", build.target_macros(F.col("target")))
     plain = blocks.prune(wanted.select("path", "target", "macros", "code"), mode).select("path", "target", skeleton.skeleton("code").alias("s"))
+    # fixed values: the lines above a file, a header and the whole
     head = lambda kind, name: F.concat(F.lit(f"/* ══ {kind}: "), name, F.lit(f" {RULE} */\n"))
     part = F.concat(F.lit("\n"), head("DEPENDENCY", F.col("name")), F.lit("/* Skeleton: "), F.col("s.skeleton_lines").cast("string"), F.lit(" lines | Functions stripped: "), F.col("s.functions_stripped").cast("string"), F.lit(" */\n\n"), F.col("s.skeleton"))
     parts = deps.join(plain, ["path", "target"]).groupBy("root", "target").agg(F.count("*").alias("n_deps"), F.transform(F.array_sort(F.collect_list(F.struct("name", part.alias("part")))), lambda d: d["part"]).alias("parts"))

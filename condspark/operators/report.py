@@ -46,7 +46,7 @@ def banner(pruned: DataFrame, title: str, mode: str = "physical", backend: str =
     lost = F.col("original_lines") - F.col("pruned_lines")
     pct = F.when(F.col("original_tokens") > 0, two_places(F.col("saved_tokens") / F.col("original_tokens") * 100)).otherwise(0.0)
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    rows = [
+    rows = [  # fixed values: the lines' labels and widths
         F.lit(TOP.format(title)),
         line("/* Target:    ", padded(F.col("target")), "*/"),
         line("/* Lines:     ", lost, "/", F.col("original_lines"), " dropped (", reduction_pct(F.col("original_lines"), F.col("pruned_lines")), "%)              */"),
