@@ -32,7 +32,7 @@ from . import exchange, scratch, wordhash
 #: With two k-mers in each of 64 sketches a pair of similarity 0.8, a fifth of whose words are replaced, is met with 0.92.
 K, L, BANDS = 5, 2, 64
 THRESHOLD = 0.8
-BITS, COARSE = 8192, 2048
+BITS, COARSE = 8192, 1024
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -234,11 +234,11 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     rows = scratch.table(rows, "marked")
     outside = rows.where("comp <> main").select("bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "coarse").alias("s"))
     apart = f"{{a}}.n_words + {{b}}.n_words - {2 * threshold}D * greatest({{a}}.n_words, {{b}}.n_words) + 1e-6D"
-    own = rows.select("bucket", "size", F.struct("node", "comp", "n_words", "coarse").alias("r"))
-    roughly = F.expr(" + ".join(f"bit_count(r.coarse[{i}] ^ s.coarse[{i}])" for i in range(COARSE // 64)) + f" <= {apart.format(a='r', b='s')}")
-    near = F.expr(f"r.comp <> s.comp and least(r.n_words, s.n_words) >= {threshold}D * greatest(r.n_words, s.n_words) - 1e-6D")
-    ends = [F.struct(f"{x}.node", f"{x}.comp") for x in "rs"]
-    pairs = own.join(outside, ["bucket", "size"]).where(near & roughly).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+    # few terms on flat columns, which still make one compiled method
+    roughly = F.expr(" + ".join(f"bit_count(coarse[{i}] ^ s.coarse[{i}])" for i in range(COARSE // 64)) + f" <= n_words + s.n_words - {2 * threshold}D * greatest(n_words, s.n_words) + 1e-6D")
+    near = F.expr(f"comp <> s.comp and least(n_words, s.n_words) >= {threshold}D * greatest(n_words, s.n_words) - 1e-6D")
+    ends = [F.struct("node", "comp"), F.struct("s.node", "s.comp")]
+    pairs = rows.drop("main").join(outside, ["bucket", "size"]).where(near & roughly).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
     side = lambda c: marked.select(F.col("node").alias(c), F.struct("n_words", "bits").alias(f"{c}_m"))
     both = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b")).join(side("a"), "a").join(side("b"), "b")
     differ = F.expr(f"aggregate(zip_with(a_m.bits, b_m.bits, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {apart.format(a='a_m', b='b_m')}")
