@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from pyspark.sql import functions as F
 BOUNDARY = "[\n\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value bound as a lambda's argument, so that it is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(code: Column) -> Column:
     """Lines without their ends; a final boundary opens no further line."""
     parts = F.split(F.regexp_replace(code, "\r\n?", "\n"), BOUNDARY)
-    # bound as a lambda's argument, so that it is split once however often it is named
-    bound = F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
-    return F.get(bound, F.lit(0))
+    return bound(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def join_lines(rows: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 
 import pandas as pd
@@ -49,8 +50,9 @@ def macros_of(tokens: Column) -> Column:
     """Map of -D macros by first mention, the last value of equal names counting; one without '=' has a null value."""
     parts = F.transform(F.filter(tokens, lambda t: t.startswith("-D")), lambda t: F.trim(F.substring(t, F.lit(3), F.length(t))))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p)))).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
+    last = lambda own, n: F.element_at(F.filter(own, lambda p: p["k"] == n), -1)["v"]
+    by_name = lambda own: text.bound(F.array_distinct(F.transform(own, lambda p: p["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: last(own, n))))
+    return text.bound(pairs, by_name)
 
 
 def include_dirs_of(tokens: Column) -> Column:
@@ -126,19 +128,23 @@ def infer_target(entries: DataFrame) -> DataFrame:
 
 
 def keep_flags(tokens: Column) -> Column:
-    """The flags that don't disturb preprocessing, with the values that follow them; one fold."""
-    starts = lambda t, table: F.exists(F.array(*[F.lit(p) for p in table]), lambda p: t.startswith(p))
-    among = lambda t, table: F.array_contains(F.array(*[F.lit(p) for p in table]), t)
+    """The flags that don't disturb preprocessing, with the values that follow them.
 
-    def step(state: Column, t: Column) -> Column:
+    What each word is by itself is told before one fold, which finds the values.
+    """
+    prefix = lambda table: "^(?:" + "|".join(map(re.escape, table)) + ")"
+    # the first prefix in the table's order, as alternatives are tried in theirs
+    first = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.regexp_extract(t, prefix(KEEP), 0).alias("p")))
+    kept = lambda x: ~x["t"].rlike(prefix(DROP)) & ((x["p"] != "") | x["t"].isin(KEEP_WHOLE))
+    takes = lambda x: F.when(x["p"] != "", x["p"]).otherwise(x["t"]).isin(VALUE_NEXT)
+    told = F.transform(first, lambda x: F.struct(x["t"].alias("t"), kept(x).alias("kept"), takes(x).alias("takes")))
+
+    def step(state: Column, x: Column) -> Column:
         out, value = state["out"], state["value"]
-        first = F.filter(F.array(*[F.lit(p) for p in KEEP]), lambda p: t.startswith(p))
-        kept = ~starts(t, DROP) & ((F.size(first) > 0) | among(t, KEEP_WHOLE))
-        takes = kept & F.when(F.size(first) > 0, among(F.get(first, F.lit(0)), VALUE_NEXT)).otherwise(among(t, VALUE_NEXT))
-        return F.struct(F.when(value | kept, F.concat(out, F.array(t))).otherwise(out).alias("out"), (~value & takes).alias("value"))
+        return F.struct(F.when(value | x["kept"], F.concat(out, F.array(x["t"]))).otherwise(out).alias("out"), (~value & x["kept"] & x["takes"]).alias("value"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("value"))
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    return F.aggregate(told, start, step, lambda s: s["out"])
 
 
 def is_cpp(name: Column) -> Column:
@@ -152,18 +158,21 @@ def preprocessor_argv(entries: DataFrame, compiler: str = "clang", target: str =
     source; then target and sysroot (given, else the entry's), the entry's macros, the target's three where the entry has
     none of that name, the include folders and the file.  A null entry (tokens) gives none of its own.
     """
-    own = F.coalesce("tokens", F.array().cast("array<string>"))
-    kept = keep_flags(own)
+    return entries.withColumn("argv", text.bound(F.coalesce("tokens", F.array().cast("array<string>")), lambda own: _argv(own, compiler, target, sysroot)))
+
+
+def _argv(own: Column, compiler: str, target: str, sysroot: str) -> Column:
+    """The words for an entry's tokens ``own``; what is named more than once is bound, so each is worked out once a row."""
     word = lambda t: (t == "-o") | (t == "--output")
     sources = r"^/.*\.(c|cpp|cc|cxx|C|h|hpp)$"
-    plain = F.filter(kept, lambda t, i: ~word(t) & ~F.coalesce((i > 0) & word(F.get(kept, i - 1)), F.lit(False)) & ~t.rlike(sources))
-    plain = F.filter(plain, lambda t: ~t.rlike("^-(D|I|isystem|iquote|include)"))
-    inherited = lambda flag: F.try_element_at(F.filter(plain, lambda t: t.startswith(flag)), F.lit(-1))
-    option = lambda flag, given: F.array_compact(F.array(F.lit(f"{flag}{given}") if given else inherited(flag)))
-    macros = macros_of(own)
-    every = F.map_concat(macros, F.map_filter(target_macros(F.col("macro_target")), lambda k, _: ~F.map_contains_key(macros, k)))
-    defined = F.transform(F.map_entries(every), lambda e: F.concat(F.lit("-D"), e["key"], F.when(e["value"].isNotNull(), F.concat(F.lit("="), e["value"])).otherwise("")))
+    no_output = lambda kept: F.filter(kept, lambda t, i: ~word(t) & ~F.coalesce((i > 0) & word(F.get(kept, i - 1)), F.lit(False)) & ~t.rlike(sources))
+    plain = F.filter(text.bound(keep_flags(own), no_output), lambda t: ~t.rlike("^-(D|I|isystem|iquote|include)"))
+    inherited = lambda rest, flag: F.try_element_at(F.filter(rest, lambda t: t.startswith(flag)), F.lit(-1))
+    option = lambda rest, flag, given: F.array_compact(F.array(F.lit(f"{flag}{given}") if given else inherited(rest, flag)))
+    options = lambda rest: F.concat(rest, option(rest, "--target=", target), option(rest, "--sysroot=", sysroot))
+    every = lambda macros: F.map_concat(macros, F.map_filter(target_macros(F.col("macro_target")), lambda k, _: ~F.map_contains_key(macros, k)))
+    defined = F.transform(F.map_entries(text.bound(macros_of(own), every)), lambda e: F.concat(F.lit("-D"), e["key"], F.when(e["value"].isNotNull(), F.concat(F.lit("="), e["value"])).otherwise("")))
     language = F.when(is_cpp(F.col("path")), "c++").otherwise("c")
     begin = F.array(F.lit(compiler), F.lit("-E"), F.lit("-w"), F.lit("-x"), language)
     folders = F.transform(include_dirs_of(own), lambda d: F.concat(F.lit("-I"), d))
-    return entries.withColumn("argv", F.concat(begin, plain, option("--target=", target), option("--sysroot=", sysroot), defined, folders, F.array("path")))
+    return F.concat(begin, text.bound(plain, options), defined, folders, F.array("path"))

@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key, before each of them becomes many lines or conditions.
+
+    A table of keys is small and comes in few partitions, however much is made of its rows; only the keys move.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def guarded_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """((path, code), (target, macros)): each document's lines within conditionals, and each language as target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.upper("lang").alias("lang"))
@@ -43,7 +52,7 @@ def guarded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synth_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, target, macros, code): a file of LINES lines for each part, with stray and unclosed directives."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("f"), "p_size")
+    part = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("f"), "p_size"), "f")
     texts = F.array(*[F.lit(t) for t in TEMPLATES])
     pick = f"transform(sequence(1, {LINES}), n -> cast({TEMPLATE_OF} as int))"
     code = F.transform(F.expr(pick), lambda k, i: F.when(k < len(TEMPLATES), F.get(texts, k)).otherwise(F.concat(F.lit("code_"), (i + 1).cast("string"), F.lit(";"))))
@@ -56,7 +65,7 @@ def synth_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synth_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(db_id, entry_ord, directory, file, command, arguments): an entry for each part."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), "p_size")
+    part = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), "p_size"), "p")
     return part.select(
         F.concat(F.lit("db"), (F.col("p") % 5).cast("string")).alias("db_id"), F.col("p").alias("entry_ord"), F.lit("/w/build").alias("directory"),
         F.concat(F.lit("../src/f"), (F.col("p") % 97).cast("string"), F.when(F.col("p") % 3 == 0, ".cpp").when(F.col("p") % 3 == 1, ".c").otherwise(".S")).alias("file"),
