@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ def two_places(value: Column) -> Column:
     return F.call_function("format_number", value, F.lit("0.00")).cast("double")
 
 
-def reduction_pct(original: Column, kept: Column) -> Column:
+def two_places_as_sql(value: Column) -> Column:
+    """A double rounded to two places as SQL's round_even does: halves to even of a hundred times it, so 0.025 is 0.02, 2.675 is 2.68."""
+    return F.rint(value * 100) / 100
+
+
+def reduction_pct(original: Column, kept: Column, rounded: Callable[[Column], Column] = two_places) -> Column:
     """Share of lines dropped, in percent; 0 where there are no lines."""
-    return F.when(original > 0, two_places((original - kept) / original * 100)).otherwise(0.0)
+    return F.when(original > 0, rounded((original - kept) / original * 100)).otherwise(0.0)
 
 
 def savings(before: Column, after: Column, dropped_lines: Column) -> Column:
@@ -41,15 +48,18 @@ def padded(value: Column, width: int = WIDTH) -> Column:
     return F.concat(v, F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(v), F.lit(0))))
 
 
-def banner(pruned: DataFrame, title: str, mode: str = "physical", backend: str = "regex", level: Column | None = None) -> Column:
-    """The banner of each row of prune's result; ``level`` (of budgeted) adds the line of a degraded or long text."""
+def banner(pruned: DataFrame, title: str, mode: str = "physical", backend: str = "regex", level: Column | None = None, rounded: Callable[[Column], Column] = two_places) -> Column:
+    """The banner of each row of prune's result; ``level`` (of budgeted) adds the line of a degraded or long text.
+
+    ``rounded`` gives percentages their two places.
+    """
     lost = F.col("original_lines") - F.col("pruned_lines")
-    pct = F.when(F.col("original_tokens") > 0, two_places(F.col("saved_tokens") / F.col("original_tokens") * 100)).otherwise(0.0)
+    pct = F.when(F.col("original_tokens") > 0, rounded(F.col("saved_tokens") / F.col("original_tokens") * 100)).otherwise(0.0)
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     rows = [  # fixed values: the lines' labels and widths
         F.lit(TOP.format(title)),
         line("/* Target:    ", padded(F.col("target")), "*/"),
-        line("/* Lines:     ", lost, "/", F.col("original_lines"), " dropped (", reduction_pct(F.col("original_lines"), F.col("pruned_lines")), "%)              */"),
+        line("/* Lines:     ", lost, "/", F.col("original_lines"), " dropped (", reduction_pct(F.col("original_lines"), F.col("pruned_lines"), rounded), "%)              */"),
         line("/* Tokens:    ", F.col("saved_tokens"), "/", F.col("original_tokens"), " saved (", pct, "%)                  */"),
         F.lit(f"/* Mode:      {mode}                                */"),
         F.lit(f"/* Backend:   {backend}                              */"),
@@ -59,9 +69,9 @@ def banner(pruned: DataFrame, title: str, mode: str = "physical", backend: str =
     return F.concat(F.concat_ws("\n", *rows, F.lit(BOTTOM)), F.lit("\n\n"))
 
 
-def read(pruned: DataFrame, title: str, mode: str = "physical", cap: int = 0, offset: int = 0) -> DataFrame:
+def read(pruned: DataFrame, title: str, mode: str = "physical", cap: int = 0, offset: int = 0, rounded: Callable[[Column], Column] = two_places) -> DataFrame:
     """(path, target, text): banner and pruned text, cut by ``text.page`` where ``cap`` is set."""
-    whole = F.concat(banner(pruned, title, mode), F.col("code"))
+    whole = F.concat(banner(pruned, title, mode, rounded=rounded), F.col("code"))
     return pruned.select("path", "target", (text.page(whole, F.lit(cap), F.lit(offset)) if cap else whole).alias("text"))
 
 
