@@ -8,7 +8,11 @@ pruning and folding filter the split lines in place, and no step shuffles.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+from itertools import accumulate, chain, pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,19 +96,69 @@ _FILE = {"open": T.StringType(), "lo": T.ArrayType(T.IntegerType()), "hi": T.Arr
 _SPANS = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in _SPAN.items()), *(T.StructField(k, v) for k, v in _FILE.items())])
 
 
-@F.pandas_udf(T.ArrayType(_SPANS))
-def _spans(total: pd.Series, asked: pd.Series, keys: pd.Series) -> pd.Series:
+_TYPES = {"n": pa.int32(), "active": pa.bool_(), "depth": pa.int64(), "level": pa.int64(), "orphan": pa.bool_(), "closes": pa.string(), "error": pa.string()}
+#: Directives, times macro sets, whose spans are held as Python values at once; an Arrow batch has no bound of that kind.
+HELD = 100_000
+
+
+def shared_texts(texts: pa.Array) -> list[str]:
+    """The texts of an Arrow array, equal ones as one object."""
+    coded = texts.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    return [None if i is None else known[i] for i in coded.indices.to_pylist()]
+
+
+def slices(weights: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows of about ``most`` in all; a heavier row is a run of its own."""
+    begin, held = 0, 0
+    for i, w in enumerate(weights):
+        if held and held + w > most:
+            yield begin, i
+            begin, held = i, 0
+        held += w
+    if begin < len(weights):
+        yield begin, len(weights)
+
+
+def offsets_of(counts: list[int]) -> pa.Array:
+    return pa.array(list(accumulate(counts, initial=0)), pa.int32())
+
+
+def spans_array(walked: list[tuple[list[tuple], str, _Lines]]) -> pa.StructArray:
+    """What _walk told of each file, as an Arrow array of _SPANS."""
+    ends = offsets_of([len(spans) for spans, *_ in walked])
+    columns = zip(*chain.from_iterable(spans for spans, *_ in walked), strict=True) if walked else [[]] * len(_TYPES)
+    told = [pa.ListArray.from_arrays(ends, pa.array(list(c), t)) for c, t in zip(columns, _TYPES.values(), strict=True)]
+    runs = offsets_of([len(code.ranges) for *_, code in walked])
+    side = lambda k: pa.ListArray.from_arrays(runs, pa.array([r[k] for *_, code in walked for r in code.ranges], pa.int32()))
+    file = [pa.array([left for _, left, _ in walked], pa.string()), side(0), side(1), pa.array([code.active for *_, code in walked], pa.int64())]
+    return pa.StructArray.from_arrays([*told, *file], [*_TYPES, *_FILE])
+
+
+def asked_rows(asked: pa.ListArray, fields: tuple[str, ...]) -> list[list[tuple]]:
+    """Each row's structs as tuples of these fields."""
+    flat = asked.flatten()
+    column = lambda c: shared_texts(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist()
+    every = list(zip(*[column(flat.field(f)) for f in fields], strict=True))
+    ends = list(accumulate(asked.value_lengths().to_pylist(), initial=0))
+    return [every[i:j] for i, j in pairwise(ends)]
+
+
+@F.arrow_udf(T.ArrayType(_SPANS))
+def _spans(total: pa.Array, asked: pa.Array, keys: pa.Array) -> pa.Array:
     """For each of a file's macro sets its spans.  asked: arrays of (line, directive, condition) structs.
 
     Each condition is evaluated once for the values of its names, and a file's directives are unpacked once for all sets.
+    Whatever a batch holds, its spans are Python values for some of its files at a time.
     """
     memo = conditions.Memo()
-
-    def one(rows: list[tuple], n: int, k: str) -> dict:
-        spans, left, code = _walk(rows, n, lambda condition: memo.told(condition, k))
-        return dict(zip(_SPAN, map(list, zip(*spans, strict=True)), strict=True)) | {"open": left, "lo": [x for x, _ in code.ranges], "hi": [x for _, x in code.ranges], "active_lines": code.active}
-
-    return pd.Series([[one([(d["at"], d["directive"], d["condition"]) for d in rows], n, k) for k in own] for n, rows, own in zip(total, asked, keys, strict=True)])
+    sets = [k.as_py() for k in keys]
+    out = []
+    for i, j in slices([(n + 1) * len(own) for n, own in zip(asked.value_lengths().to_pylist(), sets, strict=True)], HELD):
+        rows = zip(total[i:j].to_pylist(), asked_rows(asked[i:j], ("at", "directive", "condition")), sets[i:j], strict=True)
+        walked = spans_array([_walk(found, n, partial(memo.told, key=k)) for n, found, own in rows for k in own])
+        out.append(pa.ListArray.from_arrays(offsets_of([len(own) for own in sets[i:j]]), walked))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(spans_array([]).type))
 
 
 def directives(files: DataFrame) -> DataFrame:
@@ -114,6 +168,13 @@ def directives(files: DataFrame) -> DataFrame:
     return rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
 
 
+def directive_lines(files: DataFrame) -> DataFrame:
+    """(all columns but code, line_no, directive, condition) of every directive; other lines become no rows."""
+    keep = [c for c in files.columns if c != "code"]
+    rows = directives(files).select(*keep, F.explode_outer("_found").alias("d")).where("d is not null")
+    return rows.select(*keep, (F.col("d.at") + 1).alias("line_no"), "d.directive", "d.condition")
+
+
 def _parsed(files: DataFrame, keys: Column) -> DataFrame:
     """files with directives and _all, spans for each of ``keys``."""
     return directives(files).withColumn("_all", _spans(F.size("_lines"), F.col("_found"), keys))
@@ -183,7 +244,19 @@ def skipped_ranges(files: DataFrame) -> DataFrame:
 
 def unclosed(files: DataFrame) -> DataFrame:
     """(path, target, kinds) of files as for line_states: the blocks still open at the end, outermost first."""
-    return _told(files).select(*FILE, F.col("_s.open").alias("kinds")).where("kinds <> ''")
+    # a row of an array, as Spark would work out a plain column's file twice, for the filter and for what it keeps
+    return _told(files).select(*FILE, F.explode_outer(F.array("_s.open")).alias("kinds")).where("kinds <> ''")
+
+
+def strays(files: DataFrame) -> DataFrame:
+    """(path, target, line_no, directive) of files as for line_states: directives that belong to no block.
+
+    Told within a file's row, whose other lines become no rows.
+    """
+    # the span after a directive is the one with its number
+    stray = F.filter(F.transform("_found", lambda d, i: F.struct((d["at"] + 1).alias("line_no"), d["directive"].alias("directive"), F.get("_s.orphan", i + 1).alias("orphan"))), lambda d: d["orphan"])
+    rows = _told(files).select(*FILE, F.explode_outer(stray).alias("r")).where("r is not null")
+    return rows.select(*FILE, "r.line_no", "r.directive")
 
 
 def line_counts(files: DataFrame) -> DataFrame:
