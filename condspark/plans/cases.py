@@ -38,7 +38,8 @@ def _filled(value: Column, v: Column) -> Column:
 
 def _conditions(spark: SparkSession, sf_dir: str, cases: list[tuple]) -> DataFrame:
     asked = F.array(*[F.struct(F.lit(i).alias("case_id"), F.lit(m).alias("macros"), F.lit(c).alias("condition")) for i, (m, c, _) in enumerate(cases)])
-    d = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("v"), F.inline(asked)).select("p_partkey", "case_id", _filled(F.col("macros"), F.col("v")).alias("macros"), _filled(F.col("condition"), F.col("v")).alias("condition"))
+    keys = corpora.spread(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("v")), "p_partkey")
+    d = keys.select("p_partkey", "v", F.inline(asked)).select("p_partkey", "case_id", _filled(F.col("macros"), F.col("v")).alias("macros"), _filled(F.col("condition"), F.col("v")).alias("condition"))
     parts = F.filter(F.split("macros", ","), lambda x: x != "")
     sets = F.map_from_entries(F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1), F.when(x.contains("="), F.substring_index(x, "=", -1)))))
     got = conditions.with_results(d.withColumn("macro_key", conditions.macro_key(sets)))
