@@ -27,11 +27,15 @@ _SPAN = {"n": T.IntegerType(), "active": T.BooleanType(), "depth": T.LongType(),
 _OPENERS = ("if", "ifdef", "ifndef")
 
 
+def _condition(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(line, DIRECTIVE, 2), r"(?U)\s+$", "")
+
+
 def _directive(line: Column) -> Column:
     """(directive, condition) of a line, or null."""
     # most lines hold no '#' and skip the pattern
     word = F.regexp_extract(line, DIRECTIVE, 1)
-    found = F.struct(word.alias("directive"), F.regexp_replace(F.regexp_extract(line, DIRECTIVE, 2), r"(?U)\s+$", "").alias("condition"))
+    found = F.struct(word.alias("directive"), _condition(line).alias("condition"))
     return F.when(line.contains("#"), F.when(word != "", found))
 
 
@@ -161,11 +165,17 @@ def _spans(total: pa.Array, asked: pa.Array, keys: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(spans_array([]).type))
 
 
+def marked_lines(lines: Column) -> Column:
+    """(at, x, word) of the lines that hold a '#', word being the directive or empty; its pattern runs once a line."""
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda d: d["x"].contains("#"))
+    return F.transform(marked, lambda d: F.struct(d["at"].alias("at"), d["x"].alias("x"), F.regexp_extract(d["x"], DIRECTIVE, 1).alias("word")))
+
+
 def directives(files: DataFrame) -> DataFrame:
     """files with _lines and _found, their directives; null code has no lines."""
     rows = files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
-    found = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), _directive(x).alias("d"))), lambda d: d["d"].isNotNull())
-    return rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["d"]["directive"].alias("directive"), d["d"]["condition"].alias("condition"))))
+    found = F.filter(marked_lines(F.col("_lines")), lambda d: d["word"] != "")
+    return rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["word"].alias("directive"), _condition(d["x"]).alias("condition"))))
 
 
 def directive_lines(files: DataFrame) -> DataFrame:

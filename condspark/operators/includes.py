@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,11 +90,17 @@ def _loose(events: list[tuple[str | None, str | None]], truth) -> tuple[list[boo
     return found, len(events), None
 
 
-@F.pandas_udf(T.StructType().add("on", T.ArrayType(T.BooleanType())).add("read", T.IntegerType()).add("error", T.StringType()))
-def _loosely(events: pd.Series, key: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType().add("on", T.ArrayType(T.BooleanType())).add("read", T.IntegerType()).add("error", T.StringType()))
+def _loosely(events: pa.Array, key: pa.Array) -> pa.Array:
     memo = conditions.Memo()
-    told = [_loose([(d["directive"], d["condition"]) for d in rows], lambda condition, k=k: memo.told(condition, k)) for rows, k in zip(events, key, strict=True)]
-    return pd.DataFrame(told, columns=["on", "read", "error"])
+    keys = blocks.shared_texts(key)
+    out = []
+    for i, j in blocks.slices([n + 1 for n in events.value_lengths().to_pylist()], blocks.HELD):
+        rows = zip(blocks.asked_rows(events[i:j], ("directive", "condition")), keys[i:j], strict=True)
+        told = [_loose(found, partial(memo.told, key=k)) for found, k in rows]
+        on = pa.ListArray.from_arrays(blocks.offsets_of([len(t[0]) for t in told]), pa.array([x for t in told for x in t[0]], pa.bool_()))
+        out.append(pa.StructArray.from_arrays([on, pa.array([t[1] for t in told], pa.int32()), pa.array([t[2] for t in told], pa.string())], ["on", "read", "error"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct({"on": pa.list_(pa.bool_()), "read": pa.int32(), "error": pa.string()}))
 
 
 def walker_events(files: DataFrame) -> DataFrame:
@@ -101,11 +109,13 @@ def walker_events(files: DataFrame) -> DataFrame:
     files: (path, target, macros, code).  It differs from active_includes in chains with #elif, and in a condition that
     can't be evaluated: that is the file's last row, with an error and without a header.  No step shuffles.
     """
-    lines = F.transform(text.split_lines(F.coalesce("code", F.lit(""))), lambda x, i: F.when(x.contains("#"), F.struct((i + 1).alias("line_no"), blocks._directive(x).alias("d"), F.regexp_extract(x, blocks.INCLUDE, 1).alias("header"))))
-    rows = files.withColumn("_e", F.filter(lines, lambda e: e.isNotNull() & (e["d"].isNotNull() | (e["header"] != ""))))
-    asked = F.transform("_e", lambda e: F.struct(e["d"]["directive"].alias("directive"), e["d"]["condition"].alias("condition")))
+    marked = blocks.marked_lines(text.split_lines(F.coalesce("code", F.lit(""))))
+    directive = lambda m, c: F.when(m["word"] != "", c)  # noqa: E731  no line is both
+    lines = F.transform(marked, lambda m: F.struct((m["at"] + 1).alias("line_no"), directive(m, m["word"]).alias("directive"), directive(m, blocks._condition(m["x"])).alias("condition"), F.when(m["word"] == "", F.regexp_extract(m["x"], blocks.INCLUDE, 1)).alias("header")))
+    rows = files.withColumn("_e", F.filter(lines, lambda e: e["directive"].isNotNull() | (e["header"] != "")))
+    asked = F.transform("_e", lambda e: F.struct(e["directive"].alias("directive"), e["condition"].alias("condition")))
     rows = rows.withColumn("_s", _loosely(asked, conditions.macro_key(F.col("macros"))))
-    read = F.filter(F.slice("_e", F.lit(1), F.col("_s.read")), lambda e: e["d"].isNull())
+    read = F.filter(F.slice("_e", F.lit(1), F.col("_s.read")), lambda e: e["directive"].isNull())
     told = F.zip_with(read, F.col("_s.on"), lambda e, on: F.struct(e["line_no"].alias("line_no"), e["header"].alias("header"), on.alias("active"), F.lit(None).cast("string").alias("error")))
     end = F.struct(F.get("_e", F.col("_s.read"))["line_no"].alias("line_no"), F.lit(None).cast("string").alias("header"), F.lit(False).alias("active"), F.col("_s.error").alias("error"))
     last = F.filter(F.array(end), lambda e: e["error"].isNotNull())
