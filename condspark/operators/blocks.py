@@ -8,7 +8,7 @@ pruning and folding filter the split lines in place, and no step shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import accumulate, chain, pairwise
 
@@ -165,6 +165,53 @@ def _spans(total: pa.Array, asked: pa.Array, keys: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(spans_array([]).type))
 
 
+_STATES = T.StructType().add("states", T.ArrayType(T.ByteType())).add("open", T.StringType())
+
+
+def text_rows(texts: pa.ListArray, of: Callable[[str], object] = lambda x: x) -> Iterator[list]:
+    """Each row's texts, row by row, as what ``of`` makes of each distinct one; only the row at hand is a list."""
+    coded = texts.flatten().dictionary_encode(null_encoding="encode")
+    known = [of(x) for x in coded.dictionary.to_pylist()]
+    at, begin = coded.indices.to_numpy(zero_copy_only=False), 0
+    for n in texts.value_lengths().to_pylist():
+        yield [known[i] for i in at[begin : begin + n].tolist()]
+        begin += n
+
+
+def asked_texts() -> Column:
+    """The directives of ``_found`` as texts, without their lines."""
+    return F.transform("_found", lambda d: F.concat(d["directive"], F.lit(" "), d["condition"]))
+
+
+def asked_text(x: str) -> tuple[int, str, str]:
+    """A text of asked_texts as _walk takes it, on no line."""
+    return (0, *x.split(" ", 1))
+
+
+def states_array(rows: Iterable[tuple[list[tuple[int, str, str]], list[str], list[list[list] | None]]]) -> pa.Array:
+    """For each row (directives, keys, blocks open before) and key the spans' states, a byte each, and the blocks left open.
+
+    A byte tells whether the span is active (1), whether its directive is stray (2), and from 4 on the number of the opener
+    that it closes.  Where spans begin and end is known from the directives, so nothing else is held of a file.
+    """
+    memo, every, lengths, opens, counts = conditions.Memo(), bytearray(), [], [], []
+    for asked, keys, begins in rows:
+        for k, begin in zip(keys, begins, strict=True):
+            spans, left, _ = _walk(asked, 0, partial(memo.told, key=k), begin)
+            every += bytes(s[1] + 2 * s[4] + 4 * (_OPENERS.index(s[5]) + 1 if s[5] else 0) for s in spans)
+            lengths.append(len(spans))
+            opens.append(left)
+        counts.append(len(keys))
+    flat = pa.Array.from_buffers(pa.int8(), len(every), [None, pa.py_buffer(every)])
+    told = pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets_of(lengths), flat), pa.array(opens, pa.string())], ["states", "open"])
+    return pa.ListArray.from_arrays(offsets_of(counts), told)
+
+
+@F.arrow_udf(T.ArrayType(_STATES))
+def _states(asked: pa.Array, keys: pa.Array) -> pa.Array:
+    return states_array((found, own, [None] * len(own)) for found, own in zip(text_rows(asked, asked_text), text_rows(keys), strict=True))
+
+
 def marked_lines(lines: Column) -> Column:
     """(at, x, word) of the lines that hold a '#', word being the directive or empty; its pattern runs once a line."""
     marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda d: d["x"].contains("#"))
@@ -280,7 +327,8 @@ def prune(files: DataFrame, mode: str = "physical") -> DataFrame:
     files: (path, target, macros, code), one row for each file and target; null code is empty.  No step moves
     a row.  pruned_lines counts the lines that aren't blank.
     """
-    return _pruned(with_lines(_told(files.select(*FILE, "macros", "code"))), mode)
+    own = F.array(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")))
+    return _pruned(directives(files.select("path", "code", own.alias("_t"))), mode)
 
 
 def prune_for(files: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
@@ -289,26 +337,44 @@ def prune_for(files: DataFrame, targets: DataFrame, mode: str = "physical") -> D
     A file's lines are split and its directives found once, whatever the number of targets; the targets' macros, one
     small row, go along with every file.
     """
-    own = targets.select(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("_t"))
-    rows = _parsed(files.select("path", "code").join(F.broadcast(own)), F.transform("_t", lambda t: t["key"]))  # one row
-    each = F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s"))
-    return _pruned(with_lines(rows.select("path", "code", "_lines", "_found", F.explode(each).alias("_e")).select("path", "code", "_lines", "_found", F.col("_e.t.target").alias("target"), F.col("_e.s").alias("_s"))), mode)
+    return _pruned(directives(files.select("path", "code")).join(F.broadcast(all_targets(targets))), mode)  # one row
 
 
-def kept_lines(mode: str, last: Column | None = None) -> Column:
-    """The lines that with_lines' rows show; folded, blocks left open are told at the end (of the ``last`` part of a file)."""
-    plain = lambda r: r["d"].isNull() | r["s"]["orphan"]
+def all_targets(targets: DataFrame) -> DataFrame:
+    """One row with _t, the targets and the keys of their macros."""
+    return targets.select(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("_t"))
+
+
+def kept_lines(told: Column, mode: str, last: Column | None = None) -> Column:
+    """The lines of ``_lines`` that are shown by what states_array told.
+
+    A span's lines are taken as a whole, but for the directive before them.  Folded, blocks left open are told at the end
+    (of the ``last`` part of a file).
+    """
+    states = told["states"]
+    begin = lambda k: F.coalesce(F.get("_found", k)["at"], F.size("_lines"))
+    active, stray = (lambda s: s.bitwiseAND(F.lit(1).cast("byte")) != 0), (lambda s: s.bitwiseAND(F.lit(2).cast("byte")) != 0)
+    first = lambda k: F.when(k > 0, begin(k - 1)).otherwise(0)
+    rest = lambda s, k: first(k) + F.when((k > 0) & ~stray(s), 1).otherwise(0)  # past a directive that isn't shown
+    text_of = lambda s, k: text.bound(rest(s, k), lambda x: F.slice("_lines", x + 1, begin(k) - x))
     if mode == "physical":
-        return F.transform(F.filter("_rows", lambda r: plain(r) & r["s"]["active"]), lambda r: r["text"])
-    kept = F.transform("_rows", lambda r: F.when(~plain(r), _mark(r["d"]["directive"], r["d"]["condition"], r["s"]["closes"], r["s"]["active"])).when(r["s"]["active"], r["text"]).otherwise(""))
-    ends = F.col("_s.open") != "" if last is None else last & (F.col("_s.open") != "")
-    return F.concat(kept, F.when(ends, F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), "_s.open", F.lit("] */")))).otherwise(F.array().cast("array<string>")))
+        return F.flatten(F.transform(states, lambda s, k: F.when(active(s), text_of(s, k)).otherwise(F.array().cast("array<string>"))))
+    opener = lambda s: F.get(F.array(*[F.lit(x) for x in _OPENERS]), F.shiftright(s.cast("int"), 2) - 1)
+    mark = lambda s, k: text.bound(F.get("_found", k - 1), lambda d: F.array(_mark(d["directive"], d["condition"], opener(s), active(s))))
+    head = lambda s, k: F.when((k > 0) & ~stray(s), mark(s, k)).otherwise(F.array().cast("array<string>"))
+    body = lambda s, k: F.when(active(s), text_of(s, k)).otherwise(F.array_repeat(F.lit(""), begin(k) - rest(s, k)))
+    kept = F.flatten(F.transform(states, lambda s, k: F.concat(head(s, k), body(s, k))))
+    ends = told["open"] != "" if last is None else last & (told["open"] != "")
+    return F.concat(kept, F.when(ends, F.array(F.concat(F.lit("/* [WARN: unclosed directives: "), told["open"], F.lit("] */")))).otherwise(F.array().cast("array<string>")))
 
 
 def _pruned(rows: DataFrame, mode: str) -> DataFrame:
-    kept = kept_lines(mode)
-    # bound once, as what follows names it several times
-    out = rows.select(*FILE, "code", F.size("_lines").cast("long").alias("original_lines"), F.explode_outer(F.array(F.array_join(kept, "\n"))).alias("pruned"))
+    """rows: (path, code, _lines, _found) with _t, an array of (target, key)."""
+    told = rows.withColumn("_all", _states(asked_texts(), F.transform("_t", lambda t: t["key"])))
+    each = F.transform(F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s")), lambda e: F.struct(e["t"]["target"].alias("target"), F.array_join(kept_lines(e["s"], mode), "\n").alias("pruned")))
+    # outer, as the filter that Spark derives from a plain one would work out every text twice
+    out = told.select("path", "code", F.size("_lines").cast("long").alias("original_lines"), F.explode_outer(each).alias("_e")).where("_e is not null")
+    out = out.select("path", "_e.target", "code", "original_lines", "_e.pruned")
     pair = tokens.estimate_pair(F.coalesce("code", F.lit("")), F.col("pruned"))
     filled = F.size(F.filter(text.split_lines(F.col("pruned")), lambda x: x.rlike(r"(?U)\S"))).cast("long")
     return out.select(

@@ -9,11 +9,11 @@ for a file is a summary for each part, never its text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, partial
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,80 +71,93 @@ def after(stack: list[Block], part: Summary) -> list[Block]:
     return [*left, *part.opened]
 
 
-_BLOCK = T.StructType().add("word", T.StringType()).add("taken", T.BooleanType()).add("on", T.BooleanType())
-_SUMMARY = T.StructType().add("closed", T.IntegerType()).add("turned", T.BooleanType()).add("any", T.BooleanType()).add("on", T.BooleanType()).add("opened", T.ArrayType(_BLOCK))
+_BLOCKS = [(word, taken, on) for word in blocks._OPENERS for taken in (False, True) for on in (False, True)]
+_TURNS = [None, *(Turn(any_, on) for any_ in (False, True) for on in (False, True))]
+_LETTER = {b: chr(ord("A") + i) for i, b in enumerate(_BLOCKS)}
+_BLOCK = {letter: b for b, letter in _LETTER.items()}
 
 
-@F.pandas_udf(T.ArrayType(_SUMMARY))
-def _summaries(asked: pd.Series, keys: pd.Series) -> pd.Series:
-    memo = conditions.Memo()
+def stack_text(stack: Iterable[Block]) -> str:
+    """Open blocks as a letter each, as rows hold them."""
+    return "".join(_LETTER[tuple(b)] for b in stack)
 
-    def one(rows, k: str) -> dict:
-        s = summary([(d["directive"], d["condition"]) for d in rows], lambda condition: memo.told(condition, k))
-        turn = s.turn or Turn(False, False)
-        return {"closed": s.closed, "turned": s.turn is not None, "any": turn.any, "on": turn.on, "opened": [dict(zip(("word", "taken", "on"), b, strict=True)) for b in s.opened]}
 
-    return pd.Series([[one(rows, k) for k in own] for rows, own in zip(asked, keys, strict=True)])
+def summary_text(s: Summary) -> str:
+    return f"{s.closed},{_TURNS.index(s.turn)},{stack_text(s.opened)}"
 
 
-def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The open blocks before each part, of rows that come by file, target and part."""
-    file, stack = None, []
-    for batch in batches:
-        before = []
-        for r in batch.to_dict("records"):
-            if (r["path"], r["target"]) != file:
-                file, stack = (r["path"], r["target"]), []
-            before.append((*file, r["part"], [b[0] for b in stack], [b[1] for b in stack], [b[2] for b in stack]))
-            turn = Turn(r["any"], r["on"]) if r["turned"] else None
-            stack = after(stack, Summary(r["closed"], turn, tuple((b["word"], b["taken"], b["on"]) for b in r["opened"])))
-        yield pd.DataFrame(before, columns=["path", "target", "part", "words", "taken", "on"])
+@lru_cache(1 << 14)
+def _after_text(stack: str, part: str) -> str:
+    closed, turn, opened = part.split(",")
+    return stack_text(after([_BLOCK[x] for x in stack], Summary(int(closed), _TURNS[int(turn)], tuple(_BLOCK[x] for x in opened))))
+
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _summaries(asked: pa.Array, keys: pa.Array) -> pa.Array:
+    memo, out, counts = conditions.Memo(), [], []
+    for rows, own in zip(blocks.text_rows(asked, lambda x: tuple(x.split(" ", 1))), blocks.text_rows(keys), strict=True):
+        out += [summary_text(summary(rows, partial(memo.told, key=k))) for k in own]
+        counts.append(len(own))
+    return pa.ListArray.from_arrays(blocks.offsets_of(counts), pa.array(out, pa.string()))
 
-_STACK = "words array<string>, taken array<boolean>, on array<boolean>"
-_OUT = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in blocks._SPAN.items()), *(T.StructField(k, v) for k, v in blocks._FILE.items())])
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open blocks before each part, target by target, and whether it is its file's last, of rows by file and part."""
+    file, stacks, held = object(), [], None  # held: the row before, as the next one tells whether it is the last
+    told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_()), strict=True)], ["path", "part", "before", "last"])
+    for batch in batches:
+        before = []
+        for path, part, own in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "s")), strict=True):
+            if held:
+                before.append((*held, held[0] != path))
+            if path != file:
+                file, stacks = path, [""] * len(own)
+            held = path, part, stacks
+            stacks = [_after_text(s, x) for s, x in zip(stacks, own, strict=True)]
+        if before:
+            yield told(before)
+    if held:
+        yield told([(*held, True)])
 
 
-@F.pandas_udf(_OUT)
-def _within(total: pd.Series, asked: pd.Series, key: pd.Series, words: pd.Series, taken: pd.Series, on: pd.Series) -> pd.DataFrame:
-    memo = conditions.Memo()
-    out = []
-    for n, rows, k, *stack in zip(total, asked, key, words, taken, on, strict=True):
-        begin = [list(b) for b in zip(*stack, strict=True)]
-        spans, left, code = blocks._walk([(d["at"], d["directive"], d["condition"]) for d in rows], n, lambda condition, k=k: memo.told(condition, k), begin)
-        out.append([*(list(x) for x in zip(*spans, strict=True)), left, [x for x, _ in code.ranges], [x for _, x in code.ranges], code.active])
-    return pd.DataFrame(out, columns=_OUT.names)
+@F.arrow_udf(T.ArrayType(blocks._STATES))
+def _within(asked: pa.Array, keys: pa.Array, before: pa.Array) -> pa.Array:
+    opened = lambda stacks: [[list(_BLOCK[x]) for x in s] for s in stacks]
+    return blocks.states_array((rows, own, opened(stacks)) for rows, own, stacks in zip(blocks.text_rows(asked, blocks.asked_text), blocks.text_rows(keys), blocks.text_rows(before), strict=True))
 
 
 def told(parts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, part, target, last, code, _lines, _found, _s): parts told as blocks tells files, with what was open before.
+    """(path, part, last, code, _lines, _found, _t, _all): parts told for all targets (_t) as blocks tells files, with what was open before.
 
     parts: (path, part, code), cut after line ends, part ascending within a path; targets:
-    (target, macros), few of them.  last marks a file's last part.
+    (target, macros), few of them.  last marks a file's last part.  Summaries and stacks are a row for each part, whatever
+    the number of targets, and a part's text moves once.
     """
-    own = targets.select(F.struct("target", conditions.macro_key(F.col("macros")).alias("key")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("_t"))
+    own = blocks.all_targets(targets)
+    keys = F.transform("_t", lambda t: t["key"])
     rows = blocks.directives(parts.select("path", "part", "code")).join(F.broadcast(own))  # one row
-    asked = F.transform("_found", lambda d: F.struct(d["directive"].alias("directive"), d["condition"].alias("condition")))
-    each = F.arrays_zip(F.col("_t").alias("t"), _summaries(asked, F.transform("_t", lambda t: t["key"])).alias("s"))
-    summaries = rows.select("path", "part", F.explode(each).alias("e")).select("path", "part", F.col("e.t.target").alias("target"), "e.s.*")
-    by_file = summaries.repartition("path", "target").sortWithinPartitions("path", "target", "part")
-    before = by_file.mapInPandas(_joined_up, f"path string, target string, part long, {_STACK}")
-    last = F.row_number().over(W.partitionBy("path", "target").orderBy(F.desc("part"))) == 1
-    keyed = before.withColumn("last", last).join(F.broadcast(targets.select("target", conditions.macro_key(F.col("macros")).alias("_key"))), "target")
-    whole = blocks.directives(parts.select("path", "part", "code")).join(keyed, ["path", "part"])
-    return whole.withColumn("_s", _within(F.size("_lines"), F.col("_found"), F.col("_key"), F.col("words"), F.col("taken"), F.col("on"))).drop("words", "taken", "on", "_key")
+    summaries = rows.select("path", "part", _summaries(blocks.asked_texts(), keys).alias("s"))
+    by_file = summaries.repartition("path").sortWithinPartitions("path", "part")
+    before = by_file.mapInArrow(_joined_up, "path string, part long, before array<string>, last boolean")
+    # lines and directives are found after the join, so that the text alone moves
+    whole = blocks.directives(parts.select("path", "part", "code").join(before, ["path", "part"])).join(F.broadcast(own))
+    return whole.withColumn("_all", _within(blocks.asked_texts(), keys, F.col("before"))).drop("before")
 
 
 def prune(parts: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
     """(path, part, target, code, n): what each part shows; the parts of a file that show lines (n above 0), in order
     and joined by line ends, are what blocks.prune gives of the whole file."""
-    rows = blocks.with_lines(told(parts, targets))
-    kept = blocks.kept_lines(mode, F.col("last"))
-    return rows.select("path", "part", "target", F.array_join(kept, "\n").alias("code"), F.size(kept).alias("n"))
+    lines = lambda s: blocks.kept_lines(s, mode, F.col("last"))
+    shown = lambda s: text.bound(lines(s), lambda kept: F.struct(F.array_join(kept, "\n").alias("code"), F.size(kept).alias("n")))
+    each = F.transform(F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s")), lambda e: F.struct(e["t"]["target"].alias("target"), shown(e["s"]).alias("r")))
+    rows = told(parts, targets).select("path", "part", F.explode_outer(each).alias("_e")).where("_e is not null")
+    return rows.select("path", "part", "_e.target", "_e.r.code", "_e.r.n")
 
 
 def line_parts(files: DataFrame, size: int = 10_000) -> DataFrame:
     """(path, part, code): files (path, code) cut into parts of ``size`` lines; for huge files see sources.files.read_parts."""
-    lines = files.select("path", text.split_lines(F.coalesce("code", F.lit(""))).alias("l"))
-    cut = F.expr(f"transform(sequence(0, (size(l) - 1) div {size}), k -> slice(l, k * {size} + 1, {size}))")
-    return lines.where("size(l) > 0").select("path", F.posexplode(cut).alias("part", "c")).select("path", F.col("part").cast("long").alias("part"), F.concat(F.array_join("c", "\n"), F.lit("\n")).alias("code"))
+    part = lambda l, k: F.concat(F.array_join(F.slice(l, k * size + 1, F.lit(size)), "\n"), F.lit("\n"))  # noqa: E731, E741
+    cut = lambda l: F.when(F.size(l) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(l) - 1) / size).cast("int")), lambda k: part(l, k)))  # noqa: E731, E741
+    # outer, as the filter that Spark derives from a plain one would cut every file twice
+    rows = files.select("path", F.posexplode_outer(text.bound(text.split_lines(F.coalesce("code", F.lit(""))), cut)).alias("part", "code"))
+    return rows.where("part is not null").select("path", F.col("part").cast("long").alias("part"), "code")

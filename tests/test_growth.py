@@ -61,3 +61,13 @@ def test_spans_of_a_batch_in_slices(spark, monkeypatch):
     told = blocks.line_counts(whole).collect()
     each = [blocks.line_counts(files.where(F.col("path") == r.path)).first() for r in told[:3]]
     assert told[:3] == each and blocks.line_counts(files.limit(0)).count() == 0
+
+
+def test_pruning_holds_a_byte_a_span(spark):
+    """What Python makes of a batch for pruning is a byte for each span and target, and neither lines nor texts go there."""
+    asked = [(0, w, c) for w, c in [("ifdef", "A"), ("elif", "B"), ("else", ""), ("endif", ""), ("endif", "")] * 40]
+    told = blocks.states_array((asked, ['{"A":null}', "{}"], [None, None]) for _ in range(500))
+    assert told.nbytes < 500 * 2 * (len(asked) + 40)
+    assert [x["states"][:6] for x in told[0].as_py()] == [[1, 1, 0, 0, 9, 3], [1, 0, 0, 1, 9, 3]]
+    plan = plan_of(blocks.prune_for(*corpora.guarded_files(spark, SF)))
+    assert plan.count("ArrowEvalPython") == 1 and "_states(" in plan and "struct(at, " not in plan.split("ArrowEvalPython")[1].split("\n")[0]
