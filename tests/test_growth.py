@@ -7,7 +7,7 @@ import pytest
 from oracle_check import SF, TABLES, differences
 from pyspark.sql import functions as F
 
-from condspark.operators import blocks, build, report
+from condspark.operators import blocks, build, parts, report
 from condspark.plans import corpora
 from condspark.plans import queries as q
 
@@ -71,3 +71,12 @@ def test_pruning_holds_a_byte_a_span(spark):
     assert [x["states"][:6] for x in told[0].as_py()] == [[1, 1, 0, 0, 9, 3], [1, 0, 0, 1, 9, 3]]
     plan = plan_of(blocks.prune_for(*corpora.guarded_files(spark, SF)))
     assert plan.count("ArrowEvalPython") == 1 and "_states(" in plan and "struct(at, " not in plan.split("ArrowEvalPython")[1].split("\n")[0]
+
+
+def test_parts_are_a_row_for_all_targets(spark):
+    """A part's text moves once, and it and its summary are a row each, whatever the number of targets."""
+    files, targets = corpora.guarded_files(spark, SF)
+    cut = parts.line_parts(files.limit(20), 5)
+    told = parts.told(cut, targets)
+    assert told.count() == cut.count()
+    assert "Window" not in plan_of(told)
