@@ -296,9 +296,9 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on * BANDS)]).astype(np.int32)), pa.array(bands[on].ravel().view(np.int64)))
         return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "bands": keys})
 
-    rows = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
+    every = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
     # equal texts of a block bring one sketch, so a text comes at most once from each block
-    sketched = rows.where("size(bands) > 0")
+    sketched = every.where("size(bands) > 0")
     in_bands = sketched.select("node", F.explode("bands").alias("bucket"))
     size = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
     members = scratch.table(in_bands.join(size.select("bucket", "n"), "bucket"), "members")
@@ -306,6 +306,9 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     at = sketched.select("node", "block", "place").join(central, "node").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.max("central").alias("central"))
     at = scratch.table(at.select("at.block", "at.place", "node", "central"), "wanted")
+    # sketches are most of what is written for a row, and from here on nothing reads them
+    rows = scratch.table(every.drop("bands"), "nodes")
+    scratch.drop(every)
     wanted = exchange.by_block(at.select("block", "place", "node"))
 
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
@@ -322,7 +325,9 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
     lead = known.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
     star = known.join(lead, "bucket").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
     labels = components(_verify(star, words, threshold))
-    more = _verify(_rest(_open(members, labels), words, threshold), words, threshold)
+    open_ = _open(members, labels)
+    scratch.drop(members)
+    more = _verify(_rest(open_, words, threshold), words, threshold)
     if not more.isEmpty():
         far = components(more)
         ends = labels.unionByName(far.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "left_anti"))
