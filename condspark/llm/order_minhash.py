@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place (nulls last).  Texts are told apart by 64-bit hashes of their words.  A very long text is one block; an empty table
     gives no rows; repeated rows are one class; other columns are ignored.
     """
-    out = _classes(exchange.write_blocks(docs, id_col, text_col), threshold)
+    out = _classes(exchange.write_blocks(docs, id_col, text_col), threshold, last=True)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])
 
 
@@ -275,7 +275,35 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
-def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
+def _shared(sketched: DataFrame) -> DataFrame:
+    """(node, bucket) of the buckets that two rows of sketched (block, node, bands) or more hold, as a written table.
+
+    Most buckets are one text's alone.  Blocks ask for their distinct ones, sorted and packed, how many hold them in all; so
+    alone these numbers move, and not a row for each bucket of each text.
+    """
+    shards = scratch.partitions(sketched.sparkSession)
+
+    def keys_of(rows: pa.Table) -> np.ndarray:
+        return rows.column("bands").combine_chunks().flatten().to_numpy().view(np.uint64)
+
+    def ask(block: int, rows: pa.Table, _: dict) -> list[dict]:
+        keys, times = np.unique(keys_of(rows), return_counts=True)
+        return exchange.questions(block, 0, keys, np.minimum(times, 2).astype(np.uint8), shards)
+
+    def several(kind, keys: np.ndarray, times: np.ndarray, rank, inverse: np.ndarray) -> np.ndarray:
+        return (np.bincount(inverse, times, len(keys)) > 1)[inverse].astype(np.uint8)
+
+    def take(block: int, rows: pa.Table, answers: dict[int, np.ndarray]) -> pa.Table:
+        keys = keys_of(rows)
+        on = np.flatnonzero(answers[0][np.unique(keys, return_inverse=True)[1]]) if len(keys) else np.zeros(0, np.int64)
+        return pa.table({"node": rows.column("node").take(pa.array(on // BANDS)), "bucket": pa.array(keys[on].view(np.int64))})
+
+    told = exchange.by_block(exchange.replies(exchange.ask(sketched, None, ask), several))
+    return scratch.table(exchange.each_block(sketched, told, take, "node long, bucket long"), "shared")
+
+
+def _classes(blocks: DataFrame, threshold: float, last: bool = False) -> DataFrame:
+    """last: nothing else reads blocks, so they go once word sequences are taken from them."""
     kind = blocks.schema["id"].dataType.simpleString()
 
     def sketch(block: int, rows: pa.Table, _: dict) -> pa.Table:
@@ -296,19 +324,21 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on * BANDS)]).astype(np.int32)), pa.array(bands[on].ravel().view(np.int64)))
         return pa.table({"id": rows.column("id"), "block": pa.array(np.full(len(n), block)), "place": rows.column("place"), "node": pa.array(node.view(np.int64)), "bands": keys})
 
-    every = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch")
+    # written by block, as their questions are asked and answered by block
+    every = scratch.table(exchange.each_block(blocks, None, sketch, f"id {kind}, block long, place long, node long, bands array<long>"), "sketch", "block")
     # equal texts of a block bring one sketch, so a text comes at most once from each block
-    sketched = every.where("size(bands) > 0")
-    in_bands = sketched.select("node", F.explode("bands").alias("bucket"))
+    has = F.size("bands") > 0
+    in_bands = _shared(every.where(has).select("block", "node", "bands"))
+    # sketches are most of what is written for a row, and from here on nothing reads them
+    rows = scratch.table(every.select("id", "block", "place", "node", has.alias("sketched")), "nodes")
+    scratch.drop(every)
     size = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
     members = scratch.table(in_bands.join(size.select("bucket", "n"), "bucket"), "members")
+    scratch.drop(in_bands)
     # word sequences of candidates alone, taken from the blocks that hold them
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
-    at = sketched.select("node", "block", "place").join(central, "node").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.max("central").alias("central"))
+    at = rows.where("sketched").select("node", "block", "place").join(central, "node").groupBy("node").agg(F.min(F.struct("block", "place")).alias("at"), F.max("central").alias("central"))
     at = scratch.table(at.select("at.block", "at.place", "node", "central"), "wanted")
-    # sketches are most of what is written for a row, and from here on nothing reads them
-    rows = scratch.table(every.drop("bands"), "nodes")
-    scratch.drop(every)
     wanted = exchange.by_block(at.select("block", "place", "node"))
 
     def sequences(key, texts: pa.Table, want: pa.Table) -> pa.Table:
@@ -321,13 +351,16 @@ def _classes(blocks: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"node": want.column("node").take(pa.array(order)), "n_words": pa.array(np.diff(first)), "words": pa.array(blobs, pa.binary())})
 
     words = scratch.table(blocks.select("block", "place", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(wordhash.tidied(sequences), "node long, n_words long, words binary"), "words")
+    if last:
+        scratch.drop(blocks)
     known = members.select("bucket", "node").join(at.select("node", "central"), "node").repartition("bucket")
     lead = known.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
     star = known.join(lead, "bucket").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
     labels = components(_verify(star, words, threshold))
     open_ = _open(members, labels)
     scratch.drop(members)
-    more = _verify(_rest(open_, words, threshold), words, threshold)
+    # written first: few pairs are left, and word sequences need not be dealt out to meet them
+    more = _verify(scratch.table(_rest(open_, words, threshold), "rest"), words, threshold)
     if not more.isEmpty():
         far = components(more)
         ends = labels.unionByName(far.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "left_anti"))

@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -302,6 +303,32 @@ def test_wordless_rows_of_any_block():
     assert len(set(np.concatenate(nodes).tolist())) == 10 * len(places)
 
 
+def test_shared_buckets_are_asked_by_block(spark):
+    """Blocks learn which of their buckets another row holds, in one block or several; the others become no rows."""
+    rng = np.random.default_rng(3)
+    own = rng.integers(-(2**63), 2**63 - 1, (400, order_minhash.BANDS))
+    own[7], own[9, :5], own[390, 3] = own[300], own[8, :5], own[1, 3]  # a copy in another block, a near one in the same, a single bucket
+    rows = [(i // 100, 300 if i == 7 else i, keys) for i, keys in enumerate(own.tolist())]
+    sketched = spark.createDataFrame(rows, "block long, node long, bands array<long>")
+    met = collections.Counter(k for *_, keys in rows for k in keys)
+    assert sorted(map(tuple, order_minhash._shared(sketched).collect())) == sorted((n, k) for _, n, keys in rows for k in keys if met[k] > 1)
+    assert order_minhash._shared(sketched.limit(0)).count() == 0
+
+
+def test_blocks_go_with_their_last_reader(docs, monkeypatch):
+    """Texts written by block are deleted once word sequences are taken from them."""
+    files, write = [], exchange.write_blocks
+
+    def written(*args):
+        blocks = write(*args)
+        files.extend(f.removeprefix("file://") for f in blocks.inputFiles())
+        return blocks
+
+    monkeypatch.setattr(exchange, "write_blocks", written)
+    assert order_minhash.near_duplicates(docs).count() == docs.count()
+    assert files and not any(os.path.exists(f) for f in files)
+
+
 def test_near_duplicates_beside_all_pairs(spark):
     """Classes by alignment of all pairs, over texts that share passages; most edited copies are found."""
     rng = random.Random(11)
