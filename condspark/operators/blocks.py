@@ -9,7 +9,7 @@ pruning and folding filter the split lines in place, and no step shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
@@ -66,13 +66,13 @@ class _Lines:
             self.opened = first
 
 
-def _walk(asked: list[tuple[int, str, str]], total: int, truth, begin: list[list] | None = None) -> tuple[list[tuple], str, _Lines]:
+def _walk(asked: list[tuple[int, str, str]], total: int, truth, begin: Iterable[Iterable] | None = None) -> tuple[list[tuple], str, _Lines]:
     """Spans of a file of ``total`` lines with directives (line, word, condition), the blocks left open, and its lines of code.
 
     truth(condition) gives (result, error).  A condition that can't be evaluated is false.  ``begin``: blocks open before.
     """
     at = [d[0] for d in asked] + [total]
-    open_ = [*(begin or [])]  # [opener, whether a branch was taken, whether this branch is on]
+    open_ = [list(b) for b in begin or ()]  # [opener, whether a branch was taken, whether this branch is on]
     active = all(b[2] for b in open_)
     spans, code = [(at[0], active, len(open_), None, False, None, None)], _Lines()
     code.add(1, at[0], active)
@@ -188,18 +188,30 @@ def asked_text(x: str) -> tuple[int, str, str]:
     return (0, *x.split(" ", 1))
 
 
-def states_array(rows: Iterable[tuple[list[tuple[int, str, str]], list[str], list[list[list] | None]]]) -> pa.Array:
+#: Rows of so many directives at most, of a batch so many, are told once where they are alike.
+ALIKE, KNOWN = 64, 1 << 14
+
+
+def states_array(rows: Iterable[tuple[list[tuple[int, str, str]], list[str], Iterable[tuple | None]]]) -> pa.Array:
     """For each row (directives, keys, blocks open before) and key the spans' states, a byte each, and the blocks left open.
 
     A byte tells whether the span is active (1), whether its directive is stray (2), and from 4 on the number of the opener
     that it closes.  Where spans begin and end is known from the directives, so nothing else is held of a file.
     """
     memo, every, lengths, opens, counts = conditions.Memo(), bytearray(), [], [], []
+
+    def told(asked, key: str, begin: tuple | None) -> tuple[bytes, str]:
+        spans, left, _ = _walk(asked, 0, partial(memo.told, key=key), begin)
+        return bytes(s[1] + 2 * s[4] + 4 * (_OPENERS.index(s[5]) + 1 if s[5] else 0) for s in spans), left
+
+    alike = lru_cache(KNOWN)(told)
     for asked, keys, begins in rows:
+        few = len(asked) <= ALIKE
+        same = tuple(asked) if few else asked
         for k, begin in zip(keys, begins, strict=True):
-            spans, left, _ = _walk(asked, 0, partial(memo.told, key=k), begin)
-            every += bytes(s[1] + 2 * s[4] + 4 * (_OPENERS.index(s[5]) + 1 if s[5] else 0) for s in spans)
-            lengths.append(len(spans))
+            states, left = alike(same, k, begin) if few else told(same, k, begin)
+            every += states
+            lengths.append(len(states))
             opens.append(left)
         counts.append(len(keys))
     flat = pa.Array.from_buffers(pa.int8(), len(every), [None, pa.py_buffer(every)])
@@ -219,8 +231,8 @@ def marked_lines(lines: Column) -> Column:
 
 
 def directives(files: DataFrame) -> DataFrame:
-    """files with _lines and _found, their directives; null code has no lines."""
-    rows = files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
+    """files with _lines, if they lack them, and _found, their directives; null code has no lines."""
+    rows = files if "_lines" in files.columns else files.withColumn("_lines", text.split_lines(F.coalesce("code", F.lit(""))))
     found = F.filter(marked_lines(F.col("_lines")), lambda d: d["word"] != "")
     return rows.withColumn("_found", F.transform(found, lambda d: F.struct(d["at"].alias("at"), d["word"].alias("directive"), _condition(d["x"]).alias("condition"))))
 

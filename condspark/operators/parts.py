@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import conditions, text
 from . import blocks
 
@@ -95,8 +96,12 @@ def _after_text(stack: str, part: str) -> str:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _summaries(asked: pa.Array, keys: pa.Array) -> pa.Array:
     memo, out, counts = conditions.Memo(), [], []
+    told = lambda rows, k: summary_text(summary(rows, partial(memo.told, key=k)))
+    alike = lru_cache(blocks.KNOWN)(told)
     for rows, own in zip(blocks.text_rows(asked, lambda x: tuple(x.split(" ", 1))), blocks.text_rows(keys), strict=True):
-        out += [summary_text(summary(rows, partial(memo.told, key=k))) for k in own]
+        few = len(rows) <= blocks.ALIKE
+        same = tuple(rows) if few else rows
+        out += [alike(same, k) if few else told(same, k) for k in own]
         counts.append(len(own))
     return pa.ListArray.from_arrays(blocks.offsets_of(counts), pa.array(out, pa.string()))
 
@@ -122,42 +127,65 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.arrow_udf(T.ArrayType(blocks._STATES))
 def _within(asked: pa.Array, keys: pa.Array, before: pa.Array) -> pa.Array:
-    opened = lambda stacks: [[list(_BLOCK[x]) for x in s] for s in stacks]
+    opened = lambda stacks: [tuple(_BLOCK[x] for x in s) for s in stacks]
     return blocks.states_array((rows, own, opened(stacks)) for rows, own, stacks in zip(blocks.text_rows(asked, blocks.asked_text), blocks.text_rows(keys), blocks.text_rows(before), strict=True))
 
 
 def told(parts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, part, last, code, _lines, _found, _t, _all): parts told for all targets (_t) as blocks tells files, with what was open before.
+    """(path, part, last, _lines, _found, _t, _all): parts told for all targets (_t) as blocks tells files, with what was open before.
 
-    parts: (path, part, code), cut after line ends, part ascending within a path; targets:
+    parts: (path, part, code), cut after line ends, or what cut_lines gives, part ascending within a path; targets:
     (target, macros), few of them.  last marks a file's last part.  Summaries and stacks are a row for each part, whatever
-    the number of targets, and a part's text moves once.
+    the number of targets, and a part's lines move once.
     """
     own = blocks.all_targets(targets)
     keys = F.transform("_t", lambda t: t["key"])
-    rows = blocks.directives(parts.select("path", "part", "code")).join(F.broadcast(own))  # one row
-    summaries = rows.select("path", "part", _summaries(blocks.asked_texts(), keys).alias("s"))
+    # written, as both sides of the join read it: parts are cut, and their lines and directives found, once
+    found = shared.table(blocks.directives(parts).select("path", "part", "_lines", "_found"), "parts")
+    summaries = found.select("path", "part", "_found").join(F.broadcast(own)).select("path", "part", _summaries(blocks.asked_texts(), keys).alias("s"))  # one row
     by_file = summaries.repartition("path").sortWithinPartitions("path", "part")
     before = by_file.mapInArrow(_joined_up, "path string, part long, before array<string>, last boolean")
-    # lines and directives are found after the join, so that the text alone moves
-    whole = blocks.directives(parts.select("path", "part", "code").join(before, ["path", "part"])).join(F.broadcast(own))
+    whole = found.join(before, ["path", "part"]).join(F.broadcast(own))
     return whole.withColumn("_all", _within(blocks.asked_texts(), keys, F.col("before"))).drop("before")
 
 
-def prune(parts: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
-    """(path, part, target, code, n): what each part shows; the parts of a file that show lines (n above 0), in order
-    and joined by line ends, are what blocks.prune gives of the whole file."""
+def _shown(parts: DataFrame, targets: DataFrame, mode: str) -> DataFrame:
+    """(path, part, _each): for each part an array with what it shows for every target (target, r.code, r.n)."""
     lines = lambda s: blocks.kept_lines(s, mode, F.col("last"))
     shown = lambda s: text.bound(lines(s), lambda kept: F.struct(F.array_join(kept, "\n").alias("code"), F.size(kept).alias("n")))
     each = F.transform(F.arrays_zip(F.col("_t").alias("t"), F.col("_all").alias("s")), lambda e: F.struct(e["t"]["target"].alias("target"), shown(e["s"]).alias("r")))
-    rows = told(parts, targets).select("path", "part", F.explode_outer(each).alias("_e")).where("_e is not null")
+    return told(parts, targets).select("path", "part", each.alias("_each"))
+
+
+def prune(parts: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
+    """(path, part, target, code, n): what each part shows; the parts of a file that show lines (n above 0), in order
+    and joined by line ends, are what blocks.prune gives of the whole file."""
+    rows = _shown(parts, targets, mode).select("path", "part", F.explode_outer("_each").alias("_e")).where("_e is not null")
     return rows.select("path", "part", "_e.target", "_e.r.code", "_e.r.n")
 
 
+def prune_whole(parts: DataFrame, targets: DataFrame, mode: str = "physical") -> DataFrame:
+    """(path, target, code): prune with each file's parts put together again, for files that fit a row.
+
+    A part moves as one row for all targets, whose texts are much alike, and files become rows by target where they are whole.
+    """
+    rows = _shown(parts, targets, mode).select("path", "part", F.transform("_each", lambda e: e["target"]).alias("_t"), F.transform("_each", lambda e: F.when(e["r"]["n"] > 0, e["r"]["code"])).alias("_c"))
+    # dealt out first, as gathering where the parts are would find hardly two of a file
+    files = rows.repartition("path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "_c", "_t"))).alias("_p"))
+    # joining leaves out nulls, parts that show nothing
+    whole = lambda t, k: F.struct(t.alias("target"), F.array_join(F.transform("_p", lambda p: F.get(p["_c"], k)), "\n").alias("code"))
+    return files.select("path", F.explode(F.transform(F.get("_p", F.lit(0))["_t"], whole)).alias("_e")).select("path", "_e.target", "_e.code")
+
+
 def line_parts(files: DataFrame, size: int = 10_000) -> DataFrame:
     """(path, part, code): files (path, code) cut into parts of ``size`` lines; for huge files see sources.files.read_parts."""
-    part = lambda l, k: F.concat(F.array_join(F.slice(l, k * size + 1, F.lit(size)), "\n"), F.lit("\n"))  # noqa: E731, E741
+    return cut_lines(files, size).select("path", "part", F.concat(F.array_join("_lines", "\n"), F.lit("\n")).alias("code"))
+
+
+def cut_lines(files: DataFrame, size: int = 10_000) -> DataFrame:
+    """(path, part, _lines): line_parts with each part's lines, which need not be found again."""
+    part = lambda l, k: F.slice(l, k * size + 1, F.lit(size))  # noqa: E731, E741
     cut = lambda l: F.when(F.size(l) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(l) - 1) / size).cast("int")), lambda k: part(l, k)))  # noqa: E731, E741
     # outer, as the filter that Spark derives from a plain one would cut every file twice
-    rows = files.select("path", F.posexplode_outer(text.bound(text.split_lines(F.coalesce("code", F.lit(""))), cut)).alias("part", "code"))
-    return rows.where("part is not null").select("path", F.col("part").cast("long").alias("part"), "code")
+    rows = files.select("path", F.posexplode_outer(text.bound(text.split_lines(F.coalesce("code", F.lit(""))), cut)).alias("part", "_lines"))
+    return rows.where("part is not null").select("path", F.col("part").cast("long").alias("part"), "_lines")

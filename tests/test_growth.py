@@ -80,3 +80,27 @@ def test_parts_are_a_row_for_all_targets(spark):
     told = parts.told(cut, targets)
     assert told.count() == cut.count()
     assert "Window" not in plan_of(told)
+
+
+def test_parts_are_cut_once(spark):
+    """Both sides of the join read parts that were written, with their lines; a part moves as one row for all targets."""
+    files, targets = corpora.guarded_files(spark, SF)
+    files = files.limit(20).unionByName(spark.createDataFrame([("/none", None), ("/blank", "\n\n#if A\nx\n")], "path string, code string")).localCheckpoint()
+    for mode in ("physical", "virtual"):
+        whole = parts.prune_whole(parts.cut_lines(files.where("code is not null"), 3), targets, mode)
+        assert "split(" not in plan_of(whole)
+        want = blocks.prune_for(files.where("code is not null"), targets, mode).select("path", "target", "code").collect()
+        assert sorted(whole.collect()) == sorted(want)
+    moved = plan_of(whole).split("Generate explode")[1]
+    assert "Exchange" in moved and "Generate" not in moved
+
+
+def test_alike_rows_are_told_once(monkeypatch):
+    """Rows of few directives that are alike in them, their macros and what was open before are walked once."""
+    walked, walk = [], blocks._walk
+    monkeypatch.setattr(blocks, "_walk", lambda *a: walked.append(a) or walk(*a))
+    asked = [(0, w, c) for w, c in [("elif", "A"), ("else", ""), ("endif", ""), ("endif", "")]]
+    before = [("ifdef", False, False)], [("if", True, True), ("ifndef", False, False)]
+    told = blocks.states_array((asked, ['{"A":null}', "{}"], [tuple(before[i % 2]), None]) for i in range(500)).to_pylist()
+    assert len(walked) == 3 and told[0] == told[498] and told[1] == told[499] and told[0] != told[1]
+    assert before[0] == [("ifdef", False, False)]
