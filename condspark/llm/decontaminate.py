@@ -265,7 +265,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of docs that hold no test item, with all their columns; see leaks."""
     rest = [c for c in docs.columns if c != text_col]
     names = {c: f"more{i}" for i, c in enumerate(rest)}
-    blocks = exchange.write_blocks(docs, text_col, text_col, {n: F.col(f"`{c}`") for c, n in names.items()}).drop("id")
+    blocks = exchange.write_blocks(docs, None, text_col, {n: F.col(f"`{c}`") for c, n in names.items()})
     met = _candidates(blocks, _items(benchmark, item_col, item_text_col), min_score)
 
     def sieve(rows: pa.Table, met: pa.Table) -> pa.Table:

@@ -32,18 +32,19 @@ from . import scratch, wordhash
 BLOCK = 6_000_000
 
 
-def write_blocks(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None, bytes_a_block: int = BLOCK) -> DataFrame:
+def write_blocks(docs: DataFrame, id_col: str | None, text_col: str, more: dict[str, Column] | None = None, bytes_a_block: int = BLOCK) -> DataFrame:
     """(block long, place long, id, text, ``more``) with every row of docs, bucketed by block.
 
-    place counts a block's rows from 0.  A null text stays null.
+    place counts a block's rows from 0.  A null text stays null.  With None for ``id_col`` there is no id.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in (more or {}).items()))
-    names = rows.columns
+    own = [] if id_col is None else [F.col(id_col).alias("id")]
+    rows = docs.select(*own, F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in (more or {}).items()))
+    names, at = rows.columns, len(own)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, rows_held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            text = batch.column(1)
+            text = batch.column(at)
             size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0)).astype(np.int64)
             number, place = np.empty(len(size), dtype=np.int64), np.empty(len(size), dtype=np.int64)
             begin = 0

@@ -179,14 +179,18 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("m")).select("node", F.least("m", place("node"))["n"].alias("comp")), "step")
         if found is None:
-            found = step
+            labels = step
         else:
             far = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-            found = scratch.table(found.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
+            labels = scratch.table(found.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
         to = lambda c: step.select(F.col("node").alias(c), F.col("comp").alias(f"to_{c}"))
         left = edges.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
-        edges = scratch.table(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        left = scratch.table(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if found is not None:
+            scratch.drop(edges, step, found)
+        edges, found = left, labels
         if edges.isEmpty():
+            scratch.drop(edges)
             return found
 
 
@@ -211,10 +215,10 @@ def parities(words: np.ndarray) -> np.ndarray:
 
 
 def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold.
+    """Pairs (a, b, end_a, end_b) of a bucket in different components that can reach the threshold, as a written table.
 
-    Nodes outside a bucket's largest component meet those of its nodes whose lengths are in the same or a
-    neighbouring class, a class being as wide as the threshold lets lengths differ.  Lengths and parities (folded to
+    Nodes outside a bucket's largest component meet those of its nodes whose lengths are in the same class or the nearer
+    neighbouring one, half a class being as wide as the threshold lets lengths differ.  Lengths and parities (folded to
     COARSE bits first, which are told by plain arithmetic) then rule out all but near pairs, and of the buckets that a pair shares only one tells it.  end_a is a's
     component.
     """
@@ -230,9 +234,10 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     nodes = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(words.select("node", "n_words", "words"), "node")
     marked = nodes.select("node", "n_words", "buckets", "words").mapInArrow(wordhash.tidy(mark), "node long, n_words long, buckets array<long>, bits array<long>, coarse array<long>")
     width = -math.log(threshold) + 1e-6
-    rows = open_.join(marked, "node").withColumn("size", F.floor(F.log(F.col("n_words")) / width))
+    step = F.log(F.col("n_words")) / (2 * width)
+    rows = open_.join(marked, "node").withColumn("size", F.floor(step))
     rows = scratch.table(rows, "marked")
-    outside = rows.where("comp <> main").select("bucket", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.struct("node", "comp", "n_words", "buckets", "bits", "coarse").alias("s"))
+    outside = rows.where("comp <> main").select("bucket", F.explode(F.array(F.floor(step - 0.5), F.floor(step + 0.5))).alias("size"), F.struct("node", "comp", "n_words", "buckets", "bits", "coarse").alias("s"))
     apart = f"n_words + s.n_words - {2 * threshold}D * greatest(n_words, s.n_words) + 1e-6D"
     roughly = F.expr(" + ".join(f"bit_count(coarse[{i}] ^ s.coarse[{i}])" for i in range(COARSE // 64)) + f" <= {apart}")
     differ = F.expr(f"aggregate(zip_with(bits, s.bits, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {apart}")
@@ -241,7 +246,10 @@ def _rest(open_: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     met = rows.join(outside, ["bucket", "size"]).where(near & roughly & differ & once)
     first, last = F.struct("node", "comp"), F.struct(F.col("s.node").alias("node"), F.col("s.comp").alias("comp"))
     pair = met.select(F.least(first, last).alias("p"), F.greatest(first, last).alias("q"))
-    return pair.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b"))
+    # written: few pairs are left, and word sequences need not be dealt out to meet them
+    found = scratch.table(pair.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.comp").alias("end_a"), F.col("q.comp").alias("end_b")), "rest")
+    scratch.drop(rows)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -263,7 +271,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The first row of each class of near duplicates, with all columns of docs."""
     more = [c for c in docs.columns if c not in (id_col, text_col)]
     blocks = exchange.write_blocks(docs, id_col, text_col, {f"more{i}": F.col(f"`{c}`") for i, c in enumerate(more)})
-    first = _classes(blocks.select("block", "place", "id", "text"), threshold).where("is_first").select("block", "place")
+    classed = _classes(blocks.select("block", "place", "id", "text"), threshold)
+    # written, dealt like the blocks, so that of all that was made on the way only these two stay with the result
+    first = scratch.table(exchange.by_block(classed.where("is_first").select("block", "place")), "first", "block")
+    scratch.drop(classed)
 
     def take(rows: pa.Table, places: pa.Table) -> pa.Table:
         rows = exchange.in_order(rows).take(pa.array(np.sort(places.column("place").to_numpy())))
@@ -356,17 +367,24 @@ def _classes(blocks: DataFrame, threshold: float, last: bool = False) -> DataFra
     known = members.select("bucket", "node").join(at.select("node", "central"), "node").repartition("bucket")
     lead = known.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
     star = known.join(lead, "bucket").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead").alias("end_a"), F.col("node").alias("end_b"))
-    labels = components(_verify(star, words, threshold))
+    links = _verify(star, words, threshold)
+    scratch.drop(at)
+    labels = components(links)
     open_ = _open(members, labels)
-    scratch.drop(members)
-    # written first: few pairs are left, and word sequences need not be dealt out to meet them
-    more = _verify(scratch.table(_rest(open_, words, threshold), "rest"), words, threshold)
+    scratch.drop(links, members)
+    rest = _rest(open_, words, threshold)
+    scratch.drop(open_)
+    more = _verify(rest, words, threshold)
+    scratch.drop(rest, words)
     if not more.isEmpty():
-        far = components(more)
-        ends = labels.unionByName(far.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "left_anti"))
+        near, far = labels, components(more)
+        ends = near.unionByName(far.select("node", F.col("node").alias("comp")).join(near.select("node"), "node", "left_anti"))
         labels = scratch.table(ends.join(far.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
+        scratch.drop(near, far)
+    scratch.drop(more)
     classed = rows.join(labels, "node", "left").select("id", "block", "place", "node", F.coalesce("comp", "node").alias("class_id"))
     classed = scratch.table(classed, "classed")
+    scratch.drop(rows, labels)
     size = classed.groupBy("class_id").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "place")).alias("lead"))
     # written, so that both sides of the join are plain shuffles and a large class can be split
     out = classed.join(scratch.table(size, "classes"), "class_id")

@@ -63,8 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage before it is written as Parquet and read again."""
+    """The last stage's rows; each stage before it is written as Parquet and read again, and what it read then goes."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        kept = stage(spark, docs, sf_dir)
+        written = scratch.table(kept, name)
+        scratch.drop(kept, docs, foreign=True)
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import os
+import pathlib
 import random
 import re
 import zlib
@@ -144,6 +146,34 @@ def test_pipeline_beside_its_stages(spark):
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == last
 
 
+def _left(spark, made):
+    """(what made() returns, names of the scratch tables that stay once it has, columns of its blocks)."""
+    folder = pathlib.Path(scratch.root(spark).removeprefix("file:"))
+    names = lambda: set(os.listdir(folder)) if folder.exists() else set()
+    before = names()
+    df = made()
+    new = names() - before - {"tables"}
+    blocks = [spark.read.parquet(f"file://{folder}/{x}").columns for x in new if x.startswith("blocks-")]
+    return df, sorted(x.rpartition("-")[0] for x in new), blocks
+
+
+def test_stages_leave_one_copy_of_the_texts(spark):
+    """What a stage leaves on disk stays under all later ones: near_dedup leaves blocks and places, decontamination blocks with each text once."""
+    import corpus_pipeline
+
+    docs = queries.table(spark, SF, "documents")
+    kept, names, _ = _left(spark, lambda: corpus_pipeline.near_dedup(spark, docs, SF))
+    assert names == ["blocks", "first"]
+    want = sorted(r.doc_id for r in order_minhash.near_duplicates(docs).where("is_first").collect())
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    clean, names, blocks = _left(spark, lambda: corpus_pipeline.decontamination(spark, docs, SF))
+    assert names.count("blocks") == 1 and blocks == [["block", "place", "text", *(f"more{i}" for i in range(len(docs.columns) - 1))]]
+    leaked = {r.doc_id for r in decontaminate.leaks(docs, queries.table(spark, SF, "benchmark")).collect()}
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in leaked)
+    _, names, _ = _left(spark, lambda: corpus_pipeline.run(spark, SF))
+    assert not {"blocks", "first", "language_id", "near_dedup", "decontamination"} & set(names) and "secret_scan" in names
+
+
 def test_stages_on_awkward_tables(spark):
     """Nulls, empty texts, repeated rows, extra columns that clash, and empty tables go through every stage."""
     import corpus_pipeline
