@@ -64,17 +64,12 @@ def parts(df: DataFrame, by: str, values: list) -> list[DataFrame]:
     return found
 
 
-def drop(*read: DataFrame, foreign: bool = False) -> None:
-    """Delete the tables written here that these read; nothing may read them afterwards.
-
-    Other tables are an error, or stay if they may be among them (``foreign``).
-    """
+def drop(*read: DataFrame) -> None:
+    """Delete the files of all tables that these read, which must have been written here; nothing may read them afterwards."""
     for df in read:
         spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if f"/condspark-{spark.sparkContext.applicationId}/" not in f"{folder}/":
-                if foreign:
-                    continue
                 raise ValueError(f"not a scratch folder: {folder}")
             where = spark._jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -63,11 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage before it is written as Parquet and read again, and what it read then goes."""
-    docs = queries.table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage before it is written as Parquet and read again, and what it read then goes, but for the input."""
+    docs = given = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         written = scratch.table(kept, name)
-        scratch.drop(kept, docs, foreign=True)
+        if docs is not given:
+            scratch.drop(kept, docs)
         docs = written
     return STAGES[-1][1](spark, docs, sf_dir)
